@@ -1,3 +1,3 @@
 """Query registrations, grouped by subject."""
 
-from . import datasets  # noqa: F401
+from . import datasets, features  # noqa: F401

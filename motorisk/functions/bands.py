@@ -44,7 +44,7 @@ def equal_width_cut(col: str | Column, lo: Column, hi: Column, k: int) -> Column
     c = F.col(col) if isinstance(col, str) else col
     w = (hi - lo) / F.lit(float(k))
     j = F.greatest(F.lit(1), F.ceil((c - lo) / w).cast("int"))
-    return F.when(c.isNull(), None).when(hi == lo, F.lit(1)).otherwise(F.least(F.lit(k), j))
+    return F.when(c.isNull(), F.lit(None)).when(hi == lo, F.lit(1)).otherwise(F.least(F.lit(k), j)).cast("int")
 
 
 def cut_edges(lo: Column, hi: Column, k: int, j: Column) -> tuple[Column, Column]:

@@ -47,7 +47,7 @@ def spark_pattern(date_format: str) -> str:
 def parse_date(col: str | Column, date_format: str = DAY_FIRST_FORMAT) -> Column:
     """Tolerant parse: text that is not a valid date becomes NULL (F1)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_to_date(c.cast("string"), F.lit(spark_pattern(date_format)))
+    return F.try_to_date(c.cast("string"), spark_pattern(date_format))
 
 
 def parse_date_strict(col: str | Column, date_format: str = DAY_FIRST_FORMAT) -> Column:
