@@ -1,3 +1,3 @@
 """Query registrations, grouped by subject."""
 
-from . import datasets, features, profile  # noqa: F401
+from . import datasets, evaluation, features, profile  # noqa: F401
