@@ -1,3 +1,3 @@
 """Query registrations, grouped by subject."""
 
-from . import datasets, evaluation, features, models, profile  # noqa: F401
+from . import datasets, evaluation, extensions, features, models, profile, serving  # noqa: F401
