@@ -177,7 +177,7 @@ def _sql_metrics(y: str, mu: str) -> str:
     return f"""CAST(count(*) AS BIGINT) AS n, round(avg({e2}), 6) AS mse, round(sqrt(avg({e2})), 6) AS rmse,
        round(avg(abs({y} - {mu})), 6) AS mae,
        round(CASE WHEN var_pop({y}) > 0 THEN 1 - sum({e2}) / (count(*) * var_pop({y}))
-                  WHEN sum({e2}) = 0 THEN 1.0 ELSE 0.0 END, 6) AS r2,
+                  WHEN sum({e2}) = 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS r2,
        round(quantile_cont(abs({y} - {mu}), 0.5), 6) AS medae,
        round(avg(CASE WHEN {mu} > 0 THEN 2 * ((CASE WHEN {y} = 0 THEN 0.0 ELSE {y} * ln({y} / {mu}) END) - {y} + {mu}) END), 6)
          AS poisson_deviance,

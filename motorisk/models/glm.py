@@ -7,8 +7,8 @@ Poisson family with log link equals the sum of mu, i.e. the sum of y at the
 optimum; hence ``regParam = alpha / mean(y)``. The Gamma family with log
 link has unit weights, hence ``regParam = alpha``. Ridge is fitted by
 ``LinearRegression`` on the unstandardised features; Spark divides the
-squared loss by the label's sample deviation, hence
-``regParam = alpha / n · stddev(y)``.
+penalty by the label's population deviation, hence
+``regParam = alpha / n · stddev_pop(y)``.
 
 The statistics these scalings need (mean, count, deviation of the label) are
 one aggregate over the training frame.
@@ -27,7 +27,7 @@ from .boosting import PoissonBoostingRegressor
 
 def _label_stats(df: DataFrame, label: str):
     y = F.col(label).cast("double")
-    return df.agg(F.avg(y).alias("m"), F.count(y).alias("n"), F.stddev_samp(y).alias("s")).first()
+    return df.agg(F.avg(y).alias("m"), F.count(y).alias("n"), F.stddev_pop(y).alias("s")).first()
 
 
 class PenalisedGLM:
