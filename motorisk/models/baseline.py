@@ -33,16 +33,18 @@ class MeanRegressor(Estimator, _MeanParams, DefaultParamsReadable, DefaultParams
 
     def _fit(self, df: DataFrame) -> "MeanModel":
         y = F.col(self.getLabelCol()).cast("double")
-        overall = df.agg(F.avg(y)).first()[0]
         group = self.getOrDefault(self.groupCol)
-        levels, means = [], []
-        if group:
-            per = df.groupBy(F.col(group).cast("string").alias("g")).agg(F.avg(y).alias("m"))
-            rows = per.where(F.col("g").isNotNull()).limit(MAX_LEVELS + 1).collect()
-            if len(rows) > MAX_LEVELS:
-                raise ValueError(f"{group} has more than {MAX_LEVELS} levels")
-            rows.sort(key=lambda r: r["g"])
-            levels, means = [r["g"] for r in rows], [float(r["m"]) for r in rows]
+        g = F.col(group).cast("string") if group else F.lit(None).cast("string")
+        # One pass: sum and count per level (NULL level included); the overall
+        # mean is summed from the level rows, which are bounded by MAX_LEVELS.
+        rows = (df.groupBy(g.alias("g")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+                .limit(MAX_LEVELS + 2).collect())
+        if len(rows) > MAX_LEVELS + 1:
+            raise ValueError(f"{group} has more than {MAX_LEVELS} levels")
+        total, count = sum(r["s"] or 0.0 for r in rows), sum(r["n"] for r in rows)
+        overall = total / count if count else float("nan")
+        lv = sorted((r for r in rows if r["g"] is not None and r["n"]), key=lambda r: r["g"])
+        levels, means = [r["g"] for r in lv], [float(r["s"]) / r["n"] for r in lv]
         model = MeanModel(overall=float(overall), levels=levels, means=means)
         return self._copyValues(model)
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordering as O
+from .materialize import materialize
 
 ALL = "all"
 
@@ -72,10 +73,13 @@ def _contexts(pairs, nullable):
     return ctx_of, needs
 
 
-def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Spearman correlation of each (a, b) pair: (col_a, col_b, corr)."""
-    cols = sorted({c for p in pairs for c in p})
-    clean = df.select(key, *[_clean(c).alias(c) for c in cols])
+def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mirror: bool = False,
+                   diagonal: Sequence[str] = ()) -> DataFrame:
+    """Spearman correlation of each (a, b) pair: (col_a, col_b, corr); with
+    ``mirror`` also (b, a), and a diagonal row (1, or NULL when constant) for
+    each column in ``diagonal``. One materialised input serves every pass."""
+    cols = sorted({c for p in pairs for c in p} | set(diagonal))
+    clean = materialize(df.select(key, *[_clean(c).alias(c) for c in cols]), "rank-input")
     ctx_of, needs = _contexts(pairs, _nullable(clean, cols))
     parts = []
     for (name, req), need in needs.items():
@@ -90,34 +94,35 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) ->
         long = long.unionByName(p)
     long = long.where(F.col("value").isNotNull())
     ranked = O.average_rank(long, "value", "rank", group_cols=["ctx", "column"])
-    wide = ranked.groupBy(key, "ctx").pivot("column", cols).agg(F.first("rank"))
+    wide = ranked.groupBy(key, "ctx").pivot("column", sorted({c for p in pairs for c in p})).agg(F.first("rank"))
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        name = ctx_of[(a, b)][0]
-        in_ctx = F.col("ctx") == F.lit(name)
+        in_ctx = F.col("ctx") == F.lit(ctx_of[(a, b)][0])
         aggs.append(pair_corr(F.when(in_ctx, F.col(a)), F.when(in_ctx, F.col(b))).alias(f"p{i}"))
     res = wide.agg(*aggs)
     rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias("corr"))
             for i, (a, b) in enumerate(pairs)]
-    return res.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if mirror:
+        rows += [F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"p{i}").alias("corr"))
+                 for i, (a, b) in enumerate(pairs)]
+    out = res.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if diagonal:
+        diag = clean.agg(*[F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(c) for c in diagonal]).unpivot(
+            [], list(diagonal), "col_a", "corr").select("col_a", F.col("col_a").alias("col_b"), "corr")
+        out = out.unionByName(diag)
+    return out
 
 
 def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Long Spearman matrix over every ordered pair (diagonal 1, or NULL
     for a constant column)."""
-    pairs = list(combinations(columns, 2))
-    half = spearman_pairs(df, key, pairs)
-    mirror = half.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
-    diag = df.agg(*[F.when(F.var_samp(_clean(c)) > 0, F.lit(1.0)).alias(c) for c in columns]).unpivot(
-        [], list(columns), "col_a", "corr").select("col_a", F.col("col_a").alias("col_b"), "corr")
-    return half.unionByName(mirror).unionByName(diag)
+    return spearman_pairs(df, key, list(combinations(columns, 2)), mirror=True, diagonal=columns)
 
 
 def feature_screen(df: DataFrame, key: str, target: str, features: Sequence[str]) -> DataFrame:
     """Spearman correlation of each feature with the target, sorted
     descending (the target itself first, as in the reference's table)."""
-    res = spearman_pairs(df, key, [(target, f) for f in features])
-    own = df.agg(F.when(F.var_samp(_clean(target)) > 0, F.lit(1.0)).alias("corr")).select(
-        F.lit(target).alias("feature"), "corr")
-    out = res.select(F.col("col_b").alias("feature"), "corr").unionByName(own)
+    res = spearman_pairs(df, key, [(target, f) for f in features], diagonal=[target])
+    out = res.select(F.when(F.col("col_a") == F.col("col_b"), F.col("col_a")).otherwise(F.col("col_b"))
+                     .alias("feature"), "corr")
     return out.orderBy(F.desc_nulls_last("corr"), "feature")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ordering as O
+from .materialize import materialize
 
 METRICS = ("mse", "rmse", "mae", "r2", "medae", "poisson_deviance")
 
@@ -32,7 +33,9 @@ def regression_metrics(df: DataFrame, label: str, pred: str = "prediction",
 
     R² = 1 − SSE / (n · var_pop(y)); a constant label gives 1 when the
     predictions are exact, else 0 (scikit-learn's convention)."""
-    y, mu = F.col(label).cast("double"), F.col(pred).cast("double")
+    df = materialize(df.select(*group_cols, F.col(label).cast("double").alias(label),
+                               F.col(pred).cast("double").alias(pred)), "scores")
+    y, mu = F.col(label), F.col(pred)
     e = y - mu
     unit_dev = F.when(y == 0, F.lit(0.0)).otherwise(y * F.ln(y / mu)) - y + mu
     base = df.groupBy(*group_cols).agg(
@@ -83,10 +86,12 @@ def risk_group_calibration(df: DataFrame, observed: str, pred: str, key: str, n_
     """Rows sorted by prediction (key breaks ties) and cut into
     ``n_bins`` even slices; mean observed and predicted per slice, with the
     slice centre (k + 0.5) / n_bins."""
-    idx = O.row_index(df.select(*group_cols, key, observed, pred), [F.col(pred), F.col(key)], "_i",
-                      group_cols=list(group_cols))
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    with_n = idx.join(sizes, list(group_cols)) if group_cols else idx.withColumn("_n", sizes.scalar())
+    idx, n = O.row_index_and_count(df.select(*group_cols, key, observed, pred), [F.col(pred), F.col(key)],
+                                   "_i", group_cols=list(group_cols))
+    if group_cols:
+        with_n = idx.join(idx.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")), list(group_cols))
+    else:
+        with_n = idx.withColumn("_n", F.lit(n))
     sliced = with_n.withColumn("bin", O.even_slice("_i", F.col("_n"), n_bins))
     return sliced.groupBy(*group_cols, "bin").agg(
         F.avg(F.col(observed).cast("double")).alias("y_true_mean"),

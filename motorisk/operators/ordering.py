@@ -13,10 +13,11 @@ How the order is computed: the frame is range-partitioned on the order
 columns and sorted inside each partition, so every partition holds one
 contiguous run of the order. The per-partition totals (one row per partition,
 or per partition and group) are the only thing that crosses partitions; their
-running sum gives each partition its offset. The range-partitioned frame is
-checkpointed to the reliable checkpoint folder before the totals are taken,
-because range sampling may cut differently when a lost partition is
-recomputed, and then offsets and rows would disagree.
+running sum gives each partition its offset. Partition number and position
+are written with the rows to a table in the shared checkpoint folder
+(``materialize``) before the totals are taken: range sampling may cut
+differently when a plan is executed again, and then offsets and rows would
+disagree; stored values cannot.
 
 Nothing here gathers a group into one task: a hot value (a third of all rows
 with the same value) becomes one row of the distinct-value frame after the
@@ -30,7 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import shuffle_partitions
+from .materialize import materialize
 
 PART = "_part"
 LOCAL = "_local"
@@ -41,14 +43,12 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def _range_sorted(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or shuffle_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return ranged.withColumns({
+    return materialize(ranged.withColumns({
         PART: F.spark_partition_id(),
         LOCAL: F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33),
-    }).checkpoint(eager=True)
+    }), "ranged")
 
 
 def _partition_offsets(totals: DataFrame, group_cols: Sequence[str], size_col: str) -> DataFrame:
@@ -73,17 +73,32 @@ def row_index(df: DataFrame, order_cols: Sequence[str | Column], out: str = "row
               group_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position in the order of ``order_cols`` (within
     ``group_cols``). ``order_cols`` must make the order total (end with a key)."""
+    return row_index_and_count(df, order_cols, out, group_cols, partitions)[0]
+
+
+def row_index_and_count(df: DataFrame, order_cols: Sequence[str | Column], out: str = "row_index",
+                        group_cols: Sequence[str] = (), partitions: int | None = None
+                        ) -> tuple[DataFrame, int | None]:
+    """``row_index`` plus the row count (ungrouped only, else None), taken
+    from the per-partition totals so no extra pass is needed."""
     order = [*_cols(group_cols), *_cols(order_cols)]
     ranged = _range_sorted(df, order, partitions)
     totals = ranged.groupBy(PART, *group_cols).agg(
         F.count(F.lit(1)).alias("_size"), F.min(LOCAL).alias("_first"))
-    offsets = _partition_offsets(totals, group_cols, "_size")
-    firsts = totals.select(PART, *group_cols, "_first")
     keys = [PART, *group_cols]
-    meta = offsets.join(firsts, keys)
-    out_df = ranged.join(F.broadcast(meta) if not group_cols else meta, keys)
+    if group_cols:
+        meta = _partition_offsets(totals, group_cols, "_size").join(totals.select(*keys, "_first"), keys)
+        out_df, n = ranged.join(meta, keys), None
+    else:
+        # one row per partition: a bound set by the session, not by the data
+        acc, data = 0, []
+        for part, size, first in sorted(totals.select(PART, "_size", "_first").collect()):
+            data.append((int(part), acc, int(first)))
+            acc += int(size)
+        meta = df.sparkSession.createDataFrame(data, f"{PART} int, _offset long, _first long")
+        out_df, n = ranged.join(F.broadcast(meta), keys), acc
     return out_df.withColumn(out, F.col("_offset") + F.col(LOCAL) - F.col("_first")).drop(
-        PART, LOCAL, "_offset", "_first")
+        PART, LOCAL, "_offset", "_first"), n
 
 
 def value_positions(df: DataFrame, value: str | Column, group_cols: Sequence[str] = (),

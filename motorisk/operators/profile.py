@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ordering as O
+from .materialize import materialize
 
 # Box-plot whisker reach in IQRs, kernel grid size.
 WHISKER_IQR = 1.5
@@ -93,7 +94,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column mean, sample std, min, quartiles, max (count dropped).
 
     Quartiles are exact (linear interpolation)."""
-    lv = long_values(df, columns)
+    lv = materialize(long_values(df, columns), "long-values")
     moments = lv.groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
@@ -122,7 +123,7 @@ def group_summary(df: DataFrame, by: str, count_col: str, mean_col: str,
 def boxplot_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the furthest value within 1.5 IQR of the
     box, and the number of values beyond the whiskers, per column."""
-    lv = long_values(df, columns)
+    lv = materialize(long_values(df, columns), "long-values")
     q = O.exact_quantiles(lv, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], group_cols=["feature"])
     fences = q.select("feature", "q1", "median", "q3",
                       (F.col("q3") - F.col("q1")).alias("iqr"),

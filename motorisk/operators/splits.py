@@ -43,24 +43,20 @@ def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool =
     With ``shuffle`` the test rows are the first ones of the seeded order;
     without, the last rows of ``order`` (default: the key) are the test set."""
     _check_ratio(test_ratio)
-    n = df.count()
-    n_test = math.ceil(n * test_ratio)
     if shuffle:
-        idx = O.row_index(df, [shuffle_key(key, seed), F.col(key)], "_i")
-        is_test = F.col("_i") < n_test
+        idx, n = O.row_index_and_count(df, [shuffle_key(key, seed), F.col(key)], "_i")
+        is_test = F.col("_i") < math.ceil(n * test_ratio)
     else:
-        idx = O.row_index(df, [*(order or [key]), key], "_i")
-        is_test = F.col("_i") >= n - n_test
+        idx, n = O.row_index_and_count(df, [*(order or [key]), key], "_i")
+        is_test = F.col("_i") >= n - math.ceil(n * test_ratio)
     return idx.withColumn(SPLIT, F.when(is_test, TEST).otherwise(TRAIN)).drop("_i")
 
 
 def split_ordered(df: DataFrame, order: Sequence[str], key: str, test_ratio: float = 0.2) -> DataFrame:
     """The first int(n · (1 − ratio)) rows in ``order`` are train."""
     _check_ratio(test_ratio)
-    n = df.count()
-    n_train = int(n * (1 - test_ratio))
-    idx = O.row_index(df, [*order, key], "_i")
-    return idx.withColumn(SPLIT, F.when(F.col("_i") < n_train, TRAIN).otherwise(TEST)).drop("_i")
+    idx, n = O.row_index_and_count(df, [*order, key], "_i")
+    return idx.withColumn(SPLIT, F.when(F.col("_i") < int(n * (1 - test_ratio)), TRAIN).otherwise(TEST)).drop("_i")
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
