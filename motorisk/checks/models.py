@@ -23,11 +23,12 @@ def _saturated(train, level: str, target: str, algorithm: str):
     enc = OneHotEncoder(inputCols=[level], outputCols=["_oh"], dropLast=True)
     asm = VectorAssembler(inputCols=["_oh"], outputCol="features")
     staged = Pipeline(stages=[enc, asm]).fit(train)
-    feats = staged.transform(train)
+    feats = staged.transform(train).persist()
     builder = select_training_algorithm(algorithm, {"alpha": 0.0, "max_iter": 100})
     glm = builder.spark_estimator(feats, "features", target)
     glm.setTol(1e-12)
     model = glm.fit(feats)
+    feats.unpersist()
     levels = train.select(level).where(F.col(level).isNotNull()).distinct()
     return model.transform(staged.transform(levels)).select(level, r6(F.col("prediction")).alias("prediction"))
 
@@ -87,7 +88,7 @@ RUN_FEATURES = RUN.NEW_CLIENT_CONFIG["features"]
 def _split_metrics(spark, sf_dir, algorithm, params):
     split = C.freq_split(spark, sf_dir)
     train = split.where(F.col("split") == "train")
-    model = RUN.pipeline_for(train, RUN_FEATURES, C.TARGET, algorithm, params).fit(train)
+    model = RUN.fit_cached(RUN.pipeline_for(train, RUN_FEATURES, C.TARGET, algorithm, params), train)
     scored = model.transform(split)
     return E.regression_metrics(scored, C.TARGET, group_cols=["split"])
 

@@ -104,13 +104,13 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def category_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count and percent of each value per column, NULL
-    excluded; ``rank`` orders values by frequency (ties by value)."""
+    excluded, most frequent value first within each column."""
     lv = long_values(df, columns, "string")
     counts = lv.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("feature").agg(F.sum("count").alias("_total"))
     return counts.join(F.broadcast(totals), "feature").select(
         "feature", "value", F.col("count").cast("bigint"),
-        (F.col("count") * 100.0 / F.col("_total")).alias("percent"))
+        (F.col("count") * 100.0 / F.col("_total")).alias("percent")).orderBy("feature", F.desc("count"), "value")
 
 
 def group_summary(df: DataFrame, by: str, count_col: str, mean_col: str,

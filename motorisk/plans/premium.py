@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.dates import DAY_FIRST_FORMAT, columns_with_prefix, convert_columns_to_date
 from ..functions.decode import PREMIUM_LABELS, decode_columns
+from ..sources.files import write_csv
 
 # Columns a new client cannot have yet (future or history).
 LEAKAGE_COLUMNS = (
@@ -30,6 +31,6 @@ def premium_dataset(policies: DataFrame, date_format: str = DAY_FIRST_FORMAT) ->
     return convert_columns_to_date(df, columns_with_prefix(df, "Date_"), date_format)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S3: comma-separated with a header, one folder of part files."""
-    df.write.mode(mode).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+def export_premium_dataset(policies: DataFrame, path: str, date_format: str = DAY_FIRST_FORMAT) -> None:
+    """G4 end to end: the dataset written as comma text with a header (S3)."""
+    write_csv(premium_dataset(policies, date_format), path)

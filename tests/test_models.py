@@ -151,3 +151,10 @@ def test_frequency_run(spark, f9, tmp_path):
     logged = {r["key"] for r in log.read(res.run_id).where("kind = 'metric'").collect()}
     assert "train/mse" in logged and "test/poisson_deviance" in logged
     assert res.plots["feature_importance"].count() == 6
+
+
+def test_cross_validation(f9):
+    out = RUN.cross_validate(f9, ["Type_risk", "Area"], "N_claims_year", "poisson_regressor",
+                             [{"alpha": 1.0}, {"alpha": 0.01}], folds=3)
+    rows = out.collect()
+    assert len(rows) == 2 and all(r["rmse"] > 0 for r in rows)
