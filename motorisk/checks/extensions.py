@@ -89,7 +89,7 @@ def drift_stream(spark, sf_dir):
     q = start_drift_stream(spark, src, ev.schema, ranges, "value", "ts", "event_type", sink, ckpt)
     q.awaitTermination(600)
     counts = spark.read.parquet(sink)
-    base_counts = (base.join(F.broadcast(ranges), F.col("event_type") == F.col("segment"))
+    base_counts = (base.join(ranges, F.col("event_type") == F.col("segment"))
                    .select("segment", M.psi_bin(F.col("value").cast("double"), F.col("lo"), F.col("hi")).alias("bin"))
                    .groupBy("segment", "bin").count())
     totals = base_counts.groupBy("segment").agg(F.sum("count").alias("_t"))

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numeric as N
 
+# The fitted level list is model state kept on the driver; refuse a column
+# with more levels than a category can have.
+MAX_LEVELS = 10000
+
 
 class FeatureTransformer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Base of the feature stages. ``_transform`` is abstract, so the base
@@ -98,7 +102,9 @@ class VehicleFeatures(Estimator, _VehicleParams, DefaultParamsReadable, DefaultP
         # One row per distinct level: the level table is the fitted state.
         firsts = (df.where(F.col(fuel).isNotNull()).groupBy(fuel)
                   .agg(F.min(order).alias("first")).orderBy("first", fuel))
-        levels = [r[0] for r in firsts.collect()]
+        levels = [r[0] for r in firsts.limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{fuel} has more than {MAX_LEVELS} levels: not a category")
         model = VehicleFeaturesModel(levels=levels)
         return self._copyValues(model)
 

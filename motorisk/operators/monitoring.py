@@ -59,7 +59,7 @@ def drift_psi(df: DataFrame, value: str, ts: str, segment: str, baseline_end: st
     bins = F.col("bin")
 
     def shares(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-        counted = (frame.join(F.broadcast(rng), "segment")
+        counted = (frame.join(rng, "segment")
                    .select(*keys, psi_bin(F.col("v"), F.col("lo"), F.col("hi"), k).alias("bin"))
                    .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
         totals = counted.groupBy(*keys).agg(F.sum("n").alias("_t"))

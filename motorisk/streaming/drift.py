@@ -21,7 +21,7 @@ def start_drift_stream(spark: SparkSession, source_dir: str, schema, ranges: Dat
     stream = spark.readStream.schema(schema).parquet(source_dir)
     rows = stream.select(F.col(segment).alias("segment"), F.col(value).cast("double").alias("v"),
                          F.col(ts).cast("timestamp").alias("ts")).where(F.col("v").isNotNull())
-    binned = rows.join(F.broadcast(ranges), "segment").select(
+    binned = rows.join(ranges, "segment").select(
         "segment", "ts", psi_bin(F.col("v"), F.col("lo"), F.col("hi"), k).alias("bin"))
     counts = (binned.withWatermark("ts", watermark)
               .groupBy("segment", F.window("ts", window).alias("w"), "bin").count()
