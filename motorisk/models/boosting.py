@@ -12,6 +12,12 @@ projection. The score column is carried on the training frame, whose
 lineage grows by one tree per round; it is checkpointed to the reliable
 checkpoint folder every ``checkpointEvery`` rounds so that recovery after a
 lost executor never replays the whole sequence.
+
+Early stopping follows the reference library's default: on when the frame
+has more than 10,000 rows, a seeded 10 % of the rows is held out, and the
+fit stops when the held-out deviance has not improved by more than ``tol``
+over the last ``nIterNoChange`` rounds. The held-out flag is fixed by the
+first checkpoint, so it does not change on recomputation.
 """
 
 from __future__ import annotations
@@ -40,18 +46,25 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "min rows per leaf", TypeConverters.toInt)
     maxBins = Param(Params._dummy(), "maxBins", "feature bins", TypeConverters.toInt)
     checkpointEvery = Param(Params._dummy(), "checkpointEvery", "rounds between checkpoints", TypeConverters.toInt)
+    earlyStopping = Param(Params._dummy(), "earlyStopping", "auto | on | off", TypeConverters.toString)
+    validationFraction = Param(Params._dummy(), "validationFraction", "held-out share", TypeConverters.toFloat)
+    nIterNoChange = Param(Params._dummy(), "nIterNoChange", "patience in rounds", TypeConverters.toInt)
+    tol = Param(Params._dummy(), "tol", "minimal improvement of the held-out deviance", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "seed of the hold-out", TypeConverters.toInt)
 
     def _defaults(self):
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction",
                          maxIter=100, learningRate=0.1, maxDepth=7, minInstancesPerNode=20,
-                         maxBins=255, checkpointEvery=5)
+                         maxBins=255, checkpointEvery=5, earlyStopping="auto", validationFraction=0.1,
+                         nIterNoChange=10, tol=1e-7, seed=42)
 
 
 class PoissonBoostingRegressor(Estimator, _BoostParams):
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
                  maxIter=100, learningRate=0.1, maxDepth=7, minInstancesPerNode=20, maxBins=255,
-                 checkpointEvery=5):
+                 checkpointEvery=5, earlyStopping="auto", validationFraction=0.1, nIterNoChange=10,
+                 tol=1e-7, seed=42):
         super().__init__()
         self._defaults()
         self._set(**self._input_kwargs)
@@ -61,24 +74,38 @@ class PoissonBoostingRegressor(Estimator, _BoostParams):
         ensure_checkpoint_dir(df.sparkSession)
         label, feats = g(self.labelCol), g(self.featuresCol)
         y = F.col(label).cast("double")
-        mean_y = df.agg(F.avg(y)).first()[0]
+        work = df.select(F.col(feats).alias("features"), y.alias("y"),
+                         (F.rand(g(self.seed)) < g(self.validationFraction)).alias("_val")).checkpoint(eager=True)
+        n = work.count()
+        mode = g(self.earlyStopping)
+        stop_early = mode == "on" or (mode == "auto" and n > 10000)
+        if not stop_early:
+            work = work.withColumn("_val", F.lit(False))
+        mean_y = work.where(~F.col("_val")).agg(F.avg("y")).first()[0]
         if not mean_y or mean_y <= 0:
             raise ValueError("Poisson boosting needs a positive mean label")
         init = math.log(mean_y)
-        work = df.select(F.col(feats).alias("features"), y.alias("y")).withColumn(ETA, F.lit(init))
-        trees, rate = [], g(self.learningRate)
+        work = work.withColumn(ETA, F.lit(init))
+        trees, rate, losses = [], g(self.learningRate), []
+        patience, tol = g(self.nIterNoChange), g(self.tol)
         for r in range(g(self.maxIter)):
             mu = F.exp(F.col(ETA))
             step_frame = work.withColumns({"_w": mu, "_z": (F.col("y") - mu) / mu})
             tree = DecisionTreeRegressor(
                 featuresCol="features", labelCol="_z", weightCol="_w", predictionCol="_step",
                 maxDepth=g(self.maxDepth), minInstancesPerNode=g(self.minInstancesPerNode),
-                maxBins=g(self.maxBins)).fit(step_frame)
+                maxBins=g(self.maxBins)).fit(step_frame.where(~F.col("_val")))
             trees.append(tree)
             work = tree.transform(step_frame).select(
-                "features", "y", (F.col(ETA) + F.lit(rate) * F.col("_step")).alias(ETA))
+                "features", "y", "_val", (F.col(ETA) + F.lit(rate) * F.col("_step")).alias(ETA))
             if (r + 1) % g(self.checkpointEvery) == 0:
                 work = work.checkpoint(eager=True)
+            if stop_early:
+                eta, yy = F.col(ETA), F.col("y")
+                dev = F.when(yy > 0, yy * (F.log(yy) - eta)).otherwise(0.0) - yy + F.exp(eta)
+                losses.append(work.where("_val").agg(F.avg(dev)).first()[0])
+                if len(losses) > patience and all(x > losses[-patience - 1] - tol for x in losses[-patience:]):
+                    break
         model = PoissonBoostingModel(init=init, trees=trees)
         return self._copyValues(model)
 
