@@ -33,16 +33,18 @@ DATE_COLS = ("Date_start_contract", "Date_last_renewal", "Date_next_renewal", "D
              "Date_driving_licence", "Date_lapse")
 
 DRIVER_SQL = A.with_sources("""
-SELECT *, CAST(abs(age - exp) AS INTEGER) AS driver_age_experience_age_diff,
+SELECT policy_key, """ + ", ".join(DATE_COLS) + """, renewal_year,
+       age AS driver_age_at_contract_inception, exp AS driver_experience_age, driver_age_at_contract_start,
+       CAST(abs(age - exp) AS INTEGER) AS driver_age_experience_age_diff,
        """ + _sql_ratio("abs(age - exp)", "age") + """ AS driver_age_experience_ratio_proxy_for_driving_experience
 FROM (
-  SELECT policy_key, """ + ", ".join(f"{c}" for c in DATE_COLS) + """,
+  SELECT policy_key, """ + ", ".join(DATE_COLS) + """,
          CAST(year(Date_last_renewal) AS INTEGER) AS renewal_year,
          CAST(abs(year(Date_last_renewal) - year(Date_birth)) AS INTEGER) AS age,
          CAST(abs(year(Date_last_renewal) - year(Date_driving_licence)) AS INTEGER) AS exp,
          CAST(year(Date_last_renewal) - year(Date_birth) AS INTEGER) AS driver_age_at_contract_start
   FROM (SELECT policy_key, """ + ", ".join(f"{_sql_date(c)} AS {c}" for c in DATE_COLS) + """ FROM policies))
-""").replace("SELECT *, CAST(abs(age - exp)", "SELECT * RENAME (age AS driver_age_at_contract_inception, exp AS driver_experience_age), CAST(abs(age - exp)")
+""")
 
 
 @register("driver_features", DRIVER_SQL)

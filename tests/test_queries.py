@@ -73,3 +73,30 @@ def test_entry(spark):
 def test_no_python_in_plan(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def _single_partition_parents(plan_text):
+    """Operators directly above each SinglePartition exchange."""
+    import re
+    lines = plan_text.split("\n")
+    parents = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-"))
+        j = i - 1
+        while j >= 0 and (len(lines[j]) - len(lines[j].lstrip(" :+-"))) >= depth:
+            j -= 1
+        parents.append(re.sub(r"^\*\(\d+\) ", "", lines[j].strip(" :+-")) if j >= 0 else "?")
+    return parents
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW_ROWS_ONLY))
+def test_single_partition_only_for_final_aggregates(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for parent in _single_partition_parents(plan):
+        assert parent.startswith(("HashAggregate", "SortAggregate", "ObjectHashAggregate")), parent
