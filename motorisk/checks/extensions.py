@@ -84,7 +84,7 @@ def drift_stream(spark, sf_dir):
         F.min(F.col("value").cast("double")).alias("lo"), F.max(F.col("value").cast("double")).alias("hi"))
     src = scratch_dir(spark, "events-in")
     (ev.where(F.col("ts") >= F.lit(BASELINE_END).cast("timestamp_ntz"))
-       .withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(src))
+       .withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(src))
     sink, ckpt = scratch_dir(spark, "drift-out"), scratch_dir(spark, "drift-ckpt")
     q = start_drift_stream(spark, src, ev.schema, ranges, "value", "ts", "event_type", sink, ckpt)
     q.awaitTermination(600)

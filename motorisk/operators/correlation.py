@@ -10,7 +10,8 @@ join on (context, column, value) against the distinct-value rank table and
 a pivot by row key, whose groups hold one value per column.
 
 A constant column has no correlation: NULL, where pandas gives NaN (and
-Spark's ``corr`` would divide by zero under ANSI mode).
+Spark's ``corr`` would divide by zero under ANSI mode). All pairs are
+computed by one small grouped aggregate over (pair, x, y) rows.
 """
 
 from __future__ import annotations
@@ -33,29 +34,39 @@ def _clean(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def pair_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation on rows where both are present; NULL if either
-    side is constant or fewer than two rows."""
-    a = F.when(y.isNotNull(), x)
-    b = F.when(x.isNotNull(), y)
-    va, vb = F.var_samp(a), F.var_samp(b)
-    return F.when((va > 0) & (vb > 0), F.covar_samp(a, b) / F.sqrt(va * vb))
+def pair_correlations(frame: DataFrame, specs) -> DataFrame:
+    """Pearson correlation of many (x, y) column pairs in one grouped pass.
+
+    ``specs``: (col_a, col_b, x, y, diagonal) per pair. Each row emits one
+    (pair, x, y) row per pair (a fixed fan-out, pipelined into the partial
+    aggregate), rows where x or y is missing are skipped, and one
+    ``covar_samp``/``var_samp`` aggregate per pair id follows. This keeps the
+    aggregate small enough for generated code, where one aggregate with three
+    functions per pair does not. Every pair appears in the result; a pair
+    without two complete rows, or with a constant side, has NULL; a diagonal
+    pair is exactly 1."""
+    arr = F.array(*[F.struct(F.lit(i).alias("p"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+                    for i, (_, _, x, y, _) in enumerate(specs)])
+    stats = (frame.select(F.inline(arr)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+             .groupBy("p").agg(F.covar_samp("x", "y").alias("c"), F.var_samp("x").alias("vx"),
+                               F.var_samp("y").alias("vy")))
+    labels = frame.sparkSession.createDataFrame(
+        [(i, a, b, bool(d)) for i, (a, b, _, _, d) in enumerate(specs)],
+        "p int, col_a string, col_b string, diag boolean")
+    ok = (F.col("vx") > 0) & (F.col("vy") > 0)
+    corr = F.when(ok & F.col("diag"), F.lit(1.0)).when(ok, F.col("c") / F.sqrt(F.col("vx") * F.col("vy")))
+    return labels.join(stats, "p", "left").select("col_a", "col_b", corr.alias("corr"))
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long matrix (col_a, col_b, corr) over every ordered pair."""
     clean = df.select(*[_clean(c).alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    aggs = [pair_corr(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
-    aggs += [F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(f"d{j}") for j, c in enumerate(columns)]
-    wide = clean.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
-    rows += [F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"{i}").alias("corr"))
-             for i, (a, b) in enumerate(pairs)]
-    rows += [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.col(f"d{j}").alias("corr"))
-             for j, c in enumerate(columns)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    specs = []
+    for a, b in combinations(columns, 2):
+        specs.append((a, b, F.col(a), F.col(b), False))
+        specs.append((b, a, F.col(b), F.col(a), False))
+    specs += [(c, c, F.col(c), F.col(c), True) for c in columns]
+    return pair_correlations(clean, specs)
 
 
 def _nullable(df: DataFrame, columns: Sequence[str]) -> set[str]:
@@ -95,17 +106,14 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mi
     long = long.where(F.col("value").isNotNull())
     ranked = O.average_rank(long, "value", "rank", group_cols=["ctx", "column"])
     wide = ranked.groupBy(key, "ctx").pivot("column", sorted({c for p in pairs for c in p})).agg(F.first("rank"))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
+    specs = []
+    for a, b in pairs:
         in_ctx = F.col("ctx") == F.lit(ctx_of[(a, b)][0])
-        aggs.append(pair_corr(F.when(in_ctx, F.col(a)), F.when(in_ctx, F.col(b))).alias(f"p{i}"))
-    res = wide.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
-    if mirror:
-        rows += [F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"p{i}").alias("corr"))
-                 for i, (a, b) in enumerate(pairs)]
-    out = res.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        x, y = F.when(in_ctx, F.col(a)), F.when(in_ctx, F.col(b))
+        specs.append((a, b, x, y, False))
+        if mirror:
+            specs.append((b, a, y, x, False))
+    out = pair_correlations(wide, specs)
     if diagonal:
         diag = clean.agg(*[F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(c) for c in diagonal]).unpivot(
             [], list(diagonal), "col_a", "corr").select("col_a", F.col("col_a").alias("col_b"), "corr")

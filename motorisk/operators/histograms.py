@@ -106,9 +106,12 @@ def band_table(df: DataFrame, value_col: str, target_col: str,
     lift of each band over it."""
     banded = df.select(B.right_closed_band(value_col, edges, labels).alias(band_col),
                        F.col(target_col).alias("t"))
-    stats = banded.where(F.col(band_col).isNotNull()).groupBy(band_col).agg(
+    # One grouped pass (rows outside every band form the NULL group); the base
+    # rate is summed from the same few group rows.
+    grouped = banded.groupBy(band_col).agg(
         F.avg("t").alias("rate"), F.count("t").alias("count"), F.sum("t").alias("total"))
-    base = df.select(F.avg(target_col)).scalar()
+    stats = grouped.where(F.col(band_col).isNotNull())
+    base = grouped.select(F.sum("total") / F.sum("count")).scalar()
     spark = df.sparkSession
     dim = spark.createDataFrame([(lab, i + 1) for i, lab in enumerate(labels)],
                                 f"{band_col} string, band_order int")

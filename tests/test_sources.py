@@ -81,3 +81,21 @@ def test_parse_requests_rejects(spark):
     assert [r["quote_id"] for r in ok.collect()] == [1]
     assert sorted(r["quote_id"] for r in bad.collect()) == [2, 3]
     assert isinstance(ok.schema["Value_vehicle"].dataType, T.DoubleType)
+
+
+def test_drop_unknown_column_raises(spark):
+    from motorisk.plans.premium import drop_columns
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert drop_columns(df, ["a"]).columns == ["b"]
+    with pytest.raises(KeyError):
+        drop_columns(df, ["zzz"])
+
+
+def test_export_premium_dataset(spark, tmp_path):
+    from motorisk.plans.premium import export_premium_dataset
+    from motorisk.sources import adapter as A
+    pol = A.policies(spark, "/root/testdata/sf0.001")
+    export_premium_dataset(pol, str(tmp_path / "prem"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "prem"))
+    assert back.count() == pol.count() and "ID" not in back.columns and "Type_risk" in back.columns
+    assert back.where("Date_birth RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'").count() > 0
