@@ -62,3 +62,25 @@ def test_even_slices(spark, n, k):
     got = [r["s"] for r in df.orderBy("id").collect()]
     ref = np.concatenate([np.full(len(a), i) for i, a in enumerate(np.array_split(np.arange(n), k))])
     assert got == list(ref)
+
+
+def test_hot_value_and_hot_group(spark):
+    """One value holds a third of all rows, inside one group that holds most
+    rows: ranks and quantiles stay exact, and the distinct-value frame the
+    shuffle carries has one row for it."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    v = np.where(np.arange(n) % 3 == 0, 7.0, rng.normal(size=n).round(3))
+    g = np.where(np.arange(n) % 10 < 8, 0, 1)
+    pdf = pd.DataFrame({"k": np.arange(n), "v": v, "g": g})
+    df = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in pdf.itertuples(index=False)],
+                               "k long, v double, g int")
+    pos = O.value_positions(df, "v", ["g"])
+    assert pos.where("v = 7.0").count() == 2          # one row per group for the hot value
+    got = O.average_rank(df, "v", "r", ["g"]).select("k", "r").toPandas().set_index("k").sort_index()
+    ref = pdf.groupby("g")["v"].rank()
+    assert np.allclose(got["r"].values, ref.values)
+    q = {r["g"]: (r["a"], r["b"]) for r in O.exact_quantiles(df, "v", [0.3, 0.9], ["a", "b"], ["g"]).collect()}
+    for grp, (a, b) in q.items():
+        ref_q = np.percentile(pdf[pdf.g == grp]["v"], [30, 90])
+        assert (a, b) == pytest.approx(tuple(ref_q))
