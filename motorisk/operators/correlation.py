@@ -3,11 +3,13 @@
 Pearson: one aggregate over all column pairs, each pair on its shared
 non-null rows. Spearman: average ranks, then Pearson of the ranks, with the
 ranks of a pair taken on the pair's shared non-null rows (as pandas does).
-Pairs of columns without NULLs share one ranking context; a pair with a
-nullable column gets its own. All contexts are ranked in one grouped job
-over a long (key, context, column, value) frame; ranks come back through a
-join on (context, column, value) against the distinct-value rank table and
-a pivot by row key, whose groups hold one value per column.
+A column is ranked once on all its rows; only the partner of a nullable
+column is ranked again on the rows where that column is present, and
+columns missing on the same rows share that context. All contexts are
+ranked in one grouped job over a long (key, context, column, value) frame;
+ranks come back through a join on (context, column, value) against the
+distinct-value rank table and a pivot by row key, whose groups hold one
+value per ranked column.
 
 A constant column has no correlation: NULL, where pandas gives NaN (and
 Spark's ``corr`` would divide by zero under ANSI mode). All pairs are
@@ -69,47 +71,65 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return pair_correlations(clean, specs)
 
 
-def _nullable(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    row = df.agg(*[F.count_if(_clean(c).isNull()).alias(c) for c in columns]).first()
-    return {c for c in columns if row[c]}
-
-
-def _contexts(pairs, nullable):
-    ctx_of, needs = {}, {}
-    for a, b in pairs:
-        req = tuple(sorted({a, b} & nullable))
-        name = ALL if not req else "|".join(req)
-        ctx_of[(a, b)] = (name, req)
-        needs.setdefault((name, req), set()).update((a, b))
-    return ctx_of, needs
+def _null_masks(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Mask id of every nullable column; columns with the same rows missing
+    share one id. Two aggregate passes over the (materialised) input."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    nullable = [c for c in columns if row[c]]
+    pairs = list(combinations(nullable, 2))
+    same = set()
+    if pairs:
+        diff = df.agg(*[F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"d{i}")
+                        for i, (a, b) in enumerate(pairs)]).first()
+        same = {p for i, p in enumerate(pairs) if diff[f"d{i}"] == 0}
+    mask = {}
+    for c in nullable:
+        mask[c] = next((mask[a] for a, b in same if b == c and a in mask), c)
+    return mask
 
 
 def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mirror: bool = False,
                    diagonal: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of each (a, b) pair: (col_a, col_b, corr); with
     ``mirror`` also (b, a), and a diagonal row (1, or NULL when constant) for
-    each column in ``diagonal``. One materialised input serves every pass."""
+    each column in ``diagonal``. One materialised input serves every pass.
+
+    The ranks of a pair are taken on the rows where both are present. A
+    column's ranks over its own non-null rows are its ranks in the ``all``
+    context, so only a partner of a nullable column needs a restricted
+    context: "rows where that mask is present", shared by all columns with
+    the same missing rows."""
     cols = sorted({c for p in pairs for c in p} | set(diagonal))
     clean = materialize(df.select(key, *[_clean(c).alias(c) for c in cols]), "rank-input")
-    ctx_of, needs = _contexts(pairs, _nullable(clean, cols))
+    mask = _null_masks(clean, cols)
+
+    def ctx(col: str, partner: str) -> str:
+        m = mask.get(partner)
+        return ALL if m is None or mask.get(col) == m else m
+
+    need: dict[str, set] = {}
+    for a, b in pairs:
+        need.setdefault(ctx(a, b), set()).add(a)
+        need.setdefault(ctx(b, a), set()).add(b)
     parts = []
-    for (name, req), need in needs.items():
-        cond = F.lit(True)
-        for c in req:
-            cond = cond & F.col(c).isNotNull()
-        need = sorted(need)
-        parts.append(clean.where(cond).select(key, *need).unpivot(
-            [key], need, "column", "value").withColumn("ctx", F.lit(name)))
+    for name, needed in need.items():
+        frame = clean if name == ALL else clean.where(F.col(name).isNotNull())
+        needed = sorted(needed)
+        parts.append(frame.select(key, *needed).unpivot([key], needed, "column", "value")
+                     .withColumn("ctx", F.lit(name)))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
     long = long.where(F.col("value").isNotNull())
     ranked = O.average_rank(long, "value", "rank", group_cols=["ctx", "column"])
-    wide = ranked.groupBy(key, "ctx").pivot("column", sorted({c for p in pairs for c in p})).agg(F.first("rank"))
+    slots = {(n, c): f"r{i}" for i, (n, c) in enumerate(sorted((n, c) for n, cs in need.items() for c in cs))}
+    slot_of = F.create_map(*[x for (n, c), sl in slots.items() for x in (F.lit(f"{n}\u0001{c}"), F.lit(sl))])
+    wide = (ranked.withColumn("slot", slot_of[F.concat_ws("\u0001", "ctx", "column")])
+            .groupBy(key).pivot("slot", list(slots.values())).agg(F.first("rank")))
+    col_of = {k: F.col(sl) for k, sl in slots.items()}
     specs = []
     for a, b in pairs:
-        in_ctx = F.col("ctx") == F.lit(ctx_of[(a, b)][0])
-        x, y = F.when(in_ctx, F.col(a)), F.when(in_ctx, F.col(b))
+        x, y = col_of[(ctx(a, b), a)], col_of[(ctx(b, a), b)]
         specs.append((a, b, x, y, False))
         if mirror:
             specs.append((b, a, y, x, False))
