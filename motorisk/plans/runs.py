@@ -35,6 +35,7 @@ NEW_CLIENT_CONFIG = {
     "algorithm": "poisson_regressor",
     "parameters": {"alpha": 1.0, "max_iter": 1000},
     "run_name": "run_new_client_001",
+    "artifact_model_name": "poisson_model",
 }
 # The renewal variant differs only in its run name.
 RENEWAL_CONFIG = {**NEW_CLIENT_CONFIG, "run_name": "run_renewal_001"}
@@ -108,14 +109,17 @@ def frequency_run(dataset: DataFrame, key: str, config: Mapping = NEW_CLIENT_CON
     model = fit_cached(pipeline_for(train, features, target, config["algorithm"], config.get("parameters")), train)
     scored = model.transform(split).drop("features")
     metrics = E.regression_metrics(scored, target, group_cols=[SPLIT])
+    grid = E.residual_grid(scored.where(F.col(SPLIT) != TRAIN), target, "prediction")
     plots = {
         "claims_distribution": H.histogram(train, target, 30),
         "feature_importance": coefficient_table(model, features),
-        "actual_vs_predicted": E.residual_grid(scored, target, "prediction", group_cols=[SPLIT]),
+        "residuals": grid.select("predicted", "residual", "n_rows"),
+        "actual_vs_predicted": grid.select("observed", "predicted", "n_rows"),
     }
     if log is not None:
         log.log_parameters(run_id, {**config.get("parameters", {}), "algorithm": config["algorithm"]})
         log.log_metrics_nested(run_id, E.metrics_long(metrics, [SPLIT], prefix_col=SPLIT).drop(SPLIT))
+        log.log_model(run_id, model, config.get("artifact_model_name", "model"))
         log.log_plot_data(run_id, plots)
     version = L.register_model(dataset.sparkSession, model, store, run_id)
     return RunResult(run_id, model, scored, metrics, plots, version)
@@ -155,6 +159,7 @@ def severity_run(dataset: DataFrame, key: str, config: Mapping = SEVERITY_CONFIG
         m = E.metrics_long(metrics, ["model", SPLIT]).withColumn(
             "name", F.concat_ws("/", F.col(SPLIT), F.col("model"), F.col("name")))
         log.log_metrics_nested(run_id, m.drop("model", SPLIT))
+        log.log_model(run_id, gamma, "gamma_model")
         log.log_plot_data(run_id, plots)
     version = L.register_model(dataset.sparkSession, gamma, store, run_id)
     return RunResult(run_id, gamma, scored, metrics, plots, version)

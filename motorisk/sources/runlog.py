@@ -74,6 +74,13 @@ class RunLog:
         if rows:
             self._append(self.spark.createDataFrame(rows, LOG_SCHEMA))
 
+    def log_model(self, run_id: str, model, name: str = "model") -> str:
+        """The fitted pipeline saved next to the log, under the run."""
+        return save_model(model, self.model_path(run_id, name))
+
+    def model_path(self, run_id: str, name: str = "model") -> str:
+        return os.path.join(self.path + "_models", run_id, name)
+
     def log_plot_data(self, run_id: str, frames: Mapping[str, DataFrame]) -> None:
         """The numbers behind each chart, one Parquet folder per chart."""
         for name, df in frames.items():

@@ -62,3 +62,20 @@ def test_saved_in_pipeline(spark, driver_df, tmp_path):
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
     assert again.transform(driver_df).select("age_x").count() == 3
+
+
+def test_base_cannot_be_built_and_subclass_must_transform(driver_df):
+    with pytest.raises(TypeError):
+        FeatureTransformer()
+
+    class NoTransform(FeatureTransformer):
+        pass
+
+    with pytest.raises(TypeError):
+        NoTransform()
+
+    class Identity(FeatureTransformer):
+        def _transform(self, df):
+            return df
+
+    assert Identity().transform(driver_df).count() == 3

@@ -146,7 +146,10 @@ def test_frequency_run(spark, f9, tmp_path):
     res = RUN.frequency_run(f9, "policy_key", cfg, log=log, store=str(tmp_path / "store"))
     keys = {(r["split"], r["name"]) for r in E.metrics_long(res.metrics, ["split"]).collect()}
     assert keys == {(s, m) for s in ("train", "test") for m in E.METRICS}
-    assert set(res.plots) == {"claims_distribution", "feature_importance", "actual_vs_predicted"}
+    assert set(res.plots) == {"claims_distribution", "feature_importance", "residuals", "actual_vs_predicted"}
+    from motorisk.sources.runlog import load_model
+    again = load_model(log.model_path(res.run_id, "poisson_model"))
+    assert again.transform(f9).count() == 200
     assert res.version == 1
     logged = {r["key"] for r in log.read(res.run_id).where("kind = 'metric'").collect()}
     assert "train/mse" in logged and "test/poisson_deviance" in logged
