@@ -33,14 +33,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "motorisk-work", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def spark_text_reader(spark: SparkSession, path: str, text_schema: T.StructType, delimiter: str) -> DataFrame:
+    """Default reader of ``load_delimited``: Spark's CSV scan, every field as text."""
+    return (spark.read.schema(text_schema).option("header", True).option("sep", delimiter)
+            .option("mode", "PERMISSIVE").csv(path))
+
+
 def load_delimited(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ";",
-                   na_values: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """Delimited scan with header; NA tokens become NULL in every column."""
+                   na_values: Sequence[str] = NA_TOKENS, reader=spark_text_reader) -> DataFrame:
+    """Delimited scan with header; NA tokens become NULL in every column.
+
+    ``reader(spark, path, text_schema, delimiter)`` returns the fields as
+    text (pluggable, as in the reference); typing and NA handling follow."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (spark.read.schema(text_schema).option("header", True).option("sep", delimiter)
-           .option("mode", "PERMISSIVE").csv(path))
+    raw = reader(spark, path, text_schema, delimiter)
     tokens = list(na_values)
     cols = []
     for f in schema.fields:

@@ -99,3 +99,14 @@ def test_export_premium_dataset(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "prem"))
     assert back.count() == pol.count() and "ID" not in back.columns and "Type_risk" in back.columns
     assert back.where("Date_birth RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'").count() > 0
+
+
+def test_pluggable_reader(spark, tmp_path):
+    p = tmp_path / "pipe.txt"
+    p.write_text("a|b\n1|NA\n2|x\n")
+
+    def pipe_reader(spark, path, text_schema, delimiter):
+        return spark.read.schema(text_schema).option("header", True).option("sep", "|").csv(path)
+
+    df = load_delimited(spark, str(p), "a int, b string", reader=pipe_reader)
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, None), (2, "x")]
