@@ -42,13 +42,23 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _range_sorted(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
+def _range_sorted(df: DataFrame, order: list[Column], partitions: int | None,
+                  bucket: Column | None = None) -> DataFrame:
+    """Rows with ``PART`` (a run of the order) and ``LOCAL`` (position of the
+    row in its physical partition), written once.
+
+    Without ``bucket`` the runs are range partitions (Spark samples the input
+    for the bounds). With ``bucket`` (an int that never decreases along the
+    order, e.g. from a uniform hash) no sampling pass is needed: rows are
+    hash-partitioned on the bucket and sorted by (bucket, order), so each
+    bucket is contiguous inside its partition."""
     n = partitions or shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return materialize(ranged.withColumns({
-        PART: F.spark_partition_id(),
-        LOCAL: F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33),
-    }), "ranged")
+    local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    if bucket is None:
+        ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        return materialize(ranged.withColumns({PART: F.spark_partition_id(), LOCAL: local}), "ranged")
+    bucketed = df.withColumn(PART, bucket.cast("int")).repartition(n, PART).sortWithinPartitions(PART, *order)
+    return materialize(bucketed.withColumn(LOCAL, local), "ranged")
 
 
 def _partition_offsets(totals: DataFrame, group_cols: Sequence[str], size_col: str) -> DataFrame:
@@ -70,19 +80,23 @@ def _partition_offsets(totals: DataFrame, group_cols: Sequence[str], size_col: s
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str | Column], out: str = "row_index",
-              group_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+              group_cols: Sequence[str] = (), partitions: int | None = None,
+              bucket: Column | None = None) -> DataFrame:
     """Add ``out`` = 0-based position in the order of ``order_cols`` (within
     ``group_cols``). ``order_cols`` must make the order total (end with a key)."""
-    return row_index_and_count(df, order_cols, out, group_cols, partitions)[0]
+    return row_index_and_count(df, order_cols, out, group_cols, partitions, bucket)[0]
 
 
 def row_index_and_count(df: DataFrame, order_cols: Sequence[str | Column], out: str = "row_index",
-                        group_cols: Sequence[str] = (), partitions: int | None = None
-                        ) -> tuple[DataFrame, int | None]:
+                        group_cols: Sequence[str] = (), partitions: int | None = None,
+                        bucket: Column | None = None) -> tuple[DataFrame, int | None]:
     """``row_index`` plus the row count (ungrouped only, else None), taken
-    from the per-partition totals so no extra pass is needed."""
+    from the per-partition totals so no extra pass is needed. ``bucket``
+    (ungrouped only) replaces range sampling, see ``_range_sorted``."""
+    if bucket is not None and group_cols:
+        raise ValueError("bucket is for ungrouped indexes")
     order = [*_cols(group_cols), *_cols(order_cols)]
-    ranged = _range_sorted(df, order, partitions)
+    ranged = _range_sorted(df, order, partitions, bucket)
     totals = ranged.groupBy(PART, *group_cols).agg(
         F.count(F.lit(1)).alias("_size"), F.min(LOCAL).alias("_first"))
     keys = [PART, *group_cols]

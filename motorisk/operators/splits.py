@@ -4,7 +4,9 @@ All three number the rows in a total order with ``ordering.row_index`` and
 cut at a row count, so sizes are exact and the result does not depend on
 how the input is partitioned. The random order is ``md5(key ‖ seed)``, a
 value both Spark and SQL engines compute identically; the key breaks the
-(practically impossible) hash ties.
+(practically impossible) hash ties. Because the hash is uniform, its
+leading digits give the partition bounds directly: the random order needs
+no sampling pass over the input.
 """
 
 from __future__ import annotations
@@ -15,8 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from . import ordering as O
 
+# Hash buckets per shuffle partition: several per partition even out the
+# partitions that receive more than one bucket.
+BUCKETS_PER_PARTITION = 4
+
 SPLIT = "split"
 TRAIN, TEST = "train", "test"
 
@@ -31,9 +38,22 @@ def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def shuffle_bucket(hash_hex: Column, buckets: int) -> Column:
+    """Bucket of a hex hash that never decreases along the hash order: the
+    first 8 hex digits, scaled to ``buckets`` (uniform, so buckets are even)."""
+    prefix = F.conv(F.substring(hash_hex, 1, 8), 16, 10).cast("long")
+    return F.floor(prefix * F.lit(buckets) / F.lit(float(1 << 32))).cast("int")
+
+
+def _hash_order(df: DataFrame, key: str, seed: int, out: str):
+    n = shuffle_partitions(df.sparkSession)
+    h = shuffle_key(key, seed)
+    return O.row_index_and_count(df, [h, F.col(key)], out, bucket=shuffle_bucket(h, BUCKETS_PER_PARTITION * n))
+
+
 def shuffle_order(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_position") -> DataFrame:
     """A seeded permutation, as the position of each row."""
-    return O.row_index(df, [shuffle_key(key, seed), F.col(key)], out)
+    return _hash_order(df, key, seed, out)[0]
 
 
 def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool = True,
@@ -44,7 +64,7 @@ def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool =
     without, the last rows of ``order`` (default: the key) are the test set."""
     _check_ratio(test_ratio)
     if shuffle:
-        idx, n = O.row_index_and_count(df, [shuffle_key(key, seed), F.col(key)], "_i")
+        idx, n = _hash_order(df, key, seed, "_i")
         is_test = F.col("_i") < math.ceil(n * test_ratio)
     else:
         idx, n = O.row_index_and_count(df, [*(order or [key]), key], "_i")
