@@ -136,11 +136,25 @@ def value_positions(df: DataFrame, value: str | Column, group_cols: Sequence[str
 def average_rank(df: DataFrame, value: str, out: str, group_cols: Sequence[str] = (),
                  partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based rank of ``value`` with ties given the mean rank
-    (pandas ``rank()`` / ``method='average'``). NULL stays NULL."""
+    (pandas ``rank()`` / ``method='average'``). NULL stays NULL.
+
+    The ranks go back to the rows by a join on the value. A value held by
+    more rows than an average partition is hot; there are at most as many
+    hot values as partitions, so their ranks are broadcast and their rows
+    never shuffle. The other rows join the remaining ranks by an ordinary
+    shuffle join, in which no key is hot any more."""
+    n = partitions or shuffle_partitions(df.sparkSession)
     pos = value_positions(df, value, group_cols, partitions)
-    ranks = pos.select(*group_cols, F.col("v").alias(value),
+    ranks = pos.select(*group_cols, F.col("v").alias(value), "w",
                        (F.col("before") + (F.col("w") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*group_cols, value], "left")
+    threshold = pos.select(F.sum("w") / F.lit(n)).scalar()
+    hot = ranks.where(F.col("w") > threshold).drop("w")
+    cold = ranks.where(F.col("w") <= threshold).drop("w")
+    keys = [*group_cols, value]
+    with_hot = df.join(F.broadcast(hot), keys, "left")
+    hot_rows = with_hot.where(F.col(out).isNotNull())
+    other = with_hot.where(F.col(out).isNull()).drop(out)
+    return hot_rows.unionByName(other.join(cold, keys, "left"))
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
