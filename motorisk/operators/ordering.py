@@ -119,18 +119,26 @@ def value_positions(df: DataFrame, value: str | Column, group_cols: Sequence[str
                     partitions: int | None = None) -> DataFrame:
     """Distinct values with ``w`` (rows holding the value) and ``before``
     (rows of the same group with a smaller value). NULL values are skipped."""
+    return _value_positions(df, value, group_cols, partitions)[0]
+
+
+def _value_positions(df: DataFrame, value: str | Column, group_cols: Sequence[str] = (),
+                     partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``value_positions`` and the number of non-NULL rows over all groups,
+    read from the per-partition totals of the written stage."""
     v = F.col(value) if isinstance(value, str) else value
     counts = (df.select(*group_cols, v.alias("v")).where(F.col("v").isNotNull())
               .groupBy(*group_cols, "v").agg(F.count(F.lit(1)).alias("w")))
     ranged = _range_sorted(counts, [*_cols(group_cols), F.col("v")], partitions)
     totals = ranged.groupBy(PART, *group_cols).agg(F.sum("w").alias("_size"))
     offsets = _partition_offsets(totals, group_cols, "_size")
+    total = int(totals.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
     keys = [PART, *group_cols]
     joined = ranged.join(F.broadcast(offsets) if not group_cols else offsets, keys)
     within = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
         *group_cols, "v", "w",
-        (F.col("_offset") + F.coalesce(F.sum("w").over(within), F.lit(0))).alias("before"))
+        (F.col("_offset") + F.coalesce(F.sum("w").over(within), F.lit(0))).alias("before")), total
 
 
 def average_rank(df: DataFrame, value: str, out: str, group_cols: Sequence[str] = (),
@@ -144,10 +152,10 @@ def average_rank(df: DataFrame, value: str, out: str, group_cols: Sequence[str]
     never shuffle. The other rows join the remaining ranks by an ordinary
     shuffle join, in which no key is hot any more."""
     n = partitions or shuffle_partitions(df.sparkSession)
-    pos = value_positions(df, value, group_cols, partitions)
+    pos, total = _value_positions(df, value, group_cols, partitions)
     ranks = pos.select(*group_cols, F.col("v").alias(value), "w",
                        (F.col("before") + (F.col("w") + 1) / 2.0).alias(out))
-    threshold = pos.select(F.sum("w") / F.lit(n)).scalar()
+    threshold = F.lit(total / n)
     hot = ranks.where(F.col("w") > threshold).drop("w")
     cold = ranks.where(F.col("w") <= threshold).drop("w")
     keys = [*group_cols, value]
@@ -166,10 +174,11 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     at both positions are picked from ``value_positions`` by a conditional
     aggregate, so only distinct values are moved, never the rows."""
     names = list(names or [f"q{str(p).replace('.', '_')}" for p in probs])
-    pos = value_positions(df, value, group_cols, partitions)
-    sizes = pos.groupBy(*group_cols).agg(F.sum("w").alias("_n"))
-    with_n = (pos.join(sizes, list(group_cols)) if group_cols
-              else pos.withColumn("_n", sizes.scalar()))
+    pos, total = _value_positions(df, value, group_cols, partitions)
+    if group_cols:
+        with_n = pos.join(pos.groupBy(*group_cols).agg(F.sum("w").alias("_n")), list(group_cols))
+    else:
+        with_n = pos.withColumn("_n", F.lit(total))
     start, end = F.col("before"), F.col("before") + F.col("w") - 1
     aggs, finals = [], []
     for p, name in zip(probs, names):
