@@ -27,10 +27,14 @@ def _with_car_age(df):
 
 
 def quotes(spark, sf_dir):
-    """One quote per policy as a JSON envelope; every 50th body is cut short."""
+    """One quote per policy as a JSON envelope; in every 50th quote the risk
+    type is text that is not a number, so the request must be rejected."""
     pol = _with_car_age(C.A.policies(spark, sf_dir))
-    body = F.to_json(F.struct(*QUOTE_FIELDS))
-    body = F.when(F.col("policy_key") % REJECT_EVERY == 0, F.substring(body, 1, 12)).otherwise(body)
+    bad = F.col("policy_key") % REJECT_EVERY == 0
+    fields = [F.when(bad, F.concat(F.lit("type-"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string"))
+              .alias(c) if c == "Type_risk" else F.col(c) for c in QUOTE_FIELDS]
+    valid = F.to_json(F.struct(*QUOTE_FIELDS))
+    body = F.when(bad, F.to_json(F.struct(*fields))).otherwise(valid)
     return pol.select(F.col("policy_key").alias("quote_id"), body.alias("body"))
 
 
