@@ -121,7 +121,8 @@ def _category_sql() -> str:
 
 @register("category_shares", _category_sql())
 def category_shares(spark, sf_dir):
-    out = P.category_shares(premium_dataset(A.policies(spark, sf_dir)), CATEGORY_COLS)
+    prem = premium_dataset(A.policies(spark, sf_dir))
+    out = P.category_shares(prem, P.text_columns(prem))   # P4: text columns by type
     return out.withColumn("percent", r6(F.col("percent")))
 
 
@@ -241,7 +242,8 @@ def first_rows(spark, sf_dir):
 
 # --- G6: the whole profile in long form --------------------------------------
 
-G6_NUMERIC = ("Premium", "Value_vehicle", "Power", "Cylinder_capacity", "Weight", "Length")
+# P4 on the premium dataset: numeric columns other than the row key.
+G6_NUMERIC = tuple(c for c, k in PREMIUM_KINDS.items() if k == "numeric" and c != "policy_key")
 
 
 def _g6_sql() -> str:
@@ -274,7 +276,7 @@ def report_g6(spark, sf_dir):
         F.col("duplicates").cast("double").alias("value"))
     nulls = P.null_counts(prem).select(F.lit("nulls").alias("section"), "feature", F.lit("count").alias("stat"),
                                        F.col("nulls").cast("double").alias("value"))
-    desc = P.describe(prem, G6_NUMERIC)
+    desc = P.describe(prem, [c for c in P.numeric_columns(prem) if c != "policy_key"])
     stats = ["mean", "std", "min", "q25", "median", "q75", "max"]
     dl = desc.unpivot(["feature"], stats, "stat", "value").select(
         F.lit("describe").alias("section"), "feature", "stat", "value")
