@@ -276,3 +276,42 @@ freq_ds AS (
 def fixed_edge_histogram(spark, sf_dir):
     ds = modelling_dataset(A.policies(spark, sf_dir), A.claims(spark, sf_dir), "count")
     return H.fixed_edge_histogram(ds, "claims_frequency", OBSERVED_EDGES)
+
+
+# --- A21 on the target (4 bins, training split) and A22 on predictions --------
+
+def _target_histogram_sql() -> str:
+    from . import common as C
+    return A.with_sources(_sql_histogram(
+        f"SELECT CAST({C.TARGET} AS DOUBLE) AS v FROM freq_split WHERE split = 'train'", 4), *C.SPLIT_CTES)
+
+
+@register("target_histogram", _target_histogram_sql())
+def target_histogram(spark, sf_dir):
+    from . import common as C
+    train = C.freq_split(spark, sf_dir).where(F.col("split") == "train")
+    return H.histogram(train, C.TARGET, 4)
+
+
+PREDICTED_EDGES = B.linspace(-1, 4, 20)
+
+
+def _predicted_histogram_sql() -> str:
+    from . import common as C
+    return A.with_sources(f"""
+SELECT s.split, CAST(d.bin AS INTEGER) AS bin, round(d.lo, 6) AS lo, round(d.hi, 6) AS hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM {_sql_edge_dim(PREDICTED_EDGES)}
+CROSS JOIN (SELECT DISTINCT split FROM level_scored) s
+LEFT JOIN (SELECT split, bin, count(*) AS n FROM (
+  SELECT split, {_sql_fixed_bins('prediction', PREDICTED_EDGES)} AS bin FROM level_scored)
+  WHERE bin IS NOT NULL GROUP BY split, bin) c ON d.bin = c.bin AND s.split = c.split
+""", *C.SCORED_CTES)
+
+
+@register("predicted_histogram", _predicted_histogram_sql())
+def predicted_histogram(spark, sf_dir):
+    """Predictions of the level-mean model per split on the
+    reference's edges linspace(-1, 4, 20); empty bins kept."""
+    from . import common as C
+    return H.fixed_edge_histogram(C.level_scored(spark, sf_dir), "prediction", PREDICTED_EDGES, ["split"])
