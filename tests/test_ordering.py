@@ -84,3 +84,21 @@ def test_hot_value_and_hot_group(spark):
     for grp, (a, b) in q.items():
         ref_q = np.percentile(pdf[pdf.g == grp]["v"], [30, 90])
         assert (a, b) == pytest.approx(tuple(ref_q))
+
+
+def test_edge_cases(spark):
+    empty = spark.createDataFrame([], "k long, v double")
+    idx, n = O.row_index_and_count(empty, ["v", "k"], "i")
+    assert n == 0 and idx.count() == 0
+    q = O.exact_quantiles(empty, "v", [0.5], ["m"]).collect()
+    assert len(q) == 1 and q[0]["m"] is None
+
+    few = spark.createDataFrame([(i, float(i % 3)) for i in range(5)], "k long, v double")
+    idx = O.row_index(few, ["v", "k"], "i", partitions=50)        # more partitions than rows
+    assert sorted(r["i"] for r in idx.collect()) == list(range(5))
+    one = spark.createDataFrame([(1, 2.5)], "k long, v double")
+    assert O.exact_quantiles(one, "v", [0.0, 0.5, 1.0], ["a", "b", "c"]).first() == (2.5, 2.5, 2.5)
+    nulls = spark.createDataFrame([(1, None), (2, None)], "k long, v double")
+    assert O.average_rank(nulls, "v", "r").where("r IS NOT NULL").count() == 0
+    const = spark.createDataFrame([(i, 1.0) for i in range(4)], "k long, v double")
+    assert {r["r"] for r in O.average_rank(const, "v", "r").collect()} == {2.5}
