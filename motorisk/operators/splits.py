@@ -58,7 +58,8 @@ def shuffle_order(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_p
 
 def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool = True,
                seed: int = 42, order: Sequence[str] | None = None) -> DataFrame:
-    """Adds ``split`` = train / test. Test size is ceil(n · ratio).
+    """Adds ``split`` = train / test. Test size is ceil(n · ratio); an
+    empty train set is an error, as in the reference's splitter.
 
     With ``shuffle`` the test rows are the first ones of the seeded order;
     without, the last rows of ``order`` (default: the key) are the test set."""
@@ -69,6 +70,8 @@ def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool =
     else:
         idx, n = O.row_index_and_count(df, [*(order or [key]), key], "_i")
         is_test = F.col("_i") >= n - math.ceil(n * test_ratio)
+    if n == 0 or n - math.ceil(n * test_ratio) <= 0:
+        raise ValueError(f"with {n} rows and test_ratio={test_ratio} the train set would be empty")
     return idx.withColumn(SPLIT, F.when(is_test, TEST).otherwise(TRAIN)).drop("_i")
 
 

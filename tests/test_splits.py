@@ -44,3 +44,11 @@ def test_ordered_split(f8):
 def test_shuffle_order_is_permutation(f8):
     pos = [r[0] for r in S.shuffle_order(f8, "a", 42).select("shuffle_position").collect()]
     assert sorted(pos) == list(range(100))
+
+
+def test_empty_train_set_raises(spark):
+    one = spark.range(1).select(F.col("id").alias("a"))
+    with pytest.raises(ValueError, match="train set would be empty"):
+        S.split_data(one, "a", 0.2)
+    with pytest.raises(ValueError):
+        S.split_data(one.where("a < 0"), "a", 0.2)
