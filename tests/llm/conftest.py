@@ -1,0 +1,20 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF_ORACLE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from motorisk.session import local_session
+    s = local_session("*", 8, app="motorisk-tests")
+    yield s
+
+
+def rows(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.collect()]
