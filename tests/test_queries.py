@@ -8,13 +8,13 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from motorisk.catalog import ORACLE, QUERIES, load_all
 from motorisk.sources.adapter import TABLES
 
 from conftest import SF_SMALL
 
-ORACLE = oracle_sql()
-QUERIES = queries()
+load_all()
 SLOW_ROWS_ONLY = {"poisson_gbm", "gbt_squared", "model_comparison", "frequency_run", "model_versions",
                   "severity_run", "prediction_histograms", "drift_stream", "gamma_saturated", "coefficients"}
 
