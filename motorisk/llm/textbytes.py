@@ -98,13 +98,15 @@ def ngrams(h: np.ndarray, row_first: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(acc + size.astype(np.uint64)), out_first
 
 
-def distinct_per_row(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of every row and the new first index per row."""
-    n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
-    keep = np.ones(len(values), dtype=bool)
-    keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-    values, row = values[keep], row[keep]
-    return values, np.searchsorted(row, np.arange(n + 1))
+def distinct_per_row(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct values of every row."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        v = np.sort(values[a:b])
+        if b - a > 1:
+            keep = np.empty(b - a, dtype=bool)
+            keep[0] = True
+            np.not_equal(v[1:], v[:-1], out=keep[1:])
+            v = v[keep]
+        out.append(v)
+    return out
