@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (methods of arrays need it)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -34,7 +35,7 @@ _LOWER[65:91] += 32
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets with one more entry than rows); null counts as empty."""
-    col = pa.compute.fill_null(col.cast(pa.large_string()), "")
+    col = col.cast(pa.large_string()).fill_null("")
     offs = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset:col.offset + len(col) + 1]
     buf = col.buffers()[2]
     data = np.frombuffer(buf, dtype=np.uint8) if buf is not None else np.zeros(0, np.uint8)
