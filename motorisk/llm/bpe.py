@@ -16,6 +16,7 @@ underscore, see ``encode``)."""
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import re
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Stages
+
 #: Frequent words in the automaton; bounds its size, hence the broadcast (about 3 MB).
 LEXICON_WORDS = 65_536
 #: Longest word in the automaton, in characters; longer ones are always merged.
@@ -40,6 +43,7 @@ MEMO_CHUNKS, MEMO_CHUNK_CHARS = 250_000, 64
 #: Distinct words a counting task holds before it passes its counts on.
 COUNT_WORDS = 250_000
 
+_NO_MERGE = 1 << 60
 _ODD_SPACE = re.compile("[\x1c-\x1f]")          # white space to Python, not to the pattern
 _UNICODE_SPACE = regex.compile(r"\s+", flags=regex.V1)
 
@@ -62,7 +66,8 @@ class Tokenizer:
             raise ValueError("a word-end BPE definition without post-processor and decoder is expected")
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.merges = {(self.vocab[x], self.vocab[y]): (rank, self.vocab[x + y]) for rank, (x, y) in enumerate(pairs)}
+        #: left id << 20 | right id -> rank << 20 | merged id
+        self.merges = {self.vocab[x] << 20 | self.vocab[y]: rank << 20 | self.vocab[x + y] for rank, (x, y) in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = split
@@ -76,50 +81,55 @@ class Tokenizer:
         raw = word.encode("utf-8")
         ids = [self.byte_id[b] for b in raw]
         ids[-1] = self.last_byte_id[raw[-1]]
-        merges = self.merges
         if len(ids) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min((merges[p] + (i,) for i, p in enumerate(zip(ids, ids[1:])) if p in merges), default=None,
-                       key=lambda m: (m[0], m[2]))
-            if best is None:
+        get = self.merges.get
+        todo = [get(x << 20 | y, _NO_MERGE) for x, y in zip(ids, ids[1:])]
+        while todo:
+            best = min(todo)
+            if best == _NO_MERGE:
                 break
-            i = best[2]
-            ids[i:i + 2] = [best[1]]
+            i = todo.index(best)
+            ids[i:i + 2] = [best & 0xFFFFF]
+            del todo[i]
+            if i:
+                todo[i - 1] = get(ids[i - 1] << 20 | ids[i], _NO_MERGE)
+            if i < len(todo):
+                todo[i] = get(ids[i] << 20 | ids[i + 1], _NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for words of thousands of letters."""
-        import heapq
         n, merges = len(ids), self.merges
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(merges[p] >> 20, i, p) for i, p in enumerate(x << 20 | y for x, y in zip(ids, ids[1:])) if p in merges]
         heapq.heapify(heap)
-        dead = bytearray(n)
+        gone = bytearray(n)
         while heap:
             _, i, p = heapq.heappop(heap)
-            j = nxt[i] if not dead[i] else n
-            if j >= n or (ids[i], ids[j]) != p:
+            j = n if gone[i] else after[i]
+            if j >= n or ids[i] << 20 | ids[j] != p:
                 continue
-            ids[i], dead[j] = merges[p][1], 1
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            for left in (prv[i], i):
-                if left >= 0 and nxt[left] < n:
-                    q = (ids[left], ids[nxt[left]])
+            ids[i], gone[j] = merges[p] & 0xFFFFF, 1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n:
+                    q = ids[left] << 20 | ids[after[left]]
                     if q in merges:
-                        heapq.heappush(heap, (merges[q][0], left, q))
-        return [x for x, gone in zip(ids, dead) if not gone]
+                        heapq.heappush(heap, (merges[q] >> 20, left, q))
+        return [x for x, out in zip(ids, gone) if not out]
 
 
 class Lexicon:
     """Minimal acyclic automaton over the words' characters (Daciuk et al.
     2000). Equal suffixes share states; every state knows how many words lie
     below each of its arcs, so a walk adds up the word's number, and the number
-    leads to its ids. All parts are flat arrays in one byte string."""
+    leads to its ids. All parts are flat arrays in one byte string; an arc is
+    found by binary search for (state, character), many words at a time."""
 
-    _PARTS = ("first", "label", "target", "skip", "final", "begin", "ids")
+    _PARTS = ("arc", "target", "skip", "final", "begin", "ids")
 
     @classmethod
     def compile(cls, words: dict[str, list[int]]) -> bytes:
@@ -153,20 +163,19 @@ class Lexicon:
             path[-1][1].append((last[i - 1], state))
         root = finish(path[0])
         below = [0] * len(states)                   # states are finished children first
-        first, label, target, skip = [0], [], [], []
+        arc, target, skip = [], [], []
         for s, (final, arcs) in enumerate(states):
             count = int(final)
             for ch, t in arcs:
-                label.append(ord(ch))
+                arc.append(s << 21 | ord(ch))
                 target.append(t)
                 skip.append(count)
                 count += below[t]
             below[s] = count
-            first.append(len(label))
         begin = np.cumsum([0] + [len(words[w]) for w in order])
         ids = [i for w in order for i in words[w]]
-        parts = [np.asarray(x, dtype="<i4") for x in (first, label, target, skip, [f for f, _ in states], begin, ids)]
-        head = np.asarray([root, *map(len, parts)], dtype="<i4")
+        parts = [np.asarray(x, dtype="<i8") for x in (arc, target, skip, [f for f, _ in states], begin, ids)]
+        head = np.asarray([root, *map(len, parts)], dtype="<i8")
         return head.tobytes() + b"".join(p.tobytes() for p in parts)
 
     def __init__(self, image: bytes):
@@ -175,33 +184,35 @@ class Lexicon:
             f.write(image)
             f.flush()
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self._map, dtype="<i4", count=1 + len(self._PARTS))
+        head = np.frombuffer(self._map, dtype="<i8", count=1 + len(self._PARTS))
         self.root, at = int(head[0]), head.nbytes
-        view = memoryview(self._map)
         for name, n in zip(self._PARTS, head[1:].tolist()):
-            setattr(self, name, view[at:at + 4 * n].cast("i"))
-            at += 4 * n
-
-    def find(self, word: str) -> memoryview | None:
-        """Ids of ``word``, or None when it is not in the lexicon."""
-        state, number = self.root, 0
-        first, label, target, skip = self.first, self.label, self.target, self.skip
-        for ch in word:
-            c, lo, hi = ord(ch), first[state], first[state + 1]
-            end = hi
-            while lo < hi:                          # arcs are sorted by label
-                mid = (lo + hi) >> 1
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or label[lo] != c:
-                return None
-            number += skip[lo]
-            state = target[lo]
-        if not self.final[state]:
-            return None
-        return self.ids[self.begin[number]:self.begin[number + 1]]
+            setattr(self, name, np.frombuffer(self._map, dtype="<i8", count=n, offset=at))
+            at += 8 * n
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        """Ids of every word as little-endian 32-bit integers, None for words outside the lexicon."""
+        size = np.asarray([len(w) for w in words], dtype=np.int64)
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        start = np.cumsum(size) - size
+        state, number = np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        live = np.flatnonzero(size <= LEXICON_WORD_CHARS) if len(self.arc) else np.zeros(0, np.int64)
+        known = np.zeros(len(words), bool)
+        depth = 0
+        while len(live):
+            done = size[live] == depth
+            ended = live[done]
+            known[ended] = self.final[state[ended]] == 1
+            live = live[~done]
+            want = state[live] << 21 | text[start[live] + depth]
+            at = np.minimum(np.searchsorted(self.arc, want), len(self.arc) - 1)
+            hit = self.arc[at] == want
+            live, at = live[hit], at[hit]
+            number[live] += self.skip[at]
+            state[live] = self.target[at]
+            depth += 1
+        ids, lo, hi = self.ids.astype("<i4"), self.begin[number], self.begin[np.minimum(number + 1, len(self.begin) - 1)]
+        return [ids[a:b].tobytes() if k else None for k, a, b in zip(known.tolist(), lo.tolist(), hi.tolist())]
 
 
 def normalise(text: str) -> str:
@@ -225,39 +236,49 @@ class Encoder:
 
     def pre_tokens(self, chunk: str) -> list[str]:
         s = normalise(chunk)
+        if s.isalpha():                             # nearly all chunks: letters, perhaps with a stop behind them
+            return [s]
+        if s[-1:] in (".", ",") and s[:-1].isalpha():
+            return [s[:-1], s[-1]]
         if s.isascii():
             return self.split.findall(s)
         # code points without a category yet are neither letters nor numbers
         known = "".join(["\u2060" if unicodedata.category(c) == "Cn" else c for c in s])
         return [s[m.start():m.end()] for m in self.split.finditer(known)]
 
-    def chunk(self, chunk: str) -> bytes:
-        out = []
-        for w in self.pre_tokens(chunk):
-            ids = self.lexicon.find(w) if self.lexicon and len(w) <= LEXICON_WORD_CHARS else None
-            out.append(ids.tobytes() if ids is not None else np.asarray(self.t.merge(w), dtype="<i4").tobytes())
-        got = b"".join(out)
-        if len(chunk) <= MEMO_CHUNK_CHARS:
-            if len(self.memo) >= MEMO_CHUNKS:
-                self.memo.clear()
-            self.memo[chunk] = got
-        return got
-
     def chunks(self, text: str) -> list[str]:
         return _UNICODE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if any(m in text for m in self.mark):
-            parts = self.special.split(text)
-            if len(parts) > 1:
-                added = self.t.added
-                return b"".join(np.asarray([added[p]], dtype="<i4").tobytes() if p in added else self._plain(p) for p in parts)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        memo, slow = self.memo, self.chunk
-        return b"".join([memo[c] if c in memo else slow(c) for c in self.chunks(text)])
+    def _parts(self, text: str) -> list[str]:
+        """The text cut at added tokens, which stay as parts of their own."""
+        return self.special.split(text) if any(m in text for m in self.mark) else [text]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian 32-bit integers."""
+        pieces = [[self.chunks(p) if i % 2 == 0 else [p] for i, p in enumerate(self._parts(t))] for t in texts]
+        memo = self.memo
+        new = {c for p in pieces for cs in p[::2] for c in cs if c not in memo}
+        if len(memo) + len(new) > MEMO_CHUNKS:
+            memo.clear()
+            new = {c for p in pieces for cs in p[::2] for c in cs}
+        self._learn(list(new))
+        added = self.t.added
+        out = [b"".join([memo[c] if i % 2 == 0 else np.asarray([added[c]], dtype="<i4").tobytes()
+                         for i, cs in enumerate(p) for c in cs]) for p in pieces]
+        for c in new:
+            if len(c) > MEMO_CHUNK_CHARS:
+                del memo[c]
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts the ids of ``chunks`` into the memo."""
+        tokens = [self.pre_tokens(c) for c in chunks]
+        words = list({w for ws in tokens for w in ws})
+        got = self.lexicon.find(words) if self.lexicon else [None] * len(words)
+        merge = self.t.merge
+        ids = {w: np.asarray(merge(w), dtype="<i4").tobytes() if i is None else i for w, i in zip(words, got)}
+        for c, ws in zip(chunks, tokens):
+            self.memo[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
 
 def _texts(col: pa.Array) -> Iterator[str]:
@@ -266,8 +287,9 @@ def _texts(col: pa.Array) -> Iterator[str]:
 
 
 def frequent_words(df: DataFrame, text: str, tokenizer: Tokenizer, most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` commonest pre-tokens of the whole column, ties by the word.
-    Tasks pass on partial counts; only the bounded result reaches the driver."""
+    """Commonest pre-tokens of the whole column: all classes of counts (16 a
+    doubling) that fit into ``most`` words together. Tasks pass on partial
+    counts; only the bounded result reaches the driver."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
     def count(batches):
@@ -290,9 +312,18 @@ def frequent_words(df: DataFrame, text: str, tokenizer: Tokenizer, most: int = L
                     yield passed_on()
         yield passed_on()
 
+    st = Stages(df.sparkSession)
     counts = df.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     # a word seen once can never repay its place in the lexicon
-    return [r.w for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+    counts = st.write(counts.where("n > 1").withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "words")
+    room, least = most, None
+    for r in counts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():   # under 1,024 rows
+        if r.n > room:
+            break
+        room, least = room - r.n, r["size"]
+    words = [] if least is None else [r.w for r in counts.where(F.col("size") >= least).select("w").collect()]
+    st.close()
+    return sorted(words)
 
 
 def build_lexicon(df: DataFrame, text: str, tokenizer: Tokenizer, most: int = LEXICON_WORDS) -> bytes:
@@ -318,7 +349,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", binar
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                ids = [enc.encode(s) for s in _texts(part.column(at))]
+                ids = enc.encode(list(_texts(part.column(at))))
                 if binary:
                     col = pa.array(ids, type=pa.binary())
                 else:
