@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, line_dedup, ngram_join
+from . import bpe, embedding_dedup, line_dedup, ngram_join, quality, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_embedding_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_quality_resampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
