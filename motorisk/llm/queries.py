@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, fingerprint, line_dedup, ngram_join, quality, toxicity
+from . import bpe, chat, embedding_dedup, fingerprint, line_dedup, ngram_join, packing, quality, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op9_packed_ids")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = packing.ranked_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), encoder, end_id=50256)
