@@ -13,8 +13,12 @@ hash, then the *frequent* ones (in a given share of the sets or more) by count.
    others together are done. Postings travel packed, one record per block and
    bucket, after equal sets of a block are merged; frequent shingles need no
    posting, as they are shared by definition. So no bucket holds a hot key.
-3. The remaining nodes that share a basic-prefix shingle form candidate
-   families (connected components over the smallest node of every shingle).
+3. The remaining nodes post their whole sets the same way, which gives the
+   number of remaining nodes under every shingle. A node that shares less than
+   the least overlap with all others together is done. The others order their
+   sets by that number (rarest first), and nodes that share a shingle of their
+   basic prefixes form candidate families (connected components over the
+   smallest node of every shingle).
 4. Inside a family the ordered sets form a trie: sorted sets with the length
    of the prefix common to the one before. Each set walks the trie, reuses the overlap of shared path
    prefixes, and leaves a subtree as soon as its overlap plus what remains of
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -146,67 +150,74 @@ def _survey(k: int, share: float):
     return run
 
 
-def _post(k: int, percent: int, shared, buckets: int):
-    """Pass 2: packed postings (bucket, keys, refs, nodes). A reference is the
-    index into ``nodes``, doubled, plus 1 inside the basic prefix."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary())])
-
-    def packed(block: dict[int, tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-        nodes = np.fromiter(block, np.int64, len(block))
-        keys = np.concatenate([s for s, _ in block.values()])
-        sizes = [len(s) for s, _ in block.values()]
-        basic = np.concatenate([np.arange(len(s)) < p for s, p in block.values()])
-        refs = (np.repeat(np.arange(len(block), dtype=np.uint32), sizes) << np.uint32(1)) | basic.astype(np.uint32)
-        # frequent shingles are shared for certain: dealt by node, not by key
-        spread = np.where(keys >= _HEAVY, tb.mix(nodes.view(np.uint64))[refs >> 1], tb.mix(keys))
-        bucket = (spread % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((keys, bucket))
-        keys, refs, bucket = keys[order], refs[order], bucket[order]
-        ids, start = np.unique(bucket, return_index=True)
-        end = np.append(start[1:], len(keys))
-        table = nodes.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array([keys[i:j].tobytes() for i, j in zip(start, end)], pa.binary()),
-             pa.array([refs[i:j].tobytes() for i, j in zip(start, end)], pa.binary()),
-             pa.array([table] * len(ids), pa.binary())], schema=schema)
+_POSTINGS = "bucket int, keys binary, refs binary, nodes binary"
+
+
+def _packed(block: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Postings of a block of nodes, one record per bucket: its keys, and for
+    each the index of its node in the block's ``nodes``."""
+    nodes = np.fromiter(block, np.int64, len(block))
+    keys = np.concatenate(list(block.values()))
+    refs = np.repeat(np.arange(len(block), dtype=np.uint32), [len(s) for s in block.values()])
+    # frequent shingles are shared for certain: dealt by node, not by key
+    spread = np.where(keys >= _HEAVY, tb.mix(nodes.view(np.uint64))[refs], tb.mix(keys))
+    bucket = (spread % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((keys, bucket))
+    keys, refs, bucket = keys[order], refs[order], bucket[order]
+    ids, start = np.unique(bucket, return_index=True)
+    end = np.append(start[1:], len(keys))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array([keys[i:j].tobytes() for i, j in zip(start, end)], pa.binary()),
+         pa.array([refs[i:j].tobytes() for i, j in zip(start, end)], pa.binary()),
+         pa.array([nodes.tobytes()] * len(ids), pa.binary())], names=["bucket", "keys", "refs", "nodes"])
+
+
+def _blocks(sets: Iterator[tuple[int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs (node, keys) block by block; equal nodes of a block are one."""
+    block: dict[int, np.ndarray] = {}
+    size = 0
+    for node, keys in sets:
+        if node not in block:
+            block[node] = keys
+            size += len(keys)
+            if size >= BLOCK_SHINGLES:
+                yield _packed(block, buckets)
+                block, size = {}, 0
+    if block:
+        yield _packed(block, buckets)
+
 
+def _post_prefixes(k: int, percent: int, shared, buckets: int):
+    """Pass 2: postings of the extended prefixes."""
     def run(batches):
         order = Order(shared.value)
-        block: dict[int, tuple[np.ndarray, int]] = {}
-        size = 0
-        for _, sets in hashed_sets(batches, k):
-            for s in sets:
-                if not len(s) or (node := set_hash(s)) in block:
-                    continue
-                basic, extended = prefix_sizes(len(s), percent)
-                block[node] = (order.keys(s)[:extended], basic)
-                size += extended
-            if size >= BLOCK_SHINGLES:
-                yield from packed(block)
-                block, size = {}, 0
-        if block:
-            yield from packed(block)
+        yield from _blocks(((set_hash(s), order.keys(s)[:prefix_sizes(len(s), percent)[1]])
+                            for _, sets in hashed_sets(batches, k) for s in sets if len(s)), buckets)
+    return run
+
+
+def _post_sets(buckets: int):
+    """Pass 3: postings of whole sets (node in column 0, keys in column 1)."""
+    def run(batches):
+        yield from _blocks(((n, np.frombuffer(s, np.uint64)) for b in batches
+                            for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), buckets)
     return run
 
 
 def _shared_postings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: postings whose shingle is in the prefix of two nodes or more."""
+    """One bucket: postings whose shingle two nodes or more have, with their number."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-    nodes, basic = [], []
-    for refs, table in zip(pdf["refs"], pdf["nodes"]):
-        r = np.frombuffer(refs, np.uint32)
-        nodes.append(np.frombuffer(table, np.int64)[r >> 1])
-        basic.append((r & 1).astype(bool))
-    nodes, basic = np.concatenate(nodes), np.concatenate(basic)
+    nodes = np.concatenate([np.frombuffer(t, np.int64)[np.frombuffer(r, np.uint32)] for r, t in zip(pdf["refs"], pdf["nodes"])])
     order = np.lexsort((nodes, keys))
-    keys, nodes, basic = keys[order], nodes[order], basic[order]
+    keys, nodes = keys[order], nodes[order]
     fresh = np.ones(len(keys), dtype=bool)          # the same set from two blocks is one node
     fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes, basic = keys[fresh], nodes[fresh], basic[fresh]
+    keys, nodes = keys[fresh], nodes[fresh]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     n = np.diff(np.append(start, len(keys)))
-    keep = np.repeat(n > 1, n) | (keys >= _HEAVY)
-    return pd.DataFrame({"node": nodes[keep], "key": _signed(keys[keep]), "basic": basic[keep]})
+    # a frequent shingle lies in several buckets: more than any number, in the order of its key
+    n = np.where(keys >= _HEAVY, np.int64(1) << np.int64(40), np.repeat(n, n))
+    return pd.DataFrame({"node": nodes, "key": _signed(keys), "df": n})[n > 1]
 
 
 class _Forest:
@@ -325,37 +336,43 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 .where(F.col("n") >= max(3, FREQUENT_SHARE * n_nodes)).orderBy(F.desc("n"), "a").limit(FREQUENT_MOST).collect())
     shared = sc.broadcast(np.asarray([r.a for r in reversed(frequent)], dtype=np.int64).view(np.uint64))
 
-    posted = int(total * (1 - percent / 100 + EXTENSION)) + n_nodes
-    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(posted / BUCKET_POSTINGS))
-    postings = narrow.select("text").mapInArrow(_post(k, percent, shared, buckets),
-                                                "bucket int, keys binary, refs binary, nodes binary")
-    common = st.write(postings.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-        _shared_postings, "node long, key long, basic boolean"), "shared")
+    def postings(posted: DataFrame, buckets: int) -> DataFrame:
+        return posted.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared_postings, "node long, key long, df long")
 
+    def enough(number: float) -> int:
+        return max(sc.defaultParallelism, math.ceil(number / BUCKET_POSTINGS))
+
+    buckets = enough(total * (1 - percent / 100 + EXTENSION) + n_nodes)
+    seen = postings(narrow.select("text").mapInArrow(_post_prefixes(k, percent, shared, buckets), _POSTINGS), buckets)
     need = 1 + F.floor(F.lit(EXTENSION) * F.ceil(F.col("n") * percent / 100))
-    alive = (common.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(nodes, "node")
+    alive = (seen.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(nodes, "node")
              .where(F.col("m") >= need).select("node", "rep", "n"))
     alive = st.write(alive, "alive")
-    held = common.where("basic").join(alive.select("node"), "node", "left_semi").select("node", "key")
-    hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    family = components(held.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    family = st.write(family.join(alive, "node"), "family")
-
-    # families larger than a block: their sets go to every pair of blocks that holds theirs
-    parts = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    member = family.join(parts, "component").select("node", "rep", "component", "parts")
-    coded = narrow.join(member, narrow["id"] == member["rep"]).select("text", "node", "component", "parts")
 
     def ordered(batches):
         order = Order(shared.value)
         for part, sets in hashed_sets(batches, k):
             want = part.column(1).to_pylist()
             hit = [i for i, s in enumerate(sets) if len(s) and set_hash(s) == want[i]]
-            cols = [part.column(c).take(pa.array(hit, pa.int64())) for c in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([order.keys(sets[i]).tobytes() for i in hit], pa.binary())],
-                                             names=["node", "component", "parts", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(hit, pa.int64())),
+                                              pa.array([order.keys(sets[i]).tobytes() for i in hit], pa.binary())], names=["node", "keys"])
+
+    sets = st.write(narrow.join(alive, narrow["id"] == alive["rep"]).select("text", "node")
+                    .mapInArrow(ordered, "node long, keys binary"), "keys")
+    buckets = enough(alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    full = postings(sets.mapInArrow(_post_sets(buckets), _POSTINGS), buckets).join(alive.select("node", "n"), "node")
+    mine = Window.partitionBy("node")
+    least = F.ceil(F.col("n") * percent / 100)
+    held = (full.withColumn("m", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("df", "key")))
+            .where((F.col("m") >= least) & (F.col("place") <= F.col("m") - least + 1)).select("node", "key"))
+    held = st.write(held, "held")
+    hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
+    family = components(held.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    family = st.write(family, "family")
 
-    sets = coded.mapInArrow(ordered, "node long, component long, parts int, keys binary").dropDuplicates(["node"])
+    # families larger than a block: their sets go to every pair of blocks that holds theirs
+    parts = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    sets = sets.join(family.join(parts, "component"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = (sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .where("parts < 3 or own <> other")      # a block meets itself in every pair it is in
