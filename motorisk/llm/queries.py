@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, fingerprint, line_dedup, ngram_join, packing, quality, toxicity
+from . import bpe, chat, embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS tokens,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|11') AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+t AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, max(tokens) AS high, min(tokens) FILTER (WHERE tokens > 0) AS low,
+             count(*) FILTER (WHERE tokens > 0) AS n FROM s),
+grid AS (SELECT i, i / 100000.0::DOUBLE AS e FROM range(0, 100001) AS r(i)),
+shape AS (SELECT i, e, sum(pow(tokens / total, e)) AS z, sum(pow(tokens / total, e) * ln(tokens / total)) AS l
+          FROM grid, s, t WHERE tokens > 0 GROUP BY i, e),
+pick AS (SELECT coalesce(max(i) FILTER (WHERE n = 1 OR ln(z) - e * l / z >= 0.97 * ln(n) OR pow(high / low, 1 - e) >= 2.0), 0) / 100000.0::DOUBLE AS e
+         FROM shape, t),
+w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens / total, pick.e) ELSE 0 END AS p FROM s, t, pick),
+z AS (SELECT sum(p) AS z FROM w),
+b AS (SELECT source, tokens, CAST(round(p / z * (high / (pow(high / total, pick.e) / z))) AS BIGINT) AS budget FROM w, z, t, pick),
+plan AS (SELECT source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS blocks,
+                CASE WHEN tokens > 0 THEN budget - (budget // tokens) * tokens ELSE 0 END AS room FROM b),
+run AS (SELECT doc_id, source, tokens, h, sum(tokens) OVER (PARTITION BY source ORDER BY h) AS upto FROM d),
+n AS (SELECT doc_id, run.source, tokens, h, blocks,
+             CASE WHEN upto <= room THEN 1 ELSE 0 END AS extra
+      FROM run JOIN plan ON run.source IS NOT DISTINCT FROM plan.source)
+SELECT doc_id, source, CAST(tokens AS BIGINT) AS n_tokens, h AS order_hash, CAST(u.epoch AS INTEGER) AS epoch
+FROM n, LATERAL (SELECT unnest(range(1, blocks + extra + 1)) AS epoch) u
+"""
+
+
+@register("op2_source_mixing", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", mixing.token_count(mixed["text"]).alias("n_tokens"), "order_hash", "epoch")
+
+
 @register("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
