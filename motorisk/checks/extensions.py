@@ -10,7 +10,7 @@ from ..features.transformers import NewClientFeatures
 from ..models.baseline import MeanRegressor
 from ..operators import monitoring as M
 from ..sources.files import scratch_dir
-from ..streaming.drift import psi_from_counts, start_drift_stream
+from ..streaming.drift import psi_from_counts, start_drift_stream, stream_counts
 from . import common as C
 from .common import r6
 from .features import AS_OF, _sql_date
@@ -41,14 +41,22 @@ def pure_premium(spark, sf_dir):
 
 BASELINE_END = "2024-01-15"
 
-DRIFT_SQL = f"""
-WITH data AS (SELECT event_type AS segment, CAST(value AS DOUBLE) AS v, ts FROM events WHERE value IS NOT NULL),
+# A segment that this variant of the query leaves without a baseline.
+LATE_SEGMENT = "purchase"
+
+
+def _drift_sql(events: str = "events") -> str:
+    return f"""
+WITH data AS (SELECT event_type AS segment, CAST(value AS DOUBLE) AS v, ts FROM {events} WHERE value IS NOT NULL),
 rng AS (SELECT segment, min(v) AS lo, max(v) AS hi FROM data WHERE ts < TIMESTAMP '{BASELINE_END}' GROUP BY segment),
+pooled AS (SELECT min(lo) AS lo, max(hi) AS hi FROM rng),
+ranged AS (SELECT d.segment, d.v, d.ts, coalesce(r.lo, p.lo) AS lo, coalesce(r.hi, p.hi) AS hi
+           FROM data d LEFT JOIN rng r ON d.segment = r.segment, pooled p),
 binned AS (
-  SELECT d.segment, d.ts,
-         CASE WHEN r.hi = r.lo THEN 1
-              ELSE least({M.PSI_BINS}, greatest(1, CAST(floor((d.v - r.lo) / ((r.hi - r.lo) / {float(M.PSI_BINS)})) AS INTEGER) + 1)) END AS bin
-  FROM data d JOIN rng r ON d.segment = r.segment),
+  SELECT segment, ts,
+         CASE WHEN hi = lo THEN 1
+              ELSE least({M.PSI_BINS}, greatest(1, CAST(floor((v - lo) / ((hi - lo) / {float(M.PSI_BINS)})) AS INTEGER) + 1)) END AS bin
+  FROM ranged),
 base AS (SELECT segment, bin, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY segment) AS p_base
          FROM binned WHERE ts < TIMESTAMP '{BASELINE_END}' GROUP BY segment, bin),
 live AS (SELECT segment, CAST(date_trunc('day', ts) AS DATE) AS window_start, bin,
@@ -65,37 +73,48 @@ SELECT segment, window_start, round(sum((pl - pb) * ln(pl / pb)), 6) AS psi FROM
 GROUP BY segment, window_start"""
 
 
+DRIFT_SQL = _drift_sql()
+
+
+def _drift_result(psi):
+    return psi.select("segment", F.col("window_start").cast("date").alias("window_start"), r6(F.col("psi")).alias("psi"))
+
+
 @register("drift_psi", DRIFT_SQL)
 def drift_psi(spark, sf_dir):
     ev = C.A.table(spark, sf_dir, "events")
-    out = M.drift_psi(ev, "value", "ts", "event_type", BASELINE_END)
-    return out.select("segment", F.col("window_start").cast("date").alias("window_start"),
-                      r6(F.col("psi")).alias("psi"))
+    return _drift_result(M.drift_psi(ev, "value", "ts", "event_type", BASELINE_END))
+
+
+@register("drift_late_segment", _drift_sql(
+    f"(SELECT * FROM events WHERE event_type <> '{LATE_SEGMENT}' OR ts >= TIMESTAMP '{BASELINE_END}')"))
+def drift_late_segment(spark, sf_dir):
+    """E2 where one segment only appears after the baseline."""
+    ev = C.A.table(spark, sf_dir, "events").where(
+        (F.col("event_type") != LATE_SEGMENT) | (F.col("ts") >= F.lit(BASELINE_END).cast("timestamp_ntz")))
+    return _drift_result(M.drift_psi(ev, "value", "ts", "event_type", BASELINE_END))
 
 
-@register("drift_stream")
+@register("drift_stream", DRIFT_SQL)
 def drift_stream(spark, sf_dir):
     """E2 on a stream: the live events, written as a folder of files, are
-    read as a stream; closed windows are emitted (watermark one day), so the
-    windows still open when the input ends are not in the result."""
+    read as a stream to their end; every window is in the result."""
     ev = C.A.table(spark, sf_dir, "events").select("event_type", "value", "ts")
-    base = ev.where(F.col("ts") < F.lit(BASELINE_END).cast("timestamp_ntz"))
-    ranges = base.where(F.col("value").isNotNull()).groupBy(F.col("event_type").alias("segment")).agg(
-        F.min(F.col("value").cast("double")).alias("lo"), F.max(F.col("value").cast("double")).alias("hi"))
+    base = (ev.where(F.col("ts") < F.lit(BASELINE_END).cast("timestamp_ntz"))
+            .select(F.col("event_type").alias("segment"), F.col("value").cast("double").alias("v")).where("v is not null"))
+    ranges = M.baseline_ranges(base)
     src = scratch_dir(spark, "events-in")
     (ev.where(F.col("ts") >= F.lit(BASELINE_END).cast("timestamp_ntz"))
        .withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(src))
     sink, ckpt = scratch_dir(spark, "drift-out"), scratch_dir(spark, "drift-ckpt")
     q = start_drift_stream(spark, src, ev.schema, ranges, "value", "ts", "event_type", sink, ckpt)
-    q.awaitTermination(600)
-    counts = spark.read.parquet(sink)
-    base_counts = (base.join(ranges, F.col("event_type") == F.col("segment"))
-                   .select("segment", M.psi_bin(F.col("value").cast("double"), F.col("lo"), F.col("hi")).alias("bin"))
+    q.awaitTermination()                            # ends with the input; a failure is raised here
+    base_counts = (M.with_ranges(base, ranges, M.pooled_range(ranges))
+                   .select("segment", M.psi_bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin"))
                    .groupBy("segment", "bin").count())
     totals = base_counts.groupBy("segment").agg(F.sum("count").alias("_t"))
     shares = base_counts.join(totals, "segment").select("segment", "bin", (F.col("count") / F.col("_t")).alias("p_base"))
-    out = psi_from_counts(counts, shares)
-    return out.select("segment", F.col("window_start").cast("date").alias("window_start"), r6(F.col("psi")).alias("psi"))
+    return _drift_result(psi_from_counts(stream_counts(spark, sink), shares))
 
 
 # --- E4 age bands × second driver ---------------------------------------------

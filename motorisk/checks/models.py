@@ -88,14 +88,14 @@ RUN_FEATURES = RUN.NEW_CLIENT_CONFIG["features"]
 def _split_metrics(spark, sf_dir, algorithm, params):
     split = C.freq_split(spark, sf_dir)
     train = split.where(F.col("split") == "train")
-    model = RUN.fit_cached(RUN.pipeline_for(train, RUN_FEATURES, C.TARGET, algorithm, params), train)
+    model = RUN.fit_cached(RUN.pipeline_for(train, RUN_FEATURES, C.TARGET, algorithm, params), train, [*RUN_FEATURES, C.TARGET])
     scored = model.transform(split)
     return E.regression_metrics(scored, C.TARGET, group_cols=["split"])
 
 
 @register("poisson_gbm")
 def poisson_gbm(spark, sf_dir):
-    return _split_metrics(spark, sf_dir, "gradient_boosting", {})
+    return _split_metrics(spark, sf_dir, *RUN.FREQUENCY_MODELS["gbm"])
 
 
 @register("gbt_squared")
@@ -131,9 +131,7 @@ def model_comparison(spark, sf_dir):
 
 @register("prediction_histograms")
 def prediction_histograms(spark, sf_dir):
-    models = {k: v for k, v in RUN.FREQUENCY_MODELS.items() if k != "gbm"}
-    _, _, hist = RUN.model_comparison(C.freq_dataset(spark, sf_dir), "policy_key", RUN_FEATURES, C.TARGET,
-                                      models)
+    _, _, hist = RUN.model_comparison(C.freq_dataset(spark, sf_dir), "policy_key", RUN_FEATURES, C.TARGET)
     return hist
 
 

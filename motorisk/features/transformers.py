@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import numeric as N
-
-# The fitted level list is model state kept on the driver; refuse a column
-# with more levels than a category can have.
-MAX_LEVELS = 10000
-
+from ..models.tables import TableModel
+from ..operators.materialize import materialize
+from ..operators.ordering import row_index
 
 class FeatureTransformer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Base of the feature stages. ``_transform`` is abstract, so the base
@@ -99,39 +97,31 @@ class VehicleFeatures(Estimator, _VehicleParams, DefaultParamsReadable, DefaultP
 
     def _fit(self, df: DataFrame) -> "VehicleFeaturesModel":
         fuel, order = self.getOrDefault(self.fuelCol), self.getOrDefault(self.orderCol)
-        # One row per distinct level: the level table is the fitted state.
-        firsts = (df.where(F.col(fuel).isNotNull()).groupBy(fuel)
-                  .agg(F.min(order).alias("first")).orderBy("first", fuel))
-        levels = [r[0] for r in firsts.limit(MAX_LEVELS + 1).collect()]
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{fuel} has more than {MAX_LEVELS} levels: not a category")
-        model = VehicleFeaturesModel(levels=levels)
-        return self._copyValues(model)
-
+        # one row per distinct level, numbered by first appearance: the fitted state
+        firsts = (df.where(F.col(fuel).isNotNull()).groupBy(F.col(fuel).cast("string").alias("level"))
+                  .agg(F.min(order).alias("first")))
+        table = row_index(firsts, ["first", "level"], "code").select("level", F.col("code").cast("int").alias("code"))
+        return self._copyValues(VehicleFeaturesModel(table=materialize(table, "levels")))
 
-class VehicleFeaturesModel(Model, _VehicleParams, DefaultParamsReadable, DefaultParamsWritable):
-    levels = Param(Params._dummy(), "levels", "fuel levels in code order", TypeConverters.toListString)
 
+class VehicleFeaturesModel(TableModel, Model, _VehicleParams):
     @keyword_only
-    def __init__(self, *, levels=None, fuelCol="Type_fuel", fuelCodeCol="fuel_type_encoded",
+    def __init__(self, *, table=None, fuelCol="Type_fuel", fuelCodeCol="fuel_type_encoded",
                  valueCol="Value_vehicle", logValueCol="Value_vehicle_log_transformed",
                  orderCol="policy_key"):
         super().__init__()
         self._vehicle_defaults()
-        self._setDefault(levels=[])
-        self._set(**self._input_kwargs)
+        kw = dict(self._input_kwargs)
+        self.table = kw.pop("table", None)
+        self._set(**kw)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         g = self.getOrDefault
-        fuel = F.col(g(self.fuelCol))
-        code = F.lit(-1)
-        for i, level in reversed(list(enumerate(g(self.levels)))):
-            code = F.when(fuel == F.lit(level), F.lit(i)).otherwise(code)
         value = g(self.valueCol)
-        return df.withColumns({
-            g(self.fuelCodeCol): code.cast("int"),
-            g(self.logValueCol): N.log_positive(value, value),
-        })
+        table = self.table.select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+        return (df.join(table, F.col(g(self.fuelCol)).cast("string") == F.col("_level"), "left")
+                .withColumns({g(self.fuelCodeCol): F.coalesce("_code", F.lit(-1)), g(self.logValueCol): N.log_positive(value, value)})
+                .drop("_level", "_code"))
 
     def validate(self, df: DataFrame) -> None:
         """Fail eagerly when the value column has a value <= 0."""

@@ -96,7 +96,7 @@ def _require_dates(df: DataFrame, *columns: str) -> None:
     ok = (T.DateType, T.TimestampType, T.TimestampNTZType)
     for c in columns:
         if not isinstance(df.schema[c].dataType, ok):
-            raise ValueError("These are not columns of datatype datetime")
+            raise ValueError("a date or timestamp column is expected on both sides")
 
 
 def extract_year(df: DataFrame, date_column: str, out: str) -> DataFrame:

@@ -2,8 +2,8 @@
 of one categorical column (the fitted means are the model state; an unseen
 or missing level gets the overall mean).
 
-The level table has one entry per category level, so it is stored in the
-model's params and applied as a literal map lookup: no join, no shuffle.
+The level table is a DataFrame of any length, saved with the model and joined
+to the rows.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A level table larger than this is not a category: refuse it.
-MAX_LEVELS = 10000
+from ..operators.materialize import materialize
+from .tables import TableModel
 
 
 class _MeanParams(HasLabelCol, HasPredictionCol):
@@ -35,38 +35,36 @@ class MeanRegressor(Estimator, _MeanParams, DefaultParamsReadable, DefaultParams
         y = F.col(self.getLabelCol()).cast("double")
         group = self.getOrDefault(self.groupCol)
         g = F.col(group).cast("string") if group else F.lit(None).cast("string")
-        # One pass: sum and count per level (NULL level included); the overall
-        # mean is summed from the level rows, which are bounded by MAX_LEVELS.
-        rows = (df.groupBy(g.alias("g")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
-                .limit(MAX_LEVELS + 2).collect())
-        if len(rows) > MAX_LEVELS + 1:
-            raise ValueError(f"{group} has more than {MAX_LEVELS} levels")
-        total, count = sum(r["s"] or 0.0 for r in rows), sum(r["n"] for r in rows)
-        overall = total / count if count else float("nan")
-        lv = sorted((r for r in rows if r["g"] is not None and r["n"]), key=lambda r: r["g"])
-        levels, means = [r["g"] for r in lv], [float(r["s"]) / r["n"] for r in lv]
-        model = MeanModel(overall=float(overall), levels=levels, means=means)
-        return self._copyValues(model)
+        # one pass over the rows; the overall mean is summed from the level rows
+        rows = df.groupBy(g.alias("level")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+        if group:
+            rows = materialize(rows, "levels")
+        total, count = rows.agg(F.sum("s"), F.sum("n")).first()
+        table = None
+        if group:
+            table = rows.where("level is not null and n > 0").select("level", (F.col("s") / F.col("n")).alias("mean"))
+        return self._copyValues(MeanModel(overall=float(total) / count if count else float("nan"), table=table))
 
 
-class MeanModel(Model, _MeanParams, DefaultParamsReadable, DefaultParamsWritable):
+class MeanModel(TableModel, Model, _MeanParams):
     overall = Param(Params._dummy(), "overall", "training mean", TypeConverters.toFloat)
-    levels = Param(Params._dummy(), "levels", "levels of groupCol", TypeConverters.toListString)
-    means = Param(Params._dummy(), "means", "mean per level", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, overall=0.0, levels=None, means=None, labelCol="label",
-                 predictionCol="prediction", groupCol=""):
+    def __init__(self, *, overall=0.0, table=None, labelCol="label", predictionCol="prediction", groupCol=""):
         super().__init__()
-        self._setDefault(overall=0.0, levels=[], means=[], labelCol="label",
-                         predictionCol="prediction", groupCol="")
-        self._set(**self._input_kwargs)
+        self._setDefault(overall=0.0, labelCol="label", predictionCol="prediction", groupCol="")
+        kw = dict(self._input_kwargs)
+        self.table = kw.pop("table", None)
+        self._set(**kw)
+
+    def has_table(self) -> bool:
+        return bool(self.getOrDefault(self.groupCol))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         g = self.getOrDefault
-        pred = F.lit(g(self.overall))
-        if g(self.groupCol) and g(self.levels):
-            pairs = [x for lv, m in zip(g(self.levels), g(self.means)) for x in (F.lit(lv), F.lit(m))]
-            table = F.create_map(*pairs)
-            pred = F.coalesce(table[F.col(g(self.groupCol)).cast("string")], pred)
-        return df.withColumn(g(self.predictionCol), pred.cast("double"))
+        overall = F.lit(g(self.overall)).cast("double")
+        if self.table is None:
+            return df.withColumn(g(self.predictionCol), overall)
+        table = self.table.select(F.col("level").alias("_level"), F.col("mean").alias("_mean"))
+        return (df.join(table, F.col(g(self.groupCol)).cast("string") == F.col("_level"), "left")
+                .withColumn(g(self.predictionCol), F.coalesce("_mean", overall)).drop("_level", "_mean"))

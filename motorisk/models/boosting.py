@@ -13,24 +13,25 @@ lineage grows by one tree per round; it is checkpointed to the reliable
 checkpoint folder every ``checkpointEvery`` rounds so that recovery after a
 lost executor never replays the whole sequence.
 
-Early stopping follows the reference library's default: on when the frame
-has more than 10,000 rows, a seeded 10 % of the rows is held out, and the
-fit stops when the held-out deviance has not improved by more than ``tol``
-over the last ``nIterNoChange`` rounds. The held-out flag is fixed by the
-first checkpoint, so it does not change on recomputation.
+Early stopping is off unless asked for, at every size. With it, a share of the
+rows chosen by a seeded hash of the row itself is held out, so another
+partition layout holds out the same rows, and the fit stops when the held-out
+deviance has not improved by more than ``tol`` over the last
+``nIterNoChange`` rounds.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import os
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "min rows per leaf", TypeConverters.toInt)
     maxBins = Param(Params._dummy(), "maxBins", "feature bins", TypeConverters.toInt)
     checkpointEvery = Param(Params._dummy(), "checkpointEvery", "rounds between checkpoints", TypeConverters.toInt)
-    earlyStopping = Param(Params._dummy(), "earlyStopping", "auto | on | off", TypeConverters.toString)
+    earlyStopping = Param(Params._dummy(), "earlyStopping", "on | off", TypeConverters.toString)
     validationFraction = Param(Params._dummy(), "validationFraction", "held-out share", TypeConverters.toFloat)
     nIterNoChange = Param(Params._dummy(), "nIterNoChange", "patience in rounds", TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "minimal improvement of the held-out deviance", TypeConverters.toFloat)
@@ -55,7 +56,7 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     def _defaults(self):
         self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction",
                          maxIter=100, learningRate=0.1, maxDepth=7, minInstancesPerNode=20,
-                         maxBins=255, checkpointEvery=5, earlyStopping="auto", validationFraction=0.1,
+                         maxBins=255, checkpointEvery=5, earlyStopping="off", validationFraction=0.1,
                          nIterNoChange=10, tol=1e-7, seed=42)
 
 
@@ -63,7 +64,7 @@ class PoissonBoostingRegressor(Estimator, _BoostParams):
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
                  maxIter=100, learningRate=0.1, maxDepth=7, minInstancesPerNode=20, maxBins=255,
-                 checkpointEvery=5, earlyStopping="auto", validationFraction=0.1, nIterNoChange=10,
+                 checkpointEvery=5, earlyStopping="off", validationFraction=0.1, nIterNoChange=10,
                  tol=1e-7, seed=42):
         super().__init__()
         self._defaults()
@@ -74,13 +75,13 @@ class PoissonBoostingRegressor(Estimator, _BoostParams):
         ensure_checkpoint_dir(df.sparkSession)
         label, feats = g(self.labelCol), g(self.featuresCol)
         y = F.col(label).cast("double")
-        work = df.select(F.col(feats).alias("features"), y.alias("y"),
-                         (F.rand(g(self.seed)) < g(self.validationFraction)).alias("_val")).checkpoint(eager=True)
-        n = work.count()
-        mode = g(self.earlyStopping)
-        stop_early = mode == "on" or (mode == "auto" and n > 10000)
-        if not stop_early:
-            work = work.withColumn("_val", F.lit(False))
+        if g(self.earlyStopping) not in ("on", "off"):
+            raise ValueError("earlyStopping is 'on' or 'off'")
+        stop_early = g(self.earlyStopping) == "on"
+        # the row decides whether it is held out, not its place in a partition
+        draw = F.pmod(F.xxhash64(vector_to_array(F.col(feats)), y, F.lit(g(self.seed))), F.lit(1 << 20))
+        held = (draw < int(g(self.validationFraction) * (1 << 20))) if stop_early else F.lit(False)
+        work = df.select(F.col(feats).alias("features"), y.alias("y"), held.alias("_val")).checkpoint(eager=True)
         mean_y = work.where(~F.col("_val")).agg(F.avg("y")).first()[0]
         if not mean_y or mean_y <= 0:
             raise ValueError("Poisson boosting needs a positive mean label")
@@ -110,7 +111,7 @@ class PoissonBoostingRegressor(Estimator, _BoostParams):
         return self._copyValues(model)
 
 
-class PoissonBoostingModel(Model, _BoostParams):
+class PoissonBoostingModel(Model, _BoostParams, MLWritable, MLReadable):
     init = Param(Params._dummy(), "init", "initial score ln(mean y)", TypeConverters.toFloat)
 
     @keyword_only
@@ -146,32 +147,35 @@ class PoissonBoostingModel(Model, _BoostParams):
             return total
         return total / total.sum()
 
-    def save(self, path: str) -> None:
-        for i, t in enumerate(self.trees):
-            t.write().overwrite().save(os.path.join(path, f"tree_{i:04d}"))
-        meta = {"init": self.getOrDefault(self.init), "n": len(self.trees),
-                "learningRate": self.getOrDefault(self.learningRate),
-                "featuresCol": self.getOrDefault(self.featuresCol),
-                "predictionCol": self.getOrDefault(self.predictionCol)}
-        spark_ctx_write(path, json.dumps(meta))
+    def write(self) -> MLWriter:
+        return _BoostingWriter(self)
 
     @classmethod
-    def load(cls, path: str) -> "PoissonBoostingModel":
-        meta = json.loads(spark_ctx_read(path))
-        trees = [DecisionTreeRegressionModel.load(os.path.join(path, f"tree_{i:04d}")) for i in range(meta["n"])]
-        return cls(init=meta["init"], trees=trees, learningRate=meta["learningRate"],
-                   featuresCol=meta["featuresCol"], predictionCol=meta["predictionCol"])
+    def read(cls) -> MLReader:
+        return _BoostingReader()
 
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.trees = list(self.trees)
+        return that
 
-def spark_ctx_write(path: str, text: str) -> None:
-    """Write a one-line metadata file through Spark (works on shared storage)."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(path, "metadata"))
 
-
-def spark_ctx_read(path: str) -> str:
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    return spark.read.text(os.path.join(path, "metadata")).first()[0]
+class _BoostingWriter(MLWriter):
+    def __init__(self, model: PoissonBoostingModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sc, extraMetadata={"trees": len(self.model.trees)})
+        for i, t in enumerate(self.model.trees):
+            t.write().save(os.path.join(path, "trees", f"{i:04d}"))
+
+
+class _BoostingReader(MLReader):
+    def load(self, path: str) -> PoissonBoostingModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sc)
+        model = PoissonBoostingModel(trees=[DecisionTreeRegressionModel.load(os.path.join(path, "trees", f"{i:04d}"))
+                                            for i in range(metadata["trees"])])
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model

@@ -54,6 +54,9 @@ class PoissonRegressor(PenalisedGLM):
     family = "poisson"
 
     def reg_param(self, df, label):
+        if not self.fit_intercept and self.alpha:
+            # the weights only sum to the labels' sum when the intercept is free
+            raise ValueError("a penalised Poisson fit needs its intercept")
         m = _label_stats(df, label)["m"]
         return float(self.alpha) / float(m) if m else float(self.alpha)
 
@@ -97,19 +100,30 @@ class SquaredBoosting:
                             subsamplingRate=1.0, featureSubsetStrategy="all")
 
 
-class PoissonBoosting:
-    """M6: histogram-style gradient boosting with Poisson loss."""
+class HistogramBoosting:
+    """M6: histogram-style gradient boosting (defaults of the reference's
+    library: squared error, 31 leaves). ``loss`` is ``squared_error`` or ``poisson``."""
 
-    def __init__(self, max_iter: int = 100, learning_rate: float = 0.1, max_leaf_nodes: int = 128,
-                 min_samples_leaf: int = 20, max_bins: int = 255, checkpoint_every: int = 5):
-        self.kw = dict(maxIter=max_iter, learningRate=learning_rate,
-                       maxDepth=max(1, (max_leaf_nodes - 1).bit_length()),
-                       minInstancesPerNode=min_samples_leaf, maxBins=max_bins,
-                       checkpointEvery=checkpoint_every)
+    LOSSES = ("squared_error", "poisson")
+
+    def __init__(self, loss: str = "squared_error", max_iter: int = 100, learning_rate: float = 0.1, max_leaf_nodes: int = 31,
+                 min_samples_leaf: int = 20, max_bins: int = 255, early_stopping: bool = False, checkpoint_every: int = 5):
+        if loss not in self.LOSSES:
+            raise ValueError(f"loss is one of {self.LOSSES}")
+        self.loss, self.early_stopping, self.checkpoint_every = loss, early_stopping, checkpoint_every
+        self.kw = dict(maxIter=max_iter, maxDepth=max(1, (max_leaf_nodes - 1).bit_length()),
+                       minInstancesPerNode=min_samples_leaf, maxBins=max_bins)
+        self.learning_rate = learning_rate
 
     def spark_estimator(self, df, features, label, prediction="prediction"):
-        return PoissonBoostingRegressor(featuresCol=features, labelCol=label, predictionCol=prediction,
-                                        **self.kw)
+        cols = dict(featuresCol=features, labelCol=label, predictionCol=prediction)
+        if self.loss == "poisson":
+            return PoissonBoostingRegressor(**cols, **self.kw, learningRate=self.learning_rate, checkpointEvery=self.checkpoint_every,
+                                            earlyStopping="on" if self.early_stopping else "off")
+        if self.early_stopping:
+            raise ValueError("early stopping is offered for the Poisson loss only")
+        return GBTRegressor(**cols, **self.kw, stepSize=self.learning_rate, lossType="squared", subsamplingRate=1.0,
+                            featureSubsetStrategy="all", checkpointInterval=self.checkpoint_every, seed=0)
 
 
 # Algorithm names accepted by the factory.
@@ -117,22 +131,17 @@ ALGORITHMS = {
     "xgboost": SquaredBoosting,
     "poisson_regressor": PoissonRegressor,
     "gamma_regressor": GammaRegressor,
-    "gradient_boosting": PoissonBoosting,
+    "gradient_boosting": HistogramBoosting,
     "ridge": RidgeRegressor,
 }
 
-# Parameter names of the reference's estimators mapped to the builders' own.
-PARAM_ALIASES = {"max_iter": "max_iter", "alpha": "alpha", "solver": None, "loss": None}
-
-
 def select_training_algorithm(name: str, params: dict | None = None):
-    """M1: builder by name. Unknown name -> KeyError; unknown parameter ->
-    TypeError when the builder is made. ``solver`` and ``loss`` are accepted
-    and ignored (Spark owns the solver; the loss is fixed by the algorithm)."""
+    """M1: builder by name, with its own defaults. Unknown name -> KeyError;
+    unknown parameter -> TypeError when the builder is made. ``solver`` is
+    accepted and ignored (Spark owns the solver)."""
     cls = ALGORITHMS[name]
     params = dict(params or {})
-    for k in [k for k, v in PARAM_ALIASES.items() if v is None]:
-        params.pop(k, None)
+    params.pop("solver", None)
     accepted = set(inspect.signature(cls.__init__).parameters) - {"self"}
     unknown = set(params) - accepted
     if unknown:

@@ -63,12 +63,20 @@ def pair_correlations(frame: DataFrame, specs) -> DataFrame:
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long matrix (col_a, col_b, corr) over every ordered pair."""
     clean = df.select(*[_clean(c).alias(c) for c in columns])
-    specs = []
-    for a, b in combinations(columns, 2):
-        specs.append((a, b, F.col(a), F.col(b), False))
-        specs.append((b, a, F.col(b), F.col(a), False))
-    specs += [(c, c, F.col(c), F.col(c), True) for c in columns]
-    return pair_correlations(clean, specs)
+    specs = [(a, b, F.col(a), F.col(b), False) for a, b in combinations(columns, 2)]
+    return mirrored(pair_correlations(clean, specs)).unionByName(diagonal_of(clean, columns))
+
+
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """(a, b) rows with their (b, a) twins; the data are passed over once per pair."""
+    both = F.array(F.struct("col_a", "col_b"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b")))
+    return pairs.select(F.inline(both), "corr")
+
+
+def diagonal_of(clean: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """1 for each column that varies, NULL for the others."""
+    return clean.agg(*[F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(c) for c in columns]).unpivot(
+        [], list(columns), "col_a", "corr").select("col_a", F.col("col_a").alias("col_b"), "corr")
 
 
 def _null_masks(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -100,7 +108,9 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mi
     context: "rows where that mask is present", shared by all columns with
     the same missing rows."""
     cols = sorted({c for p in pairs for c in p} | set(diagonal))
-    clean = materialize(df.select(key, *[_clean(c).alias(c) for c in cols]), "rank-input")
+    # a number of its own for every row, fixed by the written table: ``key`` may repeat
+    key = "_row"
+    clean = materialize(df.select(F.monotonically_increasing_id().alias(key), *[_clean(c).alias(c) for c in cols]), "rank-input")
     mask = _null_masks(clean, cols)
 
     def ctx(col: str, partner: str) -> str:
@@ -131,14 +141,10 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mi
     for a, b in pairs:
         x, y = col_of[(ctx(a, b), a)], col_of[(ctx(b, a), b)]
         specs.append((a, b, x, y, False))
-        if mirror:
-            specs.append((b, a, y, x, False))
     out = pair_correlations(wide, specs)
-    if diagonal:
-        diag = clean.agg(*[F.when(F.var_samp(c) > 0, F.lit(1.0)).alias(c) for c in diagonal]).unpivot(
-            [], list(diagonal), "col_a", "corr").select("col_a", F.col("col_a").alias("col_b"), "corr")
-        out = out.unionByName(diag)
-    return out
+    if mirror:
+        out = mirrored(out)
+    return out.unionByName(diagonal_of(clean, diagonal)) if diagonal else out
 
 
 def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -44,7 +44,26 @@ def pure_premium(freq: Column, sev: Column) -> Column:
 def psi_bin(value: Column, lo: Column, hi: Column, k: int = PSI_BINS) -> Column:
     w = (hi - lo) / F.lit(float(k))
     raw = F.floor((value - lo) / w).cast("int") + 1
-    return F.when(hi == lo, F.lit(1)).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), raw)))
+    return F.when((hi == lo) | lo.isNull(), F.lit(1)).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), raw)))
+
+
+def baseline_ranges(base: DataFrame) -> DataFrame:
+    """Value range of every segment (columns segment, v) of the baseline."""
+    return base.groupBy("segment").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def pooled_range(ranges: DataFrame) -> tuple[float | None, float | None]:
+    return tuple(ranges.agg(F.min("lo"), F.max("hi")).first())
+
+
+def with_ranges(rows: DataFrame, ranges: DataFrame, pooled: tuple) -> DataFrame:
+    """Rows with the baseline range of their segment. A segment without a
+    baseline gets the pooled range, so it is reported, not lost; its baseline
+    shares are all empty."""
+    lo, hi = (F.lit(x).cast("double") for x in pooled)
+    known = ranges.select(F.col("segment").alias("_segment"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    return (rows.join(known, F.col("segment") == F.col("_segment"), "left")
+            .withColumns({"lo": F.coalesce("_lo", lo), "hi": F.coalesce("_hi", hi)}).drop("_segment", "_lo", "_hi"))
 
 
 def drift_psi(df: DataFrame, value: str, ts: str, segment: str, baseline_end: str,
@@ -55,12 +74,11 @@ def drift_psi(df: DataFrame, value: str, ts: str, segment: str, baseline_end: st
     data = df.select(F.col(segment).alias("segment"), v.alias("v"), t.alias("ts")).where(F.col("v").isNotNull())
     base = data.where(F.col("ts") < F.lit(baseline_end).cast("timestamp_ntz"))
     live = data.where(F.col("ts") >= F.lit(baseline_end).cast("timestamp_ntz"))
-    rng = base.groupBy("segment").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rng = baseline_ranges(base)
     bins = F.col("bin")
 
     def shares(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-        counted = (frame.join(rng, "segment")
-                   .select(*keys, psi_bin(F.col("v"), F.col("lo"), F.col("hi"), k).alias("bin"))
+        counted = (with_ranges(frame, rng, pooled_range(rng)).select(*keys, psi_bin(F.col("v"), F.col("lo"), F.col("hi"), k).alias("bin"))
                    .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
         totals = counted.groupBy(*keys).agg(F.sum("n").alias("_t"))
         return counted.join(totals, list(keys)).select(*keys, bins, (F.col("n") / F.col("_t")).alias("share"))
@@ -86,21 +104,15 @@ def band_interaction(df: DataFrame, value: str, flag: str, target: str,
                        F.col(flag).alias("flag"), F.col(target).cast("double").alias("t"))
     stats = banded.where(F.col("band").isNotNull()).groupBy("band", "flag").agg(
         F.count(F.lit(1)).alias("policies"), F.avg("t").alias("rate"))
-    spark = df.sparkSession
-    dim = spark.createDataFrame([(lab, i + 1) for i, lab in enumerate(labels)], "band string, band_order int")
+    # every flag level with every band: the bands are literals
+    bands = F.array(*[F.struct(F.lit(lab).alias("band"), F.lit(i + 1).alias("band_order")) for i, lab in enumerate(labels)])
     flags = banded.select("flag").where(F.col("flag").isNotNull()).distinct()
-    return _bands_by_flags(dim, flags).join(
+    return flags.select("flag", F.inline(bands)).join(
         stats, ["band", "flag"], "left").select(
         "band", "band_order", "flag", F.coalesce("policies", F.lit(0)).cast("bigint").alias("policies"),
         F.col("rate"))
 
 
-def _bands_by_flags(dim: DataFrame, flags: DataFrame) -> DataFrame:
-    """Every band with every flag level: both sides are tiny (bands × levels)."""
-    levels = flags.agg(F.collect_list("flag").alias("l")).scalar()
-    return dim.select("*", F.explode(levels).alias("flag"))
-
-
 def inconsistent_per_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """E5: keys where a column that should be constant takes several values."""
     aggs = [F.count_distinct(c).alias(f"distinct_{c}") for c in columns]

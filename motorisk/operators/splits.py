@@ -1,28 +1,34 @@
 """Reproducible train / test splits and seeded shuffles.
 
-All three number the rows in a total order with ``ordering.row_index`` and
-cut at a row count, so sizes are exact and the result does not depend on
-how the input is partitioned. The random order is ``md5(key ‖ seed)``, a
-value both Spark and SQL engines compute identically; the key breaks the
-(practically impossible) hash ties. Because the hash is uniform, its
-leading digits give the partition bounds directly: the random order needs
-no sampling pass over the input.
+A split labels every row where it lies: the threshold between train and test
+is found first, on the key (and order) columns alone, and rows are compared
+with it. No row is shuffled or written. Sizes are exact and do not depend on
+how the input is partitioned; rows with equal keys land on the same side.
+
+The random order is ``md5(key ‖ seed)``, a value both Spark and SQL engines
+compute identically; the key breaks the (practically impossible) hash ties.
+Its threshold comes from counts per leading hex digits, refined inside the
+cell that holds the cut. The threshold of a given order comes from the
+distributed row index of the narrow columns.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 from . import ordering as O
+from .materialize import materialize
 
 # Hash buckets per shuffle partition: several per partition even out the
 # partitions that receive more than one bucket.
 BUCKETS_PER_PARTITION = 4
+# Rows of the cell with the cut that are sorted to find it.
+SORTED_ROWS = 10_000
 
 SPLIT = "split"
 TRAIN, TEST = "train", "test"
@@ -56,6 +62,37 @@ def shuffle_order(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_p
     return _hash_order(df, key, seed, out)[0]
 
 
+def _literal(row, schema) -> Column:
+    """The values of ``row`` as a struct of typed literals."""
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+
+
+def _hash_threshold(keys: DataFrame, key: str, seed: int, share: Callable[[int], int]):
+    """(rows, (hash, key) of the last of the first ``share(rows)`` rows in hash order).
+
+    Counts per four hex digits (at most 65,536 rows a round), then the same
+    inside the cell with the cut, until few enough rows are left to sort."""
+    hashed = keys.select(shuffle_key(key, seed).alias("h"), F.col(key).alias("key"))
+    prefix, total, left = "", None, None
+    while True:
+        at = len(prefix)
+        cells = sorted((r.c, r.n) for r in hashed.where(F.col("h").startswith(prefix))
+                       .groupBy(F.substring("h", at + 1, 4).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if total is None:
+            total = sum(n for _, n in cells)
+            left = share(total)
+            if left <= 0:
+                return total, None
+        for c, n in cells:
+            if left <= n:
+                prefix += c
+                break
+            left -= n
+        if n <= SORTED_ROWS or len(prefix) >= 32:
+            inside = hashed.where(F.col("h").startswith(prefix)).orderBy("h", "key").limit(left)
+            return total, inside.orderBy(F.desc("h"), F.desc("key")).first()
+
+
 def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool = True,
                seed: int = 42, order: Sequence[str] | None = None) -> DataFrame:
     """Adds ``split`` = train / test. Test size is ceil(n · ratio); an
@@ -64,22 +101,41 @@ def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool =
     With ``shuffle`` the test rows are the first ones of the seeded order;
     without, the last rows of ``order`` (default: the key) are the test set."""
     _check_ratio(test_ratio)
-    if shuffle:
-        idx, n = _hash_order(df, key, seed, "_i")
-        is_test = F.col("_i") < math.ceil(n * test_ratio)
-    else:
-        idx, n = O.row_index_and_count(df, [*(order or [key]), key], "_i")
-        is_test = F.col("_i") >= n - math.ceil(n * test_ratio)
-    if n == 0 or n - math.ceil(n * test_ratio) <= 0:
+    if not shuffle:
+        return _split_at(df, [*(order or [key]), key], lambda n: n - math.ceil(n * test_ratio), test_ratio)
+    keys = materialize(df.select(key), "keys")
+    n, last = _hash_threshold(keys, key, seed, lambda rows: math.ceil(rows * test_ratio))
+    _check_train(n, n - math.ceil(n * test_ratio), test_ratio)
+    here = F.struct(shuffle_key(key, seed).alias("h"), F.col(key).alias("key"))
+    limit = F.struct(F.lit(last.h).alias("h"), F.lit(last.key).cast(df.schema[key].dataType).alias("key"))
+    return df.withColumn(SPLIT, F.when(here <= limit, TEST).otherwise(TRAIN))
+
+
+def _check_train(n: int, train: int, test_ratio: float) -> None:
+    if train <= 0:
         raise ValueError(f"with {n} rows and test_ratio={test_ratio} the train set would be empty")
-    return idx.withColumn(SPLIT, F.when(is_test, TEST).otherwise(TRAIN)).drop("_i")
+
+
+def _split_at(df: DataFrame, order: Sequence[str], train_rows: Callable[[int], int], test_ratio: float,
+              may_be_empty: bool = False) -> DataFrame:
+    """The first ``train_rows(n)`` rows in ``order`` are train."""
+    order = list(dict.fromkeys(order))
+    narrow = df.select(*order)
+    idx, n = O.row_index_and_count(narrow, order, "_i")
+    cut = train_rows(n)
+    if not may_be_empty:
+        _check_train(n, cut, test_ratio)
+    first = idx.where(F.col("_i") == cut).select(*order).first()     # first test row
+    if first is None:
+        return df.withColumn(SPLIT, F.lit(TRAIN))
+    here = F.struct(*order)
+    return df.withColumn(SPLIT, F.when(here >= _literal(first, narrow.schema), TEST).otherwise(TRAIN))
 
 
 def split_ordered(df: DataFrame, order: Sequence[str], key: str, test_ratio: float = 0.2) -> DataFrame:
     """The first int(n · (1 − ratio)) rows in ``order`` are train."""
     _check_ratio(test_ratio)
-    idx, n = O.row_index_and_count(df, [*order, key], "_i")
-    return idx.withColumn(SPLIT, F.when(F.col("_i") < int(n * (1 - test_ratio)), TRAIN).otherwise(TEST)).drop("_i")
+    return _split_at(df, [*order, key], lambda n: int(n * (1 - test_ratio)), test_ratio, may_be_empty=True)
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:

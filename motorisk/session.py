@@ -27,7 +27,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "motor
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("MOTORISK_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("MOTORISK_DRIVER_MEMORY", "6g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()

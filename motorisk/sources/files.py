@@ -39,9 +39,29 @@ def spark_text_reader(spark: SparkSession, path: str, text_schema: T.StructType,
             .option("mode", "PERMISSIVE").csv(path))
 
 
+def _fields(raw: DataFrame, schema: T.StructType, na_values: Sequence[str]):
+    """(name, text without NA tokens, typed value or NULL) of every field."""
+    for f in schema.fields:
+        c = F.trim(F.col(f.name))
+        text = F.when(c.isin(list(na_values)) | c.isNull(), F.lit(None)).otherwise(F.col(f.name))
+        yield f.name, text, text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType)
+
+
+def bad_fields(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ";",
+               na_values: Sequence[str] = NA_TOKENS, reader=spark_text_reader) -> DataFrame:
+    """(column, n_bad): fields per column that are neither an NA token nor of the column's type."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    raw = reader(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]), delimiter)
+    counts = [F.count_if(text.isNotNull() & value.isNull()).alias(name) for name, text, value in _fields(raw, schema, na_values)]
+    return raw.agg(*counts).unpivot([], [f.name for f in schema.fields], "column", "n_bad")
+
+
 def load_delimited(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ";",
-                   na_values: Sequence[str] = NA_TOKENS, reader=spark_text_reader) -> DataFrame:
+                   na_values: Sequence[str] = NA_TOKENS, reader=spark_text_reader, strict: bool = True) -> DataFrame:
     """Delimited scan with header; NA tokens become NULL in every column.
+    Text that is neither an NA token nor of the column's type fails the job;
+    with ``strict=False`` it becomes NULL, and ``bad_fields`` counts such fields.
 
     ``reader(spark, path, text_schema, delimiter)`` returns the fields as
     text (pluggable, as in the reference); typing and NA handling follow."""
@@ -49,13 +69,12 @@ def load_delimited(spark: SparkSession, path: str, schema: T.StructType | str, d
         schema = T._parse_datatype_string(schema)
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = reader(spark, path, text_schema, delimiter)
-    tokens = list(na_values)
     cols = []
-    for f in schema.fields:
-        c = F.trim(F.col(f.name))
-        cleaned = F.when(c.isin(tokens) | c.isNull(), F.lit(None)).otherwise(F.col(f.name))
-        cols.append(cleaned.try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
-                    else cleaned.alias(f.name))
+    for name, text, value in _fields(raw, schema, na_values):
+        if strict:
+            wrong = F.raise_error(F.concat(F.lit(f"column {name}: not a value of its type: "), text))
+            value = F.when(text.isNotNull() & value.isNull(), wrong.cast(schema[name].dataType)).otherwise(value)
+        cols.append(value.alias(name))
     return raw.select(*cols)
 
 

@@ -17,6 +17,7 @@ import datetime as _dt
 import os
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,9 +92,10 @@ class RunLog:
         return df.where(F.col("run_id") == run_id) if run_id else df
 
 
-def save_model(model, path: str) -> str:
-    """Persist a fitted pipeline (overwrite)."""
-    model.write().overwrite().save(path)
+def save_model(model, path: str, overwrite: bool = True) -> str:
+    """Persist a fitted pipeline; without ``overwrite`` an existing folder is an error."""
+    writer = model.write()
+    (writer.overwrite() if overwrite else writer).save(path)
     return path
 
 
@@ -106,8 +108,11 @@ def _manifest(spark: SparkSession, store: str) -> DataFrame | None:
     mpath = os.path.join(store, "manifest")
     try:
         return spark.read.schema(MANIFEST_SCHEMA).parquet(mpath)
-    except Exception:  # noqa: BLE001 - no manifest yet
-        return None
+    except AnalysisException as e:
+        # only a missing path means an empty store; any other failure must not restart the numbering
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def next_version(spark: SparkSession, store: str) -> int:
@@ -123,7 +128,7 @@ def register_model(spark: SparkSession, model, store: str | None, run_id: str) -
         return None
     version = next_version(spark, store)
     path = os.path.join(store, "models", str(version))
-    save_model(model, path)
+    save_model(model, path, overwrite=False)
     row = [(version, run_id, path, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))]
     spark.createDataFrame(row, MANIFEST_SCHEMA).write.mode("append").parquet(os.path.join(store, "manifest"))
     return version

@@ -2,8 +2,8 @@
 
 A quote arrives as JSON text in an envelope with its id. Text that does not
 parse, or lacks a field, is rejected (kept with status ``rejected``) rather
-than failing the job. Accepted quotes go through the saved ``PipelineModel``
-(feature stages + model), the same object in batch and stream, so there is
+than failing the job. Quotes go through the saved ``PipelineModel`` (whatever stages it
+holds), the same object in batch and stream, so there is
 no training/serving skew. Scoring is row-wise: the stream keeps no state and
 runs in append mode; the checkpoint folder makes it restartable.
 """
@@ -11,12 +11,11 @@ runs in append mode; the checkpoint folder makes it restartable.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import parse_requests
-
 # The request fields of a quote.
 QUOTE_SCHEMA = T.StructType([
     T.StructField("Car_age_years", T.IntegerType()),
@@ -31,12 +30,20 @@ SCORED, REJECTED = "scored", "rejected"
 
 def score_quotes(model: PipelineModel, quotes: DataFrame, id_col: str = "quote_id", body_col: str = "body",
                  prediction: str = "prediction") -> DataFrame:
-    """(quote_id, status, prediction) for every quote; NULL for rejects."""
-    accepted, rejected = parse_requests(quotes.select(id_col, body_col), body_col, QUOTE_SCHEMA)
-    scored = model.transform(accepted).select(
-        id_col, F.lit(SCORED).alias("status"), F.col(prediction).cast("double").alias("prediction"))
-    refused = rejected.select(id_col, F.lit(REJECTED).alias("status"), F.lit(None).cast("double").alias("prediction"))
-    return scored.unionByName(refused)
+    """(quote_id, status, prediction) for every quote; NULL for rejects.
+
+    One pass: every quote is parsed once and goes through the model, assemblers
+    keep rows with missing fields, and the status decides whether the
+    prediction counts."""
+    request = F.from_json(F.col(body_col), QUOTE_SCHEMA, {"mode": "PERMISSIVE"})
+    ok = F.lit(True)
+    for f in QUOTE_SCHEMA.fields:
+        ok = ok & F.col(f.name).isNotNull()
+    rows = quotes.select(id_col, request.alias("_request")).select(id_col, "_request.*").withColumn("_ok", ok)
+    stages = [s.copy().setHandleInvalid("keep") if isinstance(s, VectorAssembler) else s for s in model.stages]
+    scored = PipelineModel(stages).transform(rows)
+    return scored.select(id_col, F.when(F.col("_ok"), SCORED).otherwise(REJECTED).alias("status"),
+                         F.when(F.col("_ok"), F.col(prediction).cast("double")).alias("prediction"))
 
 
 def start_scoring_stream(spark: SparkSession, model: PipelineModel, source_dir: str, sink_dir: str,

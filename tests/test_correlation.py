@@ -48,3 +48,12 @@ def test_feature_screen_order(frames):
     out = R.feature_screen(df, "k", "a", ["b", "c"]).collect()
     assert [r["feature"] for r in out] == ["a", "b", "c"]
     assert out[0]["corr"] == 1.0 and out[2]["corr"] is None
+
+
+def test_spearman_with_a_repeated_key(spark):
+    import random
+    r = random.Random(3)
+    rows = [(r.randrange(4), r.random(), r.random()) for _ in range(40)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    want = pd.DataFrame(rows, columns=["k", "a", "b"])[["a", "b"]].corr("spearman").loc["a", "b"]
+    assert _as_dict(R.spearman_matrix(df, "k", ["a", "b"]))[("a", "b")] == pytest.approx(want)

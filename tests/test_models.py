@@ -11,6 +11,20 @@ from motorisk.operators import evaluation as E
 from motorisk.plans import runs as RUN
 
 
+def test_factory_honours_loss_and_defaults():
+    from motorisk.models.boosting import PoissonBoostingRegressor
+    plain = select_training_algorithm("gradient_boosting", {}).spark_estimator(None, "f", "y")
+    assert plain.getLossType() == "squared" and plain.getMaxDepth() == 5
+    poisson = select_training_algorithm("gradient_boosting", {"loss": "poisson", "max_leaf_nodes": 128}).spark_estimator(None, "f", "y")
+    assert isinstance(poisson, PoissonBoostingRegressor) and poisson.getOrDefault("maxDepth") == 7
+    with pytest.raises(ValueError):
+        select_training_algorithm("gradient_boosting", {"loss": "huber"})
+    with pytest.raises(TypeError):
+        select_training_algorithm("ridge", {"loss": "squared_error"})
+    with pytest.raises(ValueError):
+        PoissonRegressor(alpha=1.0, fit_intercept=False).reg_param(None, "y")
+
+
 def test_factory():
     assert isinstance(select_training_algorithm("gamma_regressor", {"alpha": 10}), GammaRegressor)
     with pytest.raises(KeyError):
@@ -90,6 +104,33 @@ def test_poisson_boosting_deviance_falls(glm_data):
     assert devs[0] > devs[1] > devs[2]
 
 
+def test_boosted_pipeline_saves_and_holds_out_the_same_rows(spark, glm_data, tmp_path):
+    from motorisk.models.boosting import PoissonBoostingRegressor
+    from motorisk.sources.runlog import load_model, save_model
+    from pyspark.ml import Pipeline
+    _, _, feats = glm_data
+    est = PoissonBoostingRegressor(labelCol="y", maxIter=3, maxDepth=2, minInstancesPerNode=5, earlyStopping="on", nIterNoChange=2)
+    model = Pipeline(stages=[est]).fit(feats)
+    save_model(model, str(tmp_path / "m"))
+    again = load_model(str(tmp_path / "m"))
+    other = Pipeline(stages=[est]).fit(feats.repartition(7))
+    key = lambda m: [round(r.prediction, 9) for r in m.transform(feats).orderBy("x1", "x2").collect()]
+    assert key(model) == key(again)
+    assert key(model) == pytest.approx(key(other), rel=1e-6)
+    with pytest.raises(Exception):
+        save_model(model, str(tmp_path / "m"), overwrite=False)
+
+
+def test_manifest_errors_are_not_an_empty_store(spark, tmp_path):
+    from motorisk.sources.runlog import next_version
+    assert next_version(spark, str(tmp_path / "none")) == 1
+    bad = tmp_path / "bad" / "manifest"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        next_version(spark, str(tmp_path / "bad"))
+
+
 def test_metrics_match_numpy(spark):
     y = np.array([0, 0, 1, 2, 0, 3, 1.0])
     p = np.array([0.5, 0.1, 1.2, 1.5, -0.2, 2.0, 0.0])
@@ -158,6 +199,6 @@ def test_frequency_run(spark, f9, tmp_path):
 
 def test_cross_validation(f9):
     out = RUN.cross_validate(f9, ["Type_risk", "Area"], "N_claims_year", "poisson_regressor",
-                             [{"alpha": 1.0}, {"alpha": 0.01}], folds=3)
+                             [{"alpha": 1.0}, {"alpha": 0.01}], folds=3, key="policy_key")
     rows = out.collect()
     assert len(rows) == 2 and all(r["rmse"] > 0 for r in rows)

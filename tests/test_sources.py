@@ -110,3 +110,13 @@ def test_pluggable_reader(spark, tmp_path):
 
     df = load_delimited(spark, str(p), "a int, b string", reader=pipe_reader)
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, None), (2, "x")]
+
+
+def test_wrong_fields_fail_or_are_counted(spark, tmp_path):
+    from motorisk.sources.files import bad_fields
+    (tmp_path / "x.csv").write_text("a;b\n1;u\n1x;v\nNA;w\n2.5;z\n")
+    path, schema = str(tmp_path / "x.csv"), "a int, b string"
+    with pytest.raises(Exception, match="column a"):
+        load_delimited(spark, path, schema).collect()
+    assert [r.a for r in load_delimited(spark, path, schema, strict=False).orderBy("b").collect()] == [1, None, None, None]
+    assert {r.column: r.n_bad for r in bad_fields(spark, path, schema).collect()} == {"a": 2, "b": 0}

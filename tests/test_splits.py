@@ -52,3 +52,25 @@ def test_empty_train_set_raises(spark):
         S.split_data(one, "a", 0.2)
     with pytest.raises(ValueError):
         S.split_data(one.where("a < 0"), "a", 0.2)
+
+
+def test_split_moves_no_row(spark, f8):
+    """The labelled frame's plan holds no exchange: rows are compared where they lie."""
+    for out in (S.split_data(f8, "a", 0.3), S.split_ordered(f8, ["b"], "a", 0.3), S.split_data(f8, "a", 0.3, shuffle=False)):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_cells_are_refined(spark, monkeypatch):
+    monkeypatch.setattr(S, "SORTED_ROWS", 0)
+    df = spark.range(3000).select(F.col("id").alias("a"))
+    want = {r.a for r in S.shuffle_order(df, "a", 5).where("shuffle_position < 900").collect()}
+    got = {r.a for r in S.split_data(df, "a", 0.3, seed=5).where("split = 'test'").collect()}
+    assert got == want
+
+
+def test_ordered_split_with_missing_values(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i % 7)) for i in range(60)], "a int, o double")
+    out = S.split_ordered(df, ["o"], "a", 0.25)
+    train = [tuple(r)[:2] for r in out.where("split = 'train'").collect()]
+    key = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    assert sorted(train, key=key) == sorted(((r.a, r.o) for r in df.collect()), key=key)[:45]

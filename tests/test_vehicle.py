@@ -18,7 +18,7 @@ def vehicle_df(spark):
 
 def test_codes_by_first_appearance(vehicle_df):
     model = VehicleFeatures().fit(vehicle_df)
-    assert model.getOrDefault(model.levels) == ["Petrol", "Diesel", "LPG"]
+    assert [r.level for r in model.table.orderBy("code").collect()] == ["Petrol", "Diesel", "LPG"]
     out = model.transform(vehicle_df).orderBy("policy_key")
     assert [r[0] for r in out.select("fuel_type_encoded").collect()] == [0, 1, 0, 2, 1]
 
@@ -53,5 +53,12 @@ def test_save_and_load(vehicle_df, tmp_path):
     model = VehicleFeatures().fit(vehicle_df)
     model.write().overwrite().save(str(tmp_path / "veh"))
     again = VehicleFeaturesModel.load(str(tmp_path / "veh"))
-    assert again.getOrDefault(again.levels) == ["Petrol", "Diesel", "LPG"]
+    assert [r.level for r in again.table.orderBy("code").collect()] == ["Petrol", "Diesel", "LPG"]
     assert again.transform(vehicle_df).where(F.col("fuel_type_encoded") == 2).count() == 1
+
+
+def test_a_hundred_thousand_levels(spark):
+    df = spark.range(100_000).select(F.col("id").alias("policy_key"), F.concat(F.lit("f"), F.col("id")).alias("Type_fuel"),
+                                     F.lit(1.0).alias("Value_vehicle"))
+    out = VehicleFeatures().fit(df).transform(df)
+    assert out.where("fuel_type_encoded <> policy_key").count() == 0 and out.count() == 100_000
