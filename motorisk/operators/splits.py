@@ -116,23 +116,24 @@ def _check_train(n: int, train: int, test_ratio: float) -> None:
         raise ValueError(f"with {n} rows and test_ratio={test_ratio} the train set would be empty")
 
 
-def _split_at(df: DataFrame, order: Sequence[str], train_rows: Callable[[int], int], test_ratio: float,
+def _split_at(df: DataFrame, order: Sequence[str | Column], train_rows: Callable[[int], int], test_ratio: float,
               may_be_empty: bool = False) -> DataFrame:
     """The first ``train_rows(n)`` rows in ``order`` are train."""
-    order = list(dict.fromkeys(order))
-    narrow = df.select(*order)
-    idx, n = O.row_index_and_count(narrow, order, "_i")
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"o{i}" for i in range(len(columns))]
+    narrow = df.select(*[c.alias(n) for c, n in zip(columns, names)])
+    idx, n = O.row_index_and_count(narrow, names, "_i")
     cut = train_rows(n)
     if not may_be_empty:
         _check_train(n, cut, test_ratio)
-    first = idx.where(F.col("_i") == cut).select(*order).first()     # first test row
+    first = idx.where(F.col("_i") == cut).select(*names).first()     # first test row
     if first is None:
         return df.withColumn(SPLIT, F.lit(TRAIN))
-    here = F.struct(*order)
+    here = F.struct(*[c.alias(n) for c, n in zip(columns, names)])
     return df.withColumn(SPLIT, F.when(here >= _literal(first, narrow.schema), TEST).otherwise(TRAIN))
 
 
-def split_ordered(df: DataFrame, order: Sequence[str], key: str, test_ratio: float = 0.2) -> DataFrame:
+def split_ordered(df: DataFrame, order: Sequence[str | Column], key: str, test_ratio: float = 0.2) -> DataFrame:
     """The first int(n · (1 − ratio)) rows in ``order`` are train."""
     _check_ratio(test_ratio)
     return _split_at(df, [*order, key], lambda n: int(n * (1 - test_ratio)), test_ratio, may_be_empty=True)
