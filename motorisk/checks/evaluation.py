@@ -40,7 +40,7 @@ FROM (SELECT policy_key, CAST(try_strptime(Date_last_renewal, '%d/%m/%Y') AS DAT
 @register("split_ordered", SPLIT_ORDERED_SQL)
 def split_ordered(spark, sf_dir):
     pol = A.policies(spark, sf_dir).select("policy_key", D.parse_date("Date_last_renewal").alias("renewal"))
-    return S.split_ordered(pol, [F.col("renewal").asc_nulls_first()], "policy_key", C.TEST_RATIO)
+    return S.split_ordered(pol, ["renewal"], "policy_key", C.TEST_RATIO)
 
 
 SHUFFLE_SQL = A.with_sources(f"""
