@@ -15,8 +15,8 @@ from motorisk.sources.adapter import TABLES
 from conftest import SF_SMALL
 
 load_all()
-SLOW_ROWS_ONLY = {"poisson_gbm", "gbt_squared", "model_comparison", "frequency_run", "model_versions",
-                  "severity_run", "prediction_histograms", "drift_stream", "gamma_saturated", "coefficients"}
+SLOW_ROWS_ONLY = {"poisson_gbm", "gbt_squared", "model_comparison", "frequency_run", "severity_run", "prediction_histograms",
+                  "coefficients"}
 
 
 def _norm(v):

@@ -26,7 +26,7 @@ def test_gamma_saturated_close_to_level_means(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     sql = CM.C.A.with_sources(CM.GAMMA_SAT_SQL, *CM.C.SPLIT_CTES)
     expected = {int(r[0]): r[1] for r in con.execute(sql).fetchall()}
-    got = {r[0]: r[1] for r in Q["gamma_saturated"](spark, SF_SMALL).collect()}
+    got = {r[0]: r[1] for r in CM.gamma_level_means(spark, SF_SMALL).collect()}
     assert set(got) == set(expected)
     for k in got:
         assert got[k] == pytest.approx(expected[k], rel=1e-6)
