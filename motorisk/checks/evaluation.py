@@ -256,13 +256,19 @@ def portfolio_balance(spark, sf_dir):
 
 
 RESIDUAL_SQL = A.with_sources(f"""
-SELECT observed, predicted, CAST(count(*) AS BIGINT) AS n_rows, round(observed - predicted, 6) AS residual
-FROM (SELECT CAST({C.TARGET} AS DOUBLE) AS observed, round(prediction, 6) AS predicted
-      FROM level_scored WHERE split = 'test') GROUP BY observed, predicted""", *C.SCORED_CTES)
+SELECT observed_bin, predicted_bin, CAST(count(*) AS BIGINT) AS n_rows, round(avg(y), 6) AS observed, round(avg(mu), 6) AS predicted,
+       round(avg(y - mu), 6) AS residual
+FROM (SELECT y, mu,
+             CASE WHEN y1 > y0 THEN least({E.GRID_BINS - 1}, CAST(floor((y - y0) / ((y1 - y0) / {E.GRID_BINS})) AS INTEGER)) ELSE 0 END AS observed_bin,
+             CASE WHEN m1 > m0 THEN least({E.GRID_BINS - 1}, CAST(floor((mu - m0) / ((m1 - m0) / {E.GRID_BINS})) AS INTEGER)) ELSE 0 END AS predicted_bin
+      FROM (SELECT CAST({C.TARGET} AS DOUBLE) AS y, prediction AS mu, min(CAST({C.TARGET} AS DOUBLE)) OVER () AS y0,
+                   max(CAST({C.TARGET} AS DOUBLE)) OVER () AS y1, min(prediction) OVER () AS m0, max(prediction) OVER () AS m1
+            FROM level_scored WHERE split = 'test'))
+GROUP BY observed_bin, predicted_bin""", *C.SCORED_CTES)
 
 
 @register("residual_grid", RESIDUAL_SQL)
 def residual_grid(spark, sf_dir):
     test = C.level_scored(spark, sf_dir).where(F.col("split") == "test")
     out = E.residual_grid(test, C.TARGET, "prediction")
-    return out.withColumn("residual", r6(F.col("residual")))
+    return out.withColumns({c: r6(F.col(c)) for c in ("observed", "predicted", "residual")})

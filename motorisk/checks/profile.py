@@ -173,7 +173,9 @@ SELECT CAST(g.point AS INTEGER) AS point, round(s.lo + g.point * ((s.hi - s.lo)
                                       / (s.sd * power(CAST(s.n AS DOUBLE), -0.2)), 2)))
              / (CAST(s.n AS DOUBLE) * s.sd * power(CAST(s.n AS DOUBLE), -0.2) * {P.SQRT_2PI!r}), 10) AS density
 FROM (SELECT range AS point FROM range({P.KDE_GRID})) g,
-     (SELECT v, count(*) AS w FROM vals GROUP BY v) w,
+     (SELECT avg(v) AS v, count(*) AS w FROM (
+        SELECT v, CASE WHEN hi > lo THEN least({P.KDE_CELLS - 1}, CAST(floor((v - lo) / ((hi - lo) / {float(P.KDE_CELLS)})) AS BIGINT)) ELSE 0 END AS cell
+        FROM vals, (SELECT min(v) AS lo, max(v) AS hi FROM vals)) GROUP BY cell) w,
      (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) AS sd FROM vals) s
 GROUP BY g.point, s.lo, s.hi, s.n, s.sd
 """, f"vals AS (SELECT CAST({KDE_COL} AS DOUBLE) AS v FROM policies WHERE {KDE_COL} IS NOT NULL)")

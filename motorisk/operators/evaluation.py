@@ -100,11 +100,22 @@ def risk_group_calibration(df: DataFrame, observed: str, pred: str, key: str, n_
     ).withColumn("bin_center", (F.col("bin") + 0.5) / n_bins)
 
 
-def residual_grid(df: DataFrame, observed: str, pred: str, digits: int = 6,
+# Bins per axis of the actual-vs-predicted grid.
+GRID_BINS = 50
+
+
+def residual_grid(df: DataFrame, observed: str, pred: str, bins: int = GRID_BINS,
                   group_cols: Sequence[str] = ()) -> DataFrame:
-    """Actual-vs-predicted and residual plot data as counts per
-    (observed, rounded prediction) cell with the cell's residual."""
-    y, mu = F.col(observed).cast("double"), F.round(F.col(pred).cast("double"), digits)
-    return df.groupBy(*group_cols, y.alias("observed"), mu.alias("predicted")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows")).withColumn(
-        "residual", F.col("observed") - F.col("predicted"))
+    """Actual-vs-predicted and residual plot data as a 2-D binned count:
+    ``bins`` equal cells over the range of each axis, and per filled cell the
+    rows, the mean observed and predicted value and the mean residual."""
+    y, mu = F.col(observed).cast("double"), F.col(pred).cast("double")
+    ends = df.select(F.struct(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(mu).alias("m0"), F.max(mu).alias("m1"))).scalar()
+
+    def cell(v, lo: str, hi: str):
+        lo, hi = ends.getField(lo), ends.getField(hi)
+        return F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((v - lo) / ((hi - lo) / bins)).cast("int"))).otherwise(F.lit(0))
+
+    return df.groupBy(*group_cols, cell(y, "y0", "y1").alias("observed_bin"), cell(mu, "m0", "m1").alias("predicted_bin")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.avg(y).alias("observed"), F.avg(mu).alias("predicted"),
+        F.avg(y - mu).alias("residual"))

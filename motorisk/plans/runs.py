@@ -24,6 +24,7 @@ from ..models.glm import select_training_algorithm
 from ..operators import evaluation as E
 from ..operators import histograms as H
 from ..operators.materialize import materialize
+from ..operators.ordering import exact_quantiles
 from ..operators.splits import SPLIT, TRAIN, split_data
 from ..functions import bands as B
 from ..sources import runlog as L
@@ -155,7 +156,10 @@ def severity_run(dataset: DataFrame, key: str, config: Mapping = SEVERITY_CONFIG
     plots = {
         "loss_distribution": H.histogram(train, target, 40),
         "feature_importance": coefficient_table(gamma, features),
-        "residuals": E.residual_grid(scored, target, "pred_gamma", 2, group_cols=[SPLIT]),
+        "loss_distribution_middle95": H.histogram(_middle(train, target), target, 40),
+        "residuals": E.residual_grid(scored, target, "pred_gamma", group_cols=[SPLIT]),
+        "actual_vs_predicted": E.residual_grid(scored.where(F.col(SPLIT) != TRAIN), target, "pred_gamma").select(
+            "observed", "predicted", "n_rows"),
     }
     if log is not None:
         log.log_parameters(run_id, config["parameters"])
@@ -168,6 +172,12 @@ def severity_run(dataset: DataFrame, key: str, config: Mapping = SEVERITY_CONFIG
     return RunResult(run_id, gamma, scored, metrics, plots, version)
 
 
+def _middle(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
+    """Rows between the outer quantiles that leave ``share`` of them (P10)."""
+    q = exact_quantiles(df, column, [(1 - share) / 2, (1 + share) / 2], ["lo", "hi"]).first()
+    return df.where(F.col(column).between(q.lo, q.hi))
+
+
 FREQUENCY_MODELS = {
     "baseline": ("mean", {}),
     "ridge": ("ridge", {"alpha": 1.0}),
