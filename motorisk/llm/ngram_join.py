@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Stages, components
+from .common import Stages, components, likely_members
 
 #: A shingle is frequent when it is in this share of the sets; bounds the broadcast list.
 FREQUENT_SHARE = 0.002
@@ -357,7 +357,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(hit, pa.int64())),
                                               pa.array([order.keys(sets[i]).tobytes() for i in hit], pa.binary())], names=["node", "keys"])
 
-    sets = st.write(narrow.join(alive, narrow["id"] == alive["rep"]).select("text", "node")
+    likely = likely_members(narrow, "id", alive, "rep", alive.count())
+    sets = st.write(likely.join(alive, likely["id"] == alive["rep"]).select("text", "node")
                     .mapInArrow(ordered, "node long, keys binary"), "keys")
     buckets = enough(alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     full = postings(sets.mapInArrow(_post_sets(buckets), _POSTINGS), buckets).join(alive.select("node", "n"), "node")
@@ -369,19 +370,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
     family = components(held.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     family = st.write(family, "family")
+    st.drop(held)
 
     # families larger than a block: their sets go to every pair of blocks that holds theirs
     parts = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    sets = sets.join(family.join(parts, "component"), "node")
+    routed = sets.join(family.join(parts, "component"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = (sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = (routed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .where("parts < 3 or own <> other")      # a block meets itself in every pair it is in
               .select("component", F.when(F.col("parts") < 3, 0).otherwise(F.least("own", "other")).alias("i"),
                       F.when(F.col("parts") < 3, 1).otherwise(F.greatest("own", "other")).alias("j"), "node", "keys")
               .dropDuplicates(["component", "i", "j", "node"]))
     links = (placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
              .mapInArrow(_family_links(percent), "a long, b long"))
-    group = components(links)
+    group = components(links)                       # has read the sets when it returns
+    st.drop(sets, family, alive)
     linked = group.join(nodes.select("node", "rep"), "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     per_node = linked.join(least, "component").select("node", "least")
