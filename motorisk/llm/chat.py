@@ -99,9 +99,10 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
     return "".join(out)
 
 
-def tokenizer(path: str):
+def tokenizer(definition: str):
+    """Tokenizer of a definition (the text of its file) with the template's markers as special tokens."""
     from tokenizers import AddedToken, Tokenizer
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_str(definition)
     t.add_special_tokens([AddedToken(s, normalized=False, special=True) for s in (START, SEP, END)])
     t.no_truncation()
     t.no_padding()
@@ -120,8 +121,11 @@ def format_conversations(df: DataFrame, path: str, conv: str = "conv_id", turn:
     schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()),
                         ("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8()))])
 
+    with open(path, encoding="utf-8") as f:
+        definition = df.sparkSession.sparkContext.broadcast(f.read())     # a tokenizer's file: a few MB
+
     def run(batches):
-        tok = tokenizer(path)
+        tok = tokenizer(definition.value)
         place = TaskContext.get().partitionId() << 32
         key, turns, size, number = None, [], 0, 0
 

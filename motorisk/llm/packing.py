@@ -156,13 +156,15 @@ def unpack(packed: DataFrame, end_id: int) -> DataFrame:
 
 
 def ranked_encoder(path: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
-    """Encoder of a file of byte-pair ranks."""
+    """Encoder of a file of byte-pair ranks; tasks get its content (under 1 MB) with the function."""
+    with open(path, "rb") as f:
+        content = f.read()
+
     def make():
         import base64
 
         import tiktoken
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return make
 

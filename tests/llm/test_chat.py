@@ -60,7 +60,7 @@ def test_one_conversation_over_many_tasks(spark, monkeypatch):
 @pytest.mark.parametrize("seed", range(3))
 def test_escape_and_mask(seed):
     r = random.Random(seed)
-    tok = chat.tokenizer(PATH)
+    tok = chat.tokenizer(open(PATH, encoding="utf-8").read())
     for _ in range(200):
         s = "".join(r.choice(CONTROL) for _ in range(r.randrange(0, 12)))
         assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)
