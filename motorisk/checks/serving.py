@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..features.transformers import CarAge
 from ..functions import dates as D
 from ..models.baseline import MeanRegressor
+from ..models.glm import PoissonRegressor
 from ..operators import evaluation as E
 from ..sources import runlog as L
 from ..sources.files import load_delimited, scratch_dir
@@ -38,12 +40,19 @@ def quotes(spark, sf_dir):
 
 
 def scoring_model(spark, sf_dir):
-    """Pipeline fitted on the training split, saved (S5) and loaded back."""
-    train = _with_car_age(C.freq_split(spark, sf_dir).where(F.col("split") == "train"))
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=QUOTE_FIELDS, outputCol="features"),
-        MeanRegressor(labelCol=C.TARGET, groupCol=C.LEVEL_COL),
+    """Feature stages and Poisson GLM fitted on the training split, saved
+    and loaded back. The GLM is saturated in the risk type, so its predictions
+    are the level means of the SQL twin."""
+    train = C.freq_split(spark, sf_dir).where(F.col("split") == "train").select(
+        "Year_matriculation", *[f for f in QUOTE_FIELDS if f != "Car_age_years"], C.TARGET)
+    features = Pipeline(stages=[
+        CarAge(asOfYear=AS_OF_YEAR),
+        OneHotEncoder(inputCols=[C.LEVEL_COL], outputCols=["_level"], dropLast=True, handleInvalid="keep"),
+        VectorAssembler(inputCols=["_level"], outputCol="features"),
     ]).fit(train)
+    ready = features.transform(train)
+    glm = PoissonRegressor(alpha=0.0, max_iter=100, tol=1e-12).spark_estimator(ready, "features", C.TARGET)
+    pipe = PipelineModel([*features.stages, glm.fit(ready)])
     path = scratch_dir(spark, "quote-model")
     L.save_model(pipe, path)
     return L.load_model(path)

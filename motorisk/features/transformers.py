@@ -158,3 +158,25 @@ class NewClientFeatures(FeatureTransformer):
             "Driver_age_years": D.years_between_days("Date_birth_dt", as_of),
             "Driver_experience_years": D.years_between_days("Date_driving_licence_dt", as_of),
         })
+
+
+class CarAge(FeatureTransformer):
+    """F6 as a pipeline stage: car age in whole years at a fixed year, from the
+    registration year. A frame that carries the age itself, as a quote does,
+    passes unchanged, so one saved pipeline serves training rows and quotes."""
+
+    asOfYear = Param(Params._dummy(), "asOfYear", "year the age is counted to", TypeConverters.toInt)
+    yearCol = Param(Params._dummy(), "yearCol", "registration year", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "output: car age", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, asOfYear=2018, yearCol="Year_matriculation", outputCol="Car_age_years"):
+        super().__init__()
+        self._setDefault(asOfYear=2018, yearCol="Year_matriculation", outputCol="Car_age_years")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        g = self.getOrDefault
+        if g(self.outputCol) in df.columns:
+            return df
+        return df.withColumn(g(self.outputCol), D.abs_int_difference(g(self.yearCol), g(self.asOfYear)).cast("int"))

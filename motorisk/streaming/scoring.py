@@ -11,7 +11,6 @@ runs in append mode; the checkpoint folder makes it restartable.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,16 +31,15 @@ def score_quotes(model: PipelineModel, quotes: DataFrame, id_col: str = "quote_i
                  prediction: str = "prediction") -> DataFrame:
     """(quote_id, status, prediction) for every quote; NULL for rejects.
 
-    One pass: every quote is parsed once and goes through the model, assemblers
-    keep rows with missing fields, and the status decides whether the
-    prediction counts."""
+    One pass: every quote is parsed once and goes through the model, and the
+    status decides whether the prediction counts."""
     request = F.from_json(F.col(body_col), QUOTE_SCHEMA, {"mode": "PERMISSIVE"})
     ok = F.lit(True)
     for f in QUOTE_SCHEMA.fields:
         ok = ok & F.col(f.name).isNotNull()
     rows = quotes.select(id_col, request.alias("_request")).select(id_col, "_request.*").withColumn("_ok", ok)
-    stages = [s.copy().setHandleInvalid("keep") if isinstance(s, VectorAssembler) else s for s in model.stages]
-    scored = PipelineModel(stages).transform(rows)
+    # a rejected quote goes through with zeros; its prediction does not count
+    scored = model.transform(rows.fillna(0, [f.name for f in QUOTE_SCHEMA.fields]))
     return scored.select(id_col, F.when(F.col("_ok"), SCORED).otherwise(REJECTED).alias("status"),
                          F.when(F.col("_ok"), F.col(prediction).cast("double")).alias("prediction"))
 
