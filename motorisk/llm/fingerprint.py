@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stages, shuffle_partitions
+from .common import Stages, long_array, shuffle_partitions
 
 TABLES, WIDTH = 3, 12
 CELLS = TABLES * WIDTH
@@ -138,8 +138,9 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     step = math.ceil(math.sqrt(len(bounds)))
     fine = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(F.lit([f[0] for f in fine]), lambda x: x < key))
-    below = F.size(F.filter(F.get(F.lit([f + [(1 << 63) - 1] * (step - len(f)) for f in fine]), coarse - 1), lambda x: x < key))
+    coarse = F.size(F.filter(long_array([f[0] for f in fine]), lambda x: x < key))
+    part = F.slice(long_array(bounds), F.greatest(F.lit(1), (coarse - 1) * step + 1), F.lit(step))
+    below = F.size(F.filter(part, lambda x: x < key))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below)
 
 
@@ -183,23 +184,26 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
               .select("id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own",
                       paragraphs(F.col("edited")).alias("new"), F.col("next_own").alias("nxt")))
     narrow = st.write(narrow.withColumn("row", F.monotonically_increasing_id()), "versions")
-    cells = narrow.withColumns({"s": sketch(F.col("own")), "e": sketch(F.col("new")), "t": sketch(F.col("nxt"))})
-    peeled = cells.withColumns({"p0": _peeled(F.col("s"), F.col("e")), "p1": _peeled(F.col("s"), F.col("t"))})
-
-    def printed(s: str) -> Column:
-        return F.array_join(F.transform(s, lambda c: F.concat_ws(".", c["n"].cast("string"), F.lower(F.hex(c["d"])), F.lower(F.hex(c["c"])))), " ")
-    first = st.write(peeled.select("row", "id", "n_chars", "edited_sha256", printed("s").alias("fingerprint"),
-                                   printed("e").alias("edited_fingerprint"), (F.size("own") + F.size("new")).alias("m0"),
-                                   (F.size("own") + F.size("nxt")).alias("m1"), "p0", "p1"), "sketches")
+    peeled = narrow.select("row", _peeled(sketch(F.col("own")), sketch(F.col("new"))).alias("p0"),
+                           _peeled(sketch(F.col("own")), sketch(F.col("nxt"))).alias("p1"))
+    first = st.write(peeled, "peeled")
     again = [narrow.join(first.where(f"not p{i}.all").select("row"), "row").select("row", F.lit(i).alias("which"), F.col("own").alias("x"),
                                                                                  F.col(other).alias("y")) for i, other in enumerate(("new", "nxt"))]
     again = st.write(again[0].unionByName(again[1]), "undecoded")
     more = recovered_differences(again, "x", "y", ["row", "which"], st).groupBy("row").agg(
         *(F.max(F.when(F.col("which") == i, F.col("d"))).alias(f"d{i}") for i in (0, 1)))
 
-    def likeness(i: int) -> Column:
-        d = F.when(F.col(f"p{i}.all"), F.col(f"p{i}.n")).otherwise(F.col(f"d{i}"))
-        return F.when(F.col(f"m{i}") == 0, F.lit(1.0)).otherwise(1 - d / F.col(f"m{i}")).cast("double")
-    return first.join(more, "row", "left").select(
-        F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
+    # the long columns stay out of the joins: sketches are printed at the end
+    known = first.join(more, "row", "left").select("row", *(
+        F.when(F.col(f"p{i}.all"), F.col(f"p{i}.n")).otherwise(F.col(f"d{i}")).alias(f"d{i}") for i in (0, 1)))
+
+    def likeness(d: str, other: str) -> Column:
+        both = F.size("own") + F.size(other)
+        return F.when(both == 0, F.lit(1.0)).otherwise(1 - F.col(d) / both).cast("double")
+
+    def printed(digests: str) -> Column:
+        return F.array_join(F.transform(sketch(F.col(digests)), lambda c: F.concat_ws(
+            ".", c["n"].cast("string"), F.lower(F.hex(c["d"])), F.lower(F.hex(c["c"])))), " ")
+    return narrow.join(known, "row").select(
+        F.col("id").alias(key), "n_chars", "edited_sha256", printed("own").alias("fingerprint"), printed("new").alias("edited_fingerprint"),
+        likeness("d0", "new").alias("near_edited"), likeness("d1", "nxt").alias("near_next"))
