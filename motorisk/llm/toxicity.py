@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -145,11 +146,11 @@ def features_of(word: str) -> list[str]:
 class Reader:
     """Texts to restored words, remembering tokens."""
 
-    def __init__(self, model: CharacterModel, of=lambda words: words):
-        self.model, self.of, self.memo = model, of, {}
+    def __init__(self, model: CharacterModel, of=lambda words: words, most: int = MEMO):
+        self.model, self.of, self.memo, self.most = model, of, {}, most
 
     def token(self, chunk: str):
-        if len(self.memo) >= MEMO:
+        if len(self.memo) >= self.most:
             self.memo.clear()
         got = self.memo[chunk] = self.of(words_of(chunk, self.model))
         return got
@@ -172,7 +173,10 @@ def _count_features(shared):
     schema = pa.schema([("f", pa.string()), ("pos", pa.int64()), ("neg", pa.int64()), ("ctx", pa.int64())])
 
     def run(batches):
-        reader = Reader(shared.value)
+        def of(words):
+            """Features of a token, and the mark it sets for the token behind it."""
+            return (tuple({f for w in words for f in features_of(w)}), 1 << (zlib.crc32(words[0].encode()) & 63)) if words else None
+        reader = Reader(shared.value, of, MEMO // 4)
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
 
         def passed_on():
@@ -183,13 +187,12 @@ def _count_features(shared):
         for b in batches:
             for t, label in zip(b.column(0), b.column(1).to_pylist()):
                 found: dict[str, int] = {}
-                last = 0
-                for words in reader.read(t.as_py() or ""):
-                    for w in words:
-                        for f in features_of(w):
-                            found[f] = found.get(f, 0) | (1 << last)
-                    if words:
-                        last = int(tb.mix(np.asarray([len(words[0]) + sum(map(ord, words[0])) * 31], np.uint64))[0] & np.uint64(63))
+                before = 1
+                for token in reader.read(t.as_py() or ""):
+                    if token is not None:
+                        for f in token[0]:
+                            found[f] = found.get(f, 0) | before
+                        before = token[1]
                 for f, ctx in found.items():
                     v = seen[f]
                     v[0 if label else 1] += 1
