@@ -8,10 +8,10 @@ does not depend on any order of work.
 
 1. Lines with equal sets: only the first can stay, the others need no
    comparison.
-2. Elimination: in the fixed order of the hashes, two similar sets share a
-   shingle of their prefixes (size - ceil(SIMILARITY * size) + 1 shingles). Lines
-   none of whose prefix shingles is in another line's prefix match nothing.
-   Counting takes the smallest and largest set per shingle (combined before the
+2. Elimination: in the fixed order of the hashes, two similar sets share
+   several shingles of their extended prefixes (the l-prefix lemma: prefixes
+   longer by l - 1 share l). Lines that share fewer with all others match
+   nothing. Counting takes the smallest and largest set per shingle (combined before the
    shuffle), so a frequent line costs its shingles one row per task.
 3. The others are joined: their shingles are ordered by rarity (counts of
    ``RARITY_CELLS`` hash cells over all these lines, a table of fixed size, then
@@ -33,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import row_index
-from .common import Stages, free_name
+from .common import Stages, free_name, likely_members, long_array
 
 SIMILARITY_PERCENT, WORDS = 80, 5
 RARITY_CELLS = 1 << 16
+#: Part of a set by which the prefix of the elimination is longer than the basic one.
+EXTENSION = 0.05
 
 
 def shingle_set(line: Column) -> Column:
@@ -63,23 +65,28 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str = "text",
                   percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """(id, no, lh): place and hash of every line that goes."""
-    spark = docs.sparkSession
+    extra = F.floor(F.size("a") * EXTENSION).cast("int")
     sets = (_lines(docs, key, text).withColumn("a", shingle_set(F.col("line"))).where("a is not null")
             .select("id", "no", F.xxhash64("line").alias("lh"), F.xxhash64("a").alias("sid"), F.size("a").alias("n"),
-                    F.slice("a", F.lit(1), prefix_size(F.size("a"), percent)).alias("keys")))
+                    F.slice("a", F.lit(1), prefix_size(F.size("a"), percent) + extra).alias("keys")))
     lines = st.write(sets, "lines")
     posted = lines.select("sid", F.explode("keys").alias("key"))
     shared = (posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
               .where("lo <> hi").select("key"))
-    alive = posted.join(shared, "key", "left_semi").select("sid").distinct()
-    firsts = st.write(lines.groupBy("sid").agg(F.min(F.struct("id", "no", "lh")).alias("f"), F.first("n").alias("n"))
-                      .select("sid", "f.id", "f.no", "f.lh", "n"), "firsts")
-    left = firsts.join(alive, "sid", "left_semi")
+    alive = posted.join(shared, "key", "left_semi").groupBy("sid").agg(F.count(F.lit(1)).alias("m"))
+    firsts = st.write(lines.groupBy("sid").agg(F.min(F.struct("id", "no", "lh")).alias("f"), F.first("n").alias("n"),
+                                               F.count(F.lit(1)).alias("copies"))
+                      .select("sid", "f.id", "f.no", "f.lh", "n", "copies"), "firsts")
+    # a partner may be smaller, and the smaller extension counts; every copy of a set posts the same
+    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTENSION)
+    left = firsts.join(alive, "sid").where(F.col("m") / F.col("copies") >= need)
     ranked = st.write(row_index(left.select("sid", "id", "no"), ["id", "no", "sid"], "r"), "ranked")
 
     # whole sets of the lines left, from the text
     wanted = ranked.groupBy("id").agg(F.collect_list(F.struct("no", "sid", "r")).alias("want"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    bodies = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    wanted = st.write(wanted, "wanted")
+    texts = likely_members(bodies, "id", wanted, "id", wanted.count()).join(wanted, "id")
     picked = (texts.withColumn("all", F.split("text", "\n")).select("all", F.explode("want").alias("w"))
               .select("w.sid", "w.r", shingle_set(F.get("all", F.col("w.no"))).alias("a"))
               .where("a is not null and xxhash64(a) = sid").dropDuplicates(["r"]).select("r", "a"))
@@ -92,11 +99,12 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
     rank = [0] * RARITY_CELLS
     for i, row in enumerate(sorted(counts, key=lambda r: (r.c, r.cell))):
         rank[row.cell] = i
-    ranks = F.lit(rank)
+    ranks = long_array(rank)
     low = F.lit((1 << 46) - 1)
     ordered = picked.select("r", F.size("a").alias("n"), F.sort_array(F.transform(
-        "a", lambda x: F.shiftleft(F.get(ranks, cell(x).cast("int")).cast("long"), 46).bitwiseOR(x.bitwiseAND(low)))).alias("o"))
+        "a", lambda x: F.shiftleft(F.get(ranks, cell(x).cast("int")), 46).bitwiseOR(x.bitwiseAND(low)))).alias("o"))
     ordered = st.write(ordered, "ordered")
+    st.drop(wanted, picked)
     prefix = ordered.select("r", "n", F.posexplode(F.slice("o", F.lit(1), prefix_size(F.col("n"), percent))).alias("pos", "key"))
     hubs = prefix.groupBy("key").agg(F.min("r").alias("hub"), F.max("r").alias("top")).where("hub < top").select("key", "hub")
     prefix = st.write(prefix.join(hubs, "key"), "prefix")
@@ -123,6 +131,7 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
     open_lines = prefix.join(near_first, "r", "left_anti")
     rest = verified(pairs(open_lines.where("r <> hub"), prefix.where("r <> hub"), F.col("b.r") < F.col("a.r")))
     matched = near_first.unionByName(st.write(rest, "matched")).distinct()
+    st.drop(prefix, ordered)
     gone = matched.join(ranked, "r").select("sid", F.lit(True).alias("gone"))
     at = firsts.select("sid", F.col("id").alias("fid"), F.col("no").alias("fno"), F.col("lh").alias("flh"))
     later = (lines.select("id", "no", "lh", "sid").join(at, "sid").join(gone, "sid", "left")
