@@ -114,9 +114,10 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
         a, b = left.alias("a"), right.alias("b")
         na, nb = F.col("a.n"), F.col("b.n")
         least = F.ceil((na + nb) * percent / (100 + percent))
-        later = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))        # this shingle and all after it
+        # at the first shingle a pair shares nothing before it is shared: this one and all after it must do
+        later = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
         return (a.join(b, (F.col("a.key") == F.col("b.key")) & how & (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
-                       & (F.least(F.col("a.pos"), F.col("b.pos")) + later >= least))
+                       & (later >= least))
                 .select(F.col("a.r").alias("r"), F.col("b.r").alias("s")).distinct())
 
     def verified(cand: DataFrame) -> DataFrame:
