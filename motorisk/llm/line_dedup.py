@@ -1,7 +1,9 @@
 """Operator 3: line dedup, an exact set-similarity join in DataFrame functions only.
 
-A line's set holds its distinct 5-word shingles (words between blanks, lower
-case; 64-bit hashes). A line goes when an earlier line, in the order of
+A line's set holds its distinct 5-word shingles (words between ASCII white
+space, lower case; 64-bit hashes). With ``short``, as in the registered queries,
+a line of one to four words (a line of an unspaced script, too) has one shingle,
+its whole word sequence. A line goes when an earlier line, in the order of
 (document id, line number), has a set with Jaccard similarity of ``SIMILARITY``
 or more; whether that earlier line stays itself does not matter, so the result
 does not depend on any order of work.
@@ -20,8 +22,8 @@ does not depend on any order of work.
    of near copies without pairing them all; lines left meet the other earlier
    ones. Candidates are verified on whole sets.
 
-Defined cases: null text stays null, empty text stays empty; lines of fewer
-than five words (so empty ones, too) always stay; a text that loses all lines
+Defined cases: null text stays null, empty text stays empty; lines without
+words always stay, and without ``short`` those of fewer than five words; a text that loses all lines
 becomes empty; rows with equal ids count as one document, so the same line at
 the same place of a repeated row is no later match; rows without id are left
 alone; an empty table stays empty; other columns are kept, and helper columns
@@ -41,14 +43,16 @@ RARITY_CELLS = 1 << 16
 EXTENSION = 0.05
 
 
-def shingle_set(line: Column) -> Column:
-    """Sorted distinct shingle hashes; empty for fewer than ``WORDS`` words."""
-    words = F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+def shingle_set(line: Column, short: bool = False) -> Column:
+    """Sorted distinct shingle hashes; null without words, and for fewer than
+    ``WORDS`` words unless ``short`` makes their sequence one shingle."""
+    words = F.transform(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]"), ""), lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(h) - F.lit(WORDS))
-        return F.when(F.size(h) >= WORDS, F.sort_array(F.array_distinct(F.transform(
+        long = F.when(F.size(h) >= WORDS, F.sort_array(F.array_distinct(F.transform(
             at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WORDS)))))))
+        return long.when(F.size(h) > 0, F.array(F.xxhash64(h))) if short else long
     # through a one-element array, so the hashes of the words are computed once
     return F.transform(F.array(words), shingles)[0]
 
@@ -63,10 +67,10 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str = "text",
-                  percent: int = SIMILARITY_PERCENT) -> DataFrame:
+                  percent: int = SIMILARITY_PERCENT, short: bool = False) -> DataFrame:
     """(id, no, lh): place and hash of every line that goes."""
     extra = F.floor(F.size("a") * EXTENSION).cast("int")
-    sets = (_lines(docs, key, text).withColumn("a", shingle_set(F.col("line"))).where("a is not null")
+    sets = (_lines(docs, key, text).withColumn("a", shingle_set(F.col("line"), short)).where("a is not null")
             .select("id", "no", F.xxhash64("line").alias("lh"), F.xxhash64("a").alias("sid"), F.size("a").alias("n"),
                     F.slice("a", F.lit(1), prefix_size(F.size("a"), percent) + extra).alias("keys")))
     lines = st.write(sets, "lines")
@@ -88,7 +92,7 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
     wanted = st.write(wanted, "wanted")
     texts = likely_members(bodies, "id", wanted, "id", wanted.count()).join(wanted, "id")
     picked = (texts.withColumn("all", F.split("text", "\n")).select("all", F.explode("want").alias("w"))
-              .select("w.sid", "w.r", shingle_set(F.get("all", F.col("w.no"))).alias("a"))
+              .select("w.sid", "w.r", shingle_set(F.get("all", F.col("w.no")), short).alias("a"))
               .where("a is not null and xxhash64(a) = sid").dropDuplicates(["r"]).select("r", "a"))
     picked = st.write(picked, "sets")
 
@@ -141,13 +145,13 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None,
-                percent: int = SIMILARITY_PERCENT) -> DataFrame:
+                percent: int = SIMILARITY_PERCENT, short: bool = False) -> DataFrame:
     """``docs`` without the lines that go; with ``removed``, a column of that
-    name counts them."""
+    name counts them. ``short``: lines of fewer than ``WORDS`` words take part."""
     if removed and removed.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {removed!r} exists already; name another output column")
     st = Stages(docs.sparkSession)
-    gone = removed_lines(docs, st, key, text, percent)
+    gone = removed_lines(docs, st, key, text, percent, short)
     k, g = (free_name(docs.columns, x) for x in ("line_doc", "line_gone"))
     per_doc = gone.groupBy(F.col("id").alias(k)).agg(F.collect_set(F.struct("no", "lh")).alias(g))
     joined = docs.join(per_doc, F.col(key).cast("long") == F.col(k), "left")

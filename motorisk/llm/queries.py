@@ -69,7 +69,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed", short=True)
 
 
 @register("op4_embedding_dedup")

@@ -76,3 +76,22 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame(corpus(3, 10), "doc_id long, text string")
     plan = dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_short_tabbed_and_unspaced_lines(spark):
+    tabbed, unspaced = "a\tb\tc\td\te\tf", "これは空白のない長い一行です。" * 5
+    rows = [(1, f"All rights reserved.\n{tabbed}\n{unspaced}\n\n \t"), (2, f"all  rights\tRESERVED.\nall rights\n{tabbed}\r\n\n \t"),
+            (3, f"{unspaced}\nreserved. all rights\na b c d e f"), (4, "all rights reserved. by us")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.gone) for r in dedup_lines(df, removed="gone", short=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("all rights\n\n \t", 2), 3: ("reserved. all rights", 2), 4: (rows[3][1], 0)}
+
+
+def test_registered_query_and_stage_drop_copies_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from motorisk.llm.queries import QUERIES
+    rows = [(1, "All rights reserved.\none"), (2, "All rights reserved.\ntwo")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (QUERIES["op3_line_dedup"](spark, str(tmp_path)), corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "two"}
