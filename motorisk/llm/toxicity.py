@@ -55,6 +55,9 @@ SEPARATORS = frozenset(".-_*'\"`~,;:/\\ ")
 IMITATED, STUTTER, PADDED, KEPT = -2.0, -1.0, -1.0, -9.0
 
 _EDGE = "\"'()[]{}<>.,;:!?*#%&$|~`"
+#: Readings of a token keep this many runs of imitating signs at either end, and all of them.
+EDGE_RUNS = 3
+_IMITATING = re.compile("([" + re.escape("".join(IMITATES)) + r"])\1*")
 _PLAIN = re.compile(r"^[^\W\d_]+$")
 _RUN = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:][ .\-_*]){3,}[^\s.,;:](?!\S)")
@@ -96,14 +99,14 @@ class CharacterModel:
         three = (c + 5 * two[None]) / (c.sum(2)[:, :, None] + 5)
         self.log = np.log(three).tolist()
 
-    def restore(self, token: str) -> str:
-        """Most likely word behind ``token`` (lower case)."""
+    def restore(self, token: str, kept: frozenset = frozenset()) -> str:
+        """Most likely word behind ``token`` (lower case); signs at the places ``kept`` are no stutter."""
         # state: last two symbols -> (log score, path as linked pairs)
         states = {(0, 0): (0.0, None)}
         before = ""
-        for o in token:
+        for i, o in enumerate(token):
             moves = [(o, 0.0)] if o.isalpha() else [(c, IMITATED) for c in IMITATES.get(o, "")]
-            skip = STUTTER if o == before else PADDED if o in SEPARATORS else None
+            skip = STUTTER if o == before and i not in kept else PADDED if o in SEPARATORS else None
             if not moves and skip is None:
                 moves = [(o, KEPT)]
             nxt: dict = {}
@@ -125,18 +128,47 @@ class CharacterModel:
         return "".join(reversed(out))
 
 
+def _decoded(readings, model: CharacterModel) -> list[str]:
+    """Words behind the readings; signs that stand exactly twice ('a$$') are also read as two letters."""
+    out = []
+    for x in readings:
+        out.append(model.restore(x))
+        twice = frozenset(m.end() - 1 for m in _IMITATING.finditer(x) if len(m.group()) == 2)
+        if twice:
+            out.append(model.restore(x, twice))
+    return [w for w in dict.fromkeys(out) if w]
+
+
+def _edge_readings(chunk: str, bare: str) -> list[str]:
+    """Readings of ``chunk`` that keep imitating signs at its ends, which can be
+    letters ('$tupid') or punctuation ('stupid!'): none of them, the nearest
+    runs of equal signs one by one, and all; empty without an imitating sign."""
+    if not any(c in IMITATES for c in chunk):
+        return []
+    at = chunk.index(bare) if bare else 0
+    end = at + len(bare) if bare else len(chunk)
+    runs = [m.span() for m in _IMITATING.finditer(chunk)]
+    before, after = [a for a, b in runs if b <= at], [b for a, b in runs if a >= end]
+    starts = dict.fromkeys([at, *before[::-1][:EDGE_RUNS], *before[:1]])
+    ends = dict.fromkeys([end, *after[:EDGE_RUNS], *after[-1:]])
+    return list(dict.fromkeys(chunk[a:b] for a in starts for b in ends))
+
+
 def words_of(chunk: str, model: CharacterModel) -> list[str]:
     """Restored words of one token between blanks (lower case)."""
     bare = chunk.strip(_EDGE)
-    if _PLAIN.match(bare):
-        if not _RUN.search(bare):
-            return [bare]
-        return [bare, model.restore(bare)]
     if not any(c.isalpha() for c in bare):
-        return []
+        # imitating signs alone can be a word: with those at its ends, and without
+        return _decoded(_edge_readings(chunk, bare), model)
+    if _PLAIN.match(bare):
+        plain = [bare, model.restore(bare)] if _RUN.search(bare) else [bare]
+        if len(bare) == len(chunk):
+            return plain
+        return list(dict.fromkeys(plain + _decoded((x for x in _edge_readings(chunk, bare) if x != bare), model)))
     # a disguised word, or several words with signs between them
     whole = chunk.strip("\"'()[]{}.,;:?")
-    return list(dict.fromkeys([model.restore(whole), model.restore(bare), *re.findall(r"[^\W\d_]+", bare)]))
+    readings = dict.fromkeys([whole, bare, *_edge_readings(chunk, bare)])
+    return list(dict.fromkeys([*_decoded(readings, model), *re.findall(r"[^\W\d_]+", bare)]))
 
 
 def features_of(word: str) -> list[str]:

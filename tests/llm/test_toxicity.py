@@ -60,3 +60,14 @@ def test_no_labels_and_empty_tables(spark, tables):
     assert tx.toxicity(docs.where("false"), labels).collect() == []
     with pytest.raises(ValueError):
         tx.score(docs, tx.CharacterModel(np.zeros(tx.SYMBOLS ** 3)), 0.0, {}, out="LANG")
+
+
+@pytest.mark.parametrize("seen,word", [("$tupid", "stupid"), ("!diot", "idiot"), ("|oser", "loser"), ("a$$", "ass"), ("@$$", "ass"),
+                                       ("455", "ass"), ("($tupid!)", "stupid"), ("(lown", "clown"), ("stupid!!", "stupid"), ("<the", "the"), ("a$$hole", "asshole")])
+def test_signs_at_the_ends_may_be_letters(model, seen, word):
+    assert word in tx.words_of(seen, model)
+
+
+def test_signs_without_letters(model):
+    assert tx.words_of("--", model) == tx.words_of("***", model) == tx.words_of("...", model) == []
+    assert len(tx.words_of("!|" * 5000 + "oser" + "$(" * 5000, model)) <= 80
