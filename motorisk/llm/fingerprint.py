@@ -1,8 +1,10 @@
 """Operator 10: document fingerprints as invertible Bloom lookup sketches,
 in DataFrame functions only.
 
-A document's paragraphs (lines that are not empty, each counted once) have
-64-bit digests. A sketch has ``TABLES`` tables of ``WIDTH`` cells; every digest
+A document's paragraphs are its lines that are not empty; a long line is cut
+into several at places its own words choose (``LEAST``, ``CUT``), so a change
+alters the pieces around it only. Paragraphs, each counted once, have 64-bit
+digests. A sketch has ``TABLES`` tables of ``WIDTH`` cells; every digest
 falls into one cell of each table, and a cell keeps the number, the xor of the
 digests and the xor of their check hashes. Subtracting two sketches leaves the
 digests that only one side has; peeling takes pure cells (number 1 or -1, check
@@ -38,14 +40,32 @@ TABLES, WIDTH = 3, 12
 CELLS = TABLES * WIDTH
 #: Most rounds of peeling a sketch of this size can need; digests of both sides that one sketch is given on a retry.
 ROUNDS, LOAD = 10, 12
-_CHECK, _DEAL = 101, 211
+_CHECK, _DEAL, _CUT = 101, 211, 307
+#: Words before the first cut of a line; one word end in so many is a cut (one letter in so many inside longer words than ``LONG_WORD``).
+LEAST, CUT, CUT_LETTERS, LONG_WORD = 8, 8, 32, 64
 _CELL = "struct<n:int,d:bigint,c:bigint>"
 _FIRST = -(1 << 63)
 
 
 def paragraphs(text: Column) -> Column:
     """Distinct paragraph digests of a text that is not null."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(text, "\n"), ""), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.flatten(F.transform(F.array_remove(F.split(text, "\n"), ""), _pieces)))
+
+
+def _pieces(line: Column) -> Column:
+    """Digests of the pieces of a line, cut after words by the hash of the last two."""
+    words = F.split(line, " ")
+    # overlong words (scripts without blanks, encoded data) are cut between letters
+    units = F.when(F.exists(words, lambda w: F.length(w) > LONG_WORD), F.flatten(F.transform(words, lambda w: F.when(
+        F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))).otherwise(words)
+
+    def cut(u: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(LEAST), F.size(u) - 1), lambda i: F.pmod(
+            F.xxhash64(F.get(u, i - 2), F.get(u, i - 1), F.lit(_CUT)),
+            F.when(F.length(F.get(u, i - 1)) == 1, F.lit(CUT_LETTERS)).otherwise(F.lit(CUT))) == 0)
+        return F.transform(F.array(F.concat(F.array(F.lit(0)), at, F.array(F.size(u)))), lambda b: F.transform(
+            F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.xxhash64(F.slice(u, F.get(b, k - 1) + 1, F.get(b, k) - F.get(b, k - 1)))))[0]
+    return F.transform(F.array(units), lambda u: F.when(F.size(u) > LEAST, cut(u)).otherwise(F.array(F.xxhash64(u))))[0]
 
 
 def _cell(d: Column, table: Column | int) -> Column:

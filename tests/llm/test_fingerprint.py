@@ -75,3 +75,18 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame(corpus(3, 5), "doc_id long, text string")
     plan = fp.fingerprints(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_a_change_in_a_long_line_alters_few_pieces(spark):
+    r = random.Random(5)
+    spaced = " ".join(f"w{r.randrange(500)}" for _ in range(2000))
+    unspaced = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(4000))
+    encoded = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(6000))
+    texts = {"spaced": spaced, "unspaced": unspaced, "encoded": encoded}
+    for name, t in texts.items():
+        other = t[:1000] + "#" + t[1001:]
+        df = spark.createDataFrame([(2, t), (1, other)], "doc_id long, text string")
+        got = {x.doc_id: x for x in fp.fingerprints(df).collect()}
+        assert 0.9 < got[2].near_next < 1.0 and 0.3 < got[2].near_edited, name
+    far = spark.createDataFrame([(2, spaced), (1, " ".join(f"v{i}" for i in range(2000)))], "doc_id long, text string")
+    assert {x.doc_id: x.near_next for x in fp.fingerprints(far).collect()} == {1: 0.0, 2: 0.0}
