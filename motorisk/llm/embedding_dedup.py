@@ -10,9 +10,11 @@ Vectors of one label link when their cosine, in double precision, is at least
    is kept.
 3. A node probes every list its neighbours can lie in: the distance to the
    bisecting plane between its own centroid and the list's is at most the
-   radius of the threshold, or ``SIGMAS`` times the spread of a random
-   displacement of that length along one direction, when that is less (in more
-   than ``SIGMAS`` squared dimensions; recall is measured in the tests).
+   radius of the threshold, or ``SIGMAS`` times the spread of a displacement of
+   that length along the difference of the centroids, when that is less. The
+   spread is the largest of the residuals' of the sample, of those of the two
+   lists (with ``ENOUGH`` sample vectors) and of an even one over all dimensions, so vectors that vary in few directions are
+   probed as far as these need (recall is measured in the tests).
 4. A list is cut into blocks; queries stream past a block. Table lookups give
    the asymmetric distance to every coded vector; the triangle inequality with
    the stored coding error drops only vectors that cannot link; the rest are
@@ -43,6 +45,8 @@ FIT_VECTORS, FIT_BYTES = 20_000, 16 << 20
 LIST_ROWS, MOST_LISTS, BLOCK, BATCH = 1000, 2048, 2048, 256
 SUBSPACES, CODES = 8, 64
 SIGMAS = 5.0
+#: Sample vectors from which a list has a spread of its own.
+ENOUGH = 64
 SLACK = 1e-6
 SEED = 5
 
@@ -62,9 +66,33 @@ class Quantiser:
             c[norm > 0] = total[norm > 0] / norm[norm > 0, None]
         self.centroids = c
         self.cuts = [x for x in np.array_split(np.arange(unit.shape[1]), SUBSPACES) if len(x)]
-        rest = unit - c[np.argmax(unit @ c.T, axis=1)]
+        own = np.argmax(unit @ c.T, axis=1)
+        rest = unit - c[own]
+        self.spread = self._spread(rest, own)
         self.books = [self._kmeans(rest[:, x], rng) for x in self.cuts]
 
+    def _spread(self, rest: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Standard deviation, for displacements of length 1, along the difference
+        of every two centroids (symmetric)."""
+        c = self.centroids
+        gap = np.maximum(2 - 2 * c @ c.T, 1e-12)
+
+        def share(v):
+            """(list, list) mean square along the difference, as part of the whole."""
+            m = v.T @ v
+            x = c @ m @ c.T
+            along = np.diag(x)[:, None] + np.diag(x)[None] - x - x.T
+            return along / gap / max(np.trace(m), 1e-300)
+        out = np.maximum(share(rest), 1 / rest.shape[1])
+        for i in range(len(c)):
+            v = rest[own == i]
+            if len(v) < ENOUGH:
+                continue
+            p = v @ c.T
+            along = ((p[:, [i]] - p) ** 2).sum(0) / gap[i]
+            out[i] = np.maximum(out[i], along / max((v ** 2).sum(), 1e-300))
+        return np.sqrt(np.minimum(np.maximum(out, out.T), 1.0))
+
     @staticmethod
     def _nearest(v: np.ndarray, book: np.ndarray) -> np.ndarray:
         return np.argmin((book ** 2).sum(1) - 2 * (v @ book.T), axis=1)
@@ -92,7 +120,7 @@ class Quantiser:
         """Mask (vector, list) of the lists to search; see step 3."""
         near = unit @ self.centroids.T
         gap = np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))[own]
-        reach = radius * min(1.0, SIGMAS / math.sqrt(unit.shape[1]))
+        reach = radius * np.minimum(1.0, SIGMAS * self.spread)[own]
         return near[np.arange(len(unit)), own][:, None] - near <= reach * gap + SLACK
 
     def distances(self, unit: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:

@@ -101,3 +101,22 @@ def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 5), (2, [1.0, 0.01], 1, 6), (None, [1.0, 0.0], 1, 7)], SCHEMA + ", gid long")
     got = {r.vec_id: tuple(r)[1:] for r in ed.near_duplicates(df).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), None: (0, None, None)}
+
+
+@pytest.mark.parametrize("dim,used", [(64, 64), (768, 48), (768, 24), (1536, 32)])
+def test_recall_of_probes_in_few_directions(dim, used):
+    """Neighbours that vary in ``used`` of ``dim`` dimensions are probed across lists."""
+    r = np.random.default_rng(dim + used)
+    basis = np.linalg.qr(r.normal(size=(dim, used)))[0].T
+    unit = r.normal(size=(3000, used))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    noise = r.normal(size=unit.shape)
+    noise -= (noise * unit).sum(1)[:, None] * unit
+    other = 0.935 * unit + math.sqrt(1 - 0.935 ** 2) * noise / np.linalg.norm(noise, axis=1)[:, None]
+    unit, other = unit @ basis, other @ basis
+    q = ed.Quantiser(unit[:1500], 60)
+    own, target = q.code(unit)[0], q.code(other)[0]
+    radius = math.sqrt(2 - 2 * 0.93)
+    n = np.arange(len(unit))
+    low, high = q.probes(unit, own, radius)[n, target], q.probes(other, target, radius)[n, own]
+    assert (own != target).any() and np.where(own <= target, low, high).mean() >= 0.99
