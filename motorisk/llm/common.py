@@ -37,27 +37,29 @@ class Stages:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._paths: dict[int, str] = {}
+        self._paths: set[str] = set()
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_dir(self.spark, label)
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths.add(path)
         out._stage_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Frames that are no stages of this object are left alone."""
         for f in frames:
-            self._delete(self._paths.pop(id(f), None))
+            self._delete(getattr(f, "_stage_path", None))
 
     def close(self) -> None:
-        for key in list(self._paths):
-            self._delete(self._paths.pop(key))
+        for path in list(self._paths):
+            self._delete(path)
 
     def _delete(self, path: str | None) -> None:
-        if path is None:
+        if path not in self._paths:
             return
+        self._paths.remove(path)
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
