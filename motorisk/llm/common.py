@@ -57,9 +57,12 @@ class Stages:
             self._delete(path)
 
     def _delete(self, path: str | None) -> None:
-        if path not in self._paths:
-            return
-        self._paths.remove(path)
+        if path in self._paths:
+            self._paths.remove(path)
+            self.remove(path)
+
+    def remove(self, path: str) -> None:
+        """Delete a folder on shared storage."""
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, conversation_repair, embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import bpe, chat, conversation_repair, embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+                  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+           FROM pages),
+v AS (SELECT *, [CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) for i in range(0, 8)] AS parts FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)
+                        for i in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM v
+"""
+
+
+@register("op11_warc", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
