@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, conversation_repair, embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
+from . import bpe, chat, conversation_repair, embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ FROM v
 @register("op11_warc", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
