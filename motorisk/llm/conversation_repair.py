@@ -116,10 +116,16 @@ def search(codes: Sequence[int], entry: int, closing: Sequence[int]) -> tuple[in
             path.append([child, budget - cost, edits(child), 0, NEVER, ""])
 
 
-def crossings(codes: Sequence[int]) -> Iterator[tuple[int, int, int, str]]:
-    """(state before, state after, cost, edits) of every pair of states that some way through the rows joins."""
+def crossings(codes: Sequence[int], first: bool = False, last: bool = False) -> Iterator[tuple[int, int, int, str]]:
+    """(state before, state after, cost, edits) of every pair of states that some
+    way through the rows joins. The first block of a conversation begins in the
+    start state; the last one needs only the way that is best with its close."""
     system = any(LETTERS[c & 3] == "s" and c >> 2 in (SOUND, TRUNCATED) for c in codes)
-    for before in range(4):
+    for before in (START,) if first else range(4):
+        if last:
+            cost, path, after = search(codes, before, CLOSING)
+            yield before, after, cost - CLOSING[after], path
+            continue
         for after in range(4):
             if after in (AFTER_U, AFTER_A) or before == after or (before == START and after == AFTER_S and system):
                 cost, path, _ = search(codes, before, [0 if t == after else NEVER for t in range(4)])
@@ -178,22 +184,18 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _searched(blocks: DataFrame) -> DataFrame:
-    """Blocks with their crossings; the only block of a conversation is searched once, from the start to its close."""
-    several = blocks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("of"), "n")
-    dealt = (blocks.join(several, blocks["conv_id"].eqNullSafe(several["of"]), "left")
-             .select("conv_id", "block", "codes", F.col("n").isNotNull().alias("several")).repartition("conv_id", "block"))
+    """Blocks with their crossings."""
+    ends = blocks.groupBy(F.col("conv_id").alias("of")).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    # the work of a block is not in proportion to its bytes, so the number of tasks is given
+    dealt = (blocks.join(ends, blocks["conv_id"].eqNullSafe(ends["of"]))
+             .select("conv_id", "block", "codes", (F.col("block") == F.col("lo")).alias("first"), (F.col("block") == F.col("hi")).alias("last"))
+             .repartition(shuffle_partitions(blocks.sparkSession), "conv_id", "block"))
     way = pa.struct([("before", pa.int32()), ("after", pa.int32()), ("cost", pa.int64()), ("edits", pa.string())])
     schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("codes", pa.list_(pa.int32())), ("ways", pa.list_(way))])
 
     def run(batches):
         for b in batches:
-            found = []
-            for codes, many in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if many:
-                    found.append([dict(zip(("before", "after", "cost", "edits"), x)) for x in crossings(codes)])
-                else:
-                    cost, path, after = search(codes, START, CLOSING)
-                    found.append([{"before": START, "after": after, "cost": cost - CLOSING[after], "edits": path}])
+            found = [[dict(zip(("before", "after", "cost", "edits"), x)) for x in crossings(*c)] for c in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(way))], schema=schema)
 
     return dealt.mapInArrow(run, "conv_id long, block long, codes array<int>, ways array<struct<before:int,after:int,cost:bigint,edits:string>>")

@@ -94,8 +94,10 @@ def test_blocks_make_the_same_string(seed):
     r = random.Random(100 + seed)
     rows = made(r, r.randrange(1, 40))
     codes, size = codes_of(rows), r.randrange(1, 8)
-    blocks = [list(cr.crossings(codes[i:i + size])) for i in range(0, len(codes), size)]
-    assert "".join(cr.best_edits(blocks)) == by_table(rows, faults(rows))[1]
+    pieces = [codes[i:i + size] for i in range(0, len(codes), size)]
+    for ends in (False, True):
+        blocks = [list(cr.crossings(p, ends and i == 0, ends and i == len(pieces) - 1)) for i, p in enumerate(pieces)]
+        assert "".join(cr.best_edits(blocks)) == by_table(rows, faults(rows))[1]
 
 
 def test_long_block_of_one_role():
