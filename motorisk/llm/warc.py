@@ -143,7 +143,7 @@ class Archives:
 
 
 def _save(archives: DataFrame, path: str, compression: str | None) -> None:
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", BETWEEN).text(path, compression=compression or "none")
+    archives.write.option("maxRecordsPerFile", 1).option("zlib.compress.level", "BEST_SPEED").option("lineSep", BETWEEN).text(path, compression=compression or "none")
 
 
 def now() -> str:
