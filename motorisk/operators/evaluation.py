@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordering as O
-from .materialize import materialize
+from .materialize import Stages, materialize
+from .selection import select_rows
 
 METRICS = ("mse", "rmse", "mae", "r2", "medae", "poisson_deviance")
 
@@ -27,14 +28,16 @@ def long_scores(df: DataFrame, pred_cols: Sequence[str], keep: Sequence[str],
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str = "prediction",
-                       group_cols: Sequence[str] = ()) -> DataFrame:
+                       group_cols: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """M9 + P9: mse, rmse, mae, r2, medae and the mean Poisson deviance over
     rows with a positive prediction, plus the count of the other rows.
 
     R² = 1 − SSE / (n · var_pop(y)); a constant label gives 1 when the
-    predictions are exact, else 0 (scikit-learn's convention)."""
-    df = materialize(df.select(*group_cols, F.col(label).cast("double").alias(label),
-                               F.col(pred).cast("double").alias(pred)), "scores")
+    predictions are exact, else 0 (scikit-learn's convention). The scores are
+    written once, unless they are ``stored`` already."""
+    df = df.select(*group_cols, F.col(label).cast("double").alias(label), F.col(pred).cast("double").alias(pred))
+    if not stored:
+        df = materialize(df, "scores")
     y, mu = F.col(label), F.col(pred)
     e = y - mu
     unit_dev = F.when(y == 0, F.lit(0.0)).otherwise(y * F.ln(y / mu)) - y + mu
@@ -48,7 +51,7 @@ def regression_metrics(df: DataFrame, label: str, pred: str = "prediction",
         F.count_if(~(mu > 0)).cast("bigint").alias("non_positive_predictions"),
     )
     med = O.exact_quantiles(df.select(*group_cols, F.abs(e).alias("_ae")), "_ae", [0.5], ["medae"],
-                            group_cols=list(group_cols))
+                            group_cols=list(group_cols), stored=True)
     r2 = F.when(F.col("_vy") > 0, 1 - F.col("_sse") / (F.col("n") * F.col("_vy"))).otherwise(
         F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     out = base.join(med, list(group_cols)) if group_cols else base.withColumn("medae", med.scalar())
@@ -81,23 +84,49 @@ def portfolio_balance(df: DataFrame, observed: str, pred: str, group_cols: Seque
         F.sum(F.col(pred).cast("double")).alias("predicted_total"))
 
 
-def risk_group_calibration(df: DataFrame, observed: str, pred: str, key: str, n_bins: int = 10,
-                           group_cols: Sequence[str] = ()) -> DataFrame:
-    """Rows sorted by prediction (key breaks ties) and cut into
-    ``n_bins`` even slices; mean observed and predicted per slice, with the
-    slice centre (k + 0.5) / n_bins."""
-    idx, n = O.row_index_and_count(df.select(*group_cols, key, observed, pred), [F.col(pred), F.col(key)],
-                                   "_i", group_cols=list(group_cols))
-    if group_cols:
-        with_n = idx.join(idx.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")), list(group_cols))
+def risk_group_calibration(df: DataFrame, observed: str, pred: str, key: str, n_bins: int = 100,
+                           group_cols: Sequence[str] = (), stored: bool = False) -> DataFrame:
+    """Rows in order of prediction (key, an integer, breaks ties) cut into
+    ``n_bins`` even slices per group; mean observed and predicted per slice, with
+    the slice centre (k + 0.5) / n_bins. A row without a prediction, or one that
+    is NaN, is in no slice; a NULL key counts as the least integer.
+
+    The first rows of slices 1, 2, ... are found as positions of the order, all
+    groups and slices together, and every row is labelled where it lies by the
+    number of first rows that are not behind it. No row is sorted or shuffled."""
+    stages = Stages(df.sparkSession)
+    rows = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.col(pred).cast("double").alias("_mu"),
+                     F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_key"), F.col(observed).cast("double").alias("_y"))
+    rows = rows.where(F.col("_mu").isNotNull() & ~F.isnan("_mu"))
+    if not stored:
+        rows = stages.write(rows, "scores")
+    groups = [f"_g{i}" for i in range(len(group_cols))]
+    cuts = select_rows(rows, groups, ["_mu", "_key"], lambda n: slice_starts(n, n_bins), stages)
+    # per group one array of n_bins - 1 cuts; a slice that would begin behind the last row begins nowhere
+    cut = F.when(F.col("at") < F.col("n"), F.struct(F.col("_mu").alias("mu"), F.col("_key").alias("key")))
+    per_group = cuts.groupBy(*groups).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))
+    if groups:
+        named = per_group.select(*[F.col(c).alias(f"c{c}") for c in groups], "_cuts")
+        cond = F.lit(True)
+        for c in groups:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"c{c}"))
+        labelled = rows.join(named, cond, "left")
     else:
-        with_n = idx.withColumn("_n", F.lit(n))
-    sliced = with_n.withColumn("bin", O.even_slice("_i", F.col("_n"), n_bins))
-    return sliced.groupBy(*group_cols, "bin").agg(
-        F.avg(F.col(observed).cast("double")).alias("y_true_mean"),
-        F.avg(F.col(pred).cast("double")).alias("y_pred_mean"),
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-    ).withColumn("bin_center", (F.col("bin") + 0.5) / n_bins)
+        labelled = rows.withColumn("_cuts", per_group.select("_cuts").scalar())
+    here = F.struct(F.col("_mu").alias("mu"), F.col("_key").alias("key"))
+    bin_ = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<struct<mu:double,key:bigint>>")), lambda c: c <= here)).cast("int")
+    out = labelled.groupBy(*groups, bin_.alias("bin")).agg(
+        F.avg("_y").alias("y_true_mean"), F.avg("_mu").alias("y_pred_mean"), F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return out.select(*[F.col(a).alias(c) for a, c in zip(groups, group_cols)], "bin", "y_true_mean", "y_pred_mean", "n_rows",
+                      ((F.col("bin") + 0.5) / n_bins).alias("bin_center"))
+
+
+def slice_starts(n: Column, k: int) -> list[Column]:
+    """Positions of the first rows of slices 1 to k-1 when n rows are cut into k
+    even slices, the first n mod k of them one row longer."""
+    size = F.floor(n / F.lit(k)).cast("long")
+    longer = (n - size * F.lit(k)).cast("long")
+    return [F.when(size * i + F.least(F.lit(i), longer) < n, size * i + F.least(F.lit(i), longer)) for i in range(1, k)]
 
 
 # Bins per axis of the actual-vs-predicted grid.
@@ -105,17 +134,34 @@ GRID_BINS = 50
 
 
 def residual_grid(df: DataFrame, observed: str, pred: str, bins: int = GRID_BINS,
-                  group_cols: Sequence[str] = ()) -> DataFrame:
-    """Actual-vs-predicted and residual plot data as a 2-D binned count:
-    ``bins`` equal cells over the range of each axis, and per filled cell the
-    rows, the mean observed and predicted value and the mean residual."""
-    y, mu = F.col(observed).cast("double"), F.col(pred).cast("double")
-    ends = df.select(F.struct(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(mu).alias("m0"), F.max(mu).alias("m1"))).scalar()
-
-    def cell(v, lo: str, hi: str):
-        lo, hi = ends.getField(lo), ends.getField(hi)
-        return F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((v - lo) / ((hi - lo) / bins)).cast("int"))).otherwise(F.lit(0))
-
-    return df.groupBy(*group_cols, cell(y, "y0", "y1").alias("observed_bin"), cell(mu, "m0", "m1").alias("predicted_bin")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.avg(y).alias("observed"), F.avg(mu).alias("predicted"),
-        F.avg(y - mu).alias("residual"))
+                  group_cols: Sequence[str] = (), stored: bool = False) -> DataFrame:
+    """Actual-vs-predicted and residual plot data as 2-D binned counts per
+    group: ``bins`` equal cells over the group's range of each axis, and per
+    filled cell the rows, the mean observed and predicted value and the mean
+    residual. Rows lacking either value (NULL or NaN) are left out.
+
+    The scores are written once, unless they are ``stored`` already, so a model's
+    plan is run once; the ranges are a row per group, joined to the scores."""
+    df = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.col(observed).cast("double").alias("_y"), F.col(pred).cast("double").alias("_mu"))
+    groups = [f"_g{i}" for i in range(len(group_cols))] or ["_all"]
+    if not group_cols:
+        df = df.withColumn("_all", F.lit(0))
+    if not stored:
+        df = materialize(df, "scores")
+    y, mu = F.col("_y"), F.col("_mu")
+    df = df.where(y.isNotNull() & mu.isNotNull() & ~F.isnan(y) & ~F.isnan(mu))
+    ends = df.groupBy(*[F.col(c).alias(f"r{c}") for c in groups]).agg(
+        F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(mu).alias("m0"), F.max(mu).alias("m1"))
+    cond = F.lit(True)
+    for c in groups:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"r{c}"))
+
+    def cell(v: Column, lo: str, hi: str) -> Column:
+        width = (F.col(hi) - F.col(lo)) / bins
+        return F.when(F.col(hi) > F.col(lo), F.least(F.lit(bins - 1), F.floor((v - F.col(lo)) / width).cast("int"))).otherwise(F.lit(0))
+
+    placed = df.join(ends, cond).select(*groups, "_y", "_mu", cell(y, "y0", "y1").alias("observed_bin"), cell(mu, "m0", "m1").alias("predicted_bin"))
+    out = placed.groupBy(*groups, "observed_bin", "predicted_bin").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.avg(y).alias("observed"), F.avg(mu).alias("predicted"), F.avg(y - mu).alias("residual"))
+    return out.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(group_cols)], "observed_bin", "predicted_bin", "n_rows",
+                      "observed", "predicted", "residual")

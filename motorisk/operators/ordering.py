@@ -4,8 +4,6 @@
   restarting per group.
 * ``value_positions``: for every distinct value, how many rows (of its group)
   sort before it. Average ranks are derived from it.
-* ``exact_quantiles``: linear-interpolation quantiles (the rule of NumPy's
-  ``percentile`` and DuckDB's ``quantile_cont``) per group.
 * ``even_slice``: slice number of a row index when n rows are cut into k even
   slices (the first n mod k slices get one row more).
 
@@ -33,9 +31,8 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 from .materialize import materialize
+from .selection import exact_quantiles  # noqa: F401  (positions of an order without sorting)
 
-# Cells a bracket of ``exact_quantiles`` is counted in per round.
-CELLS = 4096
 PART = "_part"
 LOCAL = "_local"
 
@@ -167,72 +164,6 @@ def average_rank(df: DataFrame, value: str, out: str, group_cols: Sequence[str]
     return hot_rows.unionByName(other.join(cold, keys, "left"))
 
 
-def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
-                    names: Sequence[str] | None = None, group_cols: Sequence[str] = (),
-                    partitions: int | None = None) -> DataFrame:
-    """One row per group with the linear-interpolation quantile of each prob:
-    position p·(n−1) between the values at floor and ceil of it.
-
-    The values at the wanted positions are bracketed: counts per cell of the
-    bracket (first min..max), then the same inside the cell that holds the
-    position, until a bracket is one value. A round is one pass with a map-side
-    combined count; no value is shuffled, and what a round keeps is one row per
-    group and position."""
-    names = list(names or [f"q{str(p).replace('.', '_')}" for p in probs])
-    v = F.col(value) if isinstance(value, str) else value
-    groups = [f"_g{i}" for i in range(len(group_cols))]
-    data = materialize(df.select(*[F.col(c).alias(g) for c, g in zip(group_cols, groups)], v.cast("double").alias("v"))
-                       .where("v is not null"), "values")
-    start = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
-    wanted = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("n") - 1).cast("double")
-        wanted += [F.struct(F.lit(2 * i).alias("t"), F.floor(at).alias("at")), F.struct(F.lit(2 * i + 1).alias("t"), F.ceil(at).alias("at"))]
-    cuts = materialize(start.select(*groups, "n", F.lit(0).cast("long").alias("below"), "lo", "hi", F.inline(F.array(*wanted))), "cuts")
-    while not cuts.where("lo < hi").isEmpty():
-        cuts = materialize(_narrowed(data, cuts, groups), "cuts")
-    aggs, finals = [], []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        at = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-        lo, hi = (F.max(F.when(F.col("t") == 2 * i + k, F.col("lo"))).alias(f"_{i}_{k}") for k in (0, 1))
-        aggs += [lo, hi]
-        finals.append((F.col(f"_{i}_0") + (F.col(f"_{i}_1") - F.col(f"_{i}_0")) * (at - F.floor(at))).alias(name))
-    out = cuts.groupBy(*groups).agg(F.max("n").alias("_n"), *aggs)
-    result = out.select(*[F.col(g).alias(c) for c, g in zip(group_cols, groups)], *finals)
-    if not group_cols:
-        # a global aggregate gives a row for an empty input, too
-        return result.agg(*[F.max(n).alias(n) for n in names])
-    return result
-
-
-def _narrowed(data: DataFrame, cuts: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Every open bracket (lo < hi) of ``cuts`` cut down to the cell that holds its position."""
-    done = cuts.where("lo >= hi")
-    left = cuts.where("lo < hi")
-    open_ = left.select(*groups, "lo", "hi", "below").distinct().alias("o")
-    width = (F.col("o.hi") - F.col("o.lo")) / F.lit(float(CELLS))
-    cell = F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("d.v") - F.col("o.lo")) / width))).otherwise(
-        F.when(F.col("d.v") > F.col("o.lo"), F.lit(1)).otherwise(F.lit(0)))
-    inside = F.col("d.v").between(F.col("o.lo"), F.col("o.hi")) & _match("d", "o", groups)
-    # the open brackets are a row per group and position: a bound known before the data are read
-    counted = (data.alias("d").join(F.broadcast(open_), inside)
-               .groupBy(*[F.col(f"o.{c}").alias(c) for c in (*groups, "lo", "hi", "below")], cell.cast("long").alias("cell"))
-               .agg(F.count(F.lit(1)).alias("m"), F.min("d.v").alias("lo2"), F.max("d.v").alias("hi2")))
-    run = Window.partitionBy(*groups, "lo", "hi", "below").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("before", F.col("below") + F.coalesce(F.sum("m").over(run), F.lit(0)))
-    hit = left.alias("l").join(placed.alias("p"), _match("l", "p", [*groups, "lo", "hi", "below"])
-                               & (F.col("l.at") >= F.col("p.before")) & (F.col("l.at") < F.col("p.before") + F.col("p.m")))
-    return done.unionByName(hit.select(*[F.col(f"l.{g}").alias(g) for g in groups], F.col("l.n").alias("n"), F.col("p.before").alias("below"),
-                                       F.col("p.lo2").alias("lo"), F.col("p.hi2").alias("hi"), F.col("l.t").alias("t"), F.col("l.at").alias("at")))
-
-
-def _match(a: str, b: str, columns: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in columns:
-        cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    return cond
-
-
 def even_slice(index: str | Column, n: Column, k: int) -> Column:
     """Slice 0..k-1 of 0-based row ``index`` when n rows are cut into k even
     slices; the first n mod k slices hold one row more."""

@@ -37,9 +37,10 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def long_values(df: DataFrame, columns: Sequence[str], value_type: str = "double") -> DataFrame:
-    """Unpivot ``columns`` into (feature, value) rows; NULL values are dropped."""
-    return df.select(*[F.col(c).cast(value_type).alias(c) for c in columns]).unpivot(
+    """Unpivot ``columns`` into (feature, value) rows; missing values (NULL, and NaN among doubles) are dropped."""
+    long = df.select(*[F.col(c).cast(value_type).alias(c) for c in columns]).unpivot(
         [], list(columns), "feature", "value").where(F.col("value").isNotNull())
+    return long.where(~F.isnan("value")) if value_type == "double" else long
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -95,12 +96,13 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column mean, sample std, min, quartiles, max (count dropped).
 
-    Quartiles are exact (linear interpolation)."""
+    Quartiles are exact (linear interpolation). With an infinite value the std
+    is undefined (NULL)."""
     lv = materialize(long_values(df, columns), "long-values")
     moments = lv.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.avg("value").alias("mean"), F.when(~F.bool_or(F.abs("value") == float("inf")), F.stddev_samp("value")).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = O.exact_quantiles(lv, "value", [0.25, 0.5, 0.75], ["q25", "median", "q75"], group_cols=["feature"])
+    q = O.exact_quantiles(lv, "value", [0.25, 0.5, 0.75], ["q25", "median", "q75"], group_cols=["feature"], stored=True)
     return moments.join(q, "feature").select("feature", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
@@ -126,7 +128,7 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the furthest value within 1.5 IQR of the
     box, and the number of values beyond the whiskers, per column."""
     lv = materialize(long_values(df, columns), "long-values")
-    q = O.exact_quantiles(lv, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], group_cols=["feature"])
+    q = O.exact_quantiles(lv, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], group_cols=["feature"], stored=True)
     fences = q.select("feature", "q1", "median", "q3",
                       (F.col("q3") - F.col("q1")).alias("iqr"),
                       (F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("_lo"),

@@ -27,7 +27,7 @@ from .materialize import materialize
 # Hash buckets per shuffle partition: several per partition even out the
 # partitions that receive more than one bucket.
 BUCKETS_PER_PARTITION = 4
-# Rows of the cell with the cut that are sorted to find it.
+# Most rows of the cell with the cut whose keys are listed to find it.
 SORTED_ROWS = 10_000
 
 SPLIT = "split"
@@ -40,8 +40,8 @@ def _check_ratio(test_ratio: float) -> None:
 
 
 def shuffle_key(key: str, seed: int) -> Column:
-    """Seeded pseudo-random sort key of a row."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    """Seeded pseudo-random sort key of a row; a NULL key hashes as a value of its own."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("\u0000")), F.lit(str(seed))))
 
 
 def shuffle_bucket(hash_hex: Column, buckets: int) -> Column:
@@ -89,8 +89,12 @@ def _hash_threshold(keys: DataFrame, key: str, seed: int, share: Callable[[int],
                 break
             left -= n
         if n <= SORTED_ROWS or len(prefix) >= 32:
-            inside = hashed.where(F.col("h").startswith(prefix)).orderBy("h", "key").limit(left)
-            return total, inside.orderBy(F.desc("h"), F.desc("key")).first()
+            # at most SORTED_ROWS rows, or the keys of one hash; a key's rows are counted, never gathered
+            values = hashed.where(F.col("h").startswith(prefix)).groupBy("h", "key").agg(F.count(F.lit(1)).alias("n"))
+            for r in sorted(values.collect(), key=lambda r: (r.h, r.key is not None, r.key if r.key is not None else 0)):
+                left -= r.n
+                if left <= 0:
+                    return total, r
 
 
 def split_data(df: DataFrame, key: str, test_ratio: float = 0.2, shuffle: bool = True,

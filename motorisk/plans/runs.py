@@ -111,11 +111,12 @@ def frequency_run(dataset: DataFrame, key: str, config: Mapping = NEW_CLIENT_CON
     train = split.where(F.col(SPLIT) == TRAIN)
     model = fit_cached(pipeline_for(train, features, target, config["algorithm"], config.get("parameters")), train,
                        [*features, target])
-    scored = model.transform(split).drop("features")
-    metrics = E.regression_metrics(scored, target, group_cols=[SPLIT])
-    grid = E.residual_grid(scored.where(F.col(SPLIT) != TRAIN), target, "prediction")
+    # the narrow scores are the boundary behind the model: metrics and plots read them, not its plan
+    scored = materialize(model.transform(split).select(key, SPLIT, F.col(target).cast("double").alias(target), "prediction"), "scores")
+    metrics = E.regression_metrics(scored, target, group_cols=[SPLIT], stored=True)
+    grid = E.residual_grid(scored.where(F.col(SPLIT) != TRAIN), target, "prediction", stored=True)
     plots = {
-        "claims_distribution": H.histogram(train, target, 30),
+        "claims_distribution": H.histogram(scored.where(F.col(SPLIT) == TRAIN), target, 30),
         "feature_importance": coefficient_table(model, features),
         "residuals": grid.select("predicted", "residual", "n_rows"),
         "actual_vs_predicted": grid.select("observed", "predicted", "n_rows"),
@@ -150,15 +151,16 @@ def severity_run(dataset: DataFrame, key: str, config: Mapping = SEVERITY_CONFIG
     gamma = fit_cached(pipeline_for(train, features, target, "gamma_regressor", config["parameters"],
                                     prediction="pred_gamma"), train, [*features, target])
     mean = MeanRegressor(labelCol=target, predictionCol="pred_mean").fit(train)
-    scored = mean.transform(gamma.transform(split)).drop("features")
+    scored = materialize(mean.transform(gamma.transform(split)).select(key, SPLIT, F.col(target).cast("double").alias(target), "pred_mean", "pred_gamma"), "scores")
     long = E.long_scores(scored, ["pred_mean", "pred_gamma"], [SPLIT, target])
-    metrics = E.regression_metrics(long, target, group_cols=["model", SPLIT])
+    metrics = E.regression_metrics(long, target, group_cols=["model", SPLIT], stored=True)
+    train = scored.where(F.col(SPLIT) == TRAIN)
     plots = {
         "loss_distribution": H.histogram(train, target, 40),
         "feature_importance": coefficient_table(gamma, features),
         "loss_distribution_middle95": H.histogram(_middle(train, target), target, 40),
-        "residuals": E.residual_grid(scored, target, "pred_gamma", group_cols=[SPLIT]),
-        "actual_vs_predicted": E.residual_grid(scored.where(F.col(SPLIT) != TRAIN), target, "pred_gamma").select(
+        "residuals": E.residual_grid(scored, target, "pred_gamma", group_cols=[SPLIT], stored=True),
+        "actual_vs_predicted": E.residual_grid(scored.where(F.col(SPLIT) != TRAIN), target, "pred_gamma", stored=True).select(
             "observed", "predicted", "n_rows"),
     }
     if log is not None:
@@ -174,7 +176,7 @@ def severity_run(dataset: DataFrame, key: str, config: Mapping = SEVERITY_CONFIG
 
 def _middle(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     """Rows between the outer quantiles that leave ``share`` of them (P10)."""
-    q = exact_quantiles(df, column, [(1 - share) / 2, (1 + share) / 2], ["lo", "hi"]).first()
+    q = exact_quantiles(df, column, [(1 - share) / 2, (1 + share) / 2], ["lo", "hi"], stored=True).first()
     return df.where(F.col(column).between(q.lo, q.hi))
 
 
@@ -207,7 +209,7 @@ def model_comparison(dataset: DataFrame, key: str, features: Sequence[str], targ
     # metrics and histograms read the narrow scores, not the models again
     scored = materialize(scored.select(key, SPLIT, target, *cols), "scores")
     long = E.long_scores(scored, cols, [key, SPLIT, target])
-    metrics = E.regression_metrics(long, target, group_cols=["model", SPLIT])
+    metrics = E.regression_metrics(long, target, group_cols=["model", SPLIT], stored=True)
     observed = H.fixed_edge_histogram(scored.withColumn("model", F.lit("observed")), target,
                                       OBSERVED_EDGES, ["model", SPLIT])
     predicted = H.fixed_edge_histogram(long, "prediction", PREDICTED_EDGES, ["model", SPLIT])

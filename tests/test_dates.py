@@ -67,7 +67,7 @@ def test_abs_year_difference_order_independent(spark):
 
 
 def test_abs_year_difference_rejects_text(text_df):
-    with pytest.raises(ValueError, match="not columns of datatype datetime"):
+    with pytest.raises(ValueError, match="a date or timestamp column is expected"):
         D.abs_year_difference(text_df, "inception_date", "expiry_date", "d")
 
 
