@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -12,9 +14,12 @@ from ..features.transformers import DriverFeatures, VehicleFeatures
 from ..functions import dates as D
 from ..functions import numeric as N
 from ..models.baseline import MeanRegressor
+from ..models.glm import select_training_algorithm
 from ..operators import correlation as R
 from ..operators import evaluation as E
 from ..operators import splits as S
+from ..operators.materialize import materialize
+from ..plans import runs as RUN
 from ..sources import adapter as A
 from . import common as C
 from .common import r6
@@ -272,3 +277,84 @@ def residual_grid(spark, sf_dir):
     test = C.level_scored(spark, sf_dir).where(F.col("split") == "test")
     out = E.residual_grid(test, C.TARGET, "prediction")
     return out.withColumns({c: r6(F.col(c)) for c in ("observed", "predicted", "residual")})
+
+
+# --- calibration of several models in 100 slices (A28) ------------------------
+
+SLICES = 100
+CURVE_FEATURE = "Power"
+
+
+def _sql_level_mean(level: str) -> str:
+    return f"""
+SELECT s.split, s.policy_key, CAST(s.{C.TARGET} AS DOUBLE) AS y,
+       coalesce(m.pred, (SELECT avg(CAST({C.TARGET} AS DOUBLE)) FROM freq_split WHERE split = 'train')) AS mu
+FROM freq_split s LEFT JOIN (SELECT {level} AS lvl, avg(CAST({C.TARGET} AS DOUBLE)) AS pred FROM freq_split
+                             WHERE split = 'train' AND {level} IS NOT NULL GROUP BY 1) m ON s.{level} = m.lvl"""
+
+
+CURVES_SQL = A.with_sources(f"""
+SELECT model, split, CAST(bin AS INTEGER) AS bin, round(avg(y), 6) AS y_true_mean, round(avg(mu), 6) AS y_pred_mean,
+       CAST(count(*) AS BIGINT) AS n_rows, round((bin + 0.5) / {SLICES}, 6) AS bin_center
+FROM (
+  SELECT *, CASE WHEN i < (n % {SLICES}) * (n // {SLICES} + 1) THEN i // (n // {SLICES} + 1)
+                 ELSE (n % {SLICES}) + (i - (n % {SLICES}) * (n // {SLICES} + 1)) // greatest(n // {SLICES}, 1) END AS bin
+  FROM (SELECT model, split, y, mu, row_number() OVER (PARTITION BY model, split ORDER BY mu, policy_key) - 1 AS i,
+               count(*) OVER (PARTITION BY model, split) AS n
+        FROM (SELECT 'mean' AS model, split, policy_key, CAST({C.TARGET} AS DOUBLE) AS y,
+                     (SELECT avg(CAST({C.TARGET} AS DOUBLE)) FROM freq_split WHERE split = 'train') AS mu FROM freq_split
+              UNION ALL SELECT 'type_mean', * FROM ({_sql_level_mean("Type_risk")})
+              UNION ALL SELECT 'area_mean', * FROM ({_sql_level_mean("Area")})
+              UNION ALL SELECT 'ridge', split, policy_key, CAST({C.TARGET} AS DOUBLE), avg_y - slope * avg_x + slope * {CURVE_FEATURE}
+              FROM freq_split, (
+                SELECT avg(x) AS avg_x, avg(y) AS avg_y, sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1.0) AS slope
+                FROM (SELECT CAST({CURVE_FEATURE} AS DOUBLE) AS x, CAST({C.TARGET} AS DOUBLE) AS y,
+                             avg(CAST({CURVE_FEATURE} AS DOUBLE)) OVER () AS mx, avg(CAST({C.TARGET} AS DOUBLE)) OVER () AS my
+                      FROM freq_split WHERE split = 'train')))))
+GROUP BY model, split, bin""", *C.SPLIT_CTES)
+
+
+@register("calibration_curves", CURVES_SQL)
+def calibration_curves(spark, sf_dir):
+    """Four models, both splits, 100 slices each: every cut point of the eight
+    orders is found in the same passes, and no row is moved."""
+    split = C.freq_split(spark, sf_dir).select("policy_key", "split", C.TARGET, "Type_risk", "Area", F.col(CURVE_FEATURE).cast("double").alias(CURVE_FEATURE))
+    split = materialize(split, "split")
+    train = split.where(F.col("split") == "train")
+    scored = MeanRegressor(labelCol=C.TARGET, predictionCol="mean").fit(train).transform(split)
+    for level, name in (("Type_risk", "type_mean"), ("Area", "area_mean")):
+        scored = MeanRegressor(labelCol=C.TARGET, groupCol=level, predictionCol=name).fit(train).transform(scored)
+    ridge = RUN.pipeline_for(train, [CURVE_FEATURE], C.TARGET, "ridge", {"alpha": 1.0}, prediction="ridge").fit(train)
+    scored = ridge.transform(scored).drop("features")
+    out = RUN.calibration(scored, ["mean", "type_mean", "area_mean", "ridge"], "policy_key", C.TARGET, SLICES)
+    return out.withColumns({c: r6(F.col(c)) for c in ("y_true_mean", "y_pred_mean", "bin_center")})
+
+
+# --- the grid of a fitted model, per split (A30) ------------------------------
+
+SCORES_SQL = A.with_sources(f"""
+SELECT split, observed_bin, predicted_bin, CAST(count(*) AS BIGINT) AS n_rows, round(avg(y), 6) AS observed, round(avg(mu), 6) AS predicted,
+       round(avg(y - mu), 6) AS residual
+FROM (SELECT split, y, mu,
+             CASE WHEN y1 > y0 THEN least({E.GRID_BINS - 1}, CAST(floor((y - y0) / ((y1 - y0) / {E.GRID_BINS})) AS INTEGER)) ELSE 0 END AS observed_bin,
+             CASE WHEN m1 > m0 THEN least({E.GRID_BINS - 1}, CAST(floor((mu - m0) / ((m1 - m0) / {E.GRID_BINS})) AS INTEGER)) ELSE 0 END AS predicted_bin
+      FROM (SELECT *, min(y) OVER (PARTITION BY split) AS y0, max(y) OVER (PARTITION BY split) AS y1,
+                   min(mu) OVER (PARTITION BY split) AS m0, max(mu) OVER (PARTITION BY split) AS m1
+            FROM (SELECT split, CAST({C.TARGET} AS DOUBLE) AS y, prediction AS mu FROM level_scored WHERE {C.LEVEL_COL} IS NOT NULL)))
+GROUP BY split, observed_bin, predicted_bin""", *C.SCORED_CTES)
+
+
+@register("poisson_residual_grid", SCORES_SQL)
+def poisson_residual_grid(spark, sf_dir):
+    """A Poisson GLM on one-hot levels predicts the levels' means; its scores are
+    stored once, and the grid of each split has that split's ranges."""
+    split = materialize(C.freq_split(spark, sf_dir).where(F.col(C.LEVEL_COL).isNotNull()).select("split", C.LEVEL_COL, C.TARGET), "split")
+    train = split.where(F.col("split") == "train")
+    staged = Pipeline(stages=[OneHotEncoder(inputCols=[C.LEVEL_COL], outputCols=["_oh"], dropLast=True),
+                              VectorAssembler(inputCols=["_oh"], outputCol="features")]).fit(train)
+    feats = staged.transform(train)
+    glm = select_training_algorithm("poisson_regressor", {"alpha": 0.0, "max_iter": 100}).spark_estimator(feats, "features", C.TARGET)
+    glm.setTol(1e-12)
+    scored = glm.fit(feats).transform(staged.transform(split))
+    out = E.residual_grid(scored, C.TARGET, "prediction", group_cols=["split"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("observed", "predicted", "residual")})

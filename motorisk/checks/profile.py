@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..features.transformers import DriverFeatures
+from ..functions import numeric as N
 from ..operators import profile as P
 from ..plans.premium import premium_dataset
 from ..sources import adapter as A
 from . import common as C
 from .common import r6
-from .features import PREMIUM_SQL
+from .features import DRIVER_SQL, PREMIUM_SQL, _sql_ratio
 
 # --- loss summary (A16 + A12) ------------------------------------------------
 
@@ -284,3 +286,43 @@ def report_g6(spark, sf_dir):
         F.lit("describe").alias("section"), "feature", "stat", "value")
     out = shp.unionByName(dup).unionByName(nulls).unionByName(dl)
     return out.withColumn("value", r6(F.col("value")))
+
+
+# --- describe with infinities and NaN (F10, A12) ------------------------------
+
+RATIO_COLS = ("driver_age_at_contract_inception", "driver_age_experience_ratio_proxy_for_driving_experience",
+              "premium_per_past_claim", "cost_per_claim", "power_per_door")
+
+
+def ratio_frame(spark, sf_dir):
+    """Driver features with ratios that divide by zero: infinite for x / 0, NaN for 0 / 0."""
+    return DriverFeatures().transform(A.policies(spark, sf_dir)).select(
+        *RATIO_COLS[:2], N.ratio("Premium", "N_claims_history").alias(RATIO_COLS[2]),
+        N.ratio("Cost_claims_year", "N_claims_year").alias(RATIO_COLS[3]), N.ratio("Power", "N_doors").alias(RATIO_COLS[4]))
+
+
+def _sql_quantile(p: float) -> str:
+    """Quantile of the sorted list ``a`` of n values, where equal neighbours may be infinite."""
+    at = f"(CAST({p} AS DOUBLE) * (n - 1))"
+    low, high = f"a[CAST(floor({at}) AS BIGINT) + 1]", f"a[CAST(ceil({at}) AS BIGINT) + 1]"
+    return f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({at} - floor({at})) END"
+
+
+def _ratio_sql() -> str:
+    parts = "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM r" for c in RATIO_COLS)
+    return f"""
+WITH d AS ({DRIVER_SQL}), p AS ({A.with_sources("SELECT policy_key, Premium, N_claims_history, Cost_claims_year, N_claims_year, Power, N_doors FROM policies")}),
+r AS (SELECT d.{RATIO_COLS[0]}, d.{RATIO_COLS[1]}, {_sql_ratio("p.Premium", "p.N_claims_history")} AS {RATIO_COLS[2]},
+             {_sql_ratio("p.Cost_claims_year", "p.N_claims_year")} AS {RATIO_COLS[3]}, {_sql_ratio("p.Power", "p.N_doors")} AS {RATIO_COLS[4]}
+      FROM d JOIN p ON d.policy_key = p.policy_key),
+long AS (SELECT feature, v FROM ({parts}) WHERE v IS NOT NULL AND NOT isnan(v)),
+lists AS (SELECT feature, list_sort(list(v)) AS a, count(*) AS n, avg(v) AS mean, bool_or(isinf(v)) AS endless,
+                 stddev_samp(CASE WHEN isfinite(v) THEN v END) AS std, min(v) AS min, max(v) AS max FROM long GROUP BY feature)
+SELECT feature, round(mean, 6) AS mean, round(CASE WHEN NOT endless THEN std END, 6) AS std, round(min, 6) AS min,
+       round({_sql_quantile(0.25)}, 6) AS q25, round({_sql_quantile(0.5)}, 6) AS median, round({_sql_quantile(0.75)}, 6) AS q75, round(max, 6) AS max
+FROM lists"""
+
+
+@register("ratio_profile", _ratio_sql())
+def ratio_profile(spark, sf_dir):
+    return _round_all(P.describe(ratio_frame(spark, sf_dir), RATIO_COLS))

@@ -101,9 +101,9 @@ def risk_group_calibration(df: DataFrame, observed: str, pred: str, key: str, n_
     if not stored:
         rows = stages.write(rows, "scores")
     groups = [f"_g{i}" for i in range(len(group_cols))]
-    cuts = select_rows(rows, groups, ["_mu", "_key"], lambda n: slice_starts(n, n_bins), stages)
-    # per group one array of n_bins - 1 cuts; a slice that would begin behind the last row begins nowhere
-    cut = F.when(F.col("at") < F.col("n"), F.struct(F.col("_mu").alias("mu"), F.col("_key").alias("key")))
+    cuts = select_rows(rows, groups, ["_mu", "_key"], max(1, n_bins - 1), lambda n, t: slice_start(n, t + 1, n_bins), stages)
+    # per group one array of at most n_bins - 1 cuts
+    cut = F.struct(F.col("_mu").alias("mu"), F.col("_key").alias("key"))
     per_group = cuts.groupBy(*groups).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))
     if groups:
         named = per_group.select(*[F.col(c).alias(f"c{c}") for c in groups], "_cuts")
@@ -121,12 +121,11 @@ def risk_group_calibration(df: DataFrame, observed: str, pred: str, key: str, n_
                       ((F.col("bin") + 0.5) / n_bins).alias("bin_center"))
 
 
-def slice_starts(n: Column, k: int) -> list[Column]:
-    """Positions of the first rows of slices 1 to k-1 when n rows are cut into k
-    even slices, the first n mod k of them one row longer."""
+def slice_start(n: Column, i: Column, k: int) -> Column:
+    """Position of the first row of slice i when n rows are cut into k even
+    slices, the first n mod k of them one row longer."""
     size = F.floor(n / F.lit(k)).cast("long")
-    longer = (n - size * F.lit(k)).cast("long")
-    return [F.when(size * i + F.least(F.lit(i), longer) < n, size * i + F.least(F.lit(i), longer)) for i in range(1, k)]
+    return size * i + F.least(i.cast("long"), (n - size * F.lit(k)).cast("long"))
 
 
 # Bins per axis of the actual-vs-predicted grid.

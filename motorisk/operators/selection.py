@@ -54,11 +54,11 @@ def _same(a: str, b: str, columns: Sequence[str]) -> Column:
     return cond
 
 
-def select_rows(data: DataFrame, groups: Sequence[str], order: Sequence[str],
-                wanted: Callable[[Column], Sequence[Column]], stages: Stages) -> DataFrame:
+def select_rows(data: DataFrame, groups: Sequence[str], order: Sequence[str], wanted: int,
+                position: Callable[[Column, Column], Column], stages: Stages) -> DataFrame:
     """(groups, n, t, at, order columns): the values at position ``at`` (from 0) of
-    every group's rows in ``order``, for the t-th of ``wanted(n)``, n being the
-    rows of the group.
+    every group's rows in ``order``, for t from 0 to ``wanted`` - 1, where ``at`` is
+    ``position(n, t)`` and n the rows of the group; without a row there, t is absent.
 
     ``data`` is read once per pass, so it should be a stored table; its order
     columns are doubles without NaN or integers, none NULL. The result reads one
@@ -83,38 +83,42 @@ def select_rows(data: DataFrame, groups: Sequence[str], order: Sequence[str],
 
     first = stages.write(counted(rows.alias("d"), [F.col(f"d.{c}") for c in g], 0, SHIFTS[0]), "cells")
     total = first.groupBy(*g).agg(F.sum("m").alias("n")).where("n > 0")
-    asked = total.select(*g, "n", F.posexplode(F.array(*[w.cast("long") for w in wanted(F.col("n"))])).alias("t", "at"))
+    asked = (total.select(*g, "n", F.explode(F.sequence(F.lit(0), F.lit(wanted - 1))).alias("t"))
+             .withColumn("at", position(F.col("n"), F.col("t")).cast("long")))
     hit = asked.alias("a").join(placed(first, g, F.lit(0).cast("long")).alias("p"),
                                 _same("a", "p", g) & (F.col("a.at") >= F.col("p.before")) & (F.col("a.at") < F.col("p.before") + F.col("p.m")))
     keep = [*g, "n", "t", "at"]
-    cuts = stages.write(hit.select(*[F.col(f"a.{c}").alias(c) for c in keep], F.col("p.before").alias("below"),
-                                   *[F.col(f"p.{c}").alias(c) for c in (*lo, *hi)]), "cuts")
+
+    def imaged(found: DataFrame, left_side: str) -> DataFrame:
+        """Cuts with the images of their bracket's ends."""
+        out = found.select(*[F.col(f"{left_side}.{c}").alias(c) for c in keep], F.col("p.before").alias("below"), *[F.col(f"p.{c}").alias(c) for c in (*lo, *hi)])
+        return out.select("*", *[_image(F.col(c), k).alias(f"i{c}") for names in (lo, hi) for c, k in zip(names, kinds)])
+
+    cuts = stages.write(imaged(hit, "a"), "cuts")
     stages.drop(first)
-    while (step := _next_digit(cuts, kinds, lo, hi)) is not None:
+    while (step := _next_digit(cuts, lo, hi)) is not None:
         column, shift = step
-        image = [_image(F.col(lo[column]), kinds[column]), _image(F.col(hi[column]), kinds[column])]
-        open_here = F.shiftright(image[0], shift) != F.shiftright(image[1], shift)
+        open_here = F.shiftright(f"i{lo[column]}", shift) != F.shiftright(f"i{hi[column]}", shift)
         left, done = cuts.where(open_here), cuts.where(~open_here)
-        brackets = left.select(*g, "below", *lo[:column + 1]).distinct()
+        brackets = left.select(*g, "below", *lo[:column], f"i{lo[column]}").distinct()
         inside = _same("d", "b", g)
         for i in range(column):
             inside = inside & (F.col(f"d.o{i}") == F.col(f"b.{lo[i]}"))
         if shift != SHIFTS[0]:
             inside = inside & (F.shiftright(_image(F.col(f"d.o{column}"), kinds[column]), shift + BITS)
-                               == F.shiftright(_image(F.col(f"b.{lo[column]}"), kinds[column]), shift + BITS))
+                               == F.shiftright(f"b.i{lo[column]}", shift + BITS))
         counts = counted(rows.alias("d").join(brackets.alias("b"), inside), [*[F.col(f"b.{c}") for c in g], F.col("b.below")], column, shift)
         found = left.alias("l").join(placed(counts, [*g, "below"], F.col("below")).alias("p"),
                                      _same("l", "p", [*g, "below"]) & (F.col("l.at") >= F.col("p.before")) & (F.col("l.at") < F.col("p.before") + F.col("p.m")))
-        narrowed = found.select(*[F.col(f"l.{c}").alias(c) for c in keep], F.col("p.before").alias("below"), *[F.col(f"p.{c}").alias(c) for c in (*lo, *hi)])
-        before, cuts = cuts, stages.write(done.unionByName(narrowed), "cuts")
+        before, cuts = cuts, stages.write(done.unionByName(imaged(found, "l")), "cuts")
         stages.drop(before)
     return cuts.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], "n", "t", "at", *[F.col(a).alias(c) for c, a in zip(order, lo)])
 
 
-def _next_digit(cuts: DataFrame, kinds: Sequence[T.DataType], lo: Sequence[str], hi: Sequence[str]) -> tuple[int, int] | None:
+def _next_digit(cuts: DataFrame, lo: Sequence[str], hi: Sequence[str]) -> tuple[int, int] | None:
     """The first (order column, shift) at which some bracket's ends differ; None when every bracket is one value."""
-    steps = [(i, s) for i in range(len(kinds)) for s in SHIFTS]
-    differ = [F.coalesce(F.max(F.shiftright(_image(F.col(lo[i]), kinds[i]), s) != F.shiftright(_image(F.col(hi[i]), kinds[i]), s)), F.lit(False)).alias(f"d{k}")
+    steps = [(i, s) for i in range(len(lo)) for s in SHIFTS]
+    differ = [F.coalesce(F.max(F.shiftright(f"i{lo[i]}", s) != F.shiftright(f"i{hi[i]}", s)), F.lit(False)).alias(f"d{k}")
               for k, (i, s) in enumerate(steps)]
     row = cuts.agg(*differ).first()
     return next((step for k, step in enumerate(steps) if row[f"d{k}"]), None)
@@ -139,10 +143,11 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     if not stored:
         data = stages.write(data, "values")
 
-    def ends(n: Column) -> list[Column]:
-        return [f(F.lit(float(p)) * (n - 1).cast("double")) for p in probs for f in (F.floor, F.ceil)]
+    def position(n: Column, t: Column) -> Column:
+        at = F.get(F.array(*[F.lit(float(p)) for p in probs for _ in range(2)]), t) * (n - 1).cast("double")
+        return F.when(t % 2 == 0, F.floor(at)).otherwise(F.ceil(at))
 
-    cuts = select_rows(data, g, ["_v"], ends, stages)
+    cuts = select_rows(data, g, ["_v"], 2 * len(probs), position, stages)
     stages.drop(data)
     aggs = [F.max(F.when(F.col("t") == k, F.col("_v"))).alias(f"_{k}") for k in range(2 * len(probs))]
     finals = []

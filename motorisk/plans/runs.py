@@ -216,6 +216,12 @@ def model_comparison(dataset: DataFrame, key: str, features: Sequence[str], targ
     return scored, metrics, observed.unionByName(predicted)
 
 
+def calibration(scored: DataFrame, models: Sequence[str], key: str, target: str, n_bins: int = 100) -> DataFrame:
+    """A28 for every model (a column of ``scored``) and split; the long scores are written once."""
+    long = E.long_scores(scored, models, [key, SPLIT, target])
+    return E.risk_group_calibration(long, target, "prediction", key, n_bins, group_cols=["model", SPLIT])
+
+
 def cross_validate(dataset: DataFrame, features: Sequence[str], target: str, algorithm: str,
                    param_grid: Sequence[Mapping], folds: int = 5, seed: int = 42,
                    metric: str = "rmse", key: str | None = None) -> DataFrame:

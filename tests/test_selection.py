@@ -91,7 +91,7 @@ def test_positions_of_two_columns(spark):
     rows = [(g, float(i % 3), (7919 * i) % 1000 - 500) for g in (0, None) for i in range(1000)]
     df = spark.createDataFrame(rows, "g int, x double, k long").repartition(7)
     stages = Stages(spark)
-    got = S.select_rows(stages.write(df), ["g"], ["x", "k"], lambda n: [F.lit(i) for i in (0, 400, 999)], stages)
+    got = S.select_rows(stages.write(df), ["g"], ["x", "k"], 4, lambda n, t: F.get(F.array(*map(F.lit, (0, 400, 999, 1000))), t), stages)
     for g in (0, None):
         ordered = sorted((x, k) for h, x, k in rows if h == g)
         assert {r["at"]: (r.x, r.k) for r in got.collect() if r.g == g} == {i: ordered[i] for i in (0, 400, 999)}
