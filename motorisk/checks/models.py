@@ -15,6 +15,8 @@ from ..sources import runlog as L
 from ..sources.files import scratch_dir
 from . import common as C
 from .common import r6
+from .evaluation import _round_metrics, _sql_metrics
+from .features import _sql_edge_dim, _sql_fixed_bins
 
 # --- saturated GLMs: one-hot of one category predicts the level mean ----------
 
@@ -93,6 +95,113 @@ def ridge_one_feature(spark, sf_dir):
         r6(F.col("intercept")).alias("intercept"), r6(F.col("slope")).alias("slope"))
 
 
+# --- boosting, GLM and comparison in closed form -------------------------------
+
+ONE_ROUND_SQL = C.A.with_sources(f"""
+SELECT x AS {C.LEVEL_COL}, round(m + 0.3 * (CASE WHEN x <= cut THEN -gl / (hl + 1) ELSE gl / (h - hl + 1) END), 6) AS prediction
+FROM lv, (SELECT m, cut, gl, hl, h FROM (
+  SELECT c.x AS cut, any_value(t.m) AS m, any_value(t.h) AS h, sum(l.n * t.m - l.s) AS gl, sum(l.n) AS hl
+  FROM lv c, lv l, (SELECT sum(s) / sum(n) AS m, sum(n) AS h, max(x) AS top FROM lv) t
+  WHERE l.x <= c.x AND c.x < t.top GROUP BY c.x)
+  ORDER BY gl * gl / (hl + 1) + gl * gl / (h - hl + 1) DESC, cut LIMIT 1)""", *C.SPLIT_CTES, f"""
+lv AS (SELECT {C.LEVEL_COL} AS x, CAST(count(*) AS DOUBLE) AS n, sum(CAST({C.TARGET} AS DOUBLE)) AS s
+       FROM freq_split WHERE split = 'train' AND {C.LEVEL_COL} IS NOT NULL GROUP BY 1)""")
+
+
+def _fitted_levels(spark, sf_dir, algorithm, params):
+    """Prediction of a model on one feature, per level of it."""
+    train = C.freq_split(spark, sf_dir).where((F.col("split") == "train") & F.col(C.LEVEL_COL).isNotNull()).select(C.LEVEL_COL, C.TARGET)
+    model = RUN.fit_cached(RUN.pipeline_for(train, [C.LEVEL_COL], C.TARGET, algorithm, params), train, [C.LEVEL_COL, C.TARGET])
+    return model.transform(train.select(C.LEVEL_COL).distinct()).select(C.LEVEL_COL, r6(F.col("prediction")).alias("prediction"))
+
+
+@register("gbt_one_round", ONE_ROUND_SQL)
+def gbt_one_round(spark, sf_dir):
+    """M7: one tree of one split, its threshold the one of greatest penalised
+    gain, its leaves shrunk by lambda."""
+    return _fitted_levels(spark, sf_dir, "xgboost", {"n_estimators": 1, "max_depth": 1})
+
+
+LEVEL_ROUNDS = 20
+
+
+def _sql_newton(levels: str, rounds: int, key: str = "x") -> str:
+    """Poisson boosting whose leaves are the levels: a Newton step of rate 0.1 per round and level."""
+    return f"""
+SELECT {key}, exp(eta) AS prediction FROM (
+  WITH RECURSIVE step AS (
+    SELECT {key}, s / n AS mean, ln(sum(s) OVER () / sum(n) OVER ()) AS eta, 0 AS round FROM ({levels})
+    UNION ALL
+    SELECT {key}, mean, eta + 0.1 * (mean / exp(eta) - 1), round + 1 FROM step WHERE round < {rounds})
+  SELECT {key}, eta FROM step WHERE round = {rounds})"""
+
+
+LEVELS_SQL = (f"SELECT {C.LEVEL_COL} AS x, CAST(count(*) AS DOUBLE) AS n, sum(CAST({C.TARGET} AS DOUBLE)) AS s FROM freq_split "
+              f"WHERE split = 'train' AND {C.LEVEL_COL} IS NOT NULL GROUP BY 1")
+
+
+@register("poisson_gbm_levels", C.A.with_sources(
+    f"SELECT x AS {C.LEVEL_COL}, round(prediction, 6) AS prediction FROM ({_sql_newton(LEVELS_SQL, LEVEL_ROUNDS)})", *C.SPLIT_CTES))
+def poisson_gbm_levels(spark, sf_dir):
+    """M6: with a leaf for every level, each round is a Newton step per level."""
+    return _fitted_levels(spark, sf_dir, "gradient_boosting", {"loss": "poisson", "max_leaf_nodes": 128, "max_iter": LEVEL_ROUNDS})
+
+
+# A yes/no feature: the Poisson GLM and the boosted trees then predict per level, in closed form.
+FLAG = "second_driver_flag"
+FLAG_CTE = f"""
+flagged AS (SELECT split, CAST({C.TARGET} AS DOUBLE) AS y, CAST(coalesce(Second_driver >= 1, false) AS INTEGER) AS x FROM freq_split)"""
+FLAG_LEVELS = "SELECT x, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s FROM flagged WHERE split = 'train' GROUP BY x"
+FLAG_SCORES = f"""
+SELECT model, split, y, mu FROM (
+  SELECT 'pred_baseline' AS model, split, y, (SELECT avg(y) FROM flagged WHERE split = 'train') AS mu FROM flagged
+  UNION ALL SELECT 'pred_ridge', split, y, avg_y - slope * avg_x + slope * x FROM flagged, (
+    SELECT avg_x, avg_y, sxy / (sxx + 1.0) AS slope FROM (
+      SELECT avg(x) AS avg_x, avg(y) AS avg_y, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM flagged WHERE split = 'train'))
+  UNION ALL SELECT 'pred_poisson', f.split, f.y, l.s / l.n FROM flagged f JOIN ({FLAG_LEVELS}) l ON f.x = l.x
+  UNION ALL SELECT 'pred_gbm', f.split, f.y, b.prediction FROM flagged f JOIN ({_sql_newton(FLAG_LEVELS, 100)}) b ON f.x = b.x)"""
+
+
+def flag_dataset(spark, sf_dir):
+    return C.freq_dataset(spark, sf_dir).select("policy_key", C.TARGET, F.coalesce((F.col("Second_driver") >= 1).cast("int"), F.lit(0)).alias(FLAG))
+
+
+@register("model_comparison_flag", C.A.with_sources(
+    f"SELECT model, split, {_sql_metrics('y', 'mu')} FROM ({FLAG_SCORES}) GROUP BY model, split", *C.SPLIT_CTES, FLAG_CTE))
+def model_comparison_flag(spark, sf_dir):
+    """The four models of the comparison on one yes/no feature."""
+    _, metrics, _ = RUN.model_comparison(flag_dataset(spark, sf_dir), "policy_key", [FLAG], C.TARGET)
+    return _round_metrics(metrics, ["model", "split"])
+
+
+def _sql_flag_histograms() -> str:
+    parts = [("SELECT 'observed' AS model, split, y AS v FROM flagged", RUN.OBSERVED_EDGES),
+             (f"SELECT model, split, mu AS v FROM ({FLAG_SCORES})", RUN.PREDICTED_EDGES)]
+    body = "\nUNION ALL\n".join(f"""
+SELECT g.model, g.split, CAST(d.bin AS INTEGER) AS bin, round(d.lo, 6) AS lo, round(d.hi, 6) AS hi, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM {_sql_edge_dim(edges)} CROSS JOIN (SELECT DISTINCT model, split FROM ({src})) g
+LEFT JOIN (SELECT model, split, bin, count(*) AS n FROM (SELECT model, split, {_sql_fixed_bins('v', edges)} AS bin FROM ({src}))
+           WHERE bin IS NOT NULL GROUP BY ALL) c ON d.bin = c.bin AND g.model = c.model AND g.split = c.split""" for src, edges in parts)
+    return C.A.with_sources(body, *C.SPLIT_CTES, FLAG_CTE)
+
+
+@register("prediction_histograms_flag", _sql_flag_histograms())
+def prediction_histograms_flag(spark, sf_dir):
+    """Observed and predicted distributions of the same four models."""
+    _, _, hist = RUN.model_comparison(flag_dataset(spark, sf_dir), "policy_key", [FLAG], C.TARGET)
+    return hist
+
+
+@register("coefficients_flag", C.A.with_sources(
+    f"SELECT '{FLAG}' AS feature, round(ln(max(s / n) FILTER (WHERE x = 1) / max(s / n) FILTER (WHERE x = 0)), 5) AS importance FROM ({FLAG_LEVELS})",
+    *C.SPLIT_CTES, FLAG_CTE))
+def coefficients_flag(spark, sf_dir):
+    """The log of the ratio of the two levels' means."""
+    train = C.split_data(flag_dataset(spark, sf_dir), "policy_key", C.TEST_RATIO, True, C.SEED).where(F.col("split") == "train")
+    model = RUN.pipeline_for(train, [FLAG], C.TARGET, "poisson_regressor", {"alpha": 0.0, "max_iter": 300, "tol": 1e-10}).fit(train)
+    return RUN.coefficient_table(model, [FLAG]).withColumn("importance", F.round("importance", 5))
+
+
 # --- rows-only: boosted models, runs, comparison, coefficients, versions ------
 
 RUN_FEATURES = RUN.NEW_CLIENT_CONFIG["features"]

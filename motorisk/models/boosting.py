@@ -1,151 +1,503 @@
-"""Gradient boosting with Poisson loss and log link (M6).
+"""Gradient boosting on binned histograms (M6, M7).
 
-Spark's ``GBTRegressor`` offers squared and absolute loss only, so each round
-is a Newton step built from ``DecisionTreeRegressor``: with score eta and
-mu = exp(eta), the Poisson gradient is mu − y and the Hessian mu, so a tree
-fitted to (y − mu)/mu with instance weight mu has the Newton step as leaf
-value (the weighted mean). eta starts at ln(mean y) and each round adds
-``learningRate`` × tree output.
+Rows are binned once: each feature gets at most ``maxBins`` bins whose edges lie
+between its values (all of them when there are few, else at even positions of their order), a
+missing value has a bin of its own above the others. A tree is grown from sums of
+gradient, hessian and rows per (node, feature, bin):
 
-Scale: every round is distributed tree growth (one pass per level) plus one
-projection. The score column is carried on the training frame, whose
-lineage grows by one tree per round; it is checkpointed to the reliable
-checkpoint folder every ``checkpointEvery`` rounds so that recovery after a
-lost executor never replays the whole sequence.
+* One pass over the rows measures every node that is open, by routing each row
+  down the tree found so far and one combined aggregate; of two siblings only the
+  one with fewer rows is measured, the other is its parent less the sibling.
+* A node of at most ``LOCAL_ROWS`` rows is finished by one task, which grows the
+  same subtree from that node's rows, so deep and small branches cost no passes.
+* ``growth="leaf"`` (M6) splits the leaf of greatest gain until ``maxLeaves``
+  leaves. Which leaf comes next depends on gains that are known only after a
+  pass, so all leaves that can still be split are opened in a pass, and the order
+  is replayed on what is known; leaves opened in vain are dropped in the end. A
+  tree takes at most as many passes as it is deep, not one per leaf.
+* ``growth="depth"`` (M7) splits every leaf above ``maxDepth`` whose gain is
+  positive.
+
+With gradient sum G and hessian sum H a leaf's value is -G / (H + lambda), and a
+split gains (GL^2 / (HL + lambda) + GR^2 / (HR + lambda) - G^2 / (H + lambda)) / 2 -
+gamma; it must be positive, and both sides need ``minInstances`` rows and a
+hessian of ``minChildWeight``. Equal gains go to the first feature and bin.
+``loss`` is ``squared`` (hessian 1) or ``poisson`` (log link: gradient mu - y,
+hessian mu).
+
+Scale: what reaches the driver per pass is a row per (open node, feature, bin);
+the trees are small lists. Rows are never shuffled. Scores are carried on the
+binned frame, which is stored anew every ``checkpointEvery`` rounds, so a lost
+executor replays a few trees at most, and the stored frame before is deleted.
 
 Early stopping is off unless asked for, at every size. With it, a share of the
-rows chosen by a seeded hash of the row itself is held out, so another
-partition layout holds out the same rows, and the fit stops when the held-out
-deviance has not improved by more than ``tol`` over the last
-``nIterNoChange`` rounds.
-"""
+rows chosen by a seeded hash of the row is held out, so another partition layout
+holds out the same rows, and the fit stops when the held-out loss has not improved
+by more than ``tol`` over the last ``nIterNoChange`` rounds."""
 
 from __future__ import annotations
 
+import json
 import math
-import os
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..operators.materialize import Stages
+from ..operators.selection import select_rows
+
+# Most rows of a node whose subtree one task grows.
+LOCAL_ROWS = 1 << 16
 
 ETA = "_eta"   # score; not "F": Spark resolves names case-insensitively
 
 
+@dataclass
+class Node:
+    """A node of a tree: its sums, best split, and children once it is split."""
+
+    depth: int
+    grad: float
+    hess: float
+    rows: int
+    gain: float | None = None            # None: not measured yet
+    feature: int = -1
+    bin: int = -1                        # rows with a bin up to this one go left
+    left: int = -1
+    right: int = -1
+    hist: np.ndarray | None = field(default=None, repr=False)     # (features, bins, 3)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a split has to meet."""
+
+    penalty: float = 0.0
+    min_gain: float = 0.0
+    min_weight: float = 1e-3
+    min_rows: int = 20
+
+    def value(self, grad: float, hess: float) -> float:
+        return -grad / (hess + self.penalty) if hess + self.penalty > 0 else 0.0
+
+    def best(self, node: Node) -> None:
+        """Set the node's best split from its histogram; a gain of 0 when none is allowed."""
+        left = node.hist.cumsum(axis=1)[:, :-1]
+        right = np.array([node.grad, node.hess, node.rows]) - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = lambda s: np.nan_to_num(s[..., 0] ** 2 / (s[..., 1] + self.penalty))
+            total = node.grad ** 2 / (node.hess + self.penalty) if node.hess + self.penalty > 0 else 0.0
+            gain = (score(left) + score(right) - total) / 2 - self.min_gain
+        allowed = ((left[..., 2] >= max(1, self.min_rows)) & (right[..., 2] >= max(1, self.min_rows))
+                   & (left[..., 1] >= self.min_weight) & (right[..., 1] >= self.min_weight))
+        gain = np.where(allowed, gain, -np.inf)
+        at = int(np.argmax(gain)) if gain.size else 0
+        node.gain = 0.0
+        # a gain within rounding of the parent's score is none
+        if gain.size and gain.flat[at] > 1e-12 * max(1.0, abs(total)):
+            node.gain, (node.feature, node.bin) = float(gain.flat[at]), (int(i) for i in np.unravel_index(at, gain.shape))
+
+
+def split_node(tree: list[Node], i: int) -> None:
+    """Two children for node i, with the sums its histogram gives."""
+    n = tree[i]
+    grad, hess, rows = (float(x) for x in n.hist[n.feature, :n.bin + 1].sum(axis=0))
+    n.left, n.right = len(tree), len(tree) + 1
+    tree.append(Node(n.depth + 1, grad, hess, round(rows)))
+    tree.append(Node(n.depth + 1, n.grad - grad, n.hess - hess, n.rows - round(rows)))
+
+
+def leaves_in_order(tree: list[Node], limit: int) -> tuple[list[int], list[int], bool]:
+    """(split nodes, leaves, whether this is final) of the tree that splits the
+    leaf of greatest known gain first, up to ``limit`` leaves; it stops at a leaf
+    whose gain is not known."""
+    split, leaves = [], [0]
+    while len(leaves) < limit:
+        if any(tree[i].gain is None for i in leaves):
+            return split, leaves, False
+        best = max(leaves, key=lambda i: (tree[i].gain, -i))
+        if tree[best].gain <= 0:
+            break
+        if tree[best].left < 0:
+            return split, leaves, False
+        split.append(best)
+        leaves.remove(best)
+        leaves += [tree[best].left, tree[best].right]
+    return split, leaves, True
+
+
+class Measure:
+    """Histograms of nodes of a growing tree, and whole subtrees of small ones."""
+
+    def histograms(self, tree: list[Node], wanted: Sequence[int]) -> dict[int, np.ndarray]:
+        """(features, bins, [gradient, hessian, rows]) of the wanted nodes of the rows routed down ``tree``."""
+        raise NotImplementedError
+
+    def subtrees(self, tree: list[Node], wanted: Sequence[int]) -> dict[int, list[Node]]:
+        """The nodes below (and with) each wanted node; those not given are measured. None by default."""
+        return {}
+
+
+class LocalMeasure(Measure):
+    """Histograms of rows held in memory: bins (rows, features), gradients and hessians."""
+
+    def __init__(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, most: int):
+        self.bins, self.sums, self.most = bins, np.column_stack([grad, hess, np.ones(len(grad))]), most
+        self.rows = {0: np.arange(len(grad))}
+
+    def histograms(self, tree, wanted):
+        for i, n in enumerate(tree):
+            if n.left >= 0 and i in self.rows:
+                mine = self.rows.pop(i)
+                goes = self.bins[mine, n.feature] <= n.bin
+                self.rows[n.left], self.rows[n.right] = mine[goes], mine[~goes]
+        out = {}
+        for i in wanted:
+            b, w = self.bins[self.rows[i]], self.sums[self.rows[i]]
+            out[i] = np.stack([np.stack([np.bincount(b[:, f], w[:, k], self.most + 1) for k in range(3)], axis=-1) for f in range(b.shape[1])])
+        return out
+
+
+def grow(measure: Measure, root: Node, rule: Rule, max_leaves: int | None, max_depth: int | None) -> list[Node]:
+    """The nodes of a tree; nodes without children are its leaves."""
+    tree = [root]
+
+    def learn(fresh: Sequence[tuple[int, int, int]]) -> None:
+        """Gains of new siblings (parent, the one with fewer rows, the other)."""
+        here = [c for _, s, l in fresh for c in (s, l) if max_depth is None or tree[c].depth < max_depth]
+        for parent, small, large in fresh:
+            for c in (small, large):
+                if c not in here:
+                    tree[c].gain = 0.0
+        grown = measure.subtrees(tree, here)
+        left = [(p, s, l) for p, s, l in fresh if any(c in here and c not in grown for c in (s, l))]
+        hists = measure.histograms(tree, [s for _, s, _ in left]) if left else {}
+        for parent, small, large in left:
+            for c, hist in ((small, hists[small]), (large, tree[parent].hist - hists[small])):
+                if c not in grown:
+                    tree[c].hist = hist
+                    rule.best(tree[c])
+        for i, nodes in grown.items():
+            graft(tree, i, nodes)
+
+    whole = measure.subtrees(tree, [0])
+    if whole:
+        graft(tree, 0, whole[0])
+    else:
+        root.hist = measure.histograms(tree, [0])[0]
+        if root.hist.size:
+            root.grad, root.hess, rows = (float(x) for x in root.hist[0].sum(axis=0))       # every feature holds every row
+            root.rows = round(rows)
+        rule.best(root)
+    while True:
+        if max_leaves is None:
+            opened = [i for i, n in enumerate(tree) if n.left < 0 and n_can_split(n, max_depth)]
+        else:
+            _, leaves, final = leaves_in_order(tree, max_leaves)
+            # of the leaves, no more than the splits that are left can be of use
+            ranked = sorted((i for i in leaves if n_can_split(tree[i], max_depth) and tree[i].left < 0), key=lambda i: (-tree[i].gain, i))
+            opened = [] if final else ranked[:max_leaves - len(leaves)]
+        if not opened:
+            break
+        fresh = []
+        for i in opened:
+            split_node(tree, i)
+            fresh.append((i, *sorted((tree[i].left, tree[i].right), key=lambda c: (tree[c].rows, c))))
+        learn(fresh)
+        for i in opened:
+            tree[i].hist = None
+    if max_leaves is not None:
+        split = set(leaves_in_order(tree, max_leaves)[0])
+        for i, n in enumerate(tree):
+            if i not in split:
+                n.left = n.right = -1
+    for n in tree:
+        n.hist = None
+    return tree
+
+
+def graft(tree: list[Node], at: int, nodes: list[Node]) -> None:
+    """Put a subtree in the place of a node."""
+    base, depth = len(tree) - 1, tree[at].depth
+    for k, n in enumerate(nodes):
+        n.depth += depth
+        n.left, n.right = (c + base if c > 0 else -1 for c in (n.left, n.right))
+        if k:
+            tree.append(n)
+    tree[at] = nodes[0]
+
+
+def n_can_split(n: Node, max_depth: int | None) -> bool:
+    return bool(n.gain and n.gain > 0) and (max_depth is None or n.depth < max_depth)
+
+
+def packed(tree: list[Node], rule: Rule) -> dict:
+    """The tree as lists, children behind their parents, nodes out of reach left out."""
+    order, todo = [], [0]
+    while todo:
+        i = todo.pop(0)
+        order.append(i)
+        if tree[i].left >= 0:
+            todo += [tree[i].left, tree[i].right]
+    at = {i: k for k, i in enumerate(order)}
+    inner = [tree[i].left >= 0 for i in order]
+    return {"feature": [tree[i].feature if s else 0 for i, s in zip(order, inner)],
+            "bin": [tree[i].bin if s else -1 for i, s in zip(order, inner)],
+            "left": [at[tree[i].left] if s else at[i] for i, s in zip(order, inner)],
+            "right": [at[tree[i].right] if s else at[i] for i, s in zip(order, inner)],
+            "value": [0.0 if s else rule.value(tree[i].grad, tree[i].hess) for i, s in zip(order, inner)],
+            "gain": [tree[i].gain if s else 0.0 for i, s in zip(order, inner)],
+            "depth": max(tree[i].depth for i in order)}
+
+
+def _constant(values: Sequence[float], kind: str) -> Column:
+    """A constant array; one text literal for the planner, folded into an array."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def routed(bins: Column, tree: dict) -> Column:
+    """The node of the tree a row ends in."""
+    if tree["depth"] == 0:
+        return F.lit(0)
+    feature, cut, left, right = (_constant(tree[k], "int") for k in ("feature", "bin", "left", "right"))
+
+    def step(node: Column, _: Column) -> Column:
+        return F.when(F.get(bins, F.get(feature, node)) <= F.get(cut, node), F.get(left, node)).otherwise(F.get(right, node))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(tree["depth"])), F.lit(0), step)
+
+
+def bin_edges(df: DataFrame, features: str, size: int, max_bins: int) -> list[list[float]]:
+    """Per feature the ascending edges between bins: midpoints of neighbouring
+    values when there are at most ``max_bins``, else the values at even positions
+    of their order. A row is in the bin that counts the edges below its value."""
+    long = (df.select(F.posexplode(vector_to_array(features)).alias("f", "v")).where(~F.isnan("v")))
+    stages = Stages(df.sparkSession)
+    long = stages.write(long, "feature-values")
+    few = (long.groupBy("f", "v").agg(F.lit(1).alias("one")).groupBy("f").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r.f: r.n for r in few.collect()}                   # a row per feature
+    edges: list[list[float]] = [[] for _ in range(size)]
+    small = [f for f in range(size) if counts.get(f, 0) <= max_bins]
+    if small:
+        # at most max_bins values per feature
+        rows = long.where(F.col("f").isin(small)).groupBy("f").agg(F.array_sort(F.collect_set("v")).alias("v")).collect()
+        for r in rows:
+            edges[r.f] = [(a + b) / 2 if math.isfinite(a + b) else a / 2 + b / 2 for a, b in zip(r.v, r.v[1:])]
+    large = [f for f in range(size) if f not in small]
+    if large:
+        cuts = select_rows(long.where(F.col("f").isin(large)), ["f"], ["v"], max_bins - 1,
+                           lambda n, t: F.floor((t + 1) * (n - 1) / max_bins), stages)
+        for r in cuts.groupBy("f").agg(F.array_sort(F.collect_set("v")).alias("v")).collect():
+            edges[r.f] = list(r.v)
+    stages.drop(long)
+    return edges
+
+
+def edges_below(value: Column, edges: Sequence[float]) -> Column:
+    """Number of the ascending edges below the value, by bisection over the constant array."""
+    if not edges:
+        return F.lit(0)
+    all_ = _constant(edges, "double")
+
+    def halve(s: Column, _: Column) -> Column:
+        lo, hi = s.getField("lo"), s.getField("hi")
+        mid = F.shiftright(lo + hi, 1)
+        below = (lo < hi) & (F.get(all_, F.least(mid, F.lit(len(edges) - 1))) < value)
+        return F.struct(F.when(below, mid + 1).otherwise(lo).alias("lo"), F.when(below | (lo >= hi), hi).otherwise(mid).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(edges).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")), halve).getField("lo")
+
+
+def binned(features: Column, edges: Sequence[Sequence[float]], max_bins: int) -> Column:
+    """Array of bin numbers: edges below the value; a missing value is in bin ``max_bins``."""
+    values = vector_to_array(features)
+    each = [F.get(values, F.lit(f)) for f in range(len(edges))]
+    return F.array(*[F.when(v.isNull() | F.isnan(v), F.lit(max_bins)).otherwise(edges_below(v, e)) for v, e in zip(each, edges)])
+
+
+class SparkMeasure(Measure):
+    """Histograms of a frame of rows (b: bins, g, h); one aggregate for all wanted nodes."""
+
+    def __init__(self, rows: DataFrame, size: int, bins: int, rule: Rule, max_leaves: int | None, max_depth: int | None):
+        self.rows, self.size, self.bins, self.rule, self.limits = rows, size, bins, rule, (max_leaves, max_depth)
+
+    def _routed(self, tree: list[Node], wanted: Sequence[int]) -> DataFrame:
+        shape = {"feature": [n.feature if n.left >= 0 else 0 for n in tree], "bin": [n.bin if n.left >= 0 else -1 for n in tree],
+                 "left": [n.left if n.left >= 0 else i for i, n in enumerate(tree)],
+                 "right": [n.right if n.left >= 0 else i for i, n in enumerate(tree)], "depth": max(n.depth for n in tree)}
+        here = self.rows.select(routed(F.col("b"), shape).alias("node"), "b", "g", "h")
+        return here.where(F.get(_constant([int(i in set(wanted)) for i in range(len(tree))], "int"), F.col("node")) == 1) if len(tree) > 1 else here
+
+    def histograms(self, tree, wanted):
+        sums = (self._routed(tree, wanted).select("node", F.posexplode("b").alias("f", "bin"), "g", "h").groupBy("node", "f", "bin")
+                .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).toPandas())     # a row per node, feature and bin
+        out = {i: np.zeros((self.size, self.bins + 1, 3)) for i in wanted}
+        for node, part in sums.groupby("node"):
+            out[node][part["f"].to_numpy(), part["bin"].to_numpy()] = part[["g", "h", "n"]].to_numpy()
+        return out
+
+    def subtrees(self, tree, wanted):
+        small = [i for i in wanted if tree[i].rows <= LOCAL_ROWS]
+        if not small:
+            return {}
+        size, bins, rule, (max_leaves, max_depth) = self.size, self.bins, self.rule, self.limits
+        depths = {i: tree[i].depth for i in small}
+        names = ["node", "k", *_FIELDS]
+
+        def finish(table: pa.Table) -> pa.Table:
+            node = table.column("node")[0].as_py()
+            b = np.asarray(table.column("b").combine_chunks().flatten()).reshape(-1, size)
+            local = LocalMeasure(b, table.column("g").to_numpy(), table.column("h").to_numpy(), bins)
+            root = Node(0, 0.0, 0.0, len(b))
+            nodes = grow(local, root, rule, max_leaves, None if max_depth is None else max_depth - depths[node])
+            return pa.Table.from_arrays([pa.array([node] * len(nodes), pa.int32()), pa.array(range(len(nodes)), pa.int32())]
+                                        + [pa.array([getattr(n, f) for n in nodes], t) for f, t in _FIELDS.items()], names=names)
+
+        kinds = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double"}
+        schema = "node int, k int, " + ", ".join(f"{f} {kinds[t]}" for f, t in _FIELDS.items())
+        found = self._routed(tree, small).groupBy("node").applyInArrow(finish, schema).orderBy("node", "k").collect()     # a tree's nodes
+        out: dict[int, list[Node]] = {}
+        for r in found:
+            out.setdefault(r.node, []).append(Node(**{f: r[f] for f in _FIELDS}))
+        return out
+
+
+_FIELDS = {"depth": pa.int32(), "grad": pa.float64(), "hess": pa.float64(), "rows": pa.int64(), "gain": pa.float64(),
+           "feature": pa.int32(), "bin": pa.int32(), "left": pa.int32(), "right": pa.int32()}
+
+
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    loss = Param(Params._dummy(), "loss", "squared | poisson", TypeConverters.toString)
+    growth = Param(Params._dummy(), "growth", "leaf | depth", TypeConverters.toString)
     maxIter = Param(Params._dummy(), "maxIter", "boosting rounds", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage", TypeConverters.toFloat)
-    maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", TypeConverters.toInt)
+    maxLeaves = Param(Params._dummy(), "maxLeaves", "leaves of a tree grown by leaf", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of a tree (0: unlimited)", TypeConverters.toInt)
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "min rows per leaf", TypeConverters.toInt)
-    maxBins = Param(Params._dummy(), "maxBins", "feature bins", TypeConverters.toInt)
-    checkpointEvery = Param(Params._dummy(), "checkpointEvery", "rounds between checkpoints", TypeConverters.toInt)
+    minChildWeight = Param(Params._dummy(), "minChildWeight", "min hessian per leaf", TypeConverters.toFloat)
+    regLambda = Param(Params._dummy(), "regLambda", "penalty on leaf values", TypeConverters.toFloat)
+    gamma = Param(Params._dummy(), "gamma", "gain a split must exceed", TypeConverters.toFloat)
+    maxBins = Param(Params._dummy(), "maxBins", "feature bins, missing values not counted", TypeConverters.toInt)
+    checkpointEvery = Param(Params._dummy(), "checkpointEvery", "rounds between stored scores", TypeConverters.toInt)
     earlyStopping = Param(Params._dummy(), "earlyStopping", "on | off", TypeConverters.toString)
     validationFraction = Param(Params._dummy(), "validationFraction", "held-out share", TypeConverters.toFloat)
     nIterNoChange = Param(Params._dummy(), "nIterNoChange", "patience in rounds", TypeConverters.toInt)
-    tol = Param(Params._dummy(), "tol", "minimal improvement of the held-out deviance", TypeConverters.toFloat)
+    tol = Param(Params._dummy(), "tol", "minimal improvement of the held-out loss", TypeConverters.toFloat)
     seed = Param(Params._dummy(), "seed", "seed of the hold-out", TypeConverters.toInt)
 
     def _defaults(self):
-        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction",
-                         maxIter=100, learningRate=0.1, maxDepth=7, minInstancesPerNode=20,
-                         maxBins=255, checkpointEvery=5, earlyStopping="off", validationFraction=0.1,
+        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", loss="squared", growth="leaf",
+                         maxIter=100, learningRate=0.1, maxLeaves=31, maxDepth=0, minInstancesPerNode=20, minChildWeight=1e-3,
+                         regLambda=0.0, gamma=0.0, maxBins=255, checkpointEvery=5, earlyStopping="off", validationFraction=0.1,
                          nIterNoChange=10, tol=1e-7, seed=42)
 
 
-class PoissonBoostingRegressor(Estimator, _BoostParams):
+class BoostingRegressor(Estimator, _BoostParams):
+    """Boosted trees on binned histograms; see the module's text for the method."""
+
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 maxIter=100, learningRate=0.1, maxDepth=7, minInstancesPerNode=20, maxBins=255,
-                 checkpointEvery=5, earlyStopping="off", validationFraction=0.1, nIterNoChange=10,
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", loss="squared", growth="leaf",
+                 maxIter=100, learningRate=0.1, maxLeaves=31, maxDepth=0, minInstancesPerNode=20, minChildWeight=1e-3, regLambda=0.0,
+                 gamma=0.0, maxBins=255, checkpointEvery=5, earlyStopping="off", validationFraction=0.1, nIterNoChange=10,
                  tol=1e-7, seed=42):
         super().__init__()
         self._defaults()
         self._set(**self._input_kwargs)
 
-    def _fit(self, df: DataFrame) -> "PoissonBoostingModel":
+    def _fit(self, df: DataFrame) -> "BoostingModel":
         g = self.getOrDefault
-        ensure_checkpoint_dir(df.sparkSession)
-        label, feats = g(self.labelCol), g(self.featuresCol)
-        y = F.col(label).cast("double")
+        if g(self.loss) not in ("squared", "poisson"):
+            raise ValueError("loss is 'squared' or 'poisson'")
+        if g(self.growth) not in ("leaf", "depth"):
+            raise ValueError("growth is 'leaf' or 'depth'")
         if g(self.earlyStopping) not in ("on", "off"):
             raise ValueError("earlyStopping is 'on' or 'off'")
-        stop_early = g(self.earlyStopping) == "on"
+        stages, poisson, stop_early = Stages(df.sparkSession), g(self.loss) == "poisson", g(self.earlyStopping) == "on"
+        y, feats = F.col(g(self.labelCol)).cast("double"), F.col(g(self.featuresCol))
         # the row decides whether it is held out, not its place in a partition
-        draw = F.pmod(F.xxhash64(vector_to_array(F.col(feats)), y, F.lit(g(self.seed))), F.lit(1 << 20))
+        draw = F.pmod(F.xxhash64(vector_to_array(feats), y, F.lit(g(self.seed))), F.lit(1 << 20))
         held = (draw < int(g(self.validationFraction) * (1 << 20))) if stop_early else F.lit(False)
-        work = df.select(F.col(feats).alias("features"), y.alias("y"), held.alias("_val")).checkpoint(eager=True)
-        mean_y = work.where(~F.col("_val")).agg(F.avg("y")).first()[0]
-        if not mean_y or mean_y <= 0:
-            raise ValueError("Poisson boosting needs a positive mean label")
-        init = math.log(mean_y)
-        work = work.withColumn(ETA, F.lit(init))
-        trees, rate, losses = [], g(self.learningRate), []
-        patience, tol = g(self.nIterNoChange), g(self.tol)
+        raw = stages.write(df.select(feats.alias("features"), y.alias("y"), held.alias("_val")).where(y.isNotNull()), "boost-input")
+        first = raw.where(~F.col("_val")).agg(F.avg("y").alias("m"), F.count("y").alias("n"), F.max(F.size(vector_to_array("features"))).alias("d")).first()
+        if first.m is None or poisson and first.m <= 0:
+            raise ValueError("Poisson boosting needs a positive mean label" if poisson else "there is no row to fit")
+        init = math.log(first.m) if poisson else float(first.m)
+        bins = g(self.maxBins)
+        edges = bin_edges(raw.where(~F.col("_val")), "features", first.d, bins)
+        work = stages.write(raw.select(binned(F.col("features"), edges, bins).alias("b"), "y", "_val", F.lit(init).alias(ETA)), "boost-bins")
+        stages.drop(raw)
+        rule = Rule(g(self.regLambda), g(self.gamma), g(self.minChildWeight), g(self.minInstancesPerNode))
+        trees: list[dict] = []
+        losses: list[float] = []
+        stored = work
         for r in range(g(self.maxIter)):
-            mu = F.exp(F.col(ETA))
-            step_frame = work.withColumns({"_w": mu, "_z": (F.col("y") - mu) / mu})
-            tree = DecisionTreeRegressor(
-                featuresCol="features", labelCol="_z", weightCol="_w", predictionCol="_step",
-                maxDepth=g(self.maxDepth), minInstancesPerNode=g(self.minInstancesPerNode),
-                maxBins=g(self.maxBins)).fit(step_frame.where(~F.col("_val")))
-            trees.append(tree)
-            work = tree.transform(step_frame).select(
-                "features", "y", "_val", (F.col(ETA) + F.lit(rate) * F.col("_step")).alias(ETA))
-            if (r + 1) % g(self.checkpointEvery) == 0:
-                work = work.checkpoint(eager=True)
+            grad, hess = (F.exp(ETA) - F.col("y"), F.exp(ETA)) if poisson else (F.col(ETA) - F.col("y"), F.lit(1.0))
+            rows = work.where(~F.col("_val")).select("b", grad.alias("g"), hess.alias("h"))
+            root = Node(0, 0.0, 0.0, first.n)
+            limits = (g(self.maxLeaves) if g(self.growth) == "leaf" else None, g(self.maxDepth) or None)
+            trees.append(packed(grow(SparkMeasure(rows, first.d, bins, rule, *limits), root, rule, *limits), rule))
+            value = F.get(_constant(trees[-1]["value"], "double"), routed(F.col("b"), trees[-1]))
+            work = work.withColumn(ETA, F.col(ETA) + F.lit(g(self.learningRate)) * value)
+            if (r + 1) % g(self.checkpointEvery) == 0 or r + 1 == g(self.maxIter):
+                before, stored = stored, stages.write(work, "boost-scores")
+                work = stored
+                stages.drop(before)
             if stop_early:
-                eta, yy = F.col(ETA), F.col("y")
-                dev = F.when(yy > 0, yy * (F.log(yy) - eta)).otherwise(0.0) - yy + F.exp(eta)
-                losses.append(work.where("_val").agg(F.avg(dev)).first()[0])
-                if len(losses) > patience and all(x > losses[-patience - 1] - tol for x in losses[-patience:]):
+                losses.append(work.where("_val").agg(F.avg(_loss(poisson))).first()[0])
+                patience = g(self.nIterNoChange)
+                if losses[-1] is None or len(losses) > patience and all(x > losses[-patience - 1] - g(self.tol) for x in losses[-patience:]):
                     break
-        model = PoissonBoostingModel(init=init, trees=trees)
-        return self._copyValues(model)
+        stages.close()
+        return self._copyValues(BoostingModel(init=init, edges=edges, trees=trees))
+
+
+def _loss(poisson: bool) -> Column:
+    eta, y = F.col(ETA), F.col("y")
+    if poisson:
+        return F.when(y > 0, y * (F.log(y) - eta)).otherwise(0.0) - y + F.exp(eta)
+    return (y - eta) * (y - eta)
 
 
-class PoissonBoostingModel(Model, _BoostParams, MLWritable, MLReadable):
-    init = Param(Params._dummy(), "init", "initial score ln(mean y)", TypeConverters.toFloat)
+class BoostingModel(Model, _BoostParams, MLWritable, MLReadable):
+    init = Param(Params._dummy(), "init", "score before the first tree", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, init=0.0, trees=None, featuresCol="features", labelCol="label",
-                 predictionCol="prediction", maxIter=100, learningRate=0.1, maxDepth=7,
-                 minInstancesPerNode=20, maxBins=255, checkpointEvery=5):
+    def __init__(self, *, init=0.0, edges=None, trees=None):
         super().__init__()
         self._defaults()
         self._setDefault(init=0.0)
         kw = dict(self._input_kwargs)
-        self.trees = list(kw.pop("trees", None) or [])
+        self.edges, self.trees = [list(e) for e in kw.pop("edges", None) or []], list(kw.pop("trees", None) or [])
         self._set(**kw)
 
-    def raw_score(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         g = self.getOrDefault
-        out = df.withColumn(ETA, F.lit(g(self.init)))
+        free = lambda name: name if name.lower() not in {c.lower() for c in df.columns} else free("_" + name)
+        bins, out = free("_bins"), g(self.predictionCol)
+        work = df.withColumn(bins, binned(F.col(g(self.featuresCol)), self.edges, g(self.maxBins)))
+        score = F.lit(g(self.init))
         for t in self.trees:
-            t = t.copy()
-            t.setFeaturesCol(g(self.featuresCol)).setPredictionCol("_step")
-            out = t.transform(out).withColumn(ETA, F.col(ETA) + F.lit(g(self.learningRate)) * F.col("_step")).drop("_step")
-        return out
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return self.raw_score(df).withColumn(self.getOrDefault(self.predictionCol), F.exp(ETA)).drop(ETA)
+            score = score + F.lit(g(self.learningRate)) * F.get(_constant(t["value"], "double"), routed(F.col(bins), t))
+        return work.withColumn(out, F.exp(score) if g(self.loss) == "poisson" else score).drop(bins)
 
+    @property
     def featureImportances(self):
-        """Sum of the trees' importances, normalised to one."""
-        total = None
+        """Gain of the splits on each feature, normalised to one."""
+        total = np.zeros(len(self.edges))
         for t in self.trees:
-            v = t.featureImportances.toArray()
-            total = v if total is None else total + v
-        if total is None or total.sum() == 0:
-            return total
-        return total / total.sum()
+            for f, gain in zip(t["feature"], t["gain"]):
+                total[f] += gain
+        return Vectors.dense(total / total.sum() if total.sum() > 0 else total)
 
     def write(self) -> MLWriter:
         return _BoostingWriter(self)
@@ -156,26 +508,23 @@ class PoissonBoostingModel(Model, _BoostParams, MLWritable, MLReadable):
 
     def copy(self, extra=None):
         that = super().copy(extra)
-        that.trees = list(self.trees)
+        that.edges, that.trees = list(self.edges), list(self.trees)
         return that
 
 
 class _BoostingWriter(MLWriter):
-    def __init__(self, model: PoissonBoostingModel):
+    def __init__(self, model: BoostingModel):
         super().__init__()
         self.model = model
 
     def saveImpl(self, path: str) -> None:
-        DefaultParamsWriter.saveMetadata(self.model, path, self.sc, extraMetadata={"trees": len(self.model.trees)})
-        for i, t in enumerate(self.model.trees):
-            t.write().save(os.path.join(path, "trees", f"{i:04d}"))
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sc, extraMetadata={"edges": self.model.edges, "trees": json.dumps(self.model.trees)})
 
 
 class _BoostingReader(MLReader):
-    def load(self, path: str) -> PoissonBoostingModel:
+    def load(self, path: str) -> BoostingModel:
         metadata = DefaultParamsReader.loadMetadata(path, self.sc)
-        model = PoissonBoostingModel(trees=[DecisionTreeRegressionModel.load(os.path.join(path, "trees", f"{i:04d}"))
-                                            for i in range(metadata["trees"])])
+        model = BoostingModel(edges=metadata["edges"], trees=json.loads(metadata["trees"]))
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
         return model

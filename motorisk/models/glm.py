@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import inspect
 
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import PoissonBoostingRegressor
+from .boosting import BoostingRegressor
 
 
 def _label_stats(df: DataFrame, label: str):
@@ -85,45 +85,38 @@ class RidgeRegressor:
 
 
 class SquaredBoosting:
-    """M7: boosted trees on squared loss (defaults of the reference's library:
-    100 rounds, depth 6, rate 0.3)."""
+    """M7: boosted trees on squared loss with penalised leaves, grown by depth
+    (defaults of the reference's library: 100 rounds, depth 6, rate 0.3, lambda 1,
+    no minimum gain, child weight 1)."""
 
-    def __init__(self, n_estimators: int = 100, max_depth: int = 6, learning_rate: float = 0.3,
-                 max_bins: int = 256, seed: int = 0):
-        self.n_estimators, self.max_depth, self.learning_rate = n_estimators, max_depth, learning_rate
-        self.max_bins, self.seed = max_bins, seed
+    def __init__(self, n_estimators: int = 100, max_depth: int = 6, learning_rate: float = 0.3, reg_lambda: float = 1.0,
+                 gamma: float = 0.0, min_child_weight: float = 1.0, max_bins: int = 256, checkpoint_every: int = 5):
+        self.kw = dict(maxIter=n_estimators, maxDepth=max_depth, learningRate=learning_rate, regLambda=reg_lambda, gamma=gamma,
+                       minChildWeight=min_child_weight, maxBins=max_bins, checkpointEvery=checkpoint_every)
 
     def spark_estimator(self, df, features, label, prediction="prediction"):
-        return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=prediction,
-                            lossType="squared", maxIter=self.n_estimators, maxDepth=self.max_depth,
-                            stepSize=self.learning_rate, maxBins=self.max_bins, seed=self.seed,
-                            subsamplingRate=1.0, featureSubsetStrategy="all")
+        return BoostingRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, loss="squared", growth="depth",
+                                 minInstancesPerNode=1, **self.kw)
 
 
 class HistogramBoosting:
-    """M6: histogram-style gradient boosting (defaults of the reference's
-    library: squared error, 31 leaves). ``loss`` is ``squared_error`` or ``poisson``."""
+    """M6: histogram-style gradient boosting, leaf of greatest gain first (defaults
+    of the reference's library: squared error, 31 leaves). ``loss`` is
+    ``squared_error`` or ``poisson``."""
 
-    LOSSES = ("squared_error", "poisson")
+    LOSSES = {"squared_error": "squared", "poisson": "poisson"}
 
     def __init__(self, loss: str = "squared_error", max_iter: int = 100, learning_rate: float = 0.1, max_leaf_nodes: int = 31,
-                 min_samples_leaf: int = 20, max_bins: int = 255, early_stopping: bool = False, checkpoint_every: int = 5):
+                 max_depth: int | None = None, min_samples_leaf: int = 20, l2_regularization: float = 0.0, max_bins: int = 255,
+                 early_stopping: bool = False, checkpoint_every: int = 5):
         if loss not in self.LOSSES:
-            raise ValueError(f"loss is one of {self.LOSSES}")
-        self.loss, self.early_stopping, self.checkpoint_every = loss, early_stopping, checkpoint_every
-        self.kw = dict(maxIter=max_iter, maxDepth=max(1, (max_leaf_nodes - 1).bit_length()),
-                       minInstancesPerNode=min_samples_leaf, maxBins=max_bins)
-        self.learning_rate = learning_rate
+            raise ValueError(f"loss is one of {tuple(self.LOSSES)}")
+        self.kw = dict(loss=self.LOSSES[loss], maxIter=max_iter, learningRate=learning_rate, maxLeaves=max_leaf_nodes, maxDepth=max_depth or 0,
+                       minInstancesPerNode=min_samples_leaf, regLambda=l2_regularization, maxBins=max_bins,
+                       earlyStopping="on" if early_stopping else "off", checkpointEvery=checkpoint_every)
 
     def spark_estimator(self, df, features, label, prediction="prediction"):
-        cols = dict(featuresCol=features, labelCol=label, predictionCol=prediction)
-        if self.loss == "poisson":
-            return PoissonBoostingRegressor(**cols, **self.kw, learningRate=self.learning_rate, checkpointEvery=self.checkpoint_every,
-                                            earlyStopping="on" if self.early_stopping else "off")
-        if self.early_stopping:
-            raise ValueError("early stopping is offered for the Poisson loss only")
-        return GBTRegressor(**cols, **self.kw, stepSize=self.learning_rate, lossType="squared", subsamplingRate=1.0,
-                            featureSubsetStrategy="all", checkpointInterval=self.checkpoint_every, seed=0)
+        return BoostingRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, growth="leaf", **self.kw)
 
 
 # Algorithm names accepted by the factory.
