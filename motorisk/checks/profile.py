@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -12,7 +14,7 @@ from ..plans.premium import premium_dataset
 from ..sources import adapter as A
 from . import common as C
 from .common import r6
-from .features import DRIVER_SQL, PREMIUM_SQL, _sql_ratio
+from .features import DRIVER_SQL, PREMIUM_SQL, _sql_histogram, _sql_ratio
 
 # --- loss summary (A16 + A12) ------------------------------------------------
 
@@ -251,7 +253,7 @@ G6_NUMERIC = tuple(c for c, k in PREMIUM_KINDS.items() if k == "numeric" and c !
 
 
 def _g6_sql() -> str:
-    prem = f"premium AS ({PREMIUM_SQL})"
+    prem = f"premium AS MATERIALIZED ({PREMIUM_SQL})"
     parts = [
         "SELECT 'shape' AS section, 'rows' AS feature, 'count' AS stat, CAST(count(*) AS DOUBLE) AS value FROM premium",
         f"SELECT 'shape', 'columns', 'count', CAST({len(PREMIUM_COLS)} AS DOUBLE)",
@@ -260,31 +262,48 @@ def _g6_sql() -> str:
     ]
     parts += [f"SELECT 'nulls', '{c}', 'count', CAST(count(*) - count({c}) AS DOUBLE) FROM premium"
               for c in PREMIUM_COLS]
+    parts.append("SELECT 'missing', concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in PREMIUM_COLS)
+                 + "), 'rows', CAST(count(*) AS DOUBLE) FROM premium GROUP BY ALL")
+    for c in CATEGORY_COLS:
+        shares = (f"SELECT CAST({c} AS VARCHAR) AS v, CAST(count(*) AS DOUBLE) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS p "
+                  f"FROM premium WHERE {c} IS NOT NULL GROUP BY {c}")
+        parts += [f"SELECT 'category', '{c}', 'count ' || v, n FROM ({shares})", f"SELECT 'category', '{c}', 'percent ' || v, p FROM ({shares})"]
     for c in G6_NUMERIC:
         d = f"(SELECT * FROM ({_sql_describe('premium', c)}))"
         for stat in ("mean", "std", "min", "q25", "median", "q75", "max"):
             parts.append(f"SELECT 'describe', '{c}', '{stat}', {stat} FROM {d}")
+        parts.append(f"SELECT 'histogram', '{c}', 'bin ' || bin, CAST(count AS DOUBLE) FROM "
+                     f"({_sql_histogram(f'SELECT CAST({c} AS DOUBLE) AS v FROM premium', P.REPORT_BINS)})")
+        box = _sql_box(c).replace("FROM policies", "FROM premium")
+        for stat in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers"):
+            parts.append(f"SELECT 'box', '{c}', '{stat}', CAST({stat} AS DOUBLE) FROM ({box})")
+        parts.append(f"SELECT 'kde', '{c}', 'point ' || point, density FROM ({_sql_kde(c)})")
+    for a, b in combinations(G6_NUMERIC, 2):
+        pair = f"SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM premium WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        parts.append(f"SELECT 'correlation', '{a}', '{b}', CASE WHEN var_samp(x) > 0 AND var_samp(y) > 0 "
+                     f"THEN covar_samp(x, y) / sqrt(var_samp(x) * var_samp(y)) END FROM ({pair})")
     body = "\nUNION ALL\n".join(parts)
     return f"WITH {prem}\nSELECT section, feature, stat, round(value, 6) AS value FROM (\n{body})"
 
 
+def _sql_kde(c: str) -> str:
+    """Density of a column of ``premium`` at the points of the grid."""
+    vals = f"(SELECT CAST({c} AS DOUBLE) AS v FROM premium WHERE {c} IS NOT NULL)"
+    point = f"(s.lo + g.point * ((s.hi - s.lo) / {float(P.KDE_GRID - 1)}))"
+    return f"""
+SELECT g.point, sum(w.w * exp(-0.5 * power(({point} - w.v) / (s.sd * power(CAST(s.n AS DOUBLE), -0.2)), 2)))
+       / (CAST(s.n AS DOUBLE) * s.sd * power(CAST(s.n AS DOUBLE), -0.2) * {P.SQRT_2PI!r}) AS density
+FROM (SELECT range AS point FROM range({P.KDE_GRID})) g,
+     (SELECT avg(v) AS v, count(*) AS w FROM (
+        SELECT v, CASE WHEN hi > lo THEN least({P.KDE_CELLS - 1}, CAST(floor((v - lo) / ((hi - lo) / {float(P.KDE_CELLS)})) AS BIGINT)) ELSE 0 END AS cell
+        FROM {vals}, (SELECT min(v) AS lo, max(v) AS hi FROM {vals})) GROUP BY cell) w,
+     (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) AS sd FROM {vals}) s
+WHERE s.sd > 0 GROUP BY g.point, s.lo, s.hi, s.n, s.sd"""
+
+
 @register("report_g6", _g6_sql())
 def report_g6(spark, sf_dir):
-    prem = premium_dataset(A.policies(spark, sf_dir))
-    shp = P.shape(prem).unpivot([], ["n_rows", "n_columns"], "feature", "value").select(
-        F.lit("shape").alias("section"),
-        F.when(F.col("feature") == "n_rows", "rows").otherwise("columns").alias("feature"),
-        F.lit("count").alias("stat"), F.col("value").cast("double").alias("value"))
-    dup = P.duplicate_count(prem.drop("policy_key")).select(
-        F.lit("duplicates").alias("section"), F.lit("all").alias("feature"), F.lit("count").alias("stat"),
-        F.col("duplicates").cast("double").alias("value"))
-    nulls = P.null_counts(prem).select(F.lit("nulls").alias("section"), "feature", F.lit("count").alias("stat"),
-                                       F.col("nulls").cast("double").alias("value"))
-    desc = P.describe(prem, [c for c in P.numeric_columns(prem) if c != "policy_key"])
-    stats = ["mean", "std", "min", "q25", "median", "q75", "max"]
-    dl = desc.unpivot(["feature"], stats, "stat", "value").select(
-        F.lit("describe").alias("section"), "feature", "stat", "value")
-    out = shp.unionByName(dup).unionByName(nulls).unionByName(dl)
+    out = P.profile_report(premium_dataset(A.policies(spark, sf_dir)), "policy_key")
     return out.withColumn("value", r6(F.col("value")))
 
 

@@ -6,10 +6,11 @@ ranks of a pair taken on the pair's shared non-null rows (as pandas does).
 A column is ranked once on all its rows; only the partner of a nullable
 column is ranked again on the rows where that column is present, and
 columns missing on the same rows share that context. All contexts are
-ranked in one grouped job over a long (key, context, column, value) frame;
-ranks come back through a join on (context, column, value) against the
-distinct-value rank table and a pivot by row key, whose groups hold one
-value per ranked column.
+ranked in one grouped job over a long (context, column, value) frame, which
+gives a table of distinct values with their ranks; the rows look their ranks up
+in it, column by column. A table of at most ``MAP_VALUES`` values travels to the
+rows, which stay where they are; a longer one costs one shuffle of the narrow
+rows, in which values holding more rows than an average partition take no part.
 
 A constant column has no correlation: NULL, where pandas gives NaN (and
 Spark's ``corr`` would divide by zero under ANSI mode). All pairs are
@@ -24,10 +25,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from . import ordering as O
-from .materialize import materialize
+from .materialize import Stages
 
 ALL = "all"
+# Most values of a column whose ranks are broadcast (16 bytes each).
+MAP_VALUES = 20_000
 
 
 def _clean(c: str) -> Column:
@@ -110,7 +114,8 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mi
     cols = sorted({c for p in pairs for c in p} | set(diagonal))
     # a number of its own for every row, fixed by the written table: ``key`` may repeat
     key = "_row"
-    clean = materialize(df.select(F.monotonically_increasing_id().alias(key), *[_clean(c).alias(c) for c in cols]), "rank-input")
+    stages = Stages(df.sparkSession)
+    clean = stages.write(df.select(F.monotonically_increasing_id().alias(key), *[_clean(c).alias(c) for c in cols]), "rank-input")
     mask = _null_masks(clean, cols)
 
     def ctx(col: str, partner: str) -> str:
@@ -125,17 +130,17 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mi
     for name, needed in need.items():
         frame = clean if name == ALL else clean.where(F.col(name).isNotNull())
         needed = sorted(needed)
-        parts.append(frame.select(key, *needed).unpivot([key], needed, "column", "value")
-                     .withColumn("ctx", F.lit(name)))
+        parts.append(frame.select(*needed).unpivot([], needed, "column", "value").withColumn("ctx", F.lit(name)))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    long = long.where(F.col("value").isNotNull())
-    ranked = O.average_rank(long, "value", "rank", group_cols=["ctx", "column"])
+    values = stages.write(O.value_positions(long, "value", ["ctx", "column"]).select(
+        "ctx", "column", "v", "w", (F.col("before") + (F.col("w") + 1) / 2.0).alias("rank")), "ranks")
+    sizes = {(r.ctx, r.column): r for r in values.groupBy("ctx", "column").agg(F.count(F.lit(1)).alias("values"), F.sum("w").alias("rows")).collect()}
     slots = {(n, c): f"r{i}" for i, (n, c) in enumerate(sorted((n, c) for n, cs in need.items() for c in cs))}
-    slot_of = F.create_map(*[x for (n, c), sl in slots.items() for x in (F.lit(f"{n}\u0001{c}"), F.lit(sl))])
-    wide = (ranked.withColumn("slot", slot_of[F.concat_ws("\u0001", "ctx", "column")])
-            .groupBy(key).pivot("slot", list(slots.values())).agg(F.first("rank")))
+    wide = clean
+    for (name, column), slot in slots.items():
+        wide = _with_rank(wide, column, slot, values.where((F.col("ctx") == name) & (F.col("column") == column)), sizes.get((name, column)), key)
     col_of = {k: F.col(sl) for k, sl in slots.items()}
     specs = []
     for a, b in pairs:
@@ -147,6 +152,25 @@ def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], mi
     return out.unionByName(diagonal_of(clean, diagonal)) if diagonal else out
 
 
+def _with_rank(wide: DataFrame, column: str, slot: str, values: DataFrame, size, key: str) -> DataFrame:
+    """Rows with the rank of their value in ``column`` as ``slot``; NULL for values that are not in the table."""
+    table = values.select(F.col("v").alias("_v"), F.col("rank").alias(slot), "w")
+    if size is None:
+        return wide.withColumn(slot, F.lit(None).cast("double"))
+    if size["values"] <= MAP_VALUES:
+        return wide.join(F.broadcast(table.drop("w")), F.col(column) == F.col("_v"), "left").drop("_v")
+    n = shuffle_partitions(wide.sparkSession)
+    # fewer values than partitions hold more rows than an average partition
+    hot = table.where(F.col("w") > size["rows"] / n).select(F.col("_v").alias("_hot"), F.col(slot).alias("_hot_rank"))
+    cold = table.where(F.col("w") <= size["rows"] / n).drop("w").withColumn("_place", F.lit(0).cast("long"))
+    marked = wide.join(F.broadcast(hot), F.col(column) == F.col("_hot"), "left")
+    # rows that need no look-up are dealt evenly: their place matches nothing
+    place = F.when(F.col(column).isNull() | F.col("_hot").isNotNull(), F.col(key) + 1).otherwise(F.lit(0))
+    marked = marked.withColumns({"_place": place, "_key": F.coalesce(F.col(column), F.lit(0.0))})
+    found = marked.join(cold, (F.col("_key") == F.col("_v")) & (marked["_place"] == cold["_place"]), "left")
+    return found.select(*wide.columns, F.coalesce("_hot_rank", slot).alias(slot))
+
+
 def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Long Spearman matrix over every ordered pair (diagonal 1, or NULL
     for a constant column)."""

@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import bands as B
 from . import ordering as O
-from .materialize import materialize
+from .materialize import Stages, materialize
+from .membership import likely_members
+from .selection import select_rows
 
 # Box-plot whisker reach in IQRs, kernel grid size.
 WHISKER_IQR = 1.5
@@ -87,10 +90,26 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         F.max(F.size(F.array_compact(F.array(*flags)))).cast("int").alias("n_missing"))
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first occurrence of each full row (NULLs equal)."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+def duplicate_count(df: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """Rows beyond the first occurrence of each full row (NULLs equal).
+
+    128-bit fingerprints of the rows are counted first. Only rows whose
+    fingerprint was seen twice are grouped by all their columns, so unequal rows
+    that share one are told apart and rows of their own are never shuffled."""
+    stages = stages or Stages(df.sparkSession)
+    # one zero: 0.0 and -0.0 are equal rows
+    same = [F.col(f.name) + 0.0 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema.fields]
+    texts = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in same]
+    marked = df.select("*", F.xxhash64(*texts).alias("_h1"), F.xxhash64(F.lit("2"), *reversed(texts)).alias("_h2"))
+    seen = marked.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h1", "_h2")
+    twice = stages.write(seen, "seen-twice")
+    n = twice.count()
+    if not n:
+        stages.drop(twice)
+        return df.sparkSession.createDataFrame([(0,)], "duplicates long")
+    suspects = likely_members(marked, "_h1", twice, "_h1", n).join(twice, ["_h1", "_h2"], "left_semi")
+    groups = suspects.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -177,3 +196,129 @@ def dispersion(df: DataFrame, target: str) -> DataFrame:
 def first_rows(df: DataFrame, order: Sequence[str | Column], n: int = 5) -> DataFrame:
     """First n rows in a stated order (TakeOrdered: n rows per task)."""
     return df.orderBy(*order).limit(n)
+
+
+# Bins of the report's histograms.
+REPORT_BINS = 10
+
+
+def profile_report(df: DataFrame, key: str) -> DataFrame:
+    """The whole profile as (section, feature, stat, value) rows.
+
+    The frame is read once and written; two passes over the stored rows give all
+    sections but the quartiles. The first counts and sums by one set of keys:
+    missing values per column, patterns of missing columns, categories, moments
+    per numeric column and products per pair of them. The second, which needs
+    ranges and quartiles, counts histogram bins and cells and finds the whiskers.
+    NaN is missing in the numeric sections; ``key`` is no feature.
+
+    Sections: shape, duplicates, nulls (per column), missing (rows per set of
+    columns missing together), describe, category (count and percent per value),
+    histogram (rows per bin), box, kde (density at ``KDE_GRID`` points), correlation
+    (per pair; NULL for a constant column)."""
+    stages = Stages(df.sparkSession)
+    rows = stages.write(df, "profile")
+    columns = df.columns
+    numeric, texts = [c for c in numeric_columns(df) if c != key], text_columns(df)
+    first = stages.write(_summary(rows, columns, numeric, texts), "summary")
+    long = long_values(rows, numeric)
+    cuts = select_rows(long, ["feature"], ["value"], 6, _quartile_ends, stages)
+    quartiles = _quartiles(cuts)
+    ranges = (first.where("section = 'numeric'").select("feature", F.col("low").alias("lo"), F.col("high").alias("hi"), "n", F.col("sd")))
+    shape_of = stages.write(ranges.join(quartiles, "feature"), "ranges")
+    second = stages.write(_cells(long, shape_of), "cells")
+    tell = lambda frame, section, feature, stat, value: frame.select(
+        F.lit(section).alias("section"), feature.alias("feature"), stat.alias("stat"), value.cast("double").alias("value"))
+    f, item, n = F.col("feature"), F.col("item"), F.col("n")
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(columns)).alias("columns")).unpivot([], ["rows", "columns"], "feature", "value")
+    out = tell(total, "shape", f, F.lit("count"), F.col("value"))
+    out = out.unionByName(tell(duplicate_count(rows.drop(key), stages), "duplicates", F.lit("all"), F.lit("count"), F.col("duplicates")))
+    counted = F.map_from_entries(F.collect_list(F.struct("feature", "n")))
+    nulls = first.where("section = 'nulls'").agg(counted.alias("m")).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0)).alias("n")) for c in columns])).alias("e")).select("e.*")
+    out = out.unionByName(tell(nulls, "nulls", f, F.lit("count"), n))
+    out = out.unionByName(tell(first.where("section = 'missing'"), "missing", f, F.lit("rows"), n))
+    stats = ("mean", "std", "min", "q25", "median", "q75", "max")
+    described = first.where("section = 'numeric'").join(quartiles, "feature").select(
+        "feature", "mean", F.col("sd").alias("std"), F.col("low").alias("min"), F.col("q1").alias("q25"), "median", F.col("q3").alias("q75"), F.col("high").alias("max"))
+    described = described.unpivot(["feature"], list(stats), "stat", "value")
+    out = out.unionByName(tell(described, "describe", f, F.col("stat"), F.col("value")))
+    categories = first.where("section = 'category'")
+    totals = categories.groupBy("feature").agg(F.sum("n").alias("total"))
+    shares = categories.join(totals, "feature").select("feature", "item", n.cast("double").alias("count"), (n * 100.0 / F.col("total")).alias("percent"))
+    shares = shares.unpivot(["feature", "item"], ["count", "percent"], "what", "value")
+    out = out.unionByName(tell(shares, "category", f, F.concat_ws(" ", "what", "item"), F.col("value")))
+    bins = shape_of.select("feature", F.explode(F.sequence(F.lit(1), F.lit(REPORT_BINS))).alias("place"))
+    filled = bins.join(second.where("kind = 'bin'").select("feature", "place", "n"), ["feature", "place"], "left")
+    out = out.unionByName(tell(filled, "histogram", f, F.concat(F.lit("bin "), F.col("place")), F.coalesce("n", F.lit(0))))
+    whiskers = second.where("kind = 'cell'").groupBy("feature").agg(
+        F.min("low").alias("whisker_low"), F.max("high").alias("whisker_high"), F.sum("outside").cast("double").alias("outliers"))
+    box = shape_of.join(whiskers, "feature").select("feature", "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "whisker_low", "whisker_high", "outliers")
+    box = box.unpivot(["feature"], ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers"], "stat", "value")
+    out = out.unionByName(tell(box, "box", f, F.col("stat"), F.col("value")))
+    out = out.unionByName(tell(_densities(second, shape_of), "kde", f, F.concat(F.lit("point "), F.col("point")), F.col("density")))
+    pairs = first.where("section = 'pair'").select("feature", "item", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("cxy") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"))
+    return out.unionByName(tell(pairs, "correlation", f, item, F.col("r")))
+
+
+def _summary(rows: DataFrame, columns: Sequence[str], numeric: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """One pass: rows, moments and products per (section, feature, item)."""
+    def entry(section: str, feature: Column, item: Column, x: Column, y: Column, here: Column) -> Column:
+        return F.when(here, F.struct(F.lit(section).alias("section"), feature.alias("feature"), item.alias("item"), x.alias("x"), y.alias("y")))
+
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("double")
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
+    entries = [entry("nulls", F.lit(c), none, nothing, nothing, F.col(c).isNull()) for c in columns]
+    gone = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+    entries.append(entry("missing", gone, none, nothing, nothing, F.lit(True)))
+    entries += [entry("category", F.lit(c), F.col(c), nothing, nothing, F.col(c).isNotNull()) for c in texts]
+    entries += [entry("numeric", F.lit(c), none, clean[c], nothing, clean[c].isNotNull()) for c in numeric]
+    for i, a in enumerate(numeric):
+        entries += [entry("pair", F.lit(a), F.lit(b), clean[a], clean[b], clean[a].isNotNull() & clean[b].isNotNull()) for b in numeric[i + 1:]]
+    long = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    return long.groupBy("section", "feature", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.when(~F.bool_or(F.abs("x") == float("inf")), F.stddev_samp("x")).alias("sd"),
+        F.covar_samp("x", "y").alias("cxy"), F.var_samp(F.when(F.col("y").isNotNull(), F.col("x"))).alias("vx"), F.var_samp("y").alias("vy"))
+
+
+def _quartile_ends(n: Column, t: Column) -> Column:
+    at = (F.floor(t / 2) + 1) * 0.25 * (n - 1).cast("double")
+    return F.when(t % 2 == 0, F.floor(at)).otherwise(F.ceil(at))
+
+
+def _quartiles(cuts: DataFrame) -> DataFrame:
+    """(feature, q1, median, q3) from the values around the quartiles."""
+    ends = cuts.groupBy("feature").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("t") == t, F.col("value"))).alias(f"e{t}") for t in range(6)])
+
+    def quartile(k: int) -> Column:
+        at, low, high = F.lit((k + 1) * 0.25) * (F.col("n") - 1).cast("double"), F.col(f"e{2 * k}"), F.col(f"e{2 * k + 1}")
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+    return ends.select("feature", quartile(0).alias("q1"), quartile(1).alias("median"), quartile(2).alias("q3"))
+
+
+def _cells(long: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One pass: rows per histogram bin and per cell of the kernel sum, with the
+    cells' means, their values nearest the whiskers' reach and the rows beyond."""
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    reach = WHISKER_IQR * (F.col("q3") - F.col("q1"))
+    inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
+    cell = F.when(hi > lo, F.least(F.lit(KDE_CELLS - 1), F.floor((v - lo) / ((hi - lo) / F.lit(float(KDE_CELLS))))).cast("int")).otherwise(F.lit(0))
+    both = F.array(F.struct(F.lit("bin").alias("kind"), B.histogram_bin("value", lo, hi, REPORT_BINS).alias("place")),
+                   F.struct(F.lit("cell").alias("kind"), cell.alias("place")))
+    # the ranges are a row per feature
+    placed = long.join(ranges, "feature").select("feature", "value", inside.alias("inside"), F.inline(both))
+    return placed.groupBy("feature", "kind", "place").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min(F.when(F.col("inside"), v)).alias("low"),
+        F.max(F.when(F.col("inside"), v)).alias("high"), F.count_if(~F.col("inside")).alias("outside"))
+
+
+def _densities(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(feature, point, density) on an even grid over each feature's range, from the counted cells."""
+    lo, hi, n = F.col("lo"), F.col("hi"), F.col("rows").cast("double")
+    bw = F.col("sd") * F.pow(n, F.lit(-0.2))
+    points = (cells.where("kind = 'cell'").join(ranges.select("feature", "lo", "hi", F.col("n").alias("rows"), "sd").where("sd > 0"), "feature")
+              .select("feature", "n", "mean", lo, hi, "rows", bw.alias("bw"), F.explode(F.sequence(F.lit(0), F.lit(KDE_GRID - 1))).alias("point")))
+    z = (lo + F.col("point") * ((hi - lo) / F.lit(float(KDE_GRID - 1))) - F.col("mean")) / F.col("bw")
+    summed = points.groupBy("feature", "point").agg(F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z)).alias("s"), F.first("rows").alias("rows"), F.first("bw").alias("bw"))
+    return summed.select("feature", "point", (F.col("s") / (n * F.col("bw") * F.lit(SQRT_2PI))).alias("density"))
