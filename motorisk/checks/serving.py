@@ -73,15 +73,42 @@ def score_quotes_batch(spark, sf_dir):
 
 @register("score_quotes_stream", SCORE_SQL)
 def score_quotes_stream(spark, sf_dir):
-    """The same quotes as JSON files, scored by a stream (availableNow)."""
+    """The same quotes as JSON files, each delivered twice, scored by a stream (availableNow)."""
     src = scratch_dir(spark, "quotes-in")
-    quotes(spark, sf_dir).write.json(src)
+    for _ in range(2):
+        quotes(spark, sf_dir).write.mode("append").json(src)
     sink, ckpt = scratch_dir(spark, "quotes-out"), scratch_dir(spark, "quotes-ckpt")
     q = start_scoring_stream(spark, scoring_model(spark, sf_dir), src, sink, ckpt)
     q.awaitTermination()                            # ends with the input; a failure is raised here
     return spark.read.parquet(sink).withColumn("prediction", r6(F.col("prediction")))
 
 
+VERSIONS_SQL = C.A.with_sources(f"""
+SELECT 1 AS version, {C.LEVEL_COL}, round(avg(CAST({C.TARGET} AS DOUBLE)), 6) AS prediction
+FROM freq_split WHERE split = 'train' AND {C.LEVEL_COL} IS NOT NULL GROUP BY {C.LEVEL_COL}
+UNION ALL
+SELECT 2, {C.LEVEL_COL}, round(avg(CAST({C.TARGET} AS DOUBLE)), 6) FROM freq_split WHERE {C.LEVEL_COL} IS NOT NULL GROUP BY {C.LEVEL_COL}""", *C.SPLIT_CTES)
+
+
+@register("published_models", VERSIONS_SQL)
+def published_models(spark, sf_dir):
+    """S5 + S6: a GLM fitted on the training rows and one fitted on all rows are
+    published in turn; every version is loaded from the store and predicts the levels."""
+    store = scratch_dir(spark, "store")
+    split = C.freq_split(spark, sf_dir).where(F.col(C.LEVEL_COL).isNotNull()).select("split", C.LEVEL_COL, C.TARGET)
+    for rows in (split.where(F.col("split") == "train"), split):
+        staged = Pipeline(stages=[OneHotEncoder(inputCols=[C.LEVEL_COL], outputCols=["_level"], dropLast=True),
+                                  VectorAssembler(inputCols=["_level"], outputCol="features")]).fit(rows)
+        ready = staged.transform(rows)
+        glm = PoissonRegressor(alpha=0.0, max_iter=100, tol=1e-12).spark_estimator(ready, "features", C.TARGET)
+        L.register_model(spark, PipelineModel([*staged.stages, glm.fit(ready)]), store, "levels")
+    levels, out = split.select(C.LEVEL_COL).distinct(), None
+    for r in sorted(L.model_versions(spark, store).collect(), key=lambda r: r.version):
+        told = L.load_model(r.path).transform(levels).select(F.lit(r.version).alias("version"), C.LEVEL_COL, r6(F.col("prediction")).alias("prediction"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 # --- run log (S4) ------------------------------------------------------------
 
 RUN_PARAMS = {"algorithm": "mean", "target": C.TARGET}

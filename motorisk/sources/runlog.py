@@ -1,20 +1,26 @@
 """Run log, model store and model versions.
 
-A run log is a table of long rows (run_id, kind, key, value, text) appended
-to Parquet and partitioned by ``run_id``; parameters keep their text,
+A run log is a table of long rows (run_id, kind, key, value, text) in Parquet,
+partitioned by ``run_id`` and logging call; parameters keep their text,
 metrics their number. Metric names get a ``prefix/`` when a prefix is given.
 Plot data (S7) are plain DataFrames written next to the log.
 
-Model versions: a manifest table lists (version, run_id, path). The next
-version is ``max(version) + 1`` (1 for an empty store); the model is saved
-under ``{store}/models/{version}``. One writer per store is assumed, as in
-the reference (two concurrent publishers could pick the same number).
+Logging the same frame again for a run replaces what that call wrote before.
+
+Model versions: a model is saved in a folder of its own, and then published by
+one manifest file per version, which names (version, run_id, path) and comes into
+being complete and at once, or not at all when that version exists. The number
+is the next free one (1 for an empty store); a publisher that finds it taken
+tries the one after it, so several may publish at the same time, and one that
+fails before its manifest file leaves an unused folder and no gap.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -59,21 +65,23 @@ class RunLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _append(self, df: DataFrame) -> None:
-        df.write.mode("append").partitionBy("run_id").parquet(self.path)
+    def _write(self, run_id: str, part: str, df: DataFrame) -> None:
+        """Rows of one logging call, in a folder that the same call replaces when a run is logged again."""
+        df.drop("run_id").write.mode("overwrite").parquet(os.path.join(self.path, f"run_id={run_id}", f"part={part}"))
 
     def log_parameters(self, run_id: str, params: Mapping[str, object]) -> None:
         rows = param_rows(run_id, params)
         if rows:
-            self._append(self.spark.createDataFrame(rows, LOG_SCHEMA))
+            self._write(run_id, "params", self.spark.createDataFrame(rows, LOG_SCHEMA))
 
     def log_metrics_nested(self, run_id: str, metrics: Mapping[str, float] | DataFrame, prefix: str = "") -> None:
+        """``prefix`` also tells one call of a run from another."""
         if isinstance(metrics, DataFrame):
-            self._append(metric_frame(run_id, metrics))
+            self._write(run_id, f"metrics-{prefix or 'all'}", metric_frame(run_id, metrics))
             return
         rows = metric_rows(run_id, metrics, prefix)
         if rows:
-            self._append(self.spark.createDataFrame(rows, LOG_SCHEMA))
+            self._write(run_id, f"metrics-{prefix or 'all'}", self.spark.createDataFrame(rows, LOG_SCHEMA))
 
     def log_model(self, run_id: str, model, name: str = "model") -> str:
         """The fitted pipeline saved next to the log, under the run."""
@@ -88,7 +96,7 @@ class RunLog:
             df.write.mode("overwrite").parquet(os.path.join(self.path + "_plots", run_id, name))
 
     def read(self, run_id: str | None = None) -> DataFrame:
-        df = self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
+        df = self.spark.read.schema(T.StructType([*LOG_SCHEMA.fields, T.StructField("part", T.StringType())])).parquet(self.path).drop("part")
         return df.where(F.col("run_id") == run_id) if run_id else df
 
 
@@ -104,15 +112,48 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file with its whole text; False, and nothing changed, if it
+    exists already. The text is written beside it first and then gets its name in
+    one step that does not replace: a hard link on a local disk, elsewhere a
+    rename by the file system, which has to be atomic (HDFS is)."""
+    target, fs = _path(spark, path)
+    draft, _ = _path(spark, os.path.join(os.path.dirname(path), f".{os.path.basename(path)}-{uuid.uuid4().hex}"))
+    fs.mkdirs(target.getParent())
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            return True
+        return bool(fs.rename(draft, target)) if not fs.exists(target) else False
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
 def _manifest(spark: SparkSession, store: str) -> DataFrame | None:
+    """Published versions; None for a store without any manifest."""
     mpath = os.path.join(store, "manifest")
     try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(mpath)
+        files = spark.read.schema(MANIFEST_SCHEMA).option("pathGlobFilter", "v*.json").option("mode", "FAILFAST").json(mpath)
+        # tables written before versions had files of their own
+        tables = spark.read.schema(MANIFEST_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(mpath)
     except AnalysisException as e:
         # only a missing path means an empty store; any other failure must not restart the numbering
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return files.unionByName(tables)
 
 
 def next_version(spark: SparkSession, store: str) -> int:
@@ -122,16 +163,23 @@ def next_version(spark: SparkSession, store: str) -> int:
     return int(m.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
 
 
+def publish(spark: SparkSession, store: str, path: str, run_id: str, version: int | None = None) -> int:
+    """The version under which the model saved at ``path`` is published: ``version``
+    (by default the next one) or, as long as that is taken, the one after it."""
+    number = version or next_version(spark, store)
+    while True:
+        row = {"version": number, "run_id": run_id, "path": path, "created": _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")}
+        if create_once(spark, os.path.join(store, "manifest", f"v{number:08d}.json"), json.dumps(row) + "\n"):
+            return number
+        number += 1
+
+
 def register_model(spark: SparkSession, model, store: str | None, run_id: str) -> int | None:
     """Publish ``model`` as the next version; skipped (None) without a store."""
     if not store:
         return None
-    version = next_version(spark, store)
-    path = os.path.join(store, "models", str(version))
-    save_model(model, path, overwrite=False)
-    row = [(version, run_id, path, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))]
-    spark.createDataFrame(row, MANIFEST_SCHEMA).write.mode("append").parquet(os.path.join(store, "manifest"))
-    return version
+    path = save_model(model, os.path.join(store, "models", f"{run_id}-{uuid.uuid4().hex[:12]}"), overwrite=False)
+    return publish(spark, store, path, run_id)
 
 
 def model_versions(spark: SparkSession, store: str) -> DataFrame:
@@ -139,3 +187,9 @@ def model_versions(spark: SparkSession, store: str) -> DataFrame:
     if m is None:
         return spark.createDataFrame([], MANIFEST_SCHEMA)
     return m
+
+
+def newest_model(spark: SparkSession, store: str) -> tuple[int, str] | None:
+    """(version, path) of the newest published model; None when there is none."""
+    row = model_versions(spark, store).orderBy(F.desc("version")).select("version", "path").first()
+    return (row.version, row.path) if row else None
