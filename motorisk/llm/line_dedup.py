@@ -38,23 +38,28 @@ from ..operators.ordering import row_index
 from .common import Stages, free_name, likely_members, long_array
 
 SIMILARITY_PERCENT, WORDS = 80, 5
+#: White space of ASCII, as in a pattern's class.
+BLANKS = r"\x20\x09-\x0D"
 RARITY_CELLS = 1 << 16
 #: Part of a set by which the prefix of the elimination is longer than the basic one.
 EXTENSION = 0.05
 
 
-def shingle_set(line: Column, short: bool = False) -> Column:
-    """Sorted distinct shingle hashes; null without words, and for fewer than
-    ``WORDS`` words unless ``short`` makes their sequence one shingle."""
-    words = F.transform(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]"), ""), lambda w: F.xxhash64(w))
-
-    def shingles(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - F.lit(WORDS))
-        long = F.when(F.size(h) >= WORDS, F.sort_array(F.array_distinct(F.transform(
-            at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WORDS)))))))
-        return long.when(F.size(h) > 0, F.array(F.xxhash64(h))) if short else long
-    # through a one-element array, so the hashes of the words are computed once
-    return F.transform(F.array(words), shingles)[0]
+def with_shingles(df: DataFrame, line: str, out: str, short: bool = False) -> DataFrame:
+    """The rows of ``df`` whose line has words (without ``short``: at least
+    ``WORDS``), with ``out``, its sorted distinct shingle hashes; with ``short`` the
+    words of a line of fewer than ``WORDS`` are one shingle. In steps of their own
+    columns, so that the words are hashed once and generated code makes the sets;
+    rows are chosen by the line itself, for a condition on the set would be moved
+    below and make it there again."""
+    words, grams = (free_name(df.columns, x) for x in ("line_words", "line_grams"))
+    enough = f"[^{BLANKS}]" if short else f"(?:[^{BLANKS}]+[{BLANKS}]+){{{WORDS - 1}}}[^{BLANKS}]"
+    cut = F.array_remove(F.split(F.lower(line), f"[{BLANKS}]"), "")
+    h = F.col(words)
+    gram = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - F.lit(WORDS))), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WORDS))))
+    df = df.where(F.col(line).rlike(enough)).withColumn(words, F.transform(cut, lambda w: F.xxhash64(w)))
+    df = df.withColumn(grams, F.when(F.size(h) >= WORDS, gram).otherwise(F.array(F.xxhash64(h))))
+    return df.withColumn(out, F.sort_array(F.array_distinct(grams))).drop(words, grams)
 
 
 def prefix_size(n: Column, percent: int) -> Column:
@@ -70,30 +75,31 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
                   percent: int = SIMILARITY_PERCENT, short: bool = False) -> DataFrame:
     """(id, no, lh): place and hash of every line that goes."""
     extra = F.floor(F.size("a") * EXTENSION).cast("int")
-    sets = (_lines(docs, key, text).withColumn("a", shingle_set(F.col("line"), short)).where("a is not null")
+    sets = (with_shingles(_lines(docs, key, text), "line", "a", short)
             .select("id", "no", F.xxhash64("line").alias("lh"), F.xxhash64("a").alias("sid"), F.size("a").alias("n"),
                     F.slice("a", F.lit(1), prefix_size(F.size("a"), percent) + extra).alias("keys")))
-    lines = st.write(sets, "lines")
-    posted = lines.select("sid", F.explode("keys").alias("key"))
+    stored = st.write(sets, "lines")
+    lines = stored.select("id", "no", "lh", "sid")
+    # copies post nothing: a set's keys stand once, with its first line
+    firsts = st.write(stored.groupBy("sid").agg(F.min(F.struct("id", "no", "lh", "n", "keys")).alias("f"))
+                      .select("sid", "f.id", "f.no", "f.lh", "f.n", "f.keys"), "firsts")
+    posted = firsts.select("sid", F.explode("keys").alias("key"))
     shared = (posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
               .where("lo <> hi").select("key"))
     alive = posted.join(shared, "key", "left_semi").groupBy("sid").agg(F.count(F.lit(1)).alias("m"))
-    firsts = st.write(lines.groupBy("sid").agg(F.min(F.struct("id", "no", "lh")).alias("f"), F.first("n").alias("n"),
-                                               F.count(F.lit(1)).alias("copies"))
-                      .select("sid", "f.id", "f.no", "f.lh", "n", "copies"), "firsts")
-    # a partner may be smaller, and the smaller extension counts; every copy of a set posts the same
+    # a partner may be smaller, and the smaller extension counts
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTENSION)
-    left = firsts.join(alive, "sid").where(F.col("m") / F.col("copies") >= need)
-    ranked = st.write(row_index(left.select("sid", "id", "no"), ["id", "no", "sid"], "r"), "ranked")
+    left = firsts.drop("keys").join(alive, "sid").where(F.col("m") >= need)
+    ranked = st.write(row_index(left.select("sid", "id", "no", "lh"), ["id", "no", "sid"], "r"), "ranked")
 
     # whole sets of the lines left, from the text
-    wanted = ranked.groupBy("id").agg(F.collect_list(F.struct("no", "sid", "r")).alias("want"))
+    wanted = ranked.groupBy("id").agg(F.collect_list(F.struct("no", "lh", "r")).alias("want"))
     bodies = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     wanted = st.write(wanted, "wanted")
     texts = likely_members(bodies, "id", wanted, "id", wanted.count()).join(wanted, "id")
-    picked = (texts.withColumn("all", F.split("text", "\n")).select("all", F.explode("want").alias("w"))
-              .select("w.sid", "w.r", shingle_set(F.get("all", F.col("w.no")), short).alias("a"))
-              .where("a is not null and xxhash64(a) = sid").dropDuplicates(["r"]).select("r", "a"))
+    asked = (texts.withColumn("all", F.split("text", "\n")).select("all", F.explode("want").alias("w"))
+             .select("w.lh", "w.r", F.get("all", F.col("w.no")).alias("line")).where("xxhash64(line) = lh"))
+    picked = with_shingles(asked, "line", "a", short).dropDuplicates(["r"]).select("r", "a")
     picked = st.write(picked, "sets")
 
     # rarity: counts of hash cells, a fixed number of rows
