@@ -81,19 +81,22 @@ def _struct(n: Column, d: Column, c: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), d.alias("d"), c.alias("c"))
 
 
+def _placed(d: Column, level: Column | int) -> Column:
+    """A digest with its check hash and its cell of each table."""
+    return F.struct(d.alias("d"), _check(d).alias("c"), *(_cell(d, t, level).alias(f"a{t}") for t in range(TABLES)))
+
+
 def sketch(digests: Column, level: Column | int = 0) -> Column:
     """The cells of a set of digests; ``level`` chooses the hashes."""
     nothing = _struct(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def table(t: int) -> Column:
-        placed = F.transform(digests, lambda d: F.struct(_cell(d, t, level).alias("at"), d.alias("d"), _check(d).alias("c")))
-
-        def cell(entries: Column, i: Column) -> Column:
-            return F.aggregate(F.filter(entries, lambda e: e["at"] == i), nothing,
-                               lambda a, e: _struct(a["n"] + 1, a["d"].bitwiseXOR(e["d"]), a["c"].bitwiseXOR(e["c"])))
-        return F.transform(F.array(placed), lambda entries: F.transform(
-            F.sequence(F.lit(t * WIDTH), F.lit((t + 1) * WIDTH - 1)), lambda i: cell(entries, i)))[0]
-    return F.concat(*(table(t) for t in range(TABLES)))
+    def table(entries: Column, t: int) -> Column:
+        return F.transform(F.sequence(F.lit(t * WIDTH), F.lit((t + 1) * WIDTH - 1)), lambda i: F.aggregate(
+            F.filter(entries, lambda e: e[f"a{t}"] == i), nothing,
+            lambda a, e: _struct(a["n"] + 1, a["d"].bitwiseXOR(e["d"]), a["c"].bitwiseXOR(e["c"]))))
+    # one-element array: hashes are computed once for a digest
+    return F.transform(F.array(F.transform(digests, lambda d: _placed(d, level))),
+                       lambda entries: F.concat(*(table(entries, t) for t in range(TABLES))))[0]
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -110,11 +113,12 @@ def peel(cells: Column, level: Column | int = 0) -> Column:
         return F.array_distinct(F.transform(hit, lambda c: F.struct(c["d"].alias("d"), c["n"].alias("n"))))
 
     def without(cells: Column, got: Column) -> Column:
-        def cell(c: Column, i: Column) -> Column:
-            mine = F.filter(got, lambda g: _cell(g["d"], F.floor(i / WIDTH).cast("int"), level) == i)
+        def cell(c: Column, i: Column, gone: Column) -> Column:
+            mine = F.filter(gone, lambda g: (g["p"]["a0"] == i) | (g["p"]["a1"] == i) | (g["p"]["a2"] == i))
             return F.aggregate(mine, c, lambda a, g: _struct(
-                a["n"] - g["n"], a["d"].bitwiseXOR(g["d"]), a["c"].bitwiseXOR(_check(g["d"]))))
-        return F.transform(cells, cell)
+                a["n"] - g["n"], a["d"].bitwiseXOR(g["p"]["d"]), a["c"].bitwiseXOR(g["p"]["c"])))
+        marked = F.transform(got, lambda g: F.struct(g["n"].alias("n"), _placed(g["d"], level).alias("p")))
+        return F.transform(F.array(marked), lambda gone: F.transform(cells, lambda c, i: cell(c, i, gone)))[0]
 
     def step(state: Column, _) -> Column:
         # one-element array: the pure cells are found once a round
@@ -133,13 +137,21 @@ def _peeled(a: Column, b: Column, level: Column | int = 0) -> Column:
 
 def _dealt(part: Column, level: Column, side: Column) -> Column:
     """``part`` (x, y) cut by hash into side^2 parts: first by the high half of the number, then by the low one."""
-    place = lambda d: F.pmod(F.xxhash64(d, level + _DEAL), side * side)
     count = F.sequence(F.lit(0).cast("long"), side - 1)
 
+    def numbered(digests: Column) -> Column:
+        def halves(d: Column) -> Column:
+            h = F.shiftrightunsigned(F.xxhash64(d, level + _DEAL), 1)
+            return F.struct(d.alias("d"), (h % side).alias("hi"), (F.shiftrightunsigned(h, 24) % side).alias("lo"))
+        return F.transform(digests, halves)
+
     def cut(p: Column, mine) -> Column:
         return F.struct(F.filter(p["x"], mine).alias("x"), F.filter(p["y"], mine).alias("y"))
-    rough = F.transform(count, lambda i: cut(part, lambda d: F.floor(place(d) / side) == i))
-    return F.flatten(F.transform(rough, lambda r: F.transform(count, lambda j: cut(r, lambda d: place(d) % side == j))))
+    bare = lambda side_: F.transform(side_, lambda e: e["d"])
+    marked = F.struct(numbered(part["x"]).alias("x"), numbered(part["y"]).alias("y"))
+    rough = F.transform(F.array(marked), lambda m: F.transform(count, lambda i: cut(m, lambda e: e["hi"] == i)))[0]
+    fine = F.flatten(F.transform(rough, lambda r: F.transform(count, lambda j: cut(r, lambda e: e["lo"] == j))))
+    return F.transform(fine, lambda p: F.struct(bare(p["x"]).alias("x"), bare(p["y"]).alias("y")))
 
 
 def differences(x: Column, y: Column) -> Column:
