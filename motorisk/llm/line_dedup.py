@@ -78,18 +78,18 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
     sets = (with_shingles(_lines(docs, key, text), "line", "a", short)
             .select("id", "no", F.xxhash64("line").alias("lh"), F.xxhash64("a").alias("sid"), F.size("a").alias("n"),
                     F.slice("a", F.lit(1), prefix_size(F.size("a"), percent) + extra).alias("keys")))
-    stored = st.write(sets, "lines")
-    lines = stored.select("id", "no", "lh", "sid")
-    # copies post nothing: a set's keys stand once, with its first line
-    firsts = st.write(stored.groupBy("sid").agg(F.min(F.struct("id", "no", "lh", "n", "keys")).alias("f"))
-                      .select("sid", "f.id", "f.no", "f.lh", "f.n", "f.keys"), "firsts")
-    posted = firsts.select("sid", F.explode("keys").alias("key"))
+    lines = st.write(sets, "lines")
+    # elimination may take shingles for shared that are not, so 48 bits of them do
+    posted = lines.select("sid", F.explode("keys").alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)))
     shared = (posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
               .where("lo <> hi").select("key"))
     alive = posted.join(shared, "key", "left_semi").groupBy("sid").agg(F.count(F.lit(1)).alias("m"))
-    # a partner may be smaller, and the smaller extension counts
+    firsts = st.write(lines.groupBy("sid").agg(F.min(F.struct("id", "no", "lh")).alias("f"), F.first("n").alias("n"),
+                                               F.count(F.lit(1)).alias("copies"))
+                      .select("sid", "f.id", "f.no", "f.lh", "n", "copies"), "firsts")
+    # a partner may be smaller, and the smaller extension counts; every copy of a set posts the same
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTENSION)
-    left = firsts.drop("keys").join(alive, "sid").where(F.col("m") >= need)
+    left = firsts.join(alive, "sid").where(F.col("m") / F.col("copies") >= need)
     ranked = st.write(row_index(left.select("sid", "id", "no", "lh"), ["id", "no", "sid"], "r"), "ranked")
 
     # whole sets of the lines left, from the text
