@@ -150,26 +150,24 @@ def _survey(k: int, share: float):
     return run
 
 
-_POSTINGS = "bucket int, keys binary, refs binary, nodes binary"
+_POSTINGS = "bucket int, keys binary, nodes binary"
 
 
 def _packed(block: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Postings of a block of nodes, one record per bucket: its keys, and for
-    each the index of its node in the block's ``nodes``."""
-    nodes = np.fromiter(block, np.int64, len(block))
+    """Postings of a block of nodes, one record per bucket: its keys, and the node
+    of each; 16 bytes a posting, however many buckets there are."""
     keys = np.concatenate(list(block.values()))
-    refs = np.repeat(np.arange(len(block), dtype=np.uint32), [len(s) for s in block.values()])
+    nodes = np.repeat(np.fromiter(block, np.int64, len(block)), [len(s) for s in block.values()])
     # frequent shingles are shared for certain: dealt by node, not by key
-    spread = np.where(keys >= _HEAVY, tb.mix(nodes.view(np.uint64))[refs], tb.mix(keys))
+    spread = np.where(keys >= _HEAVY, tb.mix(nodes.view(np.uint64)), tb.mix(keys))
     bucket = (spread % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((keys, bucket))
-    keys, refs, bucket = keys[order], refs[order], bucket[order]
+    keys, nodes, bucket = keys[order], nodes[order], bucket[order]
     ids, start = np.unique(bucket, return_index=True)
     end = np.append(start[1:], len(keys))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array([keys[i:j].tobytes() for i, j in zip(start, end)], pa.binary()),
-         pa.array([refs[i:j].tobytes() for i, j in zip(start, end)], pa.binary()),
-         pa.array([nodes.tobytes()] * len(ids), pa.binary())], names=["bucket", "keys", "refs", "nodes"])
+        [pa.array(ids), *(pa.array([x[i:j].tobytes() for i, j in zip(start, end)], pa.binary()) for x in (keys, nodes))],
+        names=["bucket", "keys", "nodes"])
 
 
 def _blocks(sets: Iterator[tuple[int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -207,7 +205,7 @@ def _post_sets(buckets: int):
 def _shared_postings(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: postings whose shingle two nodes or more have, with their number."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-    nodes = np.concatenate([np.frombuffer(t, np.int64)[np.frombuffer(r, np.uint32)] for r, t in zip(pdf["refs"], pdf["nodes"])])
+    nodes = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     fresh = np.ones(len(keys), dtype=bool)          # the same set from two blocks is one node

@@ -115,3 +115,10 @@ def test_trie_spans_all_links(seed):
         x, y = sorted((root(i, mine), root(j, mine)))
         mine[y] = x
     assert [root(i, up) for i in range(len(sets))] == [root(i, mine) for i in range(len(sets))]
+
+
+def test_postings_do_not_grow_with_the_buckets():
+    r = np.random.default_rng(1)
+    block = {int(n): np.sort(r.integers(0, 1 << 63, 60, dtype=np.uint64)) for n in r.integers(0, 1 << 60, 3000)}
+    size = {b: sum(len(x) for c in ("keys", "nodes") for x in nj._packed(block, b).column(c).to_pylist()) for b in (1, 12, 4000)}
+    assert set(size.values()) == {16 * 60 * len(block)}
