@@ -12,8 +12,9 @@ from ..functions.decode import PREMIUM_LABELS, sql_decode
 from ..functions.numeric import log_or_null
 from ..operators import histograms as H
 from ..operators.dataset import modelling_dataset
-from ..plans.premium import premium_dataset
+from ..plans.premium import export_premium_dataset, premium_dataset
 from ..sources import adapter as A
+from ..sources.files import read_csv, scratch_dir
 from . import common as C
 
 AS_OF = "2018-12-31"
@@ -125,6 +126,16 @@ def premium(spark, sf_dir):
     return premium_dataset(A.policies(spark, sf_dir))
 
 
+@register("premium_export", PREMIUM_SQL)
+def premium_export(spark, sf_dir):
+    """S3 + S2: the dataset written as comma text with a header and read back
+    with its schema."""
+    policies = A.policies(spark, sf_dir)
+    path = scratch_dir(spark, "premium-csv")
+    export_premium_dataset(policies, path)
+    return read_csv(spark, path, premium_dataset(policies).schema)
+
+
 FLAG_DATASET_CTE = """
 flag_ds AS (
   SELECT p.*, coalesce(f.cost, 0.0) AS claim_cost,

@@ -202,6 +202,30 @@ def coefficients_flag(spark, sf_dir):
     return RUN.coefficient_table(model, [FLAG]).withColumn("importance", F.round("importance", 5))
 
 
+FOLDS = 5
+CV_GRID = ({"alpha": 1.0}, {"alpha": 1000.0})
+
+CV_SQL = C.A.with_sources(f"""
+SELECT params, round(avg(rmse), 6) AS rmse FROM (
+  SELECT a.params, f.fold, sqrt(avg(pow(f.y - (m.avg_y + m.sxy / (m.sxx + a.alpha) * (f.x - m.avg_x)), 2))) AS rmse
+  FROM folded f
+  JOIN (SELECT k.fold, avg(x) AS avg_x, avg(y) AS avg_y, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx
+        FROM folded t JOIN (SELECT DISTINCT fold FROM folded) k ON t.fold <> k.fold GROUP BY k.fold) m ON f.fold = m.fold
+  CROSS JOIN (VALUES {", ".join(f"({C.sql_quote(str(p))}, CAST({p['alpha']} AS DOUBLE))" for p in CV_GRID)}) a(params, alpha)
+  GROUP BY a.params, f.fold)
+GROUP BY params""", C.FREQ_DS_CTE, f"""
+folded AS (SELECT CAST({C.TARGET} AS DOUBLE) AS y, CAST(coalesce(Second_driver >= 1, false) AS DOUBLE) AS x,
+                  CAST(floor(CAST('0x' || substr(md5(CAST(policy_key AS VARCHAR) || '{C.SEED}'), 1, 8) AS BIGINT) * {FOLDS} / 4294967296.0) AS INTEGER) AS fold
+           FROM freq_ds)""")
+
+
+@register("cross_validation_flag", CV_SQL)
+def cross_validation_flag(spark, sf_dir):
+    """A grid of ridge penalties on one yes/no feature, five folds."""
+    out = RUN.cross_validate(flag_dataset(spark, sf_dir), [FLAG], C.TARGET, "ridge", CV_GRID, FOLDS, C.SEED, key="policy_key")
+    return out.select("params", r6(F.col("rmse")).alias("rmse"))
+
+
 # --- rows-only: boosted models, runs, comparison, coefficients, versions ------
 
 RUN_FEATURES = RUN.NEW_CLIENT_CONFIG["features"]

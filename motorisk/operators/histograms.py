@@ -106,20 +106,20 @@ def band_table(df: DataFrame, value_col: str, target_col: str,
     lift of each band over it."""
     banded = df.select(B.right_closed_band(value_col, edges, labels).alias(band_col),
                        F.col(target_col).alias("t"))
-    # One grouped pass (rows outside every band form the NULL group); the base
-    # rate is summed from the same few group rows.
+    # One grouped pass; its few rows (a band each, rows outside every band the
+    # NULL one) become one row that holds them all, the base rate included.
     grouped = banded.groupBy(band_col).agg(
         F.avg("t").alias("rate"), F.count("t").alias("count"), F.sum("t").alias("total"))
-    stats = grouped.where(F.col(band_col).isNotNull())
-    base = grouped.select(F.sum("total") / F.sum("count")).scalar()
-    spark = df.sparkSession
-    dim = spark.createDataFrame([(lab, i + 1) for i, lab in enumerate(labels)],
-                                f"{band_col} string, band_order int")
-    return dim.join(stats, band_col, "left").select(
-        band_col, "band_order",
-        F.round("rate", 4).alias("claims_rate"),
-        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
-        F.coalesce(F.col("total"), F.lit(0)).cast("bigint").alias("total_claims"),
-        F.round(base, 4).alias("base_rate"),
-        F.round(F.try_divide(F.col("rate"), base), 4).alias("lift"),
+    entry = F.when(F.col(band_col).isNotNull(), F.struct(band_col, F.struct("rate", "count", "total")))
+    whole = grouped.agg(F.try_divide(F.sum("total"), F.sum("count")).alias("base"),
+                        F.map_from_entries(F.collect_list(entry)).alias("bands"))
+    listed = whole.select("base", "bands", F.posexplode(F.array(*[F.lit(lab) for lab in labels])).alias("at", band_col))
+    s = F.try_element_at("bands", F.col(band_col))
+    return listed.select("at", band_col, "base", s.alias("s")).select(
+        band_col, (F.col("at") + 1).cast("int").alias("band_order"),
+        F.round("s.rate", 4).alias("claims_rate"),
+        F.coalesce(F.col("s.count"), F.lit(0)).cast("bigint").alias("count"),
+        F.coalesce(F.col("s.total"), F.lit(0)).cast("bigint").alias("total_claims"),
+        F.round("base", 4).alias("base_rate"),
+        F.round(F.try_divide(F.col("s.rate"), F.col("base")), 4).alias("lift"),
     )

@@ -25,7 +25,7 @@ from ..operators import evaluation as E
 from ..operators import histograms as H
 from ..operators.materialize import materialize
 from ..operators.ordering import exact_quantiles
-from ..operators.splits import SPLIT, TRAIN, split_data
+from ..operators.splits import SPLIT, TRAIN, shuffle_bucket, shuffle_key, split_data
 from ..functions import bands as B
 from ..sources import runlog as L
 
@@ -233,9 +233,11 @@ def cross_validate(dataset: DataFrame, features: Sequence[str], target: str, alg
     from pyspark.ml.evaluation import RegressionEvaluator
 
     spark = dataset.sparkSession
-    by = [key] if key else [*features, target]
     columns = list(dict.fromkeys([*features, target]))
-    fold = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by], F.lit(seed)), F.lit(folds)).cast("int")
+    if key is None:
+        key = "_row"
+        dataset = dataset.select(*columns, F.to_json(F.struct(*columns)).alias(key))
+    fold = shuffle_bucket(shuffle_key(key, seed), folds)
     work = dataset.select(*columns, fold.alias("_fold")).persist()
     evaluator = RegressionEvaluator(labelCol=target, metricName=metric)
     try:
