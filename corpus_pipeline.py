@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from motorisk.llm import bpe, line_dedup, mixing, ngram_join, quality
-from motorisk.llm.common import Stages, table
+from motorisk.llm.common import Stages, free_name, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +36,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: every document at least once, small sources again up to the repetition limit."""
-    return mixing.mix(docs).select(*docs.columns)
+    epoch, order = (free_name(docs.columns, x) for x in ("epoch", "order_hash"))
+    return mixing.mix(docs, epoch=epoch, order=order).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
