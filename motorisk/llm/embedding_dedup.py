@@ -10,8 +10,8 @@ Vectors of one label link when their cosine, in double precision, is at least
    is kept.
 3. A node probes every list its neighbours can lie in: the distance to the
    bisecting plane between its own centroid and the list's is at most the
-   radius of the threshold, or ``SIGMAS`` times the spread of a displacement of
-   that length along the difference of the centroids, when that is less. The
+   radius of the threshold (exact), or ``sigmas`` times the spread of a displacement
+   of that length along the difference of the centroids, when that is less. The
    spread is the largest of the residuals' of the sample, of those of the two
    lists (with ``ENOUGH`` sample vectors) and of an even one over all dimensions, so vectors that vary in few directions are
    probed as far as these need (recall is measured in the tests).
@@ -116,11 +116,11 @@ class Quantiser:
             back[:, x] = b[codes[:, m]]
         return own, codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
 
-    def probes(self, unit: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+    def probes(self, unit: np.ndarray, own: np.ndarray, radius: float, sigmas: float | None = SIGMAS) -> np.ndarray:
         """Mask (vector, list) of the lists to search; see step 3."""
         near = unit @ self.centroids.T
         gap = np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))[own]
-        reach = radius * np.minimum(1.0, SIGMAS * self.spread)[own]
+        reach = radius if sigmas is None else radius * np.minimum(1.0, sigmas * self.spread)[own]
         return near[np.arange(len(unit)), own][:, None] - near <= reach * gap + SLACK
 
     def distances(self, unit: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
@@ -134,7 +134,10 @@ class Quantiser:
 
 
 def _units(col) -> np.ndarray:
+    """Vectors divided by their length. They are scaled by a power of two first,
+    which changes no digit and keeps the squares of any finite component in range."""
     v = np.stack([np.frombuffer(x, "<f8") for x in col]) if len(col) else np.zeros((0, 1))
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
@@ -145,14 +148,12 @@ def _parsed(batches):
         for v in b.column(0):
             x = v.as_py()
             a = np.asarray(x, dtype="<f8") + 0.0 if x is not None and None not in x else np.zeros(0)
-            with np.errstate(over="ignore"):
-                norm = np.linalg.norm(a) if len(a) else 0.0
-            fine = len(a) and np.isfinite(a).all() and 0 < norm < math.inf
+            fine = len(a) and np.isfinite(a).all() and a.any()
             out.append(a.tobytes() if fine else None)
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.binary())], names=[*b.schema.names[1:], "vec"])
 
 
-def _place(shared, threshold: float):
+def _place(shared, threshold: float, sigmas: float | None):
     """Nodes to rows of the search: role 0 in its own list, role 1 in every list it probes."""
     radius = math.sqrt(2 - 2 * threshold)
 
@@ -168,7 +169,7 @@ def _place(shared, threshold: float):
                     part = idx[at:at + 4096]
                     unit = _units([rows["vec"][i] for i in part])
                     own, codes, err = q.code(unit)
-                    mask = q.probes(unit, own, radius)
+                    mask = q.probes(unit, own, radius, sigmas)
                     mask &= np.arange(len(q.centroids)) >= own[:, None]      # each pair of lists from one side
                     who, where = np.nonzero(mask)
                     for role, w, ls in ((0, np.arange(len(part)), own), (1, who, where)):
@@ -280,8 +281,9 @@ def _search(shared, threshold: float):
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """(key, n_links, component_id, kept) of every row."""
+                    threshold: float = THRESHOLD, sigmas: float | None = SIGMAS) -> DataFrame:
+    """(key, n_links, component_id, kept) of every row. Without ``sigmas`` every
+    list a neighbour can lie in is probed, and no link is missed."""
     spark = df.sparkSession
     sc = spark.sparkContext
     st = Stages(spark)
@@ -303,7 +305,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     shared = sc.broadcast(models)
 
     placed = st.write(nodes.select("gid", "label", "vec", "copies").mapInArrow(
-        _place(shared, threshold),
+        _place(shared, threshold, sigmas),
         "label string, dim int, list int, role int, gid long, copies long, own int, vec binary, codes binary, err double"), "placed")
     cell = ["label", "dim", "list"]
     blocks = placed.where("role = 0").groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -120,3 +120,32 @@ def test_recall_of_probes_in_few_directions(dim, used):
     n = np.arange(len(unit))
     low, high = q.probes(unit, own, radius)[n, target], q.probes(other, target, radius)[n, own]
     assert (own != target).any() and np.where(own <= target, low, high).mean() >= 0.99
+
+
+def test_very_large_and_very_small_components(spark):
+    """Lengths whose squares leave the range of a double link by their directions."""
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [5e-324, 0.0]), (5, [1e308, 0.0]), (6, [0.0, -1.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_scaling_changes_no_digit():
+    v = np.random.default_rng(4).normal(size=(200, 48))
+    assert (ed._units([x.tobytes() for x in v]) == v / np.linalg.norm(v, axis=1)[:, None]).all()
+
+
+def test_without_sigmas_no_link_is_missed(spark, monkeypatch):
+    """Vectors that vary in one direction more in a part of the table than the spread tells."""
+    monkeypatch.setattr(ed, "LIST_ROWS", 40)
+    r = np.random.default_rng(8)
+    unit = r.normal(size=(3000, 32))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    q = ed.Quantiser(unit[:1500], 60)
+    own = q.code(unit)[0]
+    pairs = np.argwhere(unit @ unit.T >= 0.5)                # a low threshold, so that lists are crossed
+    mask = q.probes(unit, own, math.sqrt(2 - 2 * 0.5), None)
+    assert mask[pairs[:, 0], own[pairs[:, 1]]].all()
+    assert not q.probes(unit, own, math.sqrt(2 - 2 * 0.5), 0.5)[pairs[:, 0], own[pairs[:, 1]]].all()
+    rows = corpus(9, 300)
+    assert result(spark, rows, sigmas=None) == brute(rows)

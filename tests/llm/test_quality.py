@@ -101,3 +101,17 @@ def test_missing_values_ties_and_empty_tables(spark):
     assert sorted(ql.keep_good(df, none).collect(), key=str) == sorted(df.collect(), key=str)
     assert ql.keep_good(df.where("false"), none).collect() == []
     assert {r.log_weight for r in ql.decisions(df, none).collect()} == {0.0}
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Of equally many documents of weight 1 and 4, a small draw takes about four of the heavy for one of the light."""
+    n, k, heavy = 300, 60, round(math.log(4) * ql.UNIT)
+    df = spark.createDataFrame([(i, heavy if i < n else 0) for i in range(2 * n)], "doc_id long, weight long").coalesce(2).cache()
+    taken = []
+    for seed in range(6):
+        key = ql.gumbel_key(F.col("weight"), F.col("doc_id"), seed)
+        ids = [r.doc_id for r in df.where(key >= F.lit(ql.cut(df, k=k, seed=seed))).collect()]
+        assert len(ids) == k
+        taken += ids
+    assert 0.7 <= sum(i < n for i in taken) / len(taken) <= 0.87
+    assert len(set(taken)) > 1.5 * k

@@ -1,5 +1,7 @@
 """Toxicity: restored words and held-out accuracy."""
 
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -71,3 +73,36 @@ def test_signs_at_the_ends_may_be_letters(model, seen, word):
 def test_signs_without_letters(model):
     assert tx.words_of("--", model) == tx.words_of("***", model) == tx.words_of("...", model) == []
     assert len(tx.words_of("!|" * 5000 + "oser" + "$(" * 5000, model)) <= 80
+
+
+def most_likely(model, token, kept):
+    """The best of all readings of a lattice, one by one."""
+    options = []
+    for i, o in enumerate(token):
+        moves = [(o, 0.0)] if o.isalpha() else [(c, tx.IMITATED) for c in tx.IMITATES.get(o, "")]
+        if i and o == token[i - 1] and i not in kept:
+            moves.append(("", tx.STUTTER))
+        elif o in tx.SEPARATORS:
+            moves.append(("", tx.PADDED))
+        options.append(moves or [(o, tx.KEPT)])
+    best = []
+    for path in itertools.product(*options):
+        a = b = 0
+        score = sum(cost for _, cost in path)
+        for c, _ in path:
+            if c:
+                s = tx._symbol(c)
+                score += model.log[a][b][s]
+                a, b = b, s
+        best.append((score + model.log[a][b][0], "".join(c for c, _ in path)))
+    return max(best)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_viterbi_finds_the_best_of_all_readings(seed):
+    r = random.Random(seed)
+    random_model = tx.CharacterModel(np.random.default_rng(seed).integers(0, 50, tx.SYMBOLS ** 3))
+    for _ in range(300):
+        token = "".join(r.choice("abio013$!|5.-*\u00e9#aa11") for _ in range(r.randrange(0, 8)))
+        kept = frozenset(i for i in range(len(token)) if r.random() < 0.1)
+        assert random_model.restore(token, kept) == most_likely(random_model, token, kept)[1]
