@@ -2,14 +2,18 @@
 
 Rows are binned once: each feature gets at most ``maxBins`` bins whose edges lie
 between its values (all of them when there are few, else at even positions of their order), a
-missing value has a bin of its own above the others. A tree is grown from sums of
-gradient, hessian and rows per (node, feature, bin):
-
-* One pass over the rows measures every node that is open, by routing each row
-  down the tree found so far and one combined aggregate; of two siblings only the
-  one with fewer rows is measured, the other is its parent less the sibling.
-* A node of at most ``LOCAL_ROWS`` rows is finished by one task, which grows the
-  same subtree from that node's rows, so deep and small branches cost no passes.
+missing value has a bin of its own above the others. Rows alike in all bins have
+the same score in every round, so they are stored as one row with their number and
+the sum of their labels. A tree is grown from sums of gradient, hessian and rows
+per (node, feature, bin):
+
+* One pass over the rows measures every node that is open: each task routes its
+  rows down the tree found so far and counts them into the nodes' histograms, which
+  Spark adds up; of two siblings only the one with fewer rows is measured, the
+  other is its parent less the sibling.
+* Once every open node has at most ``LOCAL_ROWS`` rows, each is finished by one task,
+  which grows the same subtree from that node's rows, so deep and small branches
+  cost no passes. No subtree is grown beyond the leaves that are left to the tree.
 * ``growth="leaf"`` (M6) splits the leaf of greatest gain until ``maxLeaves``
   leaves. Which leaf comes next depends on gains that are known only after a
   pass, so all leaves that can still be split are opened in a pass, and the order
@@ -26,7 +30,8 @@ hessian of ``minChildWeight``. Equal gains go to the first feature and bin.
 hessian mu).
 
 Scale: what reaches the driver per pass is a row per (open node, feature, bin);
-the trees are small lists. Rows are never shuffled. Scores are carried on the
+the trees are small lists. Rows are shuffled once, when equal ones are joined, and
+again only when nodes are finished in tasks. Scores are carried on the
 binned frame, which is stored anew every ``checkpointEvery`` rounds, so a lost
 executor replays a few trees at most, and the stored frame before is deleted.
 
@@ -39,12 +44,13 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -57,9 +63,12 @@ from pyspark.sql import functions as F
 from ..operators.materialize import Stages
 from ..operators.selection import select_rows
 
-# Most rows of a node whose subtree one task grows.
+# Most stored rows of a node whose subtree one task grows.
 LOCAL_ROWS = 1 << 16
 
+# Tasks get this module's functions and classes with the task: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ETA = "_eta"   # score; not "F": Spark resolves names case-insensitively
 
 
@@ -144,16 +153,16 @@ class Measure:
         """(features, bins, [gradient, hessian, rows]) of the wanted nodes of the rows routed down ``tree``."""
         raise NotImplementedError
 
-    def subtrees(self, tree: list[Node], wanted: Sequence[int]) -> dict[int, list[Node]]:
-        """The nodes below (and with) each wanted node; those not given are measured. None by default."""
+    def subtrees(self, tree: list[Node], wanted: Sequence[int], most: int | None) -> dict[int, list[Node]]:
+        """The nodes below (and with) each wanted node, up to ``most`` leaves; those not given are measured. None by default."""
         return {}
 
 
 class LocalMeasure(Measure):
-    """Histograms of rows held in memory: bins (rows, features), gradients and hessians."""
+    """Histograms of rows held in memory: bins (rows, features), gradients, hessians and numbers of equal rows."""
 
-    def __init__(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, most: int):
-        self.bins, self.sums, self.most = bins, np.column_stack([grad, hess, np.ones(len(grad))]), most
+    def __init__(self, bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, count: np.ndarray, most: int):
+        self.bins, self.sums, self.most = bins, np.column_stack([grad, hess, count]), most
         self.rows = {0: np.arange(len(grad))}
 
     def histograms(self, tree, wanted):
@@ -173,14 +182,14 @@ def grow(measure: Measure, root: Node, rule: Rule, max_leaves: int | None, max_d
     """The nodes of a tree; nodes without children are its leaves."""
     tree = [root]
 
-    def learn(fresh: Sequence[tuple[int, int, int]]) -> None:
-        """Gains of new siblings (parent, the one with fewer rows, the other)."""
+    def learn(fresh: Sequence[tuple[int, int, int]], most: int | None) -> None:
+        """Gains of new siblings (parent, the one with fewer rows, the other), which have ``most`` leaves left at most."""
         here = [c for _, s, l in fresh for c in (s, l) if max_depth is None or tree[c].depth < max_depth]
         for parent, small, large in fresh:
             for c in (small, large):
                 if c not in here:
                     tree[c].gain = 0.0
-        grown = measure.subtrees(tree, here)
+        grown = measure.subtrees(tree, here, most) if here else {}
         left = [(p, s, l) for p, s, l in fresh if any(c in here and c not in grown for c in (s, l))]
         hists = measure.histograms(tree, [s for _, s, _ in left]) if left else {}
         for parent, small, large in left:
@@ -191,7 +200,7 @@ def grow(measure: Measure, root: Node, rule: Rule, max_leaves: int | None, max_d
         for i, nodes in grown.items():
             graft(tree, i, nodes)
 
-    whole = measure.subtrees(tree, [0])
+    whole = measure.subtrees(tree, [0], max_leaves)
     if whole:
         graft(tree, 0, whole[0])
     else:
@@ -201,20 +210,23 @@ def grow(measure: Measure, root: Node, rule: Rule, max_leaves: int | None, max_d
             root.rows = round(rows)
         rule.best(root)
     while True:
+        most = None
         if max_leaves is None:
-            opened = [i for i, n in enumerate(tree) if n.left < 0 and n_can_split(n, max_depth)]
+            opened = [i for i, n in enumerate(tree) if n.hist is not None and n_can_split(n, max_depth)]
         else:
             _, leaves, final = leaves_in_order(tree, max_leaves)
-            # of the leaves, no more than the splits that are left can be of use
-            ranked = sorted((i for i in leaves if n_can_split(tree[i], max_depth) and tree[i].left < 0), key=lambda i: (-tree[i].gain, i))
+            # of the leaves, no more than the splits that are left can be of use; one without a histogram is a leaf of a
+            # subtree grown to all the leaves that were left, so the tree is full before its turn comes
+            ranked = sorted((i for i in leaves if n_can_split(tree[i], max_depth) and tree[i].hist is not None), key=lambda i: (-tree[i].gain, i))
             opened = [] if final else ranked[:max_leaves - len(leaves)]
+            most = max_leaves - len(leaves)
         if not opened:
             break
         fresh = []
         for i in opened:
             split_node(tree, i)
             fresh.append((i, *sorted((tree[i].left, tree[i].right), key=lambda c: (tree[c].rows, c))))
-        learn(fresh)
+        learn(fresh, most)
         for i in opened:
             tree[i].hist = None
     if max_leaves is not None:
@@ -261,20 +273,27 @@ def packed(tree: list[Node], rule: Rule) -> dict:
             "depth": max(tree[i].depth for i in order)}
 
 
-def _constant(values: Sequence[float], kind: str) -> Column:
-    """A constant array; one text literal for the planner, folded into an array."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+def reached(bins: np.ndarray, tree: dict) -> np.ndarray:
+    """The node of the tree each row of bins (rows, features) ends in."""
+    node, rows = np.zeros(len(bins), np.int32), np.arange(len(bins))
+    feature, cut, left, right = (np.asarray(tree[k], np.int32) for k in ("feature", "bin", "left", "right"))
+    for _ in range(tree["depth"]):
+        node = np.where(bins[rows, feature[node]] <= cut[node], left[node], right[node])
+    return node
+
 
+def step_of(bins: np.ndarray, tree: dict) -> np.ndarray:
+    """What the tree adds to the scores of the rows, before shrinkage."""
+    return np.asarray(tree["value"], float)[reached(bins, tree)]
 
-def routed(bins: Column, tree: dict) -> Column:
-    """The node of the tree a row ends in."""
-    if tree["depth"] == 0:
-        return F.lit(0)
-    feature, cut, left, right = (_constant(tree[k], "int") for k in ("feature", "bin", "left", "right"))
 
-    def step(node: Column, _: Column) -> Column:
-        return F.when(F.get(bins, F.get(feature, node)) <= F.get(cut, node), F.get(left, node)).otherwise(F.get(right, node))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(tree["depth"])), F.lit(0), step)
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """An Arrow column of lists of ``size`` numbers as rows of a matrix; a missing list is a row of NaN."""
+    if column.null_count:
+        out = np.full((len(column), size), np.nan)
+        out[np.asarray(column.is_valid())] = _matrix(column.drop_null(), size)
+        return out
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), size)
 
 
 def bin_edges(df: DataFrame, features: str, size: int, max_bins: int) -> list[list[float]]:
@@ -303,71 +322,128 @@ def bin_edges(df: DataFrame, features: str, size: int, max_bins: int) -> list[li
     return edges
 
 
-def edges_below(value: Column, edges: Sequence[float]) -> Column:
-    """Number of the ascending edges below the value, by bisection over the constant array."""
-    if not edges:
-        return F.lit(0)
-    all_ = _constant(edges, "double")
+def binned(values: np.ndarray, edges: Sequence[Sequence[float]], max_bins: int) -> np.ndarray:
+    """Bin numbers: edges below the value; a missing value is in bin ``max_bins``."""
+    out = np.empty(values.shape, np.int32)
+    for f, e in enumerate(edges):
+        v = values[:, f]
+        out[:, f] = np.where(np.isnan(v), max_bins, np.searchsorted(np.asarray(e, float), v, side="left"))
+    return out
 
-    def halve(s: Column, _: Column) -> Column:
-        lo, hi = s.getField("lo"), s.getField("hi")
-        mid = F.shiftright(lo + hi, 1)
-        below = (lo < hi) & (F.get(all_, F.least(mid, F.lit(len(edges) - 1))) < value)
-        return F.struct(F.when(below, mid + 1).otherwise(lo).alias("lo"), F.when(below | (lo >= hi), hi).otherwise(mid).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(edges).bit_length()))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")), halve).getField("lo")
 
+def _lists(bins: np.ndarray) -> pa.Array:
+    ends = np.arange(0, bins.size + 1, bins.shape[1], dtype=np.int32) if bins.shape[1] else np.zeros(len(bins) + 1, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(bins).reshape(-1), pa.int32()))
 
-def binned(features: Column, edges: Sequence[Sequence[float]], max_bins: int) -> Column:
-    """Array of bin numbers: edges below the value; a missing value is in bin ``max_bins``."""
-    values = vector_to_array(features)
-    each = [F.get(values, F.lit(f)) for f in range(len(edges))]
-    return F.array(*[F.when(v.isNull() | F.isnan(v), F.lit(max_bins)).otherwise(edges_below(v, e)) for v, e in zip(each, edges)])
+
+def bin_column(features: Column, edges: Sequence[Sequence[float]], max_bins: int) -> Column:
+    """Array of bin numbers of a vector column."""
+    @F.arrow_udf("array<int>")
+    def bins(values: pa.Array) -> pa.Array:
+        return _lists(binned(_matrix(values, len(edges)), edges, max_bins))
+    return bins(vector_to_array(features))
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Reads stored rows (b: bins, n: equal rows, s: sum of their labels, score) with
+    the trees that are not in the stored scores yet."""
+
+    size: int
+    rate: float
+    poisson: bool
+    pending: tuple
+
+    def read(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and scores."""
+        b = _matrix(batch.column("b"), self.size)
+        eta = batch.column(ETA).to_numpy(zero_copy_only=False)
+        for t in self.pending:
+            eta = eta + self.rate * step_of(b, t)
+        return b, eta
+
+    def sums(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and, per row, gradient, hessian and number of equal rows."""
+        b, eta = self.read(batch)
+        n, s = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "s"))
+        weight = n * np.exp(eta) if self.poisson else n
+        return b, np.column_stack([weight - s if self.poisson else n * eta - s, weight, n])
+
+    def advanced(self, df: DataFrame) -> DataFrame:
+        """The rows with the scores that the pending trees lead to."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index(ETA)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(self.read(batch)[1], pa.float64()))
+        return df.mapInArrow(run, df.schema) if self.pending else df
 
 
 class SparkMeasure(Measure):
-    """Histograms of a frame of rows (b: bins, g, h); one aggregate for all wanted nodes."""
+    """Histograms of stored rows; one pass and one aggregate for all wanted nodes."""
 
-    def __init__(self, rows: DataFrame, size: int, bins: int, rule: Rule, max_leaves: int | None, max_depth: int | None):
-        self.rows, self.size, self.bins, self.rule, self.limits = rows, size, bins, rule, (max_leaves, max_depth)
+    def __init__(self, stored: DataFrame, groups: int, rows: Rows, bins: int, rule: Rule, max_depth: int | None):
+        self.stored, self.groups, self.rows, self.bins, self.rule, self.max_depth = stored, groups, rows, bins, rule, max_depth
 
-    def _routed(self, tree: list[Node], wanted: Sequence[int]) -> DataFrame:
-        shape = {"feature": [n.feature if n.left >= 0 else 0 for n in tree], "bin": [n.bin if n.left >= 0 else -1 for n in tree],
-                 "left": [n.left if n.left >= 0 else i for i, n in enumerate(tree)],
-                 "right": [n.right if n.left >= 0 else i for i, n in enumerate(tree)], "depth": max(n.depth for n in tree)}
-        here = self.rows.select(routed(F.col("b"), shape).alias("node"), "b", "g", "h")
-        return here.where(F.get(_constant([int(i in set(wanted)) for i in range(len(tree))], "int"), F.col("node")) == 1) if len(tree) > 1 else here
+    @staticmethod
+    def _shape(tree: list[Node]) -> dict:
+        return {"feature": [n.feature if n.left >= 0 else 0 for n in tree], "bin": [n.bin if n.left >= 0 else -1 for n in tree],
+                "left": [n.left if n.left >= 0 else i for i, n in enumerate(tree)],
+                "right": [n.right if n.left >= 0 else i for i, n in enumerate(tree)], "depth": max(n.depth for n in tree)}
 
     def histograms(self, tree, wanted):
-        sums = (self._routed(tree, wanted).select("node", F.posexplode("b").alias("f", "bin"), "g", "h").groupBy("node", "f", "bin")
-                .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).toPandas())     # a row per node, feature and bin
-        out = {i: np.zeros((self.size, self.bins + 1, 3)) for i in wanted}
-        for node, part in sums.groupby("node"):
-            out[node][part["f"].to_numpy(), part["bin"].to_numpy()] = part[["g", "h", "n"]].to_numpy()
-        return out
-
-    def subtrees(self, tree, wanted):
-        small = [i for i in wanted if tree[i].rows <= LOCAL_ROWS]
-        if not small:
+        rows, width, shape = self.rows, self.bins + 1, self._shape(tree)
+        slot = np.full(len(tree), -1)
+        slot[list(wanted)] = range(len(wanted))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((rows.size, 3, len(wanted) * width))
+            for batch in batches:
+                b, w = rows.sums(batch)
+                at = slot[reached(b, shape)]
+                b, w, at = b[at >= 0], w[at >= 0], at[at >= 0] * width
+                for f in range(rows.size):
+                    for k in range(3):
+                        sums[f, k] += np.bincount(at + b[:, f], w[:, k], sums.shape[2])
+            f, cell = np.nonzero(sums[:, 2])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(cell, pa.int32())] + [pa.array(sums[f, k, cell]) for k in range(3)],
+                                             names=["f", "cell", "g", "h", "n"])
+
+        found = (self.stored.mapInArrow(count, "f int, cell int, g double, h double, n double").groupBy("f", "cell")
+                 .agg(*[F.sum(c).alias(c) for c in "ghn"]).toPandas())                # a row per node, feature and bin
+        out = np.zeros((len(wanted), rows.size, width, 3))
+        cell = found["cell"].to_numpy()
+        out[cell // width, found["f"].to_numpy(), cell % width] = found[["g", "h", "n"]].to_numpy()
+        return dict(zip(wanted, out))
+
+    def subtrees(self, tree, wanted, most):
+        if self.groups > LOCAL_ROWS and any(tree[i].rows > LOCAL_ROWS for i in wanted):
             return {}
-        size, bins, rule, (max_leaves, max_depth) = self.size, self.bins, self.rule, self.limits
-        depths = {i: tree[i].depth for i in small}
+        rows, bins, rule, max_depth, shape = self.rows, self.bins, self.rule, self.max_depth, self._shape(tree)
+        depths = {i: tree[i].depth for i in wanted}
         names = ["node", "k", *_FIELDS]
 
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b, w = rows.sums(batch)
+                node = reached(b, shape)
+                here = np.isin(node, list(depths))
+                yield pa.RecordBatch.from_arrays([pa.array(node[here], pa.int32()), _lists(b[here])] + [pa.array(w[here, k]) for k in range(3)],
+                                                 names=["node", "b", "g", "h", "n"])
+
         def finish(table: pa.Table) -> pa.Table:
             node = table.column("node")[0].as_py()
-            b = np.asarray(table.column("b").combine_chunks().flatten()).reshape(-1, size)
-            local = LocalMeasure(b, table.column("g").to_numpy(), table.column("h").to_numpy(), bins)
-            root = Node(0, 0.0, 0.0, len(b))
-            nodes = grow(local, root, rule, max_leaves, None if max_depth is None else max_depth - depths[node])
+            b = _matrix(table.column("b").combine_chunks(), rows.size)
+            g, h, n = (table.column(c).to_numpy() for c in "ghn")
+            nodes = grow(LocalMeasure(b, g, h, n, bins), Node(0, 0.0, 0.0, round(n.sum())), rule, most,
+                         None if max_depth is None else max_depth - depths[node])
             return pa.Table.from_arrays([pa.array([node] * len(nodes), pa.int32()), pa.array(range(len(nodes)), pa.int32())]
                                         + [pa.array([getattr(n, f) for n in nodes], t) for f, t in _FIELDS.items()], names=names)
 
         kinds = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double"}
         schema = "node int, k int, " + ", ".join(f"{f} {kinds[t]}" for f, t in _FIELDS.items())
-        found = self._routed(tree, small).groupBy("node").applyInArrow(finish, schema).orderBy("node", "k").collect()     # a tree's nodes
+        placed = self.stored.mapInArrow(place, "node int, b array<int>, g double, h double, n double")
         out: dict[int, list[Node]] = {}
-        for r in found:
+        for r in sorted(placed.groupBy("node").applyInArrow(finish, schema).collect(), key=lambda r: (r.node, r.k)):     # a tree's nodes
             out.setdefault(r.node, []).append(Node(**{f: r[f] for f in _FIELDS}))
         return out
 
@@ -434,26 +510,29 @@ class BoostingRegressor(Estimator, _BoostParams):
         init = math.log(first.m) if poisson else float(first.m)
         bins = g(self.maxBins)
         edges = bin_edges(raw.where(~F.col("_val")), "features", first.d, bins)
-        work = stages.write(raw.select(binned(F.col("features"), edges, bins).alias("b"), "y", "_val", F.lit(init).alias(ETA)), "boost-bins")
+        placed = raw.select(bin_column(F.col("features"), edges, bins).alias("b"), "y", "_val")
+        # rows alike in all bins are one; held-out rows, whose loss needs every label, only when their labels are equal, too
+        alike = placed.groupBy("b", "_val", F.when(F.col("_val"), F.col("y")).alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y")).alias("s"))
+        stored = stages.write(alike.withColumn(ETA, F.lit(init)), "boost-bins")
         stages.drop(raw)
+        groups = stored.where(~F.col("_val")).count()
         rule = Rule(g(self.regLambda), g(self.gamma), g(self.minChildWeight), g(self.minInstancesPerNode))
         trees: list[dict] = []
         losses: list[float] = []
-        stored = work
+        kept = 0                                # trees in the stored scores
         for r in range(g(self.maxIter)):
-            grad, hess = (F.exp(ETA) - F.col("y"), F.exp(ETA)) if poisson else (F.col(ETA) - F.col("y"), F.lit(1.0))
-            rows = work.where(~F.col("_val")).select("b", grad.alias("g"), hess.alias("h"))
+            rows = Rows(first.d, g(self.learningRate), poisson, tuple(trees[kept:]))
             root = Node(0, 0.0, 0.0, first.n)
-            limits = (g(self.maxLeaves) if g(self.growth) == "leaf" else None, g(self.maxDepth) or None)
-            trees.append(packed(grow(SparkMeasure(rows, first.d, bins, rule, *limits), root, rule, *limits), rule))
-            value = F.get(_constant(trees[-1]["value"], "double"), routed(F.col("b"), trees[-1]))
-            work = work.withColumn(ETA, F.col(ETA) + F.lit(g(self.learningRate)) * value)
-            if (r + 1) % g(self.checkpointEvery) == 0 or r + 1 == g(self.maxIter):
-                before, stored = stored, stages.write(work, "boost-scores")
-                work = stored
+            max_leaves, max_depth = g(self.maxLeaves) if g(self.growth) == "leaf" else None, g(self.maxDepth) or None
+            measure = SparkMeasure(stored.where(~F.col("_val")), groups, rows, bins, rule, max_depth)
+            trees.append(packed(grow(measure, root, rule, max_leaves, max_depth), rule))
+            rows = Rows(first.d, g(self.learningRate), poisson, tuple(trees[kept:]))
+            if len(trees) - kept >= g(self.checkpointEvery) and r + 1 < g(self.maxIter):
+                before, stored, kept = stored, stages.write(rows.advanced(stored), "boost-scores"), len(trees)
                 stages.drop(before)
+                rows = Rows(first.d, g(self.learningRate), poisson, ())
             if stop_early:
-                losses.append(work.where("_val").agg(F.avg(_loss(poisson))).first()[0])
+                losses.append(rows.advanced(stored.where("_val")).agg((F.sum(F.col("n") * _loss(poisson)) / F.sum("n"))).first()[0])
                 patience = g(self.nIterNoChange)
                 if losses[-1] is None or len(losses) > patience and all(x > losses[-patience - 1] - g(self.tol) for x in losses[-patience:]):
                     break
@@ -482,13 +561,18 @@ class BoostingModel(Model, _BoostParams, MLWritable, MLReadable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         g = self.getOrDefault
-        free = lambda name: name if name.lower() not in {c.lower() for c in df.columns} else free("_" + name)
-        bins, out = free("_bins"), g(self.predictionCol)
-        work = df.withColumn(bins, binned(F.col(g(self.featuresCol)), self.edges, g(self.maxBins)))
-        score = F.lit(g(self.init))
-        for t in self.trees:
-            score = score + F.lit(g(self.learningRate)) * F.get(_constant(t["value"], "double"), routed(F.col(bins), t))
-        return work.withColumn(out, F.exp(score) if g(self.loss) == "poisson" else score).drop(bins)
+        edges, trees, init, rate, bins = self.edges, self.trees, g(self.init), g(self.learningRate), g(self.maxBins)
+
+        @F.arrow_udf("double")
+        def scores(values: pa.Array) -> pa.Array:
+            b = binned(_matrix(values, len(edges)), edges, bins)
+            out = np.full(len(b), init)
+            for t in trees:
+                out = out + rate * step_of(b, t)
+            return pa.array(out, pa.float64())
+
+        score = scores(vector_to_array(g(self.featuresCol)))
+        return df.withColumn(g(self.predictionCol), F.exp(score) if g(self.loss) == "poisson" else score)
 
     @property
     def featureImportances(self):

@@ -1,5 +1,10 @@
 """Boosting against a plain NumPy version that grows trees one split at a time."""
 
+import os
+import subprocess
+import sys
+import tempfile
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -142,3 +147,39 @@ def test_deviance_falls(spark):
     dev = [E.regression_metrics(BoostingRegressor(labelCol="y", loss="poisson", maxIter=n, learningRate=0.3, maxLeaves=6, minInstancesPerNode=5).fit(df).transform(df), "y")
            .first().poisson_deviance for n in (1, 3, 5)]
     assert dev[0] > dev[1] > dev[2]
+
+
+def test_pruned_leaves_of_a_finished_subtree_stay_leaves(spark, monkeypatch):
+    """A large leaf is opened while a small sibling's subtree, grown in a task, has leaves that could still be split."""
+    monkeypatch.setattr(B, "LOCAL_ROWS", 100)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.integers(0, 8, 90), rng.integers(8, 30, 210)]).astype(float)[:, None]
+    v = x[:, 0]
+    y = np.where(v < 2, 1e3 * v, np.where(v < 8, 1e5 + 3e3 * v, np.where(v < 19, 1e7, 1e7 + 2e4)))
+    df = frame(spark, x, y)
+    model = BoostingRegressor(labelCol="y", maxIter=1, learningRate=1.0, maxLeaves=5, minInstancesPerNode=1).fit(df)
+    want, sizes = brute(x, y, "squared", 1, 1.0, leaves=5)
+    assert np.allclose(predictions(model, df), want, rtol=1e-9)
+    assert sizes == [5] == [sum(a == i for i, a in enumerate(t["left"])) for t in model.trees]
+
+
+def test_tasks_need_no_installed_package():
+    """What the tasks run loads in an interpreter that cannot import the package."""
+    from pyspark import cloudpickle
+    sent = cloudpickle.dumps((B.grow, B.LocalMeasure, B.Node, B.Rule)).hex()
+    code = f"from pyspark import cloudpickle; cloudpickle.loads(bytes.fromhex('{sent}'))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tempfile.gettempdir(), env=env).returncode == 0
+
+
+def test_equal_rows_are_stored_once(spark, monkeypatch):
+    """Two levels are two stored rows, whatever the number of rows; counts still decide what may be split."""
+    seen = []
+    kept = B.SparkMeasure.__init__
+    monkeypatch.setattr(B.SparkMeasure, "__init__", lambda self, stored, groups, *a: (seen.append(groups), kept(self, stored, groups, *a))[1])
+    x = (np.arange(300) % 2).astype(float)[:, None]
+    y = (np.arange(300) % 5).astype(float) + 3 * x[:, 0]
+    df = frame(spark, x, y)
+    model = BoostingRegressor(labelCol="y", loss="poisson", maxIter=2, learningRate=0.3, maxLeaves=4, minInstancesPerNode=20).fit(df)
+    want, _ = brute(x, y, "poisson", 2, 0.3, leaves=4, min_rows=20)
+    assert seen == [2, 2] and np.allclose(predictions(model, df), want, rtol=1e-9)
