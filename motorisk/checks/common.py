@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..models.baseline import MeanRegressor
 from ..operators.dataset import modelling_dataset
+from ..operators.materialize import materialize
 from ..operators.splits import split_data
 from ..sources import adapter as A
 
@@ -37,6 +38,12 @@ def freq_split(spark, sf_dir):
     return split_data(freq_dataset(spark, sf_dir), "policy_key", TEST_RATIO, True, SEED)
 
 
+def stored_split(spark, sf_dir, columns):
+    """``freq_split`` of these columns over a dataset that is written once, for fits that read it many times."""
+    stored = materialize(freq_dataset(spark, sf_dir).select(*dict.fromkeys(["policy_key", *columns])), "dataset")
+    return split_data(stored, "policy_key", TEST_RATIO, True, SEED)
+
+
 def level_scored(spark, sf_dir):
     split = freq_split(spark, sf_dir)
     model = MeanRegressor(labelCol=TARGET, groupCol=LEVEL_COL).fit(split.where(F.col("split") == "train"))

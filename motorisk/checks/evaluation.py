@@ -318,8 +318,8 @@ GROUP BY model, split, bin""", *C.SPLIT_CTES)
 def calibration_curves(spark, sf_dir):
     """Four models, both splits, 100 slices each: every cut point of the eight
     orders is found in the same passes, and no row is moved."""
-    split = C.freq_split(spark, sf_dir).select("policy_key", "split", C.TARGET, "Type_risk", "Area", F.col(CURVE_FEATURE).cast("double").alias(CURVE_FEATURE))
-    split = materialize(split, "split")
+    split = C.stored_split(spark, sf_dir, [C.TARGET, "Type_risk", "Area", CURVE_FEATURE])
+    split = materialize(split.withColumn(CURVE_FEATURE, F.col(CURVE_FEATURE).cast("double")), "split")
     train = split.where(F.col("split") == "train")
     scored = MeanRegressor(labelCol=C.TARGET, predictionCol="mean").fit(train).transform(split)
     for level, name in (("Type_risk", "type_mean"), ("Area", "area_mean")):

@@ -110,7 +110,7 @@ lv AS (SELECT {C.LEVEL_COL} AS x, CAST(count(*) AS DOUBLE) AS n, sum(CAST({C.TAR
 
 def _fitted_levels(spark, sf_dir, algorithm, params):
     """Prediction of a model on one feature, per level of it."""
-    train = C.freq_split(spark, sf_dir).where((F.col("split") == "train") & F.col(C.LEVEL_COL).isNotNull()).select(C.LEVEL_COL, C.TARGET)
+    train = C.stored_split(spark, sf_dir, [C.LEVEL_COL, C.TARGET]).where((F.col("split") == "train") & F.col(C.LEVEL_COL).isNotNull()).select(C.LEVEL_COL, C.TARGET)
     model = RUN.fit_cached(RUN.pipeline_for(train, [C.LEVEL_COL], C.TARGET, algorithm, params), train, [C.LEVEL_COL, C.TARGET])
     return model.transform(train.select(C.LEVEL_COL).distinct()).select(C.LEVEL_COL, r6(F.col("prediction")).alias("prediction"))
 
@@ -232,7 +232,7 @@ RUN_FEATURES = RUN.NEW_CLIENT_CONFIG["features"]
 
 
 def _split_metrics(spark, sf_dir, algorithm, params):
-    split = C.freq_split(spark, sf_dir)
+    split = C.stored_split(spark, sf_dir, [*RUN_FEATURES, C.TARGET])
     train = split.where(F.col("split") == "train")
     model = RUN.fit_cached(RUN.pipeline_for(train, RUN_FEATURES, C.TARGET, algorithm, params), train, [*RUN_FEATURES, C.TARGET])
     scored = model.transform(split)

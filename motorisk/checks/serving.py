@@ -43,16 +43,17 @@ def scoring_model(spark, sf_dir):
     """Feature stages and Poisson GLM fitted on the training split, saved
     and loaded back. The GLM is saturated in the risk type, so its predictions
     are the level means of the SQL twin."""
-    train = C.freq_split(spark, sf_dir).where(F.col("split") == "train").select(
-        "Year_matriculation", *[f for f in QUOTE_FIELDS if f != "Car_age_years"], C.TARGET)
+    columns = ["Year_matriculation", *[f for f in QUOTE_FIELDS if f != "Car_age_years"], C.TARGET]
+    train = C.stored_split(spark, sf_dir, columns).where(F.col("split") == "train").select(*columns)
     features = Pipeline(stages=[
         CarAge(asOfYear=AS_OF_YEAR),
         OneHotEncoder(inputCols=[C.LEVEL_COL], outputCols=["_level"], dropLast=True, handleInvalid="keep"),
         VectorAssembler(inputCols=["_level"], outputCol="features"),
     ]).fit(train)
-    ready = features.transform(train)
+    ready = features.transform(train).select("features", C.TARGET).persist()       # the solver reads it once per step
     glm = PoissonRegressor(alpha=0.0, max_iter=100, tol=1e-12).spark_estimator(ready, "features", C.TARGET)
     pipe = PipelineModel([*features.stages, glm.fit(ready)])
+    ready.unpersist()
     path = scratch_dir(spark, "quote-model")
     L.save_model(pipe, path)
     return L.load_model(path)
@@ -96,13 +97,14 @@ def published_models(spark, sf_dir):
     """S5 + S6: a GLM fitted on the training rows and one fitted on all rows are
     published in turn; every version is loaded from the store and predicts the levels."""
     store = scratch_dir(spark, "store")
-    split = C.freq_split(spark, sf_dir).where(F.col(C.LEVEL_COL).isNotNull()).select("split", C.LEVEL_COL, C.TARGET)
+    split = C.stored_split(spark, sf_dir, [C.LEVEL_COL, C.TARGET]).where(F.col(C.LEVEL_COL).isNotNull()).select("split", C.LEVEL_COL, C.TARGET)
     for rows in (split.where(F.col("split") == "train"), split):
         staged = Pipeline(stages=[OneHotEncoder(inputCols=[C.LEVEL_COL], outputCols=["_level"], dropLast=True),
                                   VectorAssembler(inputCols=["_level"], outputCol="features")]).fit(rows)
-        ready = staged.transform(rows)
+        ready = staged.transform(rows).select("features", C.TARGET).persist()       # the solver reads it once per step
         glm = PoissonRegressor(alpha=0.0, max_iter=100, tol=1e-12).spark_estimator(ready, "features", C.TARGET)
         L.register_model(spark, PipelineModel([*staged.stages, glm.fit(ready)]), store, "levels")
+        ready.unpersist()
     levels, out = split.select(C.LEVEL_COL).distinct(), None
     for r in sorted(L.model_versions(spark, store).collect(), key=lambda r: r.version):
         told = L.load_model(r.path).transform(levels).select(F.lit(r.version).alias("version"), C.LEVEL_COL, F.round("prediction", 4).alias("prediction"))
