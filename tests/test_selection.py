@@ -148,3 +148,19 @@ def test_null_keys_are_split_too(spark):
     df = spark.createDataFrame([(1,), (2,), (None,), (4,), (5,)], "k long")
     for ratio, size in ((0.4, 2), (0.2, 1), (0.6, 3)):
         assert split_data(df, "k", ratio).where("split = 'test'").count() == size
+
+
+def test_comparison_runs_the_dataset_once(spark):
+    """The fits, the scores and the metrics read the stored columns; the dataset's own plan runs once."""
+    from pyspark.sql import functions as F
+
+    from motorisk.plans import runs as RUN
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(k):
+        told.add(1)
+        return float(k % 3)
+    df = spark.range(60).select(F.col("id").alias("k"), counted("id").alias("y"), (F.col("id") % 2).cast("double").alias("x"))
+    _, metrics, _ = RUN.model_comparison(df, "k", ["x"], "y", {"baseline": ("mean", {}), "ridge": ("ridge", {"alpha": 1.0})})
+    assert told.value == 60 and sum(r.n for r in metrics.collect()) == 120
