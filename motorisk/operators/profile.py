@@ -21,6 +21,7 @@ from ..functions import bands as B
 from . import ordering as O
 from .materialize import Stages, materialize
 from .membership import likely_members
+from .moments import pair_moments
 from .selection import select_rows
 
 # Box-plot whisker reach in IQRs, kernel grid size.
@@ -205,11 +206,11 @@ REPORT_BINS = 10
 def profile_report(df: DataFrame, key: str) -> DataFrame:
     """The whole profile as (section, feature, stat, value) rows.
 
-    The frame is read once and written; two passes over the stored rows give all
-    sections but the quartiles. The first counts and sums by one set of keys:
-    missing values per column, patterns of missing columns, categories, moments
-    per numeric column and products per pair of them. The second, which needs
-    ranges and quartiles, counts histogram bins and cells and finds the whiskers.
+    The frame is read once and written; passes over the columns they need of the
+    stored rows give all sections but the quartiles: missing values per column and
+    patterns of missing columns; categories; moments per numeric column and
+    products per pair of them (``moments.pair_moments``); and, once ranges and
+    quartiles are known, histogram bins and cells with the whiskers.
     NaN is missing in the numeric sections; ``key`` is no feature.
 
     Sections: shape, duplicates, nulls (per column), missing (rows per set of
@@ -220,7 +221,7 @@ def profile_report(df: DataFrame, key: str) -> DataFrame:
     rows = stages.write(df, "profile")
     columns = df.columns
     numeric, texts = [c for c in numeric_columns(df) if c != key], text_columns(df)
-    first = stages.write(_summary(rows, columns, numeric, texts), "summary")
+    first = stages.write(_summary(rows, columns, numeric, texts, stages), "summary")
     long = long_values(rows, numeric)
     cuts = select_rows(long, ["feature"], ["value"], 6, _quartile_ends, stages)
     quartiles = _quartiles(cuts)
@@ -261,25 +262,23 @@ def profile_report(df: DataFrame, key: str) -> DataFrame:
     return out.unionByName(tell(pairs, "correlation", f, item, F.col("r")))
 
 
-def _summary(rows: DataFrame, columns: Sequence[str], numeric: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """One pass: rows, moments and products per (section, feature, item)."""
-    def entry(section: str, feature: Column, item: Column, x: Column, y: Column, here: Column) -> Column:
-        return F.when(here, F.struct(F.lit(section).alias("section"), feature.alias("feature"), item.alias("item"), x.alias("x"), y.alias("y")))
-
-    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("double")
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
-    entries = [entry("nulls", F.lit(c), none, nothing, nothing, F.col(c).isNull()) for c in columns]
+def _summary(rows: DataFrame, columns: Sequence[str], numeric: Sequence[str], texts: Sequence[str], stages: Stages) -> DataFrame:
+    """Rows, moments and products per (section, feature, item): one pass for the
+    missing values, one for the categories, one for the numbers."""
     gone = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
-    entries.append(entry("missing", gone, none, nothing, nothing, F.lit(True)))
-    entries += [entry("category", F.lit(c), F.col(c), nothing, nothing, F.col(c).isNotNull()) for c in texts]
-    entries += [entry("numeric", F.lit(c), none, clean[c], nothing, clean[c].isNotNull()) for c in numeric]
-    for i, a in enumerate(numeric):
-        entries += [entry("pair", F.lit(a), F.lit(b), clean[a], clean[b], clean[a].isNotNull() & clean[b].isNotNull()) for b in numeric[i + 1:]]
-    long = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    return long.groupBy("section", "feature", "item").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"),
-        F.when(~F.bool_or(F.abs("x") == float("inf")), F.stddev_samp("x")).alias("sd"),
-        F.covar_samp("x", "y").alias("cxy"), F.var_samp(F.when(F.col("y").isNotNull(), F.col("x"))).alias("vx"), F.var_samp("y").alias("vy"))
+    patterns = stages.write(rows.groupBy(gone.alias("feature")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]), "patterns")
+    nulls = patterns.agg(*[F.sum(f"n{i}").alias(c) for i, c in enumerate(columns)]).unpivot([], list(columns), "feature", "n")
+    parts = [nulls.select(F.lit("nulls").alias("section"), "*"), patterns.select(F.lit("missing").alias("section"), "feature", "n")]
+    if texts:
+        counts = long_values(rows, texts, "string").groupBy("feature", F.col("value").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counts.select(F.lit("category").alias("section"), "*"))
+    parts.append(pair_moments(rows, numeric, stages).select(
+        F.when(F.col("item").isNull(), "numeric").otherwise("pair").alias("section"), "*"))
+    out = parts[-1]
+    for part in parts[:-1]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def _quartile_ends(n: Column, t: Column) -> Column:

@@ -32,8 +32,20 @@ def order_image(x: Column) -> Column:
     the ends): sign times the bits of the absolute value, that is its exponent
     and, below, the 52 bits of its fraction. NULL for NULL; NaN must be left out."""
     a = F.abs(x)
-    near = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))   # the exponent or one beside it
-    part = a / F.pow(F.lit(2.0), near)
+    near = _near(a)
+    return _bits(x, a, near, _part(a, near))
+
+
+def _near(a: Column) -> Column:
+    """The exponent of ``a`` or one beside it."""
+    return F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))
+
+
+def _part(a: Column, near: Column) -> Column:
+    return a / F.pow(F.lit(2.0), near)
+
+
+def _bits(x: Column, a: Column, near: Column, part: Column) -> Column:
     exponent = near + F.when(part >= 2, 1.0).when(part < 1, -1.0).otherwise(0.0)
     fraction = F.when(part >= 2, part / 2).when(part < 1, part * 2).otherwise(part) - 1
     normal = (exponent + 1023).cast("long") * (1 << 52) + (fraction * float(1 << 52)).cast("long")
@@ -43,6 +55,18 @@ def order_image(x: Column) -> Column:
     return F.when(x < 0, -bits).otherwise(bits)
 
 
+def _with_image(df: DataFrame, column: str, kind: T.DataType, out: str) -> DataFrame:
+    """``df`` with ``out``, the image of a column without NULL. In steps of their own
+    columns, so that the logarithm and the power are taken once a row; never NULL,
+    or a join on it would test it for NULL below and make it there again."""
+    x = F.col(column)
+    if isinstance(kind, T.IntegralType):
+        return df.withColumn(out, F.coalesce(x.cast("long"), F.lit(0).cast("long")))
+    a, near, part = F.col("_a"), F.col("_near"), F.col("_part")
+    steps = df.withColumn("_a", F.abs(x)).withColumn("_near", _near(a)).withColumn("_part", _part(a, near))
+    return steps.withColumn(out, F.coalesce(_bits(x, a, near, part), F.lit(0).cast("long"))).drop("_a", "_near", "_part")
+
+
 def _image(c: Column, kind: T.DataType) -> Column:
     return c.cast("long") if isinstance(kind, T.IntegralType) else order_image(c)
 
@@ -73,15 +97,18 @@ def select_rows(data: DataFrame, groups: Sequence[str], order: Sequence[str], wa
         g, rows = ["g0"], rows.withColumn("g0", F.lit(0))
     ends = [f(f"d.o{i}").alias(n) for i in range(len(order)) for f, n in ((F.min, lo[i]), (F.max, hi[i]))]
 
-    def counted(source: DataFrame, keys: Sequence[Column], column: int, shift: int) -> DataFrame:
-        digit = F.shiftright(_image(F.col(f"d.o{column}"), kinds[column]), shift).alias("cell")
+    def imaged_rows(column: int) -> DataFrame:
+        return _with_image(rows, f"o{column}", kinds[column], "_image").alias("d")
+
+    def counted(source: DataFrame, keys: Sequence[Column], shift: int) -> DataFrame:
+        digit = F.shiftright("d._image", shift).alias("cell")
         return source.groupBy(*keys, digit).agg(F.count(F.lit(1)).alias("m"), *ends)
 
     def placed(counts: DataFrame, keys: Sequence[str], below: Column) -> DataFrame:
         run = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("before", below + F.coalesce(F.sum("m").over(run), F.lit(0)))
 
-    first = stages.write(counted(rows.alias("d"), [F.col(f"d.{c}") for c in g], 0, SHIFTS[0]), "cells")
+    first = stages.write(counted(imaged_rows(0), [F.col(f"d.{c}") for c in g], SHIFTS[0]), "cells")
     total = first.groupBy(*g).agg(F.sum("m").alias("n")).where("n > 0")
     asked = (total.select(*g, "n", F.explode(F.sequence(F.lit(0), F.lit(wanted - 1))).alias("t"))
              .withColumn("at", position(F.col("n"), F.col("t")).cast("long")))
@@ -105,9 +132,8 @@ def select_rows(data: DataFrame, groups: Sequence[str], order: Sequence[str], wa
         for i in range(column):
             inside = inside & (F.col(f"d.o{i}") == F.col(f"b.{lo[i]}"))
         if shift != SHIFTS[0]:
-            inside = inside & (F.shiftright(_image(F.col(f"d.o{column}"), kinds[column]), shift + BITS)
-                               == F.shiftright(f"b.i{lo[column]}", shift + BITS))
-        counts = counted(rows.alias("d").join(brackets.alias("b"), inside), [*[F.col(f"b.{c}") for c in g], F.col("b.below")], column, shift)
+            inside = inside & (F.shiftright("d._image", shift + BITS) == F.shiftright(f"b.i{lo[column]}", shift + BITS))
+        counts = counted(imaged_rows(column).join(brackets.alias("b"), inside), [*[F.col(f"b.{c}") for c in g], F.col("b.below")], shift)
         found = left.alias("l").join(placed(counts, [*g, "below"], F.col("below")).alias("p"),
                                      _same("l", "p", [*g, "below"]) & (F.col("l.at") >= F.col("p.before")) & (F.col("l.at") < F.col("p.before") + F.col("p.m")))
         before, cuts = cuts, stages.write(done.unionByName(imaged(found, "l")), "cuts")

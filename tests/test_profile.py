@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorisk.operators import correlation as R
+from motorisk.operators import moments as M
 from motorisk.operators import profile as P
+from motorisk.operators.materialize import Stages
 from motorisk.plans.premium import premium_dataset
 from motorisk.sources import adapter as A
 
@@ -86,3 +88,47 @@ def test_short_columns_are_ranked_in_place(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0] or plan.count("hashpartitioning(a") == 0
     assert "_key" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_moments_of_pairs(spark):
+    """Against pandas: missing values, infinities, columns that do not vary, many parts, a large mean."""
+    rng = np.random.default_rng(4)
+    n = 900
+    pdf = pd.DataFrame({"a": rng.normal(size=n) + 1e9, "b": rng.integers(0, 9, n).astype(float), "c": np.full(n, 0.1),
+                        "d": np.where(np.arange(n) % 7 == 0, np.nan, rng.normal(size=n)), "e": np.full(n, np.nan), "f": rng.normal(size=n)})
+    pdf.loc[5, "f"] = np.inf
+    pdf["g"] = np.where(pdf["d"].isna(), pdf["a"], 0.3)        # does not vary where d is present
+    rows = [tuple(None if i % 2 and np.isnan(v) else float(v) for v in r) for i, r in enumerate(pdf.itertuples(index=False))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in pdf)).repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {(r.feature, r.item): r for r in M.pair_moments(df, list(pdf), Stages(spark)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not any("e" in k for k in got) and len(got) == 6 + 15
+    for c in "abcdfg":
+        v, r = pdf[c].dropna(), got[c, None]
+        assert (r.n, r.low, r.high) == (len(v), v.min(), v.max()) and r["mean"] == pytest.approx(v.mean())
+        assert r.sd is None if c == "f" else r.sd == pytest.approx(v.std(), rel=1e-7, abs=0)
+    assert got["c", None].sd == 0 and got["d", "g"].vy == 0 and got["g", None].sd > 1
+    for x, y in [("a", "b"), ("a", "d"), ("b", "d"), ("a", "c")]:
+        both = pdf[[x, y]].dropna()
+        assert got[x, y].n == len(both) and got[x, y].cxy == pytest.approx(both.cov().loc[x, y], rel=1e-7, abs=1e-7)
+        assert (got[x, y].vx, got[x, y].vy) == (pytest.approx(both[x].var(), rel=1e-7), pytest.approx(both[y].var(), rel=1e-7))
+    assert np.isnan(got["a", "f"].cxy) and np.isnan(got["a", "f"].vy) and got["a", "f"].vx > 0
+    one = M.pair_moments(df.limit(1), ["a", "b"], Stages(spark)).where("item is not null").first()
+    assert (one.n, one.cxy, one.vx, one.vy) == (1, None, None, None)
+    assert M.pair_moments(df.limit(0), ["a", "b"], Stages(spark)).collect() == []
+
+
+def test_report_makes_no_row_per_pair_and_one_image_per_value(spark, monkeypatch):
+    """No pass turns a row into a row per pair of columns; joins and filters do not work the image out again."""
+    plans = []
+    monkeypatch.setattr(Stages, "write", lambda self, df, label="stage", f=Stages.write: plans.append(
+        (label, df._jdf.queryExecution().optimizedPlan().toString())) or f(self, df, label))
+    df = spark.range(60).selectExpr("id as k", "id / 7 as a", "id % 5 / 3 as b", "cast(id % 3 as string) as t")
+    P.profile_report(df, "k")
+    lines = [line for _, plan in plans for line in plan.split("\n")]
+    assert [label for label, _ in plans].count("cuts") > 1
+    assert not [line for line in lines if "Generate" in line and "pair" in line]
+    assert not [line for line in lines if ("Join" in line or "Filter" in line) and "LOG2(" in line]
