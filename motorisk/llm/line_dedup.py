@@ -40,6 +40,7 @@ from .common import Stages, free_name, likely_members, long_array
 SIMILARITY_PERCENT, WORDS = 80, 5
 #: White space of ASCII, as in a pattern's class.
 BLANKS = r"\x20\x09-\x0D"
+OTHER_BLANKS = r"[\x09-\x0D]"
 RARITY_CELLS = 1 << 16
 #: Part of a set by which the prefix of the elimination is longer than the basic one.
 EXTENSION = 0.05
@@ -54,9 +55,17 @@ def with_shingles(df: DataFrame, line: str, out: str, short: bool = False) -> Da
     below and make it there again."""
     words, grams = (free_name(df.columns, x) for x in ("line_words", "line_grams"))
     enough = f"[^{BLANKS}]" if short else f"(?:[^{BLANKS}]+[{BLANKS}]+){{{WORDS - 1}}}[^{BLANKS}]"
-    cut = F.array_remove(F.split(F.lower(line), f"[{BLANKS}]"), "")
+    low = F.lower(line)
+    # one fixed character is cut at without a pattern
+    cut = F.array_remove(F.when(low.rlike(OTHER_BLANKS), F.split(low, f"[{BLANKS}]")).otherwise(F.split(low, " ")), "")
     h = F.col(words)
-    gram = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - F.lit(WORDS))), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WORDS))))
+
+    def grams_of(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(a) - F.lit(WORDS)))
+        return F.transform(at, lambda i: F.xxhash64(*(F.get(a, i + k) for k in range(WORDS))))
+
+    # the hashes are a variable of an outer function, so the inner one need not take them from the row each time
+    gram = F.get(F.transform(F.array(h), grams_of), 0)
     df = df.where(F.col(line).rlike(enough)).withColumn(words, F.transform(cut, lambda w: F.xxhash64(w)))
     df = df.withColumn(grams, F.when(F.size(h) >= WORDS, gram).otherwise(F.array(F.xxhash64(h))))
     return df.withColumn(out, F.sort_array(F.array_distinct(grams))).drop(words, grams)
