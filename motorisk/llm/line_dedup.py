@@ -8,13 +8,16 @@ its whole word sequence. A line goes when an earlier line, in the order of
 or more; whether that earlier line stays itself does not matter, so the result
 does not depend on any order of work.
 
-1. Lines with equal sets: only the first can stay, the others need no
+1. Lines of equal words: only the first can stay, the others need no
    comparison.
-2. Elimination: in the fixed order of the hashes, two similar sets share
+2. Elimination: in a fixed order of all shingles, two similar sets share
    several shingles of their extended prefixes (the l-prefix lemma: prefixes
    longer by l - 1 share l). Lines that share fewer with all others match
-   nothing. Counting takes the smallest and largest set per shingle (combined before the
-   shuffle), so a frequent line costs its shingles one row per task.
+   nothing. Shingles whose first word hashes low come first in that order, so the prefix
+   of a longer line is found without hashing its other shingles. A shingle whose
+   smallest and largest line (combined before the shuffle, so a frequent line
+   costs its shingles one row per task) are the same is shared with none: such
+   shingles are counted per line, and nothing is joined.
 3. The others are joined: their shingles are ordered by rarity (counts of
    ``RARITY_CELLS`` hash cells over all these lines, a table of fixed size, then
    the hash), and prefixes joined with length and positional filters. First
@@ -42,22 +45,31 @@ SIMILARITY_PERCENT, WORDS = 80, 5
 BLANKS = r"\x20\x09-\x0D"
 OTHER_BLANKS = r"[\x09-\x0D]"
 RARITY_CELLS = 1 << 16
-#: Part of a set by which the prefix of the elimination is longer than the basic one.
-EXTENSION = 0.05
+#: Shingles by which the prefix of the elimination is longer than the basic one; fewer for sets of up to 6.
+EXTENSION = 2
+#: Lines of more shingles than ``WHOLE`` hash first those whose first word hashes into the lowest ``EARLY`` of the range.
+WHOLE, EARLY = 24, 0.4
+
+
+def _words(line: str) -> Column:
+    """The words of a line, lower case."""
+    low = F.lower(line)
+    # one fixed character is cut at without a pattern
+    return F.array_remove(F.when(low.rlike(OTHER_BLANKS), F.split(low, f"[{BLANKS}]")).otherwise(F.split(low, " ")), "")
+
+
+def _enough(line: str, short: bool) -> Column:
+    """Whether a line has a set; by the line itself, for a condition on the set
+    would be moved below and make it there again."""
+    return F.col(line).rlike(f"[^{BLANKS}]" if short else f"(?:[^{BLANKS}]+[{BLANKS}]+){{{WORDS - 1}}}[^{BLANKS}]")
 
 
 def with_shingles(df: DataFrame, line: str, out: str, short: bool = False) -> DataFrame:
     """The rows of ``df`` whose line has words (without ``short``: at least
     ``WORDS``), with ``out``, its sorted distinct shingle hashes; with ``short`` the
     words of a line of fewer than ``WORDS`` are one shingle. In steps of their own
-    columns, so that the words are hashed once and generated code makes the sets;
-    rows are chosen by the line itself, for a condition on the set would be moved
-    below and make it there again."""
+    columns, so that the words are hashed once and generated code makes the sets."""
     words, grams = (free_name(df.columns, x) for x in ("line_words", "line_grams"))
-    enough = f"[^{BLANKS}]" if short else f"(?:[^{BLANKS}]+[{BLANKS}]+){{{WORDS - 1}}}[^{BLANKS}]"
-    low = F.lower(line)
-    # one fixed character is cut at without a pattern
-    cut = F.array_remove(F.when(low.rlike(OTHER_BLANKS), F.split(low, f"[{BLANKS}]")).otherwise(F.split(low, " ")), "")
     h = F.col(words)
 
     def grams_of(a: Column) -> Column:
@@ -66,11 +78,54 @@ def with_shingles(df: DataFrame, line: str, out: str, short: bool = False) -> Da
 
     # the hashes are a variable of an outer function, so the inner one need not take them from the row each time
     gram = F.get(F.transform(F.array(h), grams_of), 0)
-    df = df.where(F.col(line).rlike(enough)).withColumn(words, F.transform(cut, lambda w: F.xxhash64(w)))
+    df = df.where(_enough(line, short)).withColumn(words, F.transform(_words(line), lambda w: F.xxhash64(w)))
     df = df.withColumn(grams, F.when(F.size(h) >= WORDS, gram).otherwise(F.array(F.xxhash64(h))))
     return df.withColumn(out, F.sort_array(F.array_distinct(grams))).drop(words, grams)
 
 
+def extension(n: Column) -> Column:
+    return F.least(F.lit(EXTENSION), F.greatest(F.lit(0), n - F.lit(WORDS))).cast("int")
+
+
+def with_prefix(df: DataFrame, line: str, percent: int, short: bool = False) -> DataFrame:
+    """The rows of ``df`` whose line has a set, with ``sid``, a hash of its words,
+    ``keys``, the hashes of its extended prefix, and ``spare``: a line of which more
+    keys are shared with no other line is similar to none.
+
+    The order of shingles is that of hashes made negative where the first word
+    hashes low. A line has at most as many shingles as places for them; prefixes
+    are as long as that number asks, which is never too short. ``spare`` goes by
+    the shingles known to be distinct."""
+    words, early, whole = (free_name(df.columns, x) for x in ("line_words", "line_early", "line_whole"))
+    w = F.col(words)
+    places = F.greatest(F.lit(1), F.size(w) - F.lit(WORDS - 1))
+    length = prefix_size(places, percent) + extension(places)
+    least, most = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    bound = F.lit(round((EARLY - 0.5) * (1 << 64)))
+    none = F.array().cast("array<bigint>")
+
+    def hashes(rest) -> Column:
+        """Of all places; ``rest`` gives those that do not come first their value."""
+        def of(a: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                gram = F.xxhash64(x, *(F.get(a, i + k) for k in range(1, WORDS)))
+                return F.when(x < bound, gram.bitwiseOR(least)).otherwise(rest(gram))
+            return F.transform(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - F.lit(WORDS - 1))), one)
+        return F.sort_array(F.array_distinct(F.get(F.transform(F.array(w), of), 0)))
+
+    first = F.size(early) > length                  # the last of them stands for all that come later
+    df = df.where(_enough(line, short)).withColumn(words, F.transform(_words(line), lambda x: F.xxhash64(x)))
+    df = df.withColumn(early, F.when(F.size(w) > WHOLE + WORDS - 1, hashes(lambda g: most)).otherwise(none))
+    df = df.withColumn(whole, F.when(first, none).when(F.size(w) < WORDS, F.array(F.xxhash64(w)))
+                       .otherwise(hashes(lambda g: g.bitwiseAND(most))))
+    df = (df.withColumn("keys", F.slice(F.when(first, F.col(early)).otherwise(F.col(whole)), F.lit(1), length))
+          .withColumn("sid", F.xxhash64(words)))
+    # a partner may be smaller, and the smaller extension counts
+    known = F.when(first, F.size(early) - F.lit(1)).otherwise(F.size(whole))
+    need = F.lit(1) + extension(F.ceil(known * percent / 100))
+    return df.withColumn("spare", (F.size("keys") - need).cast("int")).drop(words, early, whole)
+
+
 def prefix_size(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
@@ -83,22 +138,16 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str = "text",
                   percent: int = SIMILARITY_PERCENT, short: bool = False) -> DataFrame:
     """(id, no, lh): place and hash of every line that goes."""
-    extra = F.floor(F.size("a") * EXTENSION).cast("int")
-    sets = (with_shingles(_lines(docs, key, text), "line", "a", short)
-            .select("id", "no", F.xxhash64("line").alias("lh"), F.xxhash64("a").alias("sid"), F.size("a").alias("n"),
-                    F.slice("a", F.lit(1), prefix_size(F.size("a"), percent) + extra).alias("keys")))
+    sets = (with_prefix(_lines(docs, key, text), "line", percent, short)
+            .select("id", "no", F.xxhash64("line").alias("lh"), "sid", "spare", "keys"))
     lines = st.write(sets, "lines")
+    firsts = st.write(lines.groupBy("sid").agg(F.min(F.struct("id", "no", "lh")).alias("f"), F.first("spare").alias("spare"))
+                      .select("sid", "f.id", "f.no", "f.lh", "spare"), "firsts")
     # elimination may take shingles for shared that are not, so 48 bits of them do
     posted = lines.select("sid", F.explode("keys").alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)))
-    shared = (posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-              .where("lo <> hi").select("key"))
-    alive = posted.join(shared, "key", "left_semi").groupBy("sid").agg(F.count(F.lit(1)).alias("m"))
-    firsts = st.write(lines.groupBy("sid").agg(F.min(F.struct("id", "no", "lh")).alias("f"), F.first("n").alias("n"),
-                                               F.count(F.lit(1)).alias("copies"))
-                      .select("sid", "f.id", "f.no", "f.lh", "n", "copies"), "firsts")
-    # a partner may be smaller, and the smaller extension counts; every copy of a set posts the same
-    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTENSION)
-    left = firsts.join(alive, "sid").where(F.col("m") / F.col("copies") >= need)
+    alone = (posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+             .where("lo = hi").select(F.col("lo").alias("sid")).repartition("sid").groupBy("sid").agg(F.count(F.lit(1)).alias("own")))
+    left = firsts.join(alone, "sid", "left").where(F.coalesce("own", F.lit(0)) <= F.col("spare"))
     ranked = st.write(row_index(left.select("sid", "id", "no", "lh"), ["id", "no", "sid"], "r"), "ranked")
 
     # whole sets of the lines left, from the text

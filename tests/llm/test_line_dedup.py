@@ -95,3 +95,30 @@ def test_registered_query_and_stage_drop_copies_of_short_lines(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     for out in (QUERIES["op3_line_dedup"](spark, str(tmp_path)), corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))):
         assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "two"}
+
+
+def test_similar_lines_share_their_keys(spark):
+    """The elimination rests on it: of a line similar to another, at most ``spare`` keys are shared with no other."""
+    from motorisk.llm.line_dedup import EARLY, WHOLE, with_prefix
+    lines = sorted({line for _, t in corpus(5, 60) for line in t.split("\n")})
+    r = random.Random(6)
+    vocab = [f"v{i}" for i in range(3000)]
+    for k in (9, 29, 31, 60, 150):                   # repeated runs, and lines of one first word in every fifth place
+        w = [r.choice(vocab) for _ in range(k)]
+        lines += [" ".join(w), " ".join(w + w[:k // 2]), " ".join(w[:-1] + ["x"]), " ".join(w * 3), " ".join(w * 2)]
+        same = [x if i % 5 else "the" for i, x in enumerate(w)]
+        lines += [" ".join(same), " ".join(same[1:])]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {x.i: (set(x["keys"]), x.spare) for x in with_prefix(df, "line", 80).collect()}
+    sets = {i: line_set(lines[i]) for i in got}
+    assert set(got) == {i for i, line in enumerate(lines) if line_set(line)}
+    pairs = 0
+    for i in got:
+        for j in got:
+            if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                pairs += 1
+                assert len(got[i][0] - got[j][0]) <= got[i][1]
+    assert pairs > 100
+    # most lines of random words hash few more shingles than their prefix
+    long = [i for i in got if len(sets[i]) > WHOLE]
+    assert sum(all(k < 0 for k in got[i][0]) for i in long) > len(long) / 2 and EARLY < 0.5
