@@ -43,6 +43,9 @@ MEMO_CHUNKS, MEMO_CHUNK_CHARS = 250_000, 64
 #: Distinct words a counting task holds before it passes its counts on.
 COUNT_WORDS = 250_000
 
+#: Texts encoded at once; the words of all of them are held as strings.
+ENCODE_ROWS = 64
+
 _NO_MERGE = 1 << 60
 _ODD_SPACE = re.compile("[\x1c-\x1f]")          # white space to Python, not to the pattern
 _UNICODE_SPACE = regex.compile(r"\s+", flags=regex.V1)
@@ -347,8 +350,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", binar
     def run(batches):
         enc = Encoder(*shared.value)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, ENCODE_ROWS):
+                part = b.slice(i, ENCODE_ROWS)
                 ids = enc.encode(list(_texts(part.column(at))))
                 if binary:
                     col = pa.array(ids, type=pa.binary())

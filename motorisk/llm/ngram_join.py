@@ -55,7 +55,7 @@ EXTENSION = 0.1
 #: Sets of a family compared in one task at once; larger families are cut into blocks.
 BLOCK = 2048
 #: Bytes of text hashed at once, shingles counted or posted at once, postings per bucket.
-SLICE_BYTES, BLOCK_SHINGLES, BUCKET_POSTINGS = 4 << 20, 1 << 21, 2 << 20
+SLICE_BYTES, BLOCK_SHINGLES, BUCKET_POSTINGS = 512 << 10, 1 << 21, 1 << 19
 
 _HEAVY = np.uint64(1 << 63)
 

@@ -46,7 +46,8 @@ SMOOTH = 20.0
 MARGIN = 4.0
 UNIT = float(1 << 20)
 SEED = 7
-SLICE_BYTES = 2 << 20
+#: Bytes of text whose n-grams a task holds at once; arrays of about forty times that size.
+SLICE_BYTES = 256 << 10
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True

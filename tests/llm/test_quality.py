@@ -115,3 +115,30 @@ def test_inclusion_follows_the_weights(spark):
         taken += ids
     assert 0.7 <= sum(i < n for i in taken) / len(taken) <= 0.87
     assert len(set(taken)) > 1.5 * k
+
+
+def test_tasks_hold_little_of_a_large_batch():
+    """A batch of 8 MB of text: what counting n-grams, set hashes and encoding hold beside it at most."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+    from motorisk.llm import bpe, ngram_join
+    r = random.Random(4)
+    vocab = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(vocab, k=500)) for _ in range(2000)]
+    marked = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 3 == 0 for i in range(2000)])], names=["t", "g"])
+    keyed = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(2000))], names=["t", "id"])
+
+    def peak(work):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+    assert peak(lambda: list(ql._counts([marked]))) < 40
+    assert peak(lambda: [None for _ in ngram_join.hashed_sets([keyed], 5)]) < 60
+    enc = bpe.Encoder(bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json")), None)
+    enc.encode(texts[:200])                         # the memo of the vocabulary stays
+    size = bpe.ENCODE_ROWS
+    assert peak(lambda: enc.encode(texts[:size])) < 6
