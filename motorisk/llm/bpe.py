@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,12 @@ COUNT_WORDS = 250_000
 
 #: Texts encoded at once; the words of all of them are held as strings.
 ENCODE_ROWS = 64
+#: Bytes of the longest word of each group that is merged at once (a place takes six bits); longer words are merged alone.
+MERGE_GROUPS = (12, 24, 48)
+#: Texts decoded at once.
+DECODE_ROWS = 512
 
-_NO_MERGE = 1 << 60
+_NO_MERGE, _NO_PAIR = 1 << 60, np.iinfo(np.int32).max
 _ODD_SPACE = re.compile("[\x1c-\x1f]")          # white space to Python, not to the pattern
 _UNICODE_SPACE = regex.compile(r"\s+", flags=regex.V1)
 
@@ -71,6 +76,11 @@ class Tokenizer:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         #: left id << 20 | right id -> rank << 20 | merged id
         self.merges = {self.vocab[x] << 20 | self.vocab[y]: rank << 20 | self.vocab[x + y] for rank, (x, y) in enumerate(pairs)}
+        #: the same as arrays, by left id and right id, for many words at a time
+        self.pairs = np.asarray(sorted(self.merges), dtype=np.int64)
+        rules = np.asarray([self.merges[p] for p in self.pairs.tolist()], dtype=np.int64)
+        self.pair_rank, self.rank_id = (rules >> 20).astype(np.int32), np.zeros(len(pairs), np.int32)
+        self.rank_id[self.pair_rank] = rules & 0xFFFFF
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = split
@@ -101,6 +111,75 @@ class Tokenizer:
                 todo[i] = get(ids[i] << 20 | ids[i + 1], _NO_MERGE)
         return ids
 
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Ids of every word, as ``merge`` finds them, as little-endian 32-bit integers."""
+        raw = [w.encode("utf-8") for w in words]
+        size = np.asarray([len(r) for r in raw], dtype=np.int64)
+        out: list[bytes] = [b""] * len(words)
+        least = 0
+        for most in MERGE_GROUPS:
+            group = np.flatnonzero((size > least) & (size <= most))
+            if len(group):
+                for i, ids in zip(group.tolist(), self._merge_group([raw[i] for i in group.tolist()], size[group])):
+                    out[i] = ids
+            least = most
+        for i in np.flatnonzero(size > least).tolist():
+            out[i] = np.asarray(self.merge(words[i]), dtype="<i4").tobytes()
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank of every pair with its place in the low bits; ``_NO_PAIR`` where there is no merge (an id of -1 has none)."""
+        want = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == want, self.pair_rank[at] << 6 | place, _NO_PAIR)
+
+    def _merge_group(self, raw: list[bytes], size: np.ndarray) -> list[bytes]:
+        """Each round merges the best pair of every word that has one. Row p of the
+        arrays is place p of all words; merged symbols leave -1 and are skipped by links."""
+        n, places = len(raw), int(size.max())
+        word = np.repeat(np.arange(n), size)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        letters = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ids = np.full((places + 1, n), -1, np.int32)
+        ids[place, word] = np.asarray(self.byte_id, np.int32)[letters]
+        last = np.cumsum(size) - 1
+        ids[size - 1, np.arange(n)] = np.asarray(self.last_byte_id, np.int32)[letters[last]]
+        rank = np.full((places, n), _NO_PAIR, np.int32)
+        inner = np.ones(len(word), bool)
+        inner[last] = False
+        p, w = place[inner], word[inner]
+        if len(p) and len(self.pairs):
+            rank[p, w] = self._ranks(ids[p, w], ids[p + 1, w], p)
+        # links to the next and the previous symbol; row ``places`` stands for none
+        after = np.repeat(np.arange(1, places + 2)[:, None], n, axis=1)
+        before = np.repeat(np.arange(-1, places)[:, None], n, axis=1)
+        live = np.arange(n)
+        while True:
+            best = rank[:, live].min(axis=0) if len(live) < n else rank.min(axis=0)
+            found = best != _NO_PAIR
+            live, best = live[found], best[found]
+            if not len(live):
+                break
+            i = best & 63
+            j = after[i, live]
+            k = after[j, live]
+            ids[i, live] = self.rank_id[best >> 6]
+            ids[j, live] = -1
+            rank[j, live] = _NO_PAIR
+            k = np.minimum(k, places)
+            after[i, live] = k
+            before[k, live] = i
+            rank[i, live] = self._ranks(ids[i, live], ids[k, live], i)
+            h = before[i, live]
+            some = h >= 0
+            h, w = h[some], live[some]
+            rank[h, w] = self._ranks(ids[h, w], ids[i[some], w], h)
+        by_word = ids[:places].T
+        kept = by_word >= 0
+        codes = by_word[kept].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [codes[a:b] for a, b in zip([0, *ends], ends)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for words of thousands of letters."""
         n, merges = len(ids), self.merges
@@ -192,6 +271,7 @@ class Lexicon:
         for name, n in zip(self._PARTS, head[1:].tolist()):
             setattr(self, name, np.frombuffer(self._map, dtype="<i8", count=n, offset=at))
             at += 8 * n
+        self.codes = self.ids.astype("<i4").tobytes()
 
     def find(self, words: list[str]) -> list[bytes | None]:
         """Ids of every word as little-endian 32-bit integers, None for words outside the lexicon."""
@@ -214,8 +294,8 @@ class Lexicon:
             number[live] += self.skip[at]
             state[live] = self.target[at]
             depth += 1
-        ids, lo, hi = self.ids.astype("<i4"), self.begin[number], self.begin[np.minimum(number + 1, len(self.begin) - 1)]
-        return [ids[a:b].tobytes() if k else None for k, a, b in zip(known.tolist(), lo.tolist(), hi.tolist())]
+        lo, hi = 4 * self.begin[number], 4 * self.begin[np.minimum(number + 1, len(self.begin) - 1)]
+        return [self.codes[a:b] if k else None for k, a, b in zip(known.tolist(), lo.tolist(), hi.tolist())]
 
 
 def normalise(text: str) -> str:
@@ -226,8 +306,8 @@ def normalise(text: str) -> str:
 
 class Encoder:
     """Encodes texts in one task. White space always ends a pre-token and is
-    dropped, so a text is the sequence of its chunks between white space, and
-    a chunk's ids can be remembered."""
+    dropped, so a normalised text is the sequence of its chunks between white
+    space, and a chunk's ids can be remembered."""
 
     def __init__(self, tokenizer: Tokenizer, image: bytes | None):
         self.t = tokenizer
@@ -237,8 +317,8 @@ class Encoder:
         self.mark = [s[:2] for s in tokenizer.added]
         self.memo: dict[str, bytes] = {}
 
-    def pre_tokens(self, chunk: str) -> list[str]:
-        s = normalise(chunk)
+    def pre_tokens(self, s: str) -> list[str]:
+        """Of a normalised chunk."""
         if s.isalpha():                             # nearly all chunks: letters, perhaps with a stop behind them
             return [s]
         if s[-1:] in (".", ",") and s[:-1].isalpha():
@@ -250,6 +330,8 @@ class Encoder:
         return [s[m.start():m.end()] for m in self.split.finditer(known)]
 
     def chunks(self, text: str) -> list[str]:
+        """Normalised chunks; normal forms and small letters do not reach across white space."""
+        text = normalise(text)
         return _UNICODE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
 
     def _parts(self, text: str) -> list[str]:
@@ -260,14 +342,15 @@ class Encoder:
         """Ids of every text as little-endian 32-bit integers."""
         pieces = [[self.chunks(p) if i % 2 == 0 else [p] for i, p in enumerate(self._parts(t))] for t in texts]
         memo = self.memo
-        new = {c for p in pieces for cs in p[::2] for c in cs if c not in memo}
+        seen = set().union(*(cs for p in pieces for cs in p[::2]))
+        new = seen.difference(memo)
         if len(memo) + len(new) > MEMO_CHUNKS:
             memo.clear()
-            new = {c for p in pieces for cs in p[::2] for c in cs}
+            new = seen
         self._learn(list(new))
-        added = self.t.added
-        out = [b"".join([memo[c] if i % 2 == 0 else np.asarray([added[c]], dtype="<i4").tobytes()
-                         for i, cs in enumerate(p) for c in cs]) for p in pieces]
+        added, known = self.t.added, memo.__getitem__
+        out = [b"".join([b"".join(map(known, cs)) if i % 2 == 0 else np.asarray([added[cs[0]]], dtype="<i4").tobytes()
+                         for i, cs in enumerate(p)]) for p in pieces]
         for c in new:
             if len(c) > MEMO_CHUNK_CHARS:
                 del memo[c]
@@ -278,8 +361,9 @@ class Encoder:
         tokens = [self.pre_tokens(c) for c in chunks]
         words = list({w for ws in tokens for w in ws})
         got = self.lexicon.find(words) if self.lexicon else [None] * len(words)
-        merge = self.t.merge
-        ids = {w: np.asarray(merge(w), dtype="<i4").tobytes() if i is None else i for w, i in zip(words, got)}
+        ids = dict(zip(words, got))
+        rare = [w for w, i in ids.items() if i is None]
+        ids.update(zip(rare, self.t.merge_all(rare)))
         for c, ws in zip(chunks, tokens):
             self.memo[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
@@ -375,23 +459,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches):
         token = shared.value
-        known = set(token)
+        n = max(token) + 1
+        strings = pa.array([token.get(i, "") for i in range(n)], type=pa.string())
+        known = np.zeros(n, bool)
+        known[list(token)] = True
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                got = []
-                for v in part.column(at):
-                    if not v.is_valid:
-                        got.append(None)
-                        continue
-                    seq = (np.frombuffer(v.as_buffer(), dtype="<i4").tolist() if isinstance(v, pa.BinaryScalar)
-                           else v.values.to_pylist())
-                    try:
-                        got.append(" ".join(map(token.__getitem__, seq)))
-                    except KeyError:
-                        got.append(" ".join(token[x] for x in seq if x in known))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, type=pa.string())],
-                                                 names=[*part.schema.names, out])
+            for i in range(0, b.num_rows, DECODE_ROWS):
+                part = b.slice(i, DECODE_ROWS)
+                col = part.column(at)
+                if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
+                    raw = [v or b"" for v in col.to_pylist()]
+                    size, seq = [len(v) // 4 for v in raw], np.frombuffer(b"".join(raw), dtype="<i4")
+                else:
+                    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                    seq = pc.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False)
+                ok = (seq >= 0) & (seq < n)
+                ok[ok] = known[seq[ok]]
+                ends = np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+                words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), strings.take(pa.array(seq[ok])))
+                got = pc.if_else(col.is_valid(), pc.binary_join(words, " "), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 

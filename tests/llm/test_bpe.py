@@ -69,3 +69,27 @@ def test_empty_table_extra_columns_and_clashes(spark):
 def test_decode_null_and_unknown_ids(spark):
     df = spark.createDataFrame([(None,), ([],), ([320, 999999],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(df, PATH).collect()] == [None, "", bpe.Tokenizer(PATH).token[320]]
+
+
+def test_words_outside_the_lexicon_are_merged_together(library, monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeéstß日🙂") for _ in range(r.randrange(1, 30))) for _ in range(1500)]
+    words += ["a" * n for n in (1, 11, 12, 13, 24, 25, 47, 48, 49, 300)] + ["the", "ab" * 20, "日本" * 8]
+    alone = []
+    merge = bpe.Tokenizer.merge
+    monkeypatch.setattr(bpe.Tokenizer, "merge", lambda self, w: alone.append(w) or merge(self, w))
+    got = bpe.Encoder(bpe.Tokenizer(PATH), None).encode([" ".join(words), "", words[0].upper()])
+    ids = library.encode(" ".join(words), add_special_tokens=False).ids
+    assert got[0] == struct.pack(f"<{len(ids)}I", *ids) and got[1] == b""
+    assert list(struct.unpack(f"<{len(got[2]) // 4}I", got[2])) == library.encode(words[0].upper(), add_special_tokens=False).ids
+    assert alone and all(len(w.encode()) > 48 for w in alone)
+
+
+def test_decode_leaves_out_nulls_and_ids_without_string(spark):
+    token = bpe.Tokenizer(PATH).token
+    the = next(i for i, s in token.items() if s == "the</w>")
+    rows = [([the, None, -5, the],), (None,), ([10 ** 7],), ([the],)]
+    df = spark.createDataFrame(rows, "ids array<int>").coalesce(1)
+    assert [r.decoded for r in bpe.decode(df, PATH).collect()] == ["the</w> the</w>", None, "", "the</w>"]
+    codes = spark.createDataFrame([(struct.pack("<3I", the, 2 ** 32 - 1, the),), (None,), (b"",)], "ids binary").coalesce(1)
+    assert [r.decoded for r in bpe.decode(codes, PATH).collect()] == ["the</w> the</w>", None, ""]
