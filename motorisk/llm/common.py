@@ -14,6 +14,10 @@ from ..sources.files import scratch_dir
 __all__ = ["Stages", "components", "free_name", "likely_members", "long_array", "shuffle_partitions", "table"]
 
 
+#: Shuffle files of an execution are deleted when it ends (Spark 4.1; older versions do not know it).
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +35,9 @@ class Stages:
     """Tables written to the shared checkpoint folder by one operator call.
 
     ``write`` runs a frame once and returns a reader of the result, so later
-    passes, retries and lost executors start from files on shared storage.
+    passes, retries and lost executors start from files on shared storage. The
+    shuffle files of the run are never read again and go with its end, not when
+    the driver happens to collect its garbage.
     ``drop`` deletes a stage that no later frame reads; stages that the
     operator's lazy result reads stay until their owner calls ``close``."""
 
@@ -41,7 +47,12 @@ class Stages:
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_dir(self.spark, label)
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths.add(path)
         out._stage_path = path

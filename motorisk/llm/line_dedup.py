@@ -96,7 +96,7 @@ def with_prefix(df: DataFrame, line: str, percent: int, short: bool = False) ->
     hashes low. A line has at most as many shingles as places for them; prefixes
     are as long as that number asks, which is never too short. ``spare`` goes by
     the shingles known to be distinct."""
-    words, early, whole = (free_name(df.columns, x) for x in ("line_words", "line_early", "line_whole"))
+    words, heads, early, whole = (free_name(df.columns, x) for x in ("line_words", "line_heads", "line_early", "line_whole"))
     w = F.col(words)
     places = F.greatest(F.lit(1), F.size(w) - F.lit(WORDS - 1))
     length = prefix_size(places, percent) + extension(places)
@@ -110,11 +110,13 @@ def with_prefix(df: DataFrame, line: str, percent: int, short: bool = False) ->
             def one(x: Column, i: Column) -> Column:
                 gram = F.xxhash64(x, *(F.get(a, i + k) for k in range(1, WORDS)))
                 return F.when(x < bound, gram.bitwiseOR(least)).otherwise(rest(gram))
-            return F.transform(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - F.lit(WORDS - 1))), one)
+            return F.transform(heads, one)
         return F.sort_array(F.array_distinct(F.get(F.transform(F.array(w), of), 0)))
 
     first = F.size(early) > length                  # the last of them stands for all that come later
     df = df.where(_enough(line, short)).withColumn(words, F.transform(_words(line), lambda x: F.xxhash64(x)))
+    # the first words of all places, cut outside the functions, where generated code does it
+    df = df.withColumn(heads, F.slice(w, F.lit(1), F.greatest(F.lit(0), F.size(w) - F.lit(WORDS - 1))))
     df = df.withColumn(early, F.when(F.size(w) > WHOLE + WORDS - 1, hashes(lambda g: most)).otherwise(none))
     df = df.withColumn(whole, F.when(first, none).when(F.size(w) < WORDS, F.array(F.xxhash64(w)))
                        .otherwise(hashes(lambda g: g.bitwiseAND(most))))
@@ -123,7 +125,7 @@ def with_prefix(df: DataFrame, line: str, percent: int, short: bool = False) ->
     # a partner may be smaller, and the smaller extension counts
     known = F.when(first, F.size(early) - F.lit(1)).otherwise(F.size(whole))
     need = F.lit(1) + extension(F.ceil(known * percent / 100))
-    return df.withColumn("spare", (F.size("keys") - need).cast("int")).drop(words, early, whole)
+    return df.withColumn("spare", (F.size("keys") - need).cast("int")).drop(words, heads, early, whole)
 
 
 def prefix_size(n: Column, percent: int) -> Column:
@@ -154,10 +156,11 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
     wanted = ranked.groupBy("id").agg(F.collect_list(F.struct("no", "lh", "r")).alias("want"))
     bodies = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     wanted = st.write(wanted, "wanted")
-    texts = likely_members(bodies, "id", wanted, "id", wanted.count()).join(wanted, "id")
-    asked = (texts.withColumn("all", F.split("text", "\n")).select("all", F.explode("want").alias("w"))
-             .select("w.lh", "w.r", F.get("all", F.col("w.no")).alias("line")).where("xxhash64(line) = lh"))
-    picked = with_shingles(asked, "line", "a", short).dropDuplicates(["r"]).select("r", "a")
+    texts = likely_members(bodies, "id", wanted, "id", wanted.count()).join(wanted.hint("shuffle_hash"), "id")
+    asked = (texts.withColumn("all", F.split("text", "\n")).select("id", "all", F.explode("want").alias("w"))
+             .select("id", "w.lh", "w.r", F.get("all", F.col("w.no")).alias("line")).where("xxhash64(line) = lh"))
+    # a line of a repeated row once: rows of an id are together after the join, so no set is shuffled for it
+    picked = with_shingles(asked.dropDuplicates(["id", "r"]), "line", "a", short).select("r", "a")
     picked = st.write(picked, "sets")
 
     # rarity: counts of hash cells, a fixed number of rows
@@ -190,7 +193,7 @@ def removed_lines(docs: DataFrame, st: Stages, key: str = "doc_id", text: str =
 
     def verified(cand: DataFrame) -> DataFrame:
         """Lines of ``cand`` with a partner that is similar enough."""
-        both = (cand.join(ordered.select("r", F.col("o").alias("x")), "r")
+        both = (ordered.select("r", F.col("o").alias("x")).join(cand.hint("shuffle_hash"), "r")
                 .join(ordered.select(F.col("r").alias("s"), F.col("o").alias("y")), "s"))
         inter = F.size(F.array_intersect("x", "y"))
         return both.where(inter * 100 >= percent * (F.size("x") + F.size("y") - inter)).select("r").distinct()
@@ -218,7 +221,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     gone = removed_lines(docs, st, key, text, percent, short)
     k, g = (free_name(docs.columns, x) for x in ("line_doc", "line_gone"))
     per_doc = gone.groupBy(F.col("id").alias(k)).agg(F.collect_set(F.struct("no", "lh")).alias(g))
-    joined = docs.join(per_doc, F.col(key).cast("long") == F.col(k), "left")
+    # one row a document in the hashed tables, here and for the texts above: no text is sorted
+    joined = docs.join(per_doc.hint("shuffle_hash"), F.col(key).cast("long") == F.col(k), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(g), F.struct(i.alias("no"), F.xxhash64(x).alias("lh")))), "\n")
     out = [F.when(F.col(g).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]

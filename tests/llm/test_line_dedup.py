@@ -122,3 +122,24 @@ def test_similar_lines_share_their_keys(spark):
     # most lines of random words hash few more shingles than their prefix
     long = [i for i in got if len(sets[i]) > WHOLE]
     assert sum(all(k < 0 for k in got[i][0]) for i in long) > len(long) / 2 and EARLY < 0.5
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    """What a stage's run shuffled is gone when it ends; the session's setting stays as it was."""
+    import os
+    from motorisk.llm.common import SHUFFLE_CLEANUP, Stages
+
+    def shuffled():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        tops = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+        return {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    setting = spark.conf.get(SHUFFLE_CLEANUP)
+    sums = spark.range(20000).selectExpr("id % 7777 as k", "id").groupBy("k").sum("id")
+    before = shuffled()
+    st = Stages(spark)
+    st.write(sums, "sums")
+    assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    sums.collect()
+    assert shuffled() - before
+    st.close()
