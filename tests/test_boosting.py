@@ -183,3 +183,67 @@ def test_equal_rows_are_stored_once(spark, monkeypatch):
     model = BoostingRegressor(labelCol="y", loss="poisson", maxIter=2, learningRate=0.3, maxLeaves=4, minInstancesPerNode=20).fit(df)
     want, _ = brute(x, y, "poisson", 2, 0.3, leaves=4, min_rows=20)
     assert seen == [2, 2] and np.allclose(predictions(model, df), want, rtol=1e-9)
+
+
+def jobs_of(spark, run):
+    """Spark jobs that ``run`` takes, and what it leaves in memory and in the checkpoint folder."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir().removeprefix("file:")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    group, files_before, held_before = f"jobs-{os.urandom(4).hex()}", files(), set(sc._jsc.getPersistentRDDs())
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group)), files() - files_before, set(sc._jsc.getPersistentRDDs()) - held_before
+
+
+@pytest.mark.parametrize("kw", [dict(growth="depth", maxDepth=4, minInstancesPerNode=1), dict(loss="poisson", maxLeaves=12, minInstancesPerNode=5)])
+def test_a_round_takes_a_job_and_leaves_nothing(spark, kw):
+    """The trees of few rows take a job a round, besides those that write the scores; edges of many values take a few."""
+    x, y = data(7, 300)
+    x[:, 1] = np.random.default_rng(7).normal(size=300)
+    df = frame(spark, x, y).persist()
+    df.count()
+    jobs, files, held = jobs_of(spark, lambda: BoostingRegressor(labelCol="y", maxIter=20, maxBins=32, **kw).fit(df))
+    df.unpersist()
+    assert jobs <= 20 + 20 // 5 + 20 and not files and not held
+
+
+def test_leaves_that_may_be_split_are_opened_together(spark, monkeypatch):
+    """Passes follow the depth of the tree, not the order in which its leaves are split."""
+    monkeypatch.setattr(B, "LOCAL_ROWS", 0)
+    passes, real = [], B.SparkMeasure.histograms
+    monkeypatch.setattr(B.SparkMeasure, "histograms", lambda self, *a: (passes.append(1), real(self, *a))[1])
+    x = np.arange(256.0)[:, None]
+    y = sum((-1.0) ** (x[:, 0] // w) * w for w in (1, 2, 4, 8, 16, 32, 64, 128))            # the splits of a level gain alike, deep ones less
+    model = BoostingRegressor(labelCol="y", maxIter=1, learningRate=1.0, maxLeaves=64, minInstancesPerNode=1).fit(frame(spark, x, y))
+    assert sum(a == i for i, a in enumerate(model.trees[0]["left"])) == 64
+    assert len(passes) <= model.trees[0]["depth"] + 2
+
+
+def test_edges_are_the_values_at_even_positions(spark):
+    from pyspark.ml.functions import vector_to_array
+    rng = np.random.default_rng(8)
+    odd = [-np.inf, np.inf, -0.0, 0.0, 5e-324, -5e-324, 1e308, -1e308, *[7.0] * 90]
+    x = np.column_stack([np.concatenate([rng.normal(size=302) * 10.0 ** rng.integers(-9, 9, 302), odd]), rng.integers(0, 5, 400)])
+    x[rng.random(400) < 0.1] = np.nan
+    df = frame(spark, x, np.zeros(400))
+    raw = B.blocks_of(df.select(vector_to_array("features").alias("x"), "y", F.lit(False).alias("held")))
+    edges = B.bin_edges(raw, B.summary(raw, 16), 16)
+    v = np.sort(x[~np.isnan(x[:, 0]), 0])
+    assert edges[0] == sorted({v[(t + 1) * (len(v) - 1) // 16] for t in range(15)})
+    assert edges[1] == [0.5, 1.5, 2.5, 3.5]
+
+
+def test_a_tree_is_the_same_with_and_without_a_least_gain():
+    """Branches that know the least gain of a split grow no less of the tree."""
+    rng = np.random.default_rng(9)
+    bins = rng.integers(0, 40, (3000, 4)).astype(np.uint8)
+    y = rng.poisson(np.exp(np.sin(bins[:, 0] / 5) + (bins[:, 1] > 20))).astype(float)
+    sums = np.stack([y.mean() - y, np.full(3000, y.mean()), np.ones(3000)])
+    tree = B.grow(B.LocalMeasure(bins, sums, 40), B.Node(0, 0.0, 0.0, 3000), B.Rule(), 20, None)
+    least = min(n.gain for n in tree if n.left >= 0)
+    again = B.grow(B.LocalMeasure(bins, sums, 40), B.Node(0, 0.0, 0.0, 3000), B.Rule(), 20, None, least)
+    assert B.packed(tree, B.Rule()) == B.packed(again, B.Rule()) and sum(n.left >= 0 for n in tree) == 19
