@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..models.glm import select_training_algorithm
 from ..operators import evaluation as E
+from ..operators.materialize import materialize
 from ..plans import runs as RUN
 from ..sources import runlog as L
 from ..sources.files import scratch_dir
@@ -112,7 +113,8 @@ def _fitted_levels(spark, sf_dir, algorithm, params):
     """Prediction of a model on one feature, per level of it."""
     train = C.stored_split(spark, sf_dir, [C.LEVEL_COL, C.TARGET]).where((F.col("split") == "train") & F.col(C.LEVEL_COL).isNotNull()).select(C.LEVEL_COL, C.TARGET)
     model = RUN.fit_cached(RUN.pipeline_for(train, [C.LEVEL_COL], C.TARGET, algorithm, params), train, [C.LEVEL_COL, C.TARGET])
-    return model.transform(train.select(C.LEVEL_COL).distinct()).select(C.LEVEL_COL, r6(F.col("prediction")).alias("prediction"))
+    levels = model.transform(train.select(C.LEVEL_COL).distinct()).select(C.LEVEL_COL, r6(F.col("prediction")).alias("prediction"))
+    return materialize(levels, "scores")
 
 
 @register("gbt_one_round", ONE_ROUND_SQL)
